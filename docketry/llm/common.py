@@ -115,17 +115,16 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 _ODD = 0x9E3779B97F4A7C15
-_POWERS = np.ones(64, np.uint64)
+_POWERS = np.ones(1, np.uint64)
 
 
 def powers(n: int) -> np.ndarray:
-    """The first n powers of a fixed odd number modulo 2**64."""
+    """At least the first n powers of a fixed odd number modulo 2**64."""
     global _POWERS
     if len(_POWERS) < n:
-        size = 1 << (n - 1).bit_length()
-        _POWERS = np.cumprod(np.concatenate([[1], np.full(size - 1, _ODD, np.uint64)]).astype(np.uint64))
-    elif _POWERS[1] == 1:
-        _POWERS = np.cumprod(np.concatenate([[1], np.full(63, _ODD, np.uint64)]).astype(np.uint64))
+        factors = np.full(max(64, 1 << (n - 1).bit_length()), _ODD, np.uint64)
+        factors[0] = 1
+        _POWERS = np.cumprod(factors)
     return _POWERS
 
 

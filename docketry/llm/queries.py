@@ -32,3 +32,11 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     stored = token_files.write_token_file(documents(spark, sf_dir), public_file("word_bpe_49k.json"), END_ID)
     return token_files.ids_checksum(token_files.read_token_file(stored))
+
+
+@query
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm import byte_bpe
+
+    ranks = public_file("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.digest(byte_bpe.decode(byte_bpe.encode(documents(spark, sf_dir), ranks), ranks))
