@@ -4,12 +4,17 @@ Texts are cut into pre-tokens in chunks of a few MB. A chunk keeps its pre-token
 chunk's own word list; the words alone are exploded by hash bucket and shuffled, so every distinct word
 of the corpus is encoded once, in one task. The ids go back to the chunks by a join and are laid out by
 position. Decoding looks each id up in the table of token bytes.
+
+The texts are cut twice, once for the words and once for the positions, rather than stored: that halves
+the disk. A chunk's key holds its partition, its number and a hash of its pre-tokens, so a source whose
+rows change places between two reads is an error and never wrong ids; write such a source to files first.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import as_binary, blocks, materialize, mix64, powers
+from docketry.llm.common import as_binary, blocks, mix64, powers
 
 #: The pattern whose matches are found without a regular expression engine (a fixed value).
 KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -87,64 +92,69 @@ def _unpacked(blob: bytes, n: int) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 * n, *ends[:-1].tolist()], ends.tolist())]
 
 
-_CHUNKS = "kind string, chunk bigint, bucket int, n int, payload binary, doc_ids array<bigint>, counts array<bigint>, buckets binary"
+_CHUNKS = "chunk string, bucket int, n int, payload binary, doc_ids array<bigint>, counts array<bigint>, buckets binary"
 
 
-def _chunks(pattern: str, buckets: int, chunk_bytes: int):
-    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+def _chunks(pattern: str, buckets: int, chunk_bytes: int, positions: bool):
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
 
-    def chunk_rows(texts: list[str], doc_ids: list[int | None], chunk: int) -> list[tuple]:
+    def chunk_rows(texts: list[str], doc_ids: list[int | None], chunk: str) -> list[tuple]:
         starts, points = pretoken_starts(texts, pattern)
-        width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        width = 1 + (points >= 0x80).astype(np.int32) + (points >= 0x800) + (points >= 0x10000)
         data = np.frombuffer("".join(texts).encode("utf-8", "replace"), np.uint8)
         at = np.flatnonzero(starts)
-        byte = (np.cumsum(width) - width)[at]
+        byte = (np.cumsum(width, dtype=np.int32) - width)[at]
+        del width, points, starts
         ends = np.append(byte[1:], len(data))
         size = ends - byte
         bound = np.cumsum([0, *map(len, texts)])
         counts = np.diff(np.searchsorted(at, bound))
         if not len(at):
-            return [("positions", chunk, None, 0, b"", doc_ids, counts.tolist(), b"")]
-        place = np.arange(len(data), dtype=np.int64) - np.repeat(byte, size)
+            return [(chunk, None, 0, b"", doc_ids, counts.tolist(), b"")] if positions else []
+        place = np.arange(len(data), dtype=np.int32) - np.repeat(byte, size)
         value = mix64(np.arange(1, 257, dtype=np.uint64))[data] * powers(int(size.max()))[place]
         hashes = mix64(np.add.reduceat(value, byte) + size.astype(np.uint64))
+        del place, value
+        chunk += f"-{int(hashes.sum()):x}"
         _, index, inverse, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         order = np.argsort(-times, kind="stable")  # frequent words get small positions
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
         index = index[order]
         bucket = (hashes[index] % np.uint64(buckets)).astype(np.uint16)
-        planes = rank[inverse].astype("<u4").view(np.uint8).reshape(-1, 4).T
-        rows = [("positions", chunk, None, len(at), zstandard.compress(planes.tobytes(), 3), doc_ids, counts.tolist(), zstandard.compress(bucket.tobytes(), 3))]
-        raw = data.tobytes()
+        if positions:
+            planes = rank[inverse].astype("<u4").view(np.uint8).reshape(-1, 4).T
+            return [(chunk, None, len(at), zstandard.compress(planes.tobytes(), 3), doc_ids, counts.tolist(), zstandard.compress(bucket.tobytes(), 3))]
+        rows, raw = [], data.tobytes()
         by = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[by])) + 1
         for own in np.split(by, cuts):
             words = [raw[a:b] for a, b in zip(byte[index[own]].tolist(), ends[index[own]].tolist())]
-            rows.append(("words", chunk, int(bucket[own[0]]), len(words), _packed(words), None, None, None))
+            rows.append((chunk, int(bucket[own[0]]), len(words), _packed(words), None, None, None))
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split(" ")[0] for f in _CHUNKS.split(", ")]
-        base, seen, texts, doc_ids, held = TaskContext.get().partitionId() << 32, 0, [], [], 0
+        partition, seen, texts, doc_ids, held = TaskContext.get().partitionId(), 0, [], [], 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal seen, texts, doc_ids, held
-            rows = chunk_rows(texts, doc_ids, base + seen)
+            rows = chunk_rows(texts, doc_ids, f"{partition}-{seen}")
             seen, texts, doc_ids, held = seen + 1, [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
         for batch in batches:
             for part in blocks(batch, limit=1 << 18):
                 more = [t or "" for t in part.column("text").to_pylist()]
                 size = len(as_binary(part.column("text"))[1])
                 if texts and held + size > chunk_bytes:
-                    yield flush()
+                    yield from flush()
                 texts += more
                 doc_ids += part.column("doc_id").to_pylist()
                 held += size
         if texts:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -171,7 +181,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str = KNOWN_PATTERN, buckets: i
     """
     spark = docs.sparkSession
     n = buckets or min(4096, max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    stored = materialize(docs.select("doc_id", "text").mapInArrow(_chunks(pattern, n, chunk_bytes), _CHUNKS), partition_by=("kind",))
+    words, places = (docs.select("doc_id", "text").mapInArrow(_chunks(pattern, n, chunk_bytes, p), _CHUNKS) for p in (False, True))
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, known = _encoding(ranks, pattern), {}
@@ -188,8 +198,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str = KNOWN_PATTERN, buckets: i
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("bucket"), batch.column("n"), pa.array(out, pa.binary())], ["chunk", "bucket", "n", "ids"])
 
     coded = (
-        stored.where("kind = 'words'").select("chunk", "bucket", "n", "payload").repartition("bucket")
-        .mapInArrow(encode_words, "chunk bigint, bucket int, n int, ids binary")
+        words.select("chunk", "bucket", "n", "payload").repartition("bucket")
+        .mapInArrow(encode_words, "chunk string, bucket int, n int, ids binary")
         .groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "ids")).alias("coded"))
     )
 
@@ -203,7 +213,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str = KNOWN_PATTERN, buckets: i
                     ids = pa.ListArray.from_arrays(pa.array((e - e[0]).astype(np.int32)), pa.array(flat[e[0] : e[-1]].astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][k : k + 1024], pa.int64()), ids], ["doc_id", "ids"])
 
-    positions = stored.where("kind = 'positions'").select("chunk", F.col("n").alias("n_positions"), "payload", "doc_ids", "counts", "buckets")
+    positions = places.select("chunk", F.col("n").alias("n_positions"), "payload", "doc_ids", "counts", "buckets")
     return positions.join(coded, "chunk", "left").mapInArrow(lay_out, "doc_id bigint, ids array<int>")
 
 
@@ -217,13 +227,13 @@ def _laid_out(row: dict, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bucket = np.frombuffer(zstandard.decompress(row["buckets"]), np.uint16)
     order = np.argsort(bucket, kind="stable")
     sizes, ids = [], []
-    for part in sorted(row["coded"], key=lambda c: c["bucket"]):
+    for part in sorted(row["coded"] or [], key=lambda c: c["bucket"]):
         raw = zstandard.decompress(part["ids"][1:])
         sizes.append(np.frombuffer(raw, "<u4", part["n"]))
         ids.append(np.frombuffer(raw, f"<u{part['ids'][0]}", offset=4 * part["n"]))
+    if sum(map(len, sizes)) != len(bucket):
+        raise ValueError("a chunk's words did not all come back: the source's rows changed places, write it to files first")
     size_in_order, flat = np.concatenate(sizes).astype(np.int64), np.concatenate(ids)
-    if len(size_in_order) != len(bucket):
-        raise ValueError("a chunk's words did not all come back")
     size, begin = np.empty_like(size_in_order), np.empty_like(size_in_order)
     size[order] = size_in_order
     begin[order] = np.cumsum(size_in_order) - size_in_order
@@ -243,40 +253,40 @@ def _table(path: str) -> list[bytes]:
     return _memo["table", path]
 
 
-def decode(encoded: DataFrame, ranks: str) -> DataFrame:
-    """Adds ``decoded`` (binary): the bytes of the ids, by the table of token bytes. Null ids give empty bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(ranks)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                out = [b"".join(map(table.__getitem__, ids or ())) for ids in map(_as_list, part.column("ids"))]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
-
-    return encoded.mapInArrow(run, f"{encoded.schema.simpleString()[7:-1]},decoded binary")
-
-
 def _as_list(ids: pa.Scalar) -> list[int]:
     return ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else []
 
 
-def digest(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, sha256 of the decimal ids joined by commas, sha256 of the decoded bytes."""
+def decode(encoded: DataFrame, ranks: str, digest: bool = False) -> DataFrame:
+    """Adds ``decoded`` (binary): the bytes of the ids, by the table of token bytes. Null ids give empty bytes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from hashlib import sha256
+    ``digest``: instead of ids and bytes, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256.
+    """
+    kept = [c for c in encoded.columns if c not in ("decoded", *(("ids", "n_tokens", "ids_sha256", "decoded_sha256") if digest else ()))]
+    more = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "decoded binary"
 
-        decimal = _memo.setdefault("decimal", [str(i) for i in range(1 << 16)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, decimal = _table(ranks)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                n, ids_sha = [], []
-                for ids in map(_as_list, part.column("ids")):
-                    n.append(len(ids))
-                    known = not ids or max(ids) < len(decimal)
-                    ids_sha.append(sha256(",".join(map(decimal.__getitem__ if known else str, ids)).encode()).hexdigest())
-                sha = [sha256(b or b"").hexdigest() for b in part.column("decoded").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return decoded.select("doc_id", "ids", "decoded").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+                ids = list(map(_as_list, part.column("ids")))
+                decoded = [b"".join(map(table.__getitem__, i)) for i in ids]
+                out = [pa.array(decoded, pa.binary())]
+                if digest:
+                    shown = (",".join(map(decimal.__getitem__, i)).encode() for i in ids)
+                    out = [pa.array(map(len, ids), pa.int64()), pa.array([sha256(s).hexdigest() for s in shown], pa.string()), pa.array([sha256(d).hexdigest() for d in decoded], pa.string())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *out], [*kept, *(m.split(" ")[0] for m in more.split(", "))])
+
+    return encoded.mapInArrow(run, f"{encoded.select(*kept).schema.simpleString()[7:-1]},{more}")
+
+
+def _table(path: str) -> tuple[list[bytes], list[str]]:
+    """Bytes and decimal form of every id."""
+    if ("table", path) not in _memo:
+        ranks = load_ranks(path)
+        table = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            table[rank] = token
+        _memo["table", path] = table, list(map(str, range(len(table))))
+    return _memo["table", path]

@@ -39,4 +39,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm import byte_bpe
 
     ranks = public_file("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.digest(byte_bpe.decode(byte_bpe.encode(documents(spark, sf_dir), ranks), ranks))
+    return byte_bpe.decode(byte_bpe.encode(documents(spark, sf_dir), ranks), ranks, digest=True)
+
+
+@query
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm import progressive_jpeg
+
+    return progressive_jpeg.digest(progressive_jpeg.decode_media(progressive_jpeg.store_texts(documents(spark, sf_dir))))
