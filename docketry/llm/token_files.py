@@ -9,10 +9,12 @@ no table of 64-bit offsets is kept: an end costs 2 + log2(ids / documents) bits.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
+from itertools import chain, filterfalse
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ SAMPLE = 256
 #: Ids after which a block is closed (one longer document is a block alone).
 BLOCK_IDS = 1 << 21
 #: Words whose ids a worker remembers.
-MEMORY = 500_000
+MEMORY = 900_000
 
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1)
 
@@ -85,11 +87,18 @@ class EliasFano:
         return ((places - np.arange(self.n)) << self.width) | low
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where it prints, else the next above 255."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
 class WordEncoder:
-    """Ids of texts from a tokenizer that never joins what white space divides.
+    """Ids of texts from a byte-level tokenizer with word ends that never joins what white space divides.
 
     ASCII white space ends every piece of such a tokenizer, and so does the step from a letter to
-    ``.,;:!?`` at a word's end; so each distinct word is encoded once and its ids are remembered.
+    ``.,;:!?`` at a word's end; so each distinct word is encoded once and its ids are remembered. Lower-case
+    Latin words need neither normalising nor cutting and go to the model at once, many in a text.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -99,35 +108,53 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype, self.known = dtype, {}
+        rules = json.loads(self.tokenizer.to_str())
+        suffix = rules["model"].get("end_of_word_suffix")
+        if not suffix:
+            raise ValueError("the tokenizer has no word ends")
+        self.bare = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+        self.letters = _byte_letters()
+        self.closes = np.zeros(max(rules["model"]["vocab"].values()) + 1, bool)
+        self.closes[[i for token, i in rules["model"]["vocab"].items() if token.endswith(suffix)]] = True
 
     def _learn(self, words: set[bytes]) -> None:
-        cut = {w: self._cut(w) for w in words}
-        parts = list({p for pair in cut.values() for p in pair if p})
-        ids = {}
-        for got, part in zip(self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False), parts):
-            ids[part] = np.array(got.ids, self.dtype).tobytes()
-        self.known.update((w, b"".join(ids[p] for p in pair if p)) for w, pair in cut.items())
+        cut = list(map(self._cut, words))
+        ids, plain = {}, []
+        for part in {p for pair in cut for p in pair}:
+            text = part.decode("utf-8", "replace")
+            if text.isalpha() and text.islower() and max(text) < "\u0250" and (text.isascii() or is_normalized("NFC", text)):
+                plain.append(part)
+            else:
+                ids[part] = self._ids(text)
+        texts = [b" ".join(plain[i : i + 256]).decode("latin-1").translate(self.letters).replace(chr(self.letters[32]), " ") for i in range(0, len(plain), 256)]
+        for k, got in enumerate(self.bare.encode_batch_fast(texts, add_special_tokens=False)):
+            array = np.array(got.ids, self.dtype)
+            ends = ((np.flatnonzero(self.closes[array]) + 1) * array.itemsize).tolist()
+            raw = array.tobytes()
+            ids.update(zip(plain[256 * k : 256 * k + 256], [raw[a:b] for a, b in zip([0, *ends], ends)], strict=True))
+        self.known.update((w, ids[p] + ids[q] if q else ids[p]) for w, (p, q) in zip(words, cut))
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     @staticmethod
     def _cut(word: bytes) -> tuple[bytes, bytes]:
         core = word.rstrip(b".,;:!?")
-        if core and len(core) < len(word) and core.decode("utf-8", "replace")[-1].isalpha():
+        if core and len(core) < len(word) and core.decode("utf-8", "replace")[-1].lower().isalpha():
             return core, word[len(core) :]
         return word, b""
 
-    def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.known.__getitem__, text.split()))
-
-    def prepare(self, texts: list[bytes]) -> None:
-        new: set[bytes] = set()
-        for text in texts:
-            new.update(filterfalse(self.known.__contains__, text.split()))
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of lower-cased texts."""
+        split = [t.split() for t in texts]
+        new = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
         if len(self.known) + len(new) > MEMORY:
             self.known.clear()
-            for text in texts:
-                new.update(text.split())
+            new = set(chain.from_iterable(split))
         if new:
             self._learn(new)
+        known = self.known.__getitem__
+        return [b"".join(map(known, words)) for words in split]
 
 
 _encoders: dict[tuple[str, str], WordEncoder] = {}
@@ -167,10 +194,9 @@ def write_token_file(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: i
                 at, raw = as_binary(part.column("text"))
                 lowered = raw.tobytes().lower()
                 texts = [lowered[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                encoder.prepare(texts)
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), texts):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts)):
                     doc_ids.append(doc_id)
-                    pieces.append(encoder.encode(text) + end)
+                    pieces.append(ids + end)
                     held += len(pieces[-1]) // size
                     if held >= block_ids:
                         yield close()
