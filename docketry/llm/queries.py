@@ -47,3 +47,10 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm import progressive_jpeg
 
     return progressive_jpeg.digest(progressive_jpeg.decode_media(progressive_jpeg.store_texts(documents(spark, sf_dir))))
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm import secret_scan
+
+    return secret_scan.digest(secret_scan.scan(documents(spark, sf_dir)))
