@@ -54,3 +54,15 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm import secret_scan
 
     return secret_scan.digest(secret_scan.scan(documents(spark, sf_dir)))
+
+
+#: Tools of the conversations' turns.
+REPLY = {"reply": {"text": ("string", True, 100_000), "n_chars": ("bigint", True, None)}}
+
+
+@query
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm import tool_calls
+
+    calls, results = tool_calls.turns_as_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return tool_calls.link(calls, results, REPLY)
