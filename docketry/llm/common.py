@@ -134,10 +134,11 @@ class Words:
     ``start``/``end``: byte span of each word in ``data``; ``first[i]:first[i + 1]``: words of row i.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, dividers: np.ndarray | None = None):
+        """``dividers``: 256 flags of the bytes between words, white space if None."""
         self.at, data = as_binary(column)
         self.data = _LOWER[data] if lower else data
-        space = _SPACE[data]
+        space = (_SPACE if dividers is None else dividers)[data]
         word = ~space
         before = np.ones(len(data) + 1, bool)
         before[1:] = space
@@ -157,11 +158,18 @@ class Words:
     def count(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
+    def hashes(self, prefix: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word, or of its first ``prefix`` bytes."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
         size = self.end - self.start
+        if prefix is not None:
+            short = np.minimum(size, prefix)
+            out = np.zeros(len(size), np.uint64)
+            for k in range(prefix):
+                has = short > k
+                out[has] += _BYTE[self.data[self.start[has] + k]] * powers(prefix)[k]
+            return _mix(out + short.astype(np.uint64))
         begin = np.cumsum(size) - size
         place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(begin, size)
         value = _BYTE[self.data[self._word]]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docketry.llm.common import documents
 
@@ -66,3 +67,19 @@ def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     calls, results = tool_calls.turns_as_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return tool_calls.link(calls, results, REPLY)
+
+
+@query
+def op8_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm import piece_counts
+
+    return piece_counts.count_pieces(documents(spark, sf_dir), public_file("piece_bpe_32k.model"))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm import toxicity
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
