@@ -90,3 +90,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm import substring_dedup
 
     return substring_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm import minhash
+
+    return minhash.group_duplicates(documents(spark, sf_dir), shingle=4)
