@@ -97,3 +97,10 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm import minhash
 
     return minhash.group_duplicates(documents(spark, sf_dir), shingle=4)
+
+
+@query
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm import decontamination
+
+    return decontamination.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
