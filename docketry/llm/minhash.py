@@ -259,7 +259,9 @@ def group_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     centres = named.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("_last")).where("centre < _last").select("bucket", "centre")
     stars = materialize(named.join(materialize(centres), "bucket").where("id <> centre").select("id", "centre").distinct())
     wanted = stars.select("id").union(stars.select("centre")).distinct()
-    chosen = materialize(texts.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").join(nodes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").distinct())
+    # always by shuffle: the documents that have a link grow with the input, at no size are they sent whole
+    linked = texts.join(wanted.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi")
+    chosen = materialize(linked.select(F.col("doc_id").alias("id"), "text").distinct())
     pairs = stars.join(chosen, "id").select(F.col("id").alias("a"), F.col("centre").alias("b"), "text").join(chosen.select(F.col("id").alias("b"), F.col("text").alias("other")), "b")
     links = materialize(pairs.select("a", "b", "text", "other").mapInArrow(_confirm(shingle, similarity), "a bigint, b bigint"))
     known = materialize(components(links))
