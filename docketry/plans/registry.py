@@ -26,3 +26,8 @@ def query(name: str, sql: str | None = None):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["flagship"](spark, sf_dir)
+
+
+def load() -> None:
+    """Register the queries of every module of plans."""
+    from docketry.plans import linkage, reporting, search  # noqa: F401
