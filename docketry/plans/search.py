@@ -79,7 +79,7 @@ def outcomes(spark, d):
     return table(spark, d, "documents").select("doc_id", L.ladder([("licensed", t.contains("license")), ("reserved", t.contains("copyright")), ("contact", t.contains("@"))]).alias("outcome"))
 
 
-@query("txt24_claims", "SELECT doc_id, len(list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: trim(x)), lambda x: length(x) > 20)) AS n FROM documents")
+@query("txt24_claims", "SELECT doc_id, len(list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 20)) AS n FROM documents")
 def claim_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(L.claims(F.col("text"))).cast("bigint").alias("n"))
 
