@@ -4,8 +4,8 @@ A text's windows of ``window`` words are grouped by minimiser, the least hash am
 words in a window: consecutive windows that share it travel as one packed string to the minimiser's bucket.
 Equal windows have equal minimisers, so buckets with a single document hold no repeat and drop out before
 any text moves. In a bucket the windows of its distinct strings are sorted, which gives each window's
-smallest doc_id exactly. Buckets with many distinct strings are taken apart into windows, which are
-reduced by key before they meet, so that no bucket is one task's work.
+smallest doc_id exactly. Buckets with many distinct strings are dealt out: their windows are packed by
+parts of the key space, a part's minima are merged and looked up, so that no bucket is one task's work.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ WINDOW = 50
 SEED = 6
 #: Distinct strings from which on a bucket is taken apart.
 LARGE_BUCKET = 256
+#: A part of a large bucket has the windows of about so many times LARGE_BUCKET strings.
+PART = 4
 
 
 def super_k_mers(words: Words, window: int, seed: int) -> tuple[np.ndarray, ...]:
@@ -158,16 +160,73 @@ def _sorted_buckets(window: int):
 
 
 def _taken_apart(window: int):
+    """Packs the windows of a large bucket's strings by part: keys, doc_ids, and the string and place of each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                rows = zip(*(batch.slice(k, 500).column(c).to_pylist() for c in ("name", "string", "doc_id")))
-                out = [(name, i, blake2b(w, digest_size=16).digest(), doc) for name, string, doc in rows for i, w in enumerate(_windows(string, window))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int32(), pa.binary(), pa.int64()))], ["name", "i", "key", "doc_id"])
+            for k in range(0, batch.num_rows, 512):
+                rows = list(zip(*(batch.slice(k, 512).column(c).to_pylist() for c in ("minimiser", "parts", "name", "string", "doc_id"))))
+                out = []
+                for (minimiser, parts), own in groupby(rows, key=lambda r: r[:2]):
+                    own = list(own)
+                    windows = [_windows(r[3], window) for r in own]
+                    keys = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for ws in windows for w in ws), "<u8").reshape(-1, 2)
+                    size = [len(ws) for ws in windows]
+                    which, place = np.repeat(np.arange(len(own)), size).astype("<i4"), np.concatenate([np.arange(n) for n in size]).astype("<i4")
+                    docs = np.array([r[4] for r in own], "<i8")[which]
+                    part = (keys[:, 0] % np.uint64(parts)).astype(np.int64)
+                    names = b"".join(r[2] for r in own)
+                    for p in np.unique(part):
+                        at = part == p
+                        out.append((minimiser, int(p), keys[at].tobytes(), docs[at].tobytes(), names, which[at].tobytes(), place[at].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), *[pa.binary()] * 5))], ["minimiser", "part", "keys", "docs", "names", "which", "place"])
 
     return run
 
 
+def _least_of(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((docs, keys[:, 1], keys[:, 0]))
+    keys, docs = keys[order], docs[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]).any(1)
+    return keys[fresh], docs[fresh]
+
+
+def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The smallest doc_id of each distinct window of a part; its rows stand together and are merged one by one."""
+    name, keys, docs = None, None, None
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([name[0]], pa.int64()), pa.array([name[1]], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([docs.tobytes()], pa.binary())], ["minimiser", "part", "table_keys", "table_docs"])
+
+    for batch in batches:
+        for minimiser, part, k, d in zip(*(batch.column(c).to_pylist() for c in ("minimiser", "part", "keys", "docs"))):
+            new = np.frombuffer(k, "<u8").reshape(-1, 2), np.frombuffer(d, "<i8")
+            if name == (minimiser, part):
+                new = np.concatenate([keys, new[0]]), np.concatenate([docs, new[1]])
+            elif name is not None:
+                yield done()
+            name, (keys, docs) = (minimiser, part), _least_of(*new)
+    if name is not None:
+        yield done()
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """name and found (place, smallest doc_id) of the strings of each packed row, from its part's table."""
+    held, table = None, {}
+    for batch in batches:
+        for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+            if held != (row["minimiser"], row["part"]):
+                held, raw = (row["minimiser"], row["part"]), row["table_keys"]
+                table = dict(zip([raw[i : i + 16] for i in range(0, len(raw), 16)], np.frombuffer(row["table_docs"], "<i8").tolist()))
+            keys, names = row["keys"], row["names"]
+            found: dict[int, list] = {}
+            for i, (w, at) in enumerate(zip(np.frombuffer(row["which"], "<i4").tolist(), np.frombuffer(row["place"], "<i4").tolist())):
+                found.setdefault(w, []).append({"i": at, "doc_id": table[keys[16 * i : 16 * i + 16]]})
+            kind = pa.list_(pa.struct([("i", pa.int32()), ("doc_id", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array([names[16 * w : 16 * w + 16] for w in found], pa.binary()), pa.array(list(found.values()), kind)], ["name", "found"])
+
+
 def _finished(window: int):
     """Removes the covered words from the texts that have candidates."""
 
@@ -216,12 +275,15 @@ def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, large_bucket:
 
     strings = open_.mapInArrow(_strings(window, True), "minimiser bigint, name binary, string string, doc_id bigint")
     distinct = materialize(strings.groupBy("minimiser", "name", "string").agg(F.min("doc_id").alias("doc_id")))
-    large = materialize(distinct.groupBy("minimiser").count().where(F.col("count") > large_bucket).select("minimiser"))
+    large = materialize(distinct.groupBy("minimiser").count().where(F.col("count") > large_bucket).select("minimiser", F.ceil(F.col("count") / (PART * large_bucket)).cast("int").alias("parts")))
     least = "name binary, least array<struct<n:int,doc_id:bigint>>"
     usual = distinct.join(large, "minimiser", "left_anti").repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(_sorted_buckets(window), least)
-    apart = distinct.join(large, "minimiser", "left_semi").select("name", "string", "doc_id").mapInArrow(_taken_apart(window), "name binary, i int, key binary, doc_id bigint")
-    by_key = apart.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    split = apart.select("name", "i", "key").join(by_key, "key").groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "doc_id"))), lambda x: F.struct(F.lit(1).alias("n"), x["doc_id"].alias("doc_id"))).alias("least"))
+    # a large bucket's strings are dealt out; their windows meet by part, first as minima, then to look them up
+    dealt = distinct.join(large, "minimiser").withColumn("deal", F.pmod(F.xxhash64("name"), F.col("parts"))).repartition("minimiser", "deal").sortWithinPartitions("minimiser", "deal")
+    packed = materialize(dealt.select("minimiser", "parts", "name", "string", "doc_id").mapInArrow(_taken_apart(window), "minimiser bigint, part int, keys binary, docs binary, names binary, which binary, place binary"))
+    minima = packed.select("minimiser", "part", "keys", "docs").repartition("minimiser", "part").sortWithinPartitions("minimiser", "part").mapInArrow(_minima, "minimiser bigint, part int, table_keys binary, table_docs binary")
+    looked = packed.drop("docs").join(minima, ["minimiser", "part"]).mapInArrow(_looked_up, "name binary, found array<struct<i:int,doc_id:bigint>>")
+    split = looked.groupBy("name").agg(F.transform(F.array_sort(F.flatten(F.collect_list("found"))), lambda x: F.struct(F.lit(1).alias("n"), x["doc_id"].alias("doc_id"))).alias("least"))
     places = open_.mapInArrow(_strings(window, False), "name binary, doc_id bigint, text_key bigint, start int")
     hits = places.join(usual.unionByName(split), "name").where(F.exists("least", lambda x: x["doc_id"] < F.col("doc_id")))
     removed = hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "least")).alias("found"))

@@ -78,6 +78,15 @@ def test_op1(spark, folder, docs):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(words), len(gone), hashlib.sha256(kept.encode()).hexdigest()), i
 
 
+def test_op1_large_buckets(spark, folder, docs):
+    """Buckets of any size give the same rows."""
+    from docketry.llm import substring_dedup
+
+    frame = spark.read.parquet(f"{folder}/documents.parquet")
+    usual, apart = ({(r.doc_id, r.n_removed, r.kept) for r in substring_dedup.dedup(frame, large_bucket=n).collect()} for n in (10_000, 1))
+    assert usual == apart and len(usual) == len(docs)
+
+
 def groups(docs, k, percent=80):
     sets = {}
     for i, t in docs.items():
