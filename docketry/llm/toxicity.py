@@ -80,45 +80,67 @@ def fit_rows(rows: list[tuple[str, int]], penalty: float = 10.0, ridge: float =
     intercept = float(np.log(prior / (1 - prior)))
     if positive == 0 or positive == n:
         return Model(np.zeros(0, np.uint64), np.zeros(0), intercept)
-    features = []
-    for k in range(0, n, 500):
-        features += _text_features(texts[k : k + 500])
-    flat, owner = np.concatenate(features), np.repeat(np.arange(n), [len(f) for f in features])
-    values, inverse = np.unique(flat, return_inverse=True)
-    both = np.bincount(inverse, minlength=len(values))
-    ones = np.bincount(inverse, labels[owner], len(values))
+    # two passes over blocks of texts: a feature that is kept stands in three texts of label 1 at least
+    flagged = np.flatnonzero(labels)
+    known, ones = np.zeros(0, np.uint64), np.zeros(0)
+    for block in _by_text(texts, flagged):
+        more, times = np.unique(np.concatenate(block[1]), return_counts=True)
+        known, inverse = np.unique(np.concatenate([known, more]), return_inverse=True)
+        ones = np.bincount(inverse, np.concatenate([ones, times]), len(known))
+    known, ones = known[ones >= 3], ones[ones >= 3]
+    both = np.zeros(len(known))
+    for _, features in _by_text(texts, np.arange(n)):
+        place = _places(known, np.concatenate(features))
+        both += np.bincount(place[place >= 0], minlength=len(known))
     rate = both / n
     score = (ones / positive - (both - ones) / (n - positive)) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / positive + 1 / (n - positive)))
-    chosen = np.flatnonzero((score >= CLEAR) & (ones >= 3))
-    chosen = np.sort(chosen[np.argsort(-score[chosen], kind="stable")[:FEATURES]])
-    kept = values[chosen]
-    place = np.full(len(values), -1)
-    place[chosen] = np.arange(len(chosen))
-    x = np.zeros((n, len(kept)))
-    hit = place[inverse] >= 0
-    x[owner[hit], place[inverse][hit]] = 1
+    chosen = np.flatnonzero(score >= CLEAR)
+    kept = known[np.sort(chosen[np.argsort(-score[chosen], kind="stable")[:FEATURES]])]
+    x = np.zeros((n, len(kept) + 1), np.float32)
+    x[:, -1] = 1
+    for rows_, features in _by_text(texts, np.arange(n)):
+        owner, place = np.repeat(rows_, [len(f) for f in features]), _places(kept, np.concatenate(features))
+        x[owner[place >= 0], place[place >= 0]] = 1
     changes = [_row(kept, a) - _row(kept, b) for t in texts for c in [counterfactuals(t)] if c for a in [t.lower()] for b in c]
-    d = np.array(changes) if changes else np.zeros((0, len(kept)))
+    moved = [c for c in changes if c.any()]  # the others count in the mean only
+    d = np.array(moved) * np.sqrt(len(moved) / len(changes)) if moved else np.zeros((0, len(kept)))
     weights, intercept = _newton(x, labels, d, intercept, penalty, ridge)
     return Model(kept, weights, intercept)
 
 
+def _by_text(texts: list[str], rows: np.ndarray, size: int = 200) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(rows, their distinct features) of a few texts at a time."""
+    for k in range(0, len(rows), size):
+        own = rows[k : k + size]
+        yield own, _text_features([texts[i] for i in own])
+
+
+def _places(kept: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Where each feature stands in the sorted ``kept``; -1: nowhere."""
+    if not len(kept):
+        return np.full(len(features), -1)
+    at = np.minimum(np.searchsorted(kept, features), len(kept) - 1)
+    return np.where(kept[at] == features, at, -1)
+
+
 def _row(kept: np.ndarray, text: str) -> np.ndarray:
     return np.isin(kept, _text_features([text])[0]).astype(float)
 
 
 def _newton(x, y, d, intercept, penalty, ridge):
-    """Minimise mean log loss + ridge |w|^2 / 2 + penalty * mean (d w)^2 / 2."""
-    n, k = x.shape
-    x1 = np.hstack([x, np.ones((n, 1))])
+    """Minimise mean log loss + ridge |w|^2 / 2 + penalty * mean (d w)^2 / 2; the last column of x is the constant."""
+    n, k = x.shape[0], x.shape[1] - 1
     fixed = np.diag(np.append(np.full(k, ridge), 0.0))
     if len(d):
         fixed[:k, :k] += penalty * d.T @ d / len(d)
     w = np.append(np.zeros(k), intercept)
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        gradient = x1.T @ (p - y) / n + fixed @ w
-        hessian = (x1 * (p * (1 - p))[:, None]).T @ x1 / n + fixed + 1e-8 * np.eye(k + 1)
+        gradient, hessian = fixed @ w, fixed + 1e-8 * np.eye(k + 1)
+        for i in range(0, n, 1000):
+            part = x[i : i + 1000].astype(float)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            gradient += part.T @ (p - y[i : i + 1000]) / n
+            hessian += (part * (p * (1 - p))[:, None]).T @ part / n
         step = np.linalg.solve(hessian, gradient)
         w -= step * min(1.0, 4 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-6:
