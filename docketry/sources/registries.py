@@ -92,7 +92,7 @@ def articles_of_law(html: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(html, r"<(br|/p|/div)[^>]*>", "\n"), "<[^>]*>", "")
     parts = F.filter(F.split(plain, r"(?=Стаття\s+\d+(?:-\d+)?[.\s])"), lambda p: p.rlike(r"^Стаття\s+\d+"))
     heading = r"^Стаття\s+(\d+(?:-\d+)?)\.?\s*([^\n]*)"
-    return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, heading, 1).alias("number"), F.trim(F.regexp_extract(p, heading, 2)).alias("title"), F.trim(F.regexp_replace(p, heading, "")).alias("text")))
+    return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, heading, 1).alias("number"), F.trim(F.regexp_extract(p, heading, 2)).alias("title"), F.regexp_replace(F.regexp_replace(p, heading, ""), r"^\s+|\s+$", "").alias("text")))
 
 
 def page_metadata(pages: DataFrame) -> DataFrame:
