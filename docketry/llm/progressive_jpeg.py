@@ -266,11 +266,10 @@ def _signed(bits: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class _Lanes:
-    """Restart intervals of scans of one kind, from all images of a batch."""
+    """The scans of one kind: of each its image, first and last byte, units of a restart interval and of all; tables; places."""
 
     def __init__(self):
-        self.image, self.begin, self.first, self.count, self.tables = [], [], [], [], []
-        self.places: list[list[tuple[int, int, int]]] = []  # of each component: base, row length in blocks, blocks across in the scan
+        self.scans, self.tables, self.places = [], [], []
 
 
 def decode_images(media: list[bytes]) -> tuple[list[_Image | None], np.ndarray]:
@@ -307,7 +306,7 @@ def decode_images(media: list[bytes]) -> tuple[list[_Image | None], np.ndarray]:
             total += image.blocks(k)
         for (ks, huffman, first, last, high, low, every), start, end in scans:
             sampling = tuple(image.components[k][1:3] for k in ks) if len(ks) > 1 else ((1, 1),)
-            lanes = groups.setdefault((len(groups) if False else 0, sampling, first, last, high, low), _Lanes())
+            lanes = groups.setdefault((sampling, first, last, high, low), _Lanes())
             if len(ks) > 1:
                 n = image.mcus_x * image.mcus_y
                 places = [(image.bases[k], image.mcus_x * image.components[k][1], image.mcus_x) for k in ks]
@@ -315,33 +314,37 @@ def decode_images(media: list[bytes]) -> tuple[list[_Image | None], np.ndarray]:
                 across, down = image.own(ks[0])
                 n = across * down
                 places = [(image.bases[ks[0]], image.mcus_x * image.components[ks[0]][1], across)]
-            every = every or n
-            inside = restarts[np.searchsorted(restarts, start) : np.searchsorted(restarts, end)]
-            begins = np.concatenate([[start], inside + 2])[: -(-n // every)]
             ids = []
             for table in huffman:
                 if table is not None and table not in tables:
                     tables[table] = len(lookups)
                     lookups.append(_lookup(table[:16], table[16:]))
                 ids.append(tables.get(table, 0))
-            m = len(begins)
-            lanes.image.append(np.full(m, i))
-            lanes.begin.append(begins)
-            lanes.first.append(np.arange(m) * every)
-            lanes.count.append(np.minimum(every, n - np.arange(m) * every))
-            lanes.tables.append(np.tile(np.array(ids)[:, None], m))
-            lanes.places.append(np.repeat(np.array(places).T[:, :, None], m, axis=2))
+            lanes.scans.append((i, start, end, every or n, n))
+            lanes.tables.append(ids)
+            lanes.places.append(places)
         images.append(image)
 
     coefficients = np.zeros((max(total, 1), 64), np.int16)
     bits = _Bits(plain, np.zeros(0, np.int64))
-    for key in sorted(groups, key=lambda g: (-g[4] if g[4] == 0 else 1, -g[5])):  # first passes, then refinements from high to low
-        _, sampling, first, last, high, low = key
+    for key in sorted(groups, key=lambda g: (g[3] > 0, -g[4])):  # first passes, then refinements from high to low
+        sampling, first, last, high, low = key
         lanes = groups[key]
-        begin = np.concatenate(lanes.begin)
+        image, start, end, every, units = np.array(lanes.scans, np.int64).T
+        # a lane for each restart interval of a scan
+        low_mark = np.searchsorted(restarts, start)
+        m = np.minimum(np.searchsorted(restarts, end) - low_mark + 1, -(-units // every))
+        j = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        begin = np.repeat(start, m)
+        later = np.flatnonzero(j)
+        begin[later] = restarts[np.repeat(low_mark, m)[later] + j[later] - 1] + 2
+        first_unit = j * np.repeat(every, m)
+        count = np.minimum(np.repeat(every, m), np.repeat(units, m) - first_unit)
         bits.at = 8 * (begin - shift[begin])
-        image_of = np.concatenate(lanes.image)
-        wrong = _scan(bits, coefficients, lookups, np.concatenate(lanes.first), np.concatenate(lanes.count), np.concatenate(lanes.tables, axis=1), np.concatenate(lanes.places, axis=2), sampling, first, last, high, low)
+        image_of = np.repeat(image, m)
+        own_tables = np.repeat(np.array(lanes.tables, np.int64).T, m, axis=1)
+        own_places = np.repeat(np.array(lanes.places, np.int64).transpose(2, 1, 0), m, axis=2)
+        wrong = _scan(bits, coefficients, lookups, first_unit, count, own_tables, own_places, sampling, first, last, high, low)
         for i in np.unique(image_of[wrong]):
             if images[i] is not None:
                 images[i].error = "entropy-coded data are damaged"
