@@ -1,9 +1,9 @@
 """Chat formatting: tool calls linked to their results, ordered, validated, as canonical JSON.
 
 Only DataFrame operations. Calls and results meet in a hash join by identifier. A call may depend on
-other calls; where every dependency stands before its call, the order of turns is already topological,
-and only conversations with a dependency that points forward are layered in rounds. A message is a row
-and carries its sort key, so no conversation is gathered in one task however long it is.
+other calls; its layer is the length of the longest chain of calls that it waits for. Conversations whose
+calls need one call at most are layered by pointer doubling, the others in a round for each layer. A message
+is a row and carries its sort key, so no conversation is gathered in one task however long it is.
 """
 
 from __future__ import annotations
@@ -47,11 +47,11 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     ``results``: conv_id, turn, call_id, content. Other columns are not read.
     Returned: conv_id, turn, call_id, level, linked, valid, errors, json. A result belongs to the call of
     its conversation and identifier. Of calls with one identifier the first turn's has the result, the
-    others and further results are errors (duplicate identifier). level: 0 for calls in an order of turns
-    that is already topological, else the layer; sorting by conv_id, level, turn, call_id gives an order in
-    which every dependency precedes. Calls in a cycle, with an unknown dependency, with null
-    identifiers, or with a result before the call are errors; nothing is dropped. json has sorted keys
-    and no blanks; arguments that are not JSON stand as text.
+    others and further results are errors (duplicate identifier). level: 0 for calls that need no known call,
+    else one more than the highest level that they need; sorting by conv_id, level, turn, call_id gives an
+    order in which every dependency precedes. Calls in a cycle or behind one stand after all layers; they,
+    calls with an unknown dependency, with null identifiers, or with a result before the call are errors;
+    nothing is dropped. json has sorted keys and no blanks; arguments that are not JSON stand as text.
     """
     calls = calls.select("conv_id", "turn", "call_id", "name", "arguments", "needs")
     results = results.select("conv_id", F.col("turn").alias("result_turn"), "call_id", "content")
@@ -95,33 +95,67 @@ def _object(pairs: list[tuple[str, Column]]) -> Column:
 
 
 def _levels(calls: DataFrame) -> DataFrame | None:
-    """conv_id, call_id, level and _order (an error or null) of calls in conversations that turns do not order; None without dependencies that point forward."""
+    """conv_id, call_id, level and _order (an error or null) of the calls that need others; None where no call does."""
     key = ["conv_id", "call_id"]
-    nodes = calls.where("call_id is not null").groupBy(*key).agg(F.min("turn").alias("turn"))
-    edges = calls.select("conv_id", "call_id", "turn", F.explode("needs").alias("need")).where("call_id is not null").distinct()
-    ends = nodes.select(F.col("conv_id"), F.col("call_id").alias("need"), F.col("turn").alias("need_turn"))
-    checked = edges.join(ends, ["conv_id", "need"], "left")
-    odd = materialize(checked.where("need_turn is null or need_turn >= turn").select("conv_id", "call_id", "need_turn"))
-    if odd.isEmpty():
+    named = calls.where("call_id is not null")
+    edges = named.select(*key, F.explode("needs").alias("need")).distinct()
+    ends = named.select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("_known")).distinct()
+    checked = materialize(edges.join(ends, ["conv_id", "need"], "left"))
+    if checked.isEmpty():
         return None
-    unknown = odd.where("need_turn is null").select(*key).distinct().withColumn("_unknown", F.lit(True))
-    convs = odd.where("need_turn is not null").select("conv_id").distinct()
-    open_ = materialize(nodes.join(convs, "conv_id", "left_semi").select(*key))
-    within = materialize(edges.join(convs, "conv_id", "left_semi").join(open_.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_semi").select("conv_id", "call_id", "need"))
+    unknown = checked.where("_known is null").select(*key).distinct().withColumn("_unknown", F.lit(True))
+    known = checked.where("_known").select(*key, "need")
+    single = materialize(known.groupBy(*key).agg(F.min("need").alias("need"), F.count("*").alias("n")))
+    several = materialize(single.where("n > 1").select("conv_id").distinct())
+    single = single.select(*key, "need")
+    if several.isEmpty():
+        layers, cyclic, n = _doubled(single)
+    else:
+        layers, cyclic, n = _doubled(single.join(several, "conv_id", "left_anti"))
+        more, knots, m = _rounds(named.select(*key).distinct().join(several, "conv_id", "left_semi"), known.join(several, "conv_id", "left_semi"))
+        layers, cyclic, n = layers.unionByName(more), cyclic.unionByName(knots), max(n, m)
+    order = lambda text: F.lit(text).cast("string").alias("_order")
+    layered = layers.select(*key, "level", order(None)).unionByName(cyclic.select(*key, F.lit(n).cast("bigint").alias("level"), order("cycle")))
+    return layered.join(unknown, key, "full").select(*key, F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("_order", F.when(F.col("_unknown"), "unknown dependency")).alias("_order"))
+
+
+def _doubled(single: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(layers, calls behind a cycle, number of layers) where each call needs one call at most.
+
+    ``single``: conv_id, call_id, need. Each round doubles the way that a call looks back, so a chain of n
+    calls takes log2(n) rounds. A round in which no call reaches a start leaves only cycles and what hangs on them.
+    """
+    active = single.select("conv_id", "call_id", F.col("need").alias("ahead"), F.lit(1).cast("bigint").alias("level"))
+    done, n = active.limit(0).select("conv_id", "call_id", "level"), 1
+    while True:
+        # ahead is null where the way has ended at a call that needs none
+        known = active.unionByName(done.withColumn("ahead", F.lit(None).cast("string"))).select("conv_id", F.col("call_id").alias("ahead"), F.col("ahead").alias("_next"), F.col("level").alias("_more"))
+        went = materialize(active.join(known, ["conv_id", "ahead"], "left").select("conv_id", "call_id", F.col("_next").alias("ahead"), (F.col("level") + F.coalesce("_more", F.lit(0))).alias("level")))
+        ended = went.where("ahead is null")
+        left, deepest = went.agg(F.count("ahead"), F.max(F.when(F.col("ahead").isNull(), F.col("level")))).first()
+        if deepest is None:
+            return done, active.select("conv_id", "call_id"), n
+        active, done, n = went.where("ahead is not null"), done.unionByName(ended.drop("ahead")), max(n, deepest + 1)
+        if not left:
+            return done, active.select("conv_id", "call_id"), n
+
+
+def _rounds(open_: DataFrame, within: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """As _doubled for calls that need several: a round for each layer. ``open_``: conv_id, call_id; ``within``: their needs."""
+    key = ["conv_id", "call_id"]
+    open_, within = materialize(open_), materialize(within)
     done: list[DataFrame] = []
     while True:
         # a layer: calls whose dependencies are all in earlier layers
         waiting = within.join(open_.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_semi").select(*key).distinct()
-        ready = materialize(open_.join(waiting, key, "left_anti").withColumn("level", F.lit(len(done))))
+        ready = materialize(open_.join(waiting, key, "left_anti").withColumn("level", F.lit(len(done)).cast("bigint")))
         if ready.isEmpty():
             break
         done.append(ready)
         rest = materialize(open_.join(ready, key, "left_anti"))
         discard(open_)
         open_ = rest
-    cyclic = open_.withColumn("level", F.lit(len(done))).withColumn("_order", F.lit("cycle"))
-    layered = reduce(DataFrame.unionByName, (d.withColumn("_order", F.lit(None).cast("string")) for d in done), cyclic)
-    return layered.join(unknown, key, "full").select(*key, F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("_order", F.when(F.col("_unknown"), "unknown dependency")).alias("_order"))
+    return reduce(DataFrame.unionByName, done, open_.limit(0).withColumn("level", F.lit(0).cast("bigint"))), open_, len(done)
 
 
 def turns_as_calls(messages: DataFrame, tool: str = "reply", user: str = "user", assistant: str = "assistant") -> tuple[DataFrame, DataFrame]:
@@ -132,7 +166,11 @@ def turns_as_calls(messages: DataFrame, tool: str = "reply", user: str = "user",
     name = lambda back: F.concat_ws(":", F.col("conv_id"), F.col("turn") - back)
     said = F.coalesce("text", F.lit(""))
     mine = messages.where(F.col("role") == user)
-    arguments = F.to_json(F.struct(F.length(said).alias("n_chars"), said.alias("text")))
-    calls = mine.select("conv_id", "turn", F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), name(0)).alias("call_id"), F.lit(tool).alias("name"), arguments.alias("arguments"), F.array().cast("array<string>").alias("needs"))
+    earlier = mine.where("conv_id is not null and turn is not null").select("conv_id", (F.col("turn") + 2).alias("turn"), F.lit(True).alias("_earlier")).distinct()
+    mine = mine.join(earlier, ["conv_id", "turn"], "left")
+    needs = F.when(F.col("_earlier"), F.array(name(2))).otherwise(F.array().cast("array<string>"))
+    # a turn without text is a call without its arguments, which the validation reports
+    arguments = F.to_json(F.struct(F.length("text").alias("n_chars"), F.col("text")))
+    calls = mine.select("conv_id", "turn", F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), name(0)).alias("call_id"), F.lit(tool).alias("name"), arguments.alias("arguments"), needs.alias("needs"))
     results = messages.where(F.col("role") == assistant).select("conv_id", "turn", F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), name(1)).alias("call_id"), said.alias("content"))
     return calls, results

@@ -169,6 +169,62 @@ def test_op3(spark, folder):
         assert r.linked == (after is not None and after.role == "assistant")
 
 
+def test_op3_orders_and_validates_the_table(spark, tmp_path):
+    """Each call needs the one two turns before; a turn without text lacks its arguments."""
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", None), (1, 3, "assistant", "c"), (1, 4, "user", "d"), (1, 7, "user", "e"), (2, 1, "user", "f"), (None, 2, "user", "g")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): (r.level, r.errors) for r in queries.QUERIES["op3_tool_calls"](spark, str(tmp_path)).collect()}
+    none = "missing text; missing n_chars"
+    assert got == {(1, 0): (0, ""), (1, 2): (1, none), (1, 4): (2, ""), (1, 7): (0, ""), (2, 1): (0, ""), (None, 2): (0, "no identifier")}
+
+
+def test_link_against_brute_force(spark):
+    """Chains, cycles, forward and unknown needs, duplicates, early and several results, and wrong arguments."""
+    from docketry.llm import tool_calls
+
+    r = random.Random(8)
+    wrong = {'{"text":"a","n":1}': [], '{"n":1,"text":"b"}': [], '{"n":1}': ["missing text"], '{"text":5,"n":1}': ["text is not string"], '{"text":"abcdefghi"}': ["text is too long"], '{"text":"a","n":"x"}': ["n is not bigint"], "{no": ["arguments are not JSON"], None: ["arguments are not JSON"]}
+    calls, results = [], []
+    for conv in range(40):
+        size, most = r.randint(1, 9), 1 if conv % 2 else 3
+        for turn in range(size):
+            for call, later in [(f"c{turn}", 0), (f"c{turn}", 20)][: 1 + (r.random() < 0.08)]:
+                needs = [f"c{r.randrange(size if r.random() < 0.3 else max(1, turn))}" for _ in range(r.randint(0, most))] + ["gone"] * (most > 1 and r.random() < 0.1)
+                calls.append((conv, turn + later, None if r.random() < 0.04 else call, r.choice(["say"] * 6 + ["sing", None]), r.choice(list(wrong)), r.choice([needs, needs, needs, None])))
+                results += [(conv, turn + r.randint(0, 2), call, f"r{turn}")] * r.choice([0, 1, 1, 2])
+    calls += [(99, t, f"c{t:03}", "say", '{"text":"a","n":1}', [f"c{t - 1:03}"] if t else []) for t in range(70)]  # a long chain
+    calls += [(98, t, f"c{t}", "say", '{"text":"a","n":1}', [f"c{max(0, t - 1)}"]) for t in range(4)]  # all behind a call that needs itself
+    needed, count, answers = collections.defaultdict(set), collections.Counter(), collections.defaultdict(list)
+    for conv, _, call, *_, needs in calls:
+        count[conv, call] += 1
+        if call is not None:
+            needed[conv, call] |= {(conv, n) for n in needs or []}
+    for conv, turn, call, _ in results:
+        answers[conv, call].append(turn)
+    level, layer = {}, 0
+    while ready := [c for c in needed if c not in level and all(n in level or n not in needed for n in needed[c])]:
+        level, layer = level | dict.fromkeys(ready, layer), layer + 1
+    assert layer == 70 and len(needed) > len(level)
+    first = {}
+    for conv, turn, call, *_ in calls:
+        first[conv, call] = min(turn, first.get((conv, call), turn))
+    wanted = []
+    for conv, turn, call, name, text, _ in calls:
+        at = (conv, call)
+        errors = ["no identifier"] * (call is None) + ["duplicate identifier"] * (call is not None and count[at] > 1)
+        if call is not None:
+            errors += ["several results"] * (len(answers[at]) > 1) + ["result before call"] * (bool(answers[at]) and first[at] == turn and min(answers[at]) <= turn)
+            errors += ["cycle"] if at not in level else ["unknown dependency"] * any(n not in needed for n in needed[at])
+        errors += wrong[text] if text is None or name == "say" or wrong[text] == ["arguments are not JSON"] else ["unknown tool"]
+        wanted.append((conv, turn, call or "", level.get(at, 0 if call is None else layer), "; ".join(errors), not errors))
+    schemas = {"say": {"text": ("string", True, 8), "n": ("bigint", False, None)}}
+    frames = spark.createDataFrame(calls, "conv_id bigint, turn bigint, call_id string, name string, arguments string, needs array<string>"), spark.createDataFrame(results, "conv_id bigint, turn bigint, call_id string, content string")
+    rows = tool_calls.link(*frames, schemas).collect()
+    assert sorted((x.conv_id, x.turn, x.call_id or "", x.level, x.errors, x.valid) for x in rows if x.errors != "result without call") == sorted(wanted)
+    assert sum(x.errors == "result without call" for x in rows) == len({a for a in answers if a not in needed})
+    assert all(x.json == '{"arguments":{"n":1,"text":"b"},"call_id":"%s","name":"say","result":null}' % x.call_id for x in rows if x.valid and not x.linked and '"b"' in x.json)
+
+
 def test_op4(spark, folder, docs):
     from tokenizers import Tokenizer
 
