@@ -90,10 +90,36 @@ def discriminated(fact: DataFrame, parents: dict[str, DataFrame], kind: str, key
     return fact.join(union, (fact[kind] == union["_kind"]) & (fact[key] == union["_key"]), "left").drop("_kind", "_key")
 
 
-def containing(texts: DataFrame, text: str, needles: DataFrame, needle: str, word: str = r"[^\p{L}\p{N}]+") -> DataFrame:
-    """Pairs of a text and a one-word needle that is among its words: an equi join on words in place of a nested loop."""
-    words = texts.withColumn("_word", F.explode(F.array_distinct(F.split(F.lower(text), word))))
-    return words.join(needles.withColumn("_word", F.lower(needle)), "_word").drop("_word")
+def containing(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
+    """Pairs of a text and a needle that it holds anywhere, in any case; null and empty needles match nothing.
+
+    An equi join on parts of three characters (of one or two for shorter needles) in place of a nested loop: a
+    needle meets the texts that have its rarest part, and the whole needle is then looked for in each of them.
+    """
+    from docketry.sources.tables import written
+
+    sought = needles.withColumn("_needle", F.lower(needle)).where("_needle <> ''")
+    sizes = [r[0] for r in sought.select(F.least(F.lit(3), F.length("_needle"))).distinct().collect()]
+    rows = written(texts.withColumn("_row", F.monotonically_increasing_id()))
+    parts = rows.select("_row", F.explode(_parts(F.lower(text), sizes)).alias("_part"))
+    own = sought.select("_needle").distinct()
+    own = own.select("_needle", F.explode(_parts(F.col("_needle"), sizes)).alias("_part")).where(F.length("_part") == F.least(F.lit(3), F.length("_needle")))
+    # a part that no text has comes first: its needle has no candidates
+    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    rarest = own.join(counts, "_part", "left").groupBy("_needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_part"))["_part"].alias("_part"))
+    pairs = parts.join(rarest, "_part").select("_row", "_needle")
+    return rows.join(pairs, "_row").where(F.lower(text).contains(F.col("_needle"))).join(sought, "_needle").drop("_row", "_needle")
+
+
+def _parts(text: Column, sizes: list[int]) -> Column:
+    """The distinct runs of so many characters of a text, by code points."""
+    one = F.split(text, "")
+    joined = lambda a, b: F.concat(a, b)
+    after = lambda n: F.slice(one, F.lit(n + 1), F.greatest(F.size(one), F.lit(0)))
+    two = F.zip_with(one, after(1), joined)
+    runs = {1: one, 2: two, 3: F.zip_with(two, after(2), joined)}
+    whole = lambda size: F.filter(runs[size], lambda p: F.length(p) == size)
+    return F.array_distinct(F.concat(F.array().cast("array<string>"), *map(whole, sizes)))
 
 
 def best_of(arms: list[DataFrame], key: str, score: str, least: float, n: int) -> DataFrame:

@@ -78,6 +78,16 @@ def test_effective_rate(spark):
     assert {(r.at, r.k): r.rate for r in R.effective_rate(entries, rates, "k", "at").collect()} == {(0, "a"): 0, (1, "a"): 10, (3, "a"): 15, (5, "a"): 10, (6, "a"): 20, (99, "a"): 20, (7, "b"): 0}
 
 
+def test_containing(spark):
+    """Needles of several words, with punctuation, of parts of words and of one or two characters, against brute force."""
+    texts = [(1, "O'Neil & Sons, Ltd."), (2, "Spring water"), (3, "ring road"), (3, "ring road"), (4, "\U0001f600\u00c9lan vital"), (5, None), (6, ""), (7, "a"), (8, "Sons of spring"), (9, "ring, road"), (10, "ringing ringing")]
+    needles = ["Ring", "O'NEIL & sons", "ring road", "sons,", "pri", "a", "ng", "\U0001f600\u00e9", "\u00e9lan v", "zzz", "spring water works", " ", "ring", None, "", "100%", "_"]
+    got = R.containing(spark.createDataFrame(texts, "id int, body string"), "body", spark.createDataFrame([(n,) for n in needles], "needle string"), "needle")
+    wanted = [(i, t, n) for i, t in texts for n in needles if t is not None and n and n.lower() in t.lower()]
+    assert sorted(map(tuple, got.collect())) == sorted(wanted) and got.columns == ["id", "body", "needle"]
+    assert R.containing(got.select("id", "body"), "body", got.select("needle").limit(0), "needle").count() == 0
+
+
 def test_chain(spark):
     import hashlib
 
