@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame operations only.
 
 Candidates are found by regular expressions in each text; the hashes of their values are counted over
-distinct documents and owners of the whole corpus. A value that many owners have is an example that was
-copied about; one that a single owner has and that looks random is taken for live.
+distinct texts and owners of the whole corpus. A value that many owners have in many texts is an example
+that was copied about; one that looks random is live with a single owner and shared with more, and both
+kinds are masked.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ KINDS = {
     "access": (r"AKIA[A-Z0-9]{12,}", 0, 16),
     "hex": (r"[0-9a-f]{32,}", 0, 32),
 }
-#: Values of so many owners are examples.
+#: Values of so many owners, in so many distinct texts, are examples.
 MIN_OWNERS = 3
+MIN_REPOSITORIES = 3
 #: Values that hold one of these words in any case are placeholders.
 PLACEHOLDERS = "(?i)example|changeme|dummy|placeholder|xxxx|your_"
 
@@ -38,13 +40,14 @@ def _matches(kind: str) -> Column:
     pattern, group, _ = KINDS[kind]
     text = F.col("text")
     zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("v"), F.split(text, pattern, -1).alias("g"))
-    rows = F.transform(zipped, lambda z: F.struct(F.lit(kind).alias("kind"), F.length(z["g"]).alias("gap"), F.length(z["m"]).alias("size"), F.length(z["v"]).alias("value_size"), F.sha2(z["v"], 256).alias("hash"), _looks_random(z["v"]).alias("random"), z["m"].isNotNull().alias("real")))
+    rows = F.transform(zipped, lambda z: F.struct(F.lit(kind).alias("kind"), F.length(z["g"]).alias("gap"), F.length(z["m"]).alias("size"), F.length(z["v"]).alias("value_size"), F.sha2(z["v"], 256).alias("hash"), _looks_random(z["v"], kind).alias("random"), z["m"].isNotNull().alias("real")))
     return F.when(text.rlike(pattern), F.filter(rows, lambda r: r["real"])).otherwise(F.filter(rows, lambda r: F.lit(False)))
 
 
-def _looks_random(value: Column) -> Column:
-    """Letters and digits mixed, at least six characters that differ, and no placeholder."""
-    return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 6) & ~value.rlike(PLACEHOLDERS)
+def _looks_random(value: Column, kind: str) -> Column:
+    """Letters and digits mixed (a key known by its form needs no digit), at least six characters that differ, and no placeholder."""
+    mixed = F.lit(True) if kind == "access" else value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    return mixed & (F.size(F.array_distinct(F.split(value, ""))) >= 6) & ~value.rlike(PLACEHOLDERS)
 
 
 def candidates(docs: DataFrame, owner: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -63,12 +66,12 @@ def candidates(docs: DataFrame, owner: str = "source") -> tuple[DataFrame, DataF
 
 
 def classified(spans: DataFrame, min_owners: int = MIN_OWNERS) -> DataFrame:
-    """Adds n_repositories (distinct texts), n_owners and class: example, live or shared."""
+    """Adds n_repositories (distinct texts), n_owners and class: example (does not look random, or widely copied), live or shared."""
     # first to distinct owners and texts, then to counts: a hash that everyone has meets partial sums only
     owners = spans.select("hash", "owner").distinct().groupBy("hash").agg(F.count("*").alias("n_owners"))
     texts = spans.select("hash", "text_key").distinct().groupBy("hash").agg(F.count("*").alias("n_repositories"))
     known = spans.join(owners, "hash").join(texts, "hash")
-    named = F.when(F.col("n_owners") >= min_owners, "example").when(~F.col("random"), "example").when(F.col("n_owners") == 1, "live").otherwise("shared")
+    named = F.when((F.col("n_owners") >= min_owners) & (F.col("n_repositories") >= MIN_REPOSITORIES), "example").when(~F.col("random"), "example").when(F.col("n_owners") == 1, "live").otherwise("shared")
     return known.withColumn("class", named)
 
 
@@ -92,12 +95,12 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, owner: str = "source", min_owners: int = MIN_OWNERS, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with the values of live-looking secrets replaced in text; all columns and rows stay.
+    """``docs`` with the values of live and shared secrets replaced in text; all columns and rows stay.
 
     A row is matched to its secrets by doc_id and a hash of its text, so repeated doc_ids do no harm.
     """
     _, spans = candidates(docs, owner)
-    live = classified(spans, min_owners).where("class = 'live'").groupBy("doc_id", "text_key").agg(F.collect_set("hash").alias("_live"))
+    live = classified(spans, min_owners).where("class <> 'example'").groupBy("doc_id", "text_key").agg(F.collect_set("hash").alias("_live"))
     keyed = docs.withColumn("_key", text_key())
     met = keyed.join(live.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"), "_live"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text")), "left")
     text = F.col("text")
