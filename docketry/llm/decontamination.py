@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import Words, blocks, gram_hashes, mix64
+from docketry.llm.common import Words, blocks, gram_hashes, mix64, text_key
 
 #: Edits in hundredths of an item's words, up to which a window counts as its copy.
 EDITS_PERCENT = 20
@@ -208,41 +208,45 @@ def keys_per(settings: tuple[int, int, int]) -> int:
     return settings[0] * settings[1]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, percent: int = EDITS_PERCENT, walks: int = WALKS, samples: int = SAMPLES, places: int = PLACES, item_block: int = ITEM_BLOCK) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, percent: int = EDITS_PERCENT, walks: int = WALKS, samples: int = SAMPLES, places: int = PLACES, item_block: int = ITEM_BLOCK, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, item_id, start, n_words, distance: the nearest window of each row for each item that it holds.
 
     A row holds an item if some window of its words is within ``percent`` hundredths of the item's words in
     edits (words put in, left out or changed). Words are runs of letters and digits, A-Z as a-z. Rows and
     items without text, and items of fewer than three words, match nothing; null ids stay null ids; repeated
     rows give their matches again; repeated item_ids count as one item with several wordings. Other columns
-    are not read. An empty benchmark gives no row.
+    are not read, but for the bigint columns ``carried``, which follow. An empty benchmark gives no row.
     """
-    schema = "doc_id bigint, item_id bigint, start bigint, n_words bigint, distance bigint"
+    schema = ", ".join(f"{c} bigint" for c in ("doc_id", "item_id", "start", "n_words", "distance", *carried))
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     parts = max(1, -(-items.count() // item_block))
     settings = (walks, samples, places)
-    texts = docs.select("doc_id", "text").where("text is not null")
+    texts = docs.select("doc_id", "text", *carried).where("text is not null")
     out = None
     for p in range(parts):  # each block of items, of bounded size, against all rows
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).orderBy("item_id", "text").collect()
         ids, wordings = [r.item_id for r in own], [r.text for r in own]
-        one = texts.mapInArrow(_matcher(ids, wordings, percent, settings), schema)
+        one = texts.mapInArrow(_matcher(ids, wordings, percent, settings, carried), schema)
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def _matcher(ids: list[int], wordings: list[str], percent: int, settings: tuple[int, int, int]):
+def _matcher(ids: list[int], wordings: list[str], percent: int, settings: tuple[int, int, int], carried: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Benchmark(ids, wordings, percent, settings)
         for batch in batches:
             for part in blocks(batch):
                 row, *found = known.find(Words(part.column("text"), lower=True, dividers=_DIVIDERS))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), *map(pa.array, found)], ["doc_id", "item_id", "start", "n_words", "distance"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), *map(pa.array, found), *(part.column(c).take(pa.array(row)) for c in carried)], ["doc_id", "item_id", "start", "n_words", "distance", *carried])
 
     return run
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; rows without doc_id stay, all columns unchanged."""
-    leaks = matches(docs, benchmark, **settings).select(F.col("doc_id").alias("_leak")).where("_leak is not null").distinct()
-    return docs.join(leaks, F.col("doc_id") == F.col("_leak"), "left_anti")
+    """``docs`` without the rows that hold a benchmark item; rows without doc_id stay, all columns unchanged.
+
+    A row is told by its doc_id and a hash of its text, so a clean row stays beside a leak of the same doc_id.
+    """
+    found = matches(docs.where("doc_id is not null").select("doc_id", "text", text_key().alias("_key")), benchmark, carried=("_key",), **settings)
+    leaks = found.select(F.col("doc_id").alias("_leak"), F.col("_key").alias("_text")).distinct()
+    return docs.join(leaks, (F.col("doc_id") == F.col("_leak")) & (text_key() == F.col("_text")), "left_anti")

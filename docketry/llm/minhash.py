@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import Words, blocks, by_blocks, discard, gram_hashes, materialize, mix64
+from docketry.llm.common import Words, blocks, by_blocks, discard, gram_hashes, materialize, mix64, text_key
+from docketry.operators.relational import positions
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -283,9 +284,17 @@ def group_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that of the smallest doc_id, all columns unchanged.
 
-    Rows without doc_id stay. Of repeated rows of the smallest doc_id one stays.
+    Rows without doc_id stay. Rows that share a doc_id but differ in text are documents of their own; of
+    repeated rows with one doc_id and text one stays.
     """
-    kept = group_duplicates(docs, **settings).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    numbered = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    first = numbered.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_n = 1").drop("_n")
+    keyed = docs.where("doc_id is not null").withColumn("_key", text_key())
+    odd = keyed.groupBy("doc_id").agg(F.min("_key").alias("_low"), F.max("_key").alias("_high")).where("_low < _high")
+    if odd.isEmpty():
+        named = keyed.withColumn("_id", F.col("doc_id")).drop("_key")
+    else:
+        ids = positions(keyed.select("doc_id", "_key").distinct(), ["doc_id", "_key"]).select("doc_id", "_key", F.col("position").cast("bigint").alias("_id"))
+        named = materialize(keyed.join(ids, ["doc_id", "_key"]).select(*docs.columns, "_id"))
+    kept = group_duplicates(named.select(F.col("_id").alias("doc_id"), "text"), **settings).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    numbered = named.join(kept, F.col("_id") == F.col("_kept"), "left_semi")
+    first = numbered.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text")))).where("_n = 1").drop("_n", "_id")
     return first.unionByName(docs.where("doc_id is null"))

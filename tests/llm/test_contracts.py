@@ -401,6 +401,19 @@ def test_op9_recall(spark):
     assert decontamination.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_judged_by_their_text(spark):
+    """Of rows with one doc_id only repeats of a text, near copies and leaks go."""
+    from docketry.llm import decontamination, minhash
+
+    say = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    rows = [(1, say("a")), (5, say("b")), (5, say("c")), (5, say("c")), (5, say("a") + " more"), (9, say("c")), (9, None), (None, say("a")), (7, say("d"))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted(map(tuple, minhash.keep_one(frame).collect()), key=str)
+    assert kept == sorted([rows[0], rows[1], rows[2], rows[6], rows[7], rows[8]], key=str)
+    left = decontamination.without_leaks(frame, spark.createDataFrame([(1, say("c")), (2, say("d"))], "item_id bigint, text string"))
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([rows[i] for i in (0, 1, 4, 6, 7)], key=str)
+
+
 def test_op10(spark, folder, docs):
     import public_tokenizers
     import tiktoken
