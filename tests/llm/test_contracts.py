@@ -447,6 +447,60 @@ def test_pipeline(spark, folder, docs):
         assert out[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
 
 
+def holds(item, words):
+    """Whether a window is within a fifth of the item's words in edits; such a window has an unedited run of the item."""
+    edits = len(item) // 5
+    run = -(-(len(item) - edits) // (edits + 1))
+    runs = lambda w: {tuple(w[k : k + run]) for k in range(len(w) - run + 1)}
+    return not runs(item).isdisjoint(runs(words)) and distance(item, words) <= edits
+
+
+def test_pipeline_stages_by_brute_force(spark, folder):
+    """What toxicity, decontamination and the secret scan drop and mask is what brute force on their input says."""
+    from docketry.llm import toxicity
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    stages = dict(pipeline.STAGES)
+    larger = "/root/testdata/sf0.01"  # the small table has no text that is rejected
+    frame, labelled = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
+    scores = {r.doc_id: r.score for r in toxicity.score(frame, toxicity.fit(frame, labelled)).select("doc_id", "score").collect()}
+    left = {r.doc_id for r in stages["toxicity"](spark, frame, larger).collect()}
+    assert left == {i for i, score in scores.items() if score < 0.7} and 0 < len(left) < frame.count()
+    labels = [(r.doc_id in left, r.toxic) for r in labelled.collect() if r.doc_id in scores]
+    assert sum(stays != bool(toxic) for stays, toxic in labels) > 0.9 * len(labels)
+
+    frame = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = {r.doc_id: r for r in frame.collect()}
+    norm = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", low(t))
+    items = [w for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect() if len(w := norm(r.text)) >= 3]
+    leaks = {i for i, r in rows.items() if r.text and any(holds(item, words) for words in [norm(r.text)] for item in items)}
+    left = {r.doc_id for r in stages["benchmark_decontamination"](spark, frame, folder).collect()}
+    assert left == set(rows) - leaks and 0 < len(leaks) < len(rows)
+
+    owners, texts = collections.defaultdict(set), collections.defaultdict(set)
+    for r in rows.values():
+        for _, pattern, group, least in SECRETS:
+            for m in pattern.finditer(r.text or ""):
+                if len(m[group]) >= least:
+                    owners[m[group]].add(r.source or "")
+                    texts[m[group]].add(r.text)
+
+    def secret(kind, value):
+        if len(owners[value]) >= 3 and len(texts[value]) >= 3 or len(set(value)) < 6 or re.search("(?i)example|changeme|dummy|placeholder|xxxx|your_", value):
+            return False
+        return kind == "access" or bool(re.search("[0-9]", value) and re.search("[A-Za-z]", value))
+
+    masked = {r.doc_id: r for r in stages["secret_scan"](spark, frame, folder).collect()}
+    assert set(masked) == set(rows)
+    for i, r in rows.items():
+        live = {m[g] for kind, pattern, g, least in SECRETS for m in pattern.finditer(r.text or "") if len(m[g]) >= least and secret(kind, m[g])}
+        text = r.text
+        for _, pattern, group, _ in SECRETS:
+            text = text and pattern.sub(lambda m, g=group: m[0][: len(m[0]) - len(m[g])] + "[SECRET]" if m[g] in live else m[0], text)
+        assert masked[i].text == text and masked[i].n_chars == (None if text is None else len(text)), i
+    assert any(masked[i].text != r.text for i, r in rows.items())
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, sf, tmp_path, name):
     for t in ("documents", "labels", "benchmark", "conversations"):
