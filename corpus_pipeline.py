@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import byte_bpe, decontamination, minhash, secret_scan, toxicity
-from docketry.llm.common import materialize
+from docketry.llm.common import fresh, materialize
 from docketry.llm.queries import public_file
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it is fitted on the labelled ones that are not held out."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    names = fresh(docs, "_score", "_predicted")
+    return toxicity.score(docs, model, names=tuple(names)).where(F.col(names[1]) == 0).drop(*names)
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

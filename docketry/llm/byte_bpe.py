@@ -22,8 +22,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docketry.llm.common import as_binary, blocks, mix64, powers
+from docketry.llm.common import as_binary, blocks, mix64, quoted, span_hashes
 
 #: The pattern whose matches are found without a regular expression engine (a fixed value).
 KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -111,12 +112,19 @@ def _chunks(pattern: str, buckets: int, chunk_bytes: int, positions: bool):
         counts = np.diff(np.searchsorted(at, bound))
         if not len(at):
             return [(chunk, None, 0, b"", doc_ids, counts.tolist(), b"")] if positions else []
-        place = np.arange(len(data), dtype=np.int32) - np.repeat(byte, size)
-        value = mix64(np.arange(1, 257, dtype=np.uint64))[data] * powers(int(size.max()))[place]
-        hashes = mix64(np.add.reduceat(value, byte) + size.astype(np.uint64))
-        del place, value
+        hashes, head = span_hashes(data, byte, ends)
         chunk += f"-{int(hashes.sum()):x}"
         _, index, inverse, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        same = (head == head[index][inverse]) & (size == size[index][inverse])
+        large = np.flatnonzero(size > 8)  # beyond the first eight bytes an independent hash tells words apart
+        other = np.zeros(len(at), np.uint64)
+        if len(large):
+            other[large] = span_hashes(data, byte[large], ends[large], 1)[0]
+        if not (same & (other == other[index][inverse])).all():
+            seen: dict[bytes, int] = {}
+            raw = data.tobytes()
+            hashes = mix64(np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(byte.tolist(), ends.tolist())], np.uint64))
+            _, index, inverse, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         order = np.argsort(-times, kind="stable")  # frequent words get small positions
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
@@ -243,16 +251,6 @@ def _laid_out(row: dict, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], done])[np.concatenate([[0], np.cumsum(counts)])]
 
 
-def _table(path: str) -> list[bytes]:
-    if ("table", path) not in _memo:
-        ranks = load_ranks(path)
-        table = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            table[rank] = token
-        _memo["table", path] = table
-    return _memo["table", path]
-
-
 def _as_list(ids: pa.Scalar) -> list[int]:
     return ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else []
 
@@ -278,7 +276,8 @@ def decode(encoded: DataFrame, ranks: str, digest: bool = False) -> DataFrame:
                     out = [pa.array(map(len, ids), pa.int64()), pa.array([sha256(s).hexdigest() for s in shown], pa.string()), pa.array([sha256(d).hexdigest() for d in decoded], pa.string())]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *out], [*kept, *(m.split(" ")[0] for m in more.split(", "))])
 
-    return encoded.mapInArrow(run, f"{encoded.select(*kept).schema.simpleString()[7:-1]},{more}")
+    schema = T.StructType([*encoded.select(*map(quoted, kept)).schema, *T.StructType.fromDDL(more)])
+    return encoded.mapInArrow(run, schema)
 
 
 def _table(path: str) -> tuple[list[bytes], list[str]]:

@@ -113,19 +113,35 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return _mix(x + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1)))
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
-_ODD = 0x9E3779B97F4A7C15
-_POWERS = np.ones(1, np.uint64)
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_SIZE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def powers(n: int) -> np.ndarray:
-    """At least the first n powers of a fixed odd number modulo 2**64."""
-    global _POWERS
-    if len(_POWERS) < n:
-        factors = np.full(max(64, 1 << (n - 1).bit_length()), _ODD, np.uint64)
-        factors[0] = 1
-        _POWERS = np.cumprod(factors)
-    return _POWERS
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, first eight bytes as a number) of the byte spans of ``data``; no span is empty.
+
+    Every eight bytes are mixed with their place before they are added up, so no choice of letters makes the
+    hashes of different spans meet other than by chance. Another ``seed`` gives an independent hash.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = end - start
+    head = lanes[start] & _HEAD[np.minimum(size, 8)]
+    out = mix64(head, seed)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) // 8
+        begin = np.cumsum(more) - more
+        number = np.arange(int(more.sum()), dtype=np.int64) - np.repeat(begin, more) + 1
+        place = np.repeat(start[long], more) + 8 * number
+        lane = lanes[place] & _HEAD[np.minimum(np.repeat(end[long], more) - place, 8)]
+        out[long] += np.add.reduceat(mix64(lane ^ mix64(number.astype(np.uint64), seed + 1)), begin)
+    return _mix(out + size.astype(np.uint64) * _SIZE), head
+
+
+def factors(n: int) -> np.ndarray:
+    """Fixed odd numbers that have nothing to do with each other."""
+    return mix64(np.arange(n, dtype=np.uint64), 3) | np.uint64(1)
 
 
 class Words:
@@ -149,7 +165,6 @@ class Words:
         self.start = np.flatnonzero(word & before[:-1])
         self.end = np.flatnonzero(word & after) + 1
         self.first = np.searchsorted(self.start, self.at)
-        self._word = word
 
     def __len__(self) -> int:
         return len(self.start)
@@ -158,23 +173,10 @@ class Words:
     def count(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self, prefix: int | None = None) -> np.ndarray:
+    def hashes(self, prefix: int | None = None, seed: int = 0) -> np.ndarray:
         """A 64-bit hash of each word, or of its first ``prefix`` bytes."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        size = self.end - self.start
-        if prefix is not None:
-            short = np.minimum(size, prefix)
-            out = np.zeros(len(size), np.uint64)
-            for k in range(prefix):
-                has = short > k
-                out[has] += _BYTE[self.data[self.start[has] + k]] * powers(prefix)[k]
-            return _mix(out + short.astype(np.uint64))
-        begin = np.cumsum(size) - size
-        place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(begin, size)
-        value = _BYTE[self.data[self._word]]
-        value *= powers(int(size.max()))[place]
-        return _mix(np.add.reduceat(value, begin) + size.astype(np.uint64))
+        end = self.end if prefix is None else np.minimum(self.end, self.start + prefix)
+        return span_hashes(self.data, self.start, end, seed)[0]
 
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.count)
@@ -185,10 +187,9 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    scale = powers(k + 1)
     out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out += words[i : i + n] * scale[i + 1]
+    for i, factor in enumerate(factors(k)):
+        out += words[i : i + n] * factor
     return mix64(out, k)
 
 
@@ -205,3 +206,18 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def text_key(column: str = "text"):
     """A key that tells apart rows with one doc_id and different texts."""
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+
+
+def quoted(column: str) -> str:
+    """A column's name as one identifier, whatever signs it has."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, longer where ``docs`` has columns of that name in any case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

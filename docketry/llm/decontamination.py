@@ -6,13 +6,15 @@ edit, so words that are inserted or missing cost few places of Hamming distance.
 places of a walk; several samples of several walks reach the target recall. Windows with an item's length
 are looked up among the items' keys, and what shares a key is confirmed by the exact edit distance.
 
-Before any walk, the q-gram lemma drops windows that cannot be near any item: k edits destroy at most
-3 k of a window's runs of three words, so a window with fewer known runs than the rest is out. The
-filter loses nothing; candidates still come from the buckets alone. Items are taken in blocks.
+Before any walk, the q-gram lemma drops windows that cannot be near any item. An item of n words that allows
+e edits is looked for by its runs of q words, q being three or n / (e + 1), whichever is less: k edits destroy
+q k of its n - q + 1 runs at most, so one is left at any length and the filter loses nothing; candidates still
+come from the buckets alone. Items are taken in blocks of bounded size.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import Words, blocks, gram_hashes, mix64, text_key
+from docketry.llm.common import Words, blocks, fresh, gram_hashes, materialize, mix64, text_key
 
 #: Edits in hundredths of an item's words, up to which a window counts as its copy.
 EDITS_PERCENT = 20
 WALKS, SAMPLES, PLACES = 8, 8, 6
-#: Items that are looked up at once.
-ITEM_BLOCK = 20_000
+#: Items, and characters of them, that are looked up at once.
+ITEM_BLOCK, ITEM_CHARS = 20_000, 32 << 20
+#: The longest runs of words that are looked for before any walk.
 RUN = 3
 
 _DIVIDERS = np.ones(256, bool)
@@ -106,6 +109,20 @@ def fit_distance(items: list[np.ndarray], areas: list[np.ndarray]) -> tuple[np.n
     return best[pick, end], first[pick, end], end
 
 
+class Runs:
+    """The runs of ``q`` words of some items, sorted, with the item and place of each."""
+
+    def __init__(self, q: int, items: list[tuple[int, np.ndarray]]):
+        self.q = q
+        grams = [gram_hashes(item, q) for _, item in items]
+        order = np.argsort(np.concatenate(grams), kind="stable")
+        self.runs = np.concatenate(grams)[order]
+        self.item = np.concatenate([np.full(len(g), k) for g, (k, _) in zip(grams, items)])[order]
+        self.offset = np.concatenate([np.arange(len(g)) for g in grams])[order]
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[(self.runs >> np.uint64(42)).astype(np.int64)] = True
+
+
 class Benchmark:
     """Words, runs and bucket keys of a block of items."""
 
@@ -113,25 +130,13 @@ class Benchmark:
         words = Words(pa.array(texts, pa.string()), lower=True, dividers=_DIVIDERS)
         hashes = words.hashes()
         length = words.count
-        use = np.flatnonzero(length >= RUN)
+        use = np.flatnonzero(length)
         self.percent, self.settings = percent, settings
         self.ids = np.array(item_ids, np.int64)[use]
         self.items = [hashes[words.first[i] : words.first[i + 1]] for i in use]
         self.length = length[use]
-        grams, owner, offset = [], [], []
-        for k, item in enumerate(self.items):
-            runs = gram_hashes(item, RUN)
-            grams.append(runs)
-            owner.append(np.full(len(runs), k))
-            offset.append(np.arange(len(runs)))
-        joined = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        order = np.argsort(joined, kind="stable")
-        # a run with the lengths and places at which it stands in items
-        self.runs = joined[order]
-        self.run_length = self.length[np.concatenate(owner)[order]] if grams else np.zeros(0, np.int64)
-        self.run_offset = np.concatenate(offset)[order] if grams else np.zeros(0, np.int64)
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(self.runs >> np.uint64(42)).astype(np.int64)] = True
+        q = np.clip(self.length // (allowed(self.length, percent) + 1), 1, RUN)
+        self.runs = [Runs(size, [(k, self.items[k]) for k in np.flatnonzero(q == size).tolist()]) for size in np.unique(q).tolist()]
         flat = np.concatenate(self.items) if self.items else np.zeros(1, np.uint64)
         ends = np.cumsum(self.length)
         keys = cgk_keys(flat, ends - self.length, self.length, ends, *settings)
@@ -139,35 +144,37 @@ class Benchmark:
         by = np.argsort(keys, kind="stable")
         self.keys, self.key_item = keys[by], (by // max(1, settings[0] * settings[1]))
 
-    def find(self, words: Words) -> tuple[np.ndarray, ...]:
-        """(row, item_id, first word in the row, words, distance) of the nearest window for each row and item."""
-        none = tuple(np.zeros(0, np.int64) for _ in range(5))
-        hashes = words.hashes()
-        if len(hashes) < RUN or not len(self.runs):
-            return none
-        grams = gram_hashes(hashes, RUN)
-        row = words.row_of_word()
-        maybe = np.flatnonzero(self.bits[(grams >> np.uint64(42)).astype(np.int64)] & (row[: len(grams)] == row[RUN - 1 :]))
-        low, high = (np.searchsorted(self.runs, grams[maybe], side) for side in ("left", "right"))
+    def _windows(self, runs: Runs, hashes: np.ndarray, row: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, words, end of the text) of the windows that the q-gram lemma leaves."""
+        grams = gram_hashes(hashes, runs.q)
+        maybe = np.flatnonzero(runs.bits[(grams >> np.uint64(42)).astype(np.int64)] & (row[: len(grams)] == row[runs.q - 1 :])) if len(grams) else np.zeros(0, np.int64)
+        low, high = (np.searchsorted(runs.runs, grams[maybe], side) for side in ("left", "right"))
         known = high > low
         place, low, high = maybe[known], low[known], high[known]
-        if not len(place):
-            return none
         seen = np.zeros(len(hashes) + 1, np.int64)
         seen[place + 1] = 1
         seen = np.cumsum(seen)
         times = high - low
         entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
         place = np.repeat(place, times)
-        # the q-gram lemma, on what surrounds a run far enough for any alignment of its item
-        size = self.run_length[entry]
+        # what surrounds a run far enough for any alignment of its item
+        size = self.length[runs.item[entry]]
         edits = allowed(size, self.percent)
-        begin, stop = words.first[row[place]], words.first[row[place] + 1]
-        start = np.maximum(place - self.run_offset[entry], begin)
+        begin, stop = first[row[place]], first[row[place] + 1]
+        start = np.maximum(place - runs.offset[entry], begin)
         left, right = np.maximum(start - edits, begin), np.minimum(start + size + edits, stop)
-        enough = seen[right] - seen[left] >= np.maximum(1, size - RUN + 1 - RUN * edits)
-        start, size, stop = start[enough], size[enough], stop[enough]
-        windows, index = np.unique(start * (1 << 20) + size, return_index=True)
+        enough = seen[right] - seen[left] >= np.maximum(1, size - runs.q + 1 - runs.q * edits)
+        return start[enough], size[enough], stop[enough]
+
+    def find(self, words: Words) -> tuple[np.ndarray, ...]:
+        """(row, item_id, first word in the row, words, distance) of the nearest window for each row and item."""
+        none = tuple(np.zeros(0, np.int64) for _ in range(5))
+        hashes, row = words.hashes(), words.row_of_word()
+        found_windows = [self._windows(r, hashes, row, words.first) for r in self.runs]
+        if not found_windows:
+            return none
+        start, size, stop = (np.concatenate(c) for c in zip(*found_windows))
+        _, index = np.unique(start * (int(self.length.max()) + 1) + size, return_index=True)
         start, size, stop = start[index], size[index], stop[index]
         if not len(start):
             return none
@@ -213,13 +220,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = EDITS_PERCENT,
 
     A row holds an item if some window of its words is within ``percent`` hundredths of the item's words in
     edits (words put in, left out or changed). Words are runs of letters and digits, A-Z as a-z. Rows and
-    items without text, and items of fewer than three words, match nothing; null ids stay null ids; repeated
-    rows give their matches again; repeated item_ids count as one item with several wordings. Other columns
+    items without text match nothing; an item that allows no edit (under five words at 20 %) is matched word by
+    word; ``percent`` is below 100; null ids stay null ids; repeated rows give their matches again; repeated item_ids count as one item with several wordings. Other columns
     are not read, but for the bigint columns ``carried``, which follow. An empty benchmark gives no row.
     """
     schema = ", ".join(f"{c} bigint" for c in ("doc_id", "item_id", "start", "n_words", "distance", *carried))
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
-    parts = max(1, -(-items.count() // item_block))
+    count, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    parts = max(1, -(-count // item_block), -(-chars // ITEM_CHARS))
     settings = (walks, samples, places)
     texts = docs.select("doc_id", "text", *carried).where("text is not null")
     out = None
@@ -227,13 +235,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = EDITS_PERCENT,
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).orderBy("item_id", "text").collect()
         ids, wordings = [r.item_id for r in own], [r.text for r in own]
         one = texts.mapInArrow(_matcher(ids, wordings, percent, settings, carried), schema)
+        if parts > 1:
+            one = materialize(one)  # a block's items are let go before the next one's come
         out = one if out is None else out.unionByName(one)
     return out
 
 
+_held: dict[str, Benchmark] = {}
+
+
 def _matcher(ids: list[int], wordings: list[str], percent: int, settings: tuple[int, int, int], carried: tuple[str, ...] = ()):
+    token = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Benchmark(ids, wordings, percent, settings)
+        if token not in _held:  # a worker builds the index once
+            _held.clear()
+            _held[token] = Benchmark(ids, wordings, percent, settings)
+        known = _held[token]
         for batch in batches:
             for part in blocks(batch):
                 row, *found = known.find(Words(part.column("text"), lower=True, dividers=_DIVIDERS))
@@ -243,10 +261,11 @@ def _matcher(ids: list[int], wordings: list[str], percent: int, settings: tuple[
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; rows without doc_id stay, all columns unchanged.
+    """``docs`` without the rows that hold a benchmark item, all columns unchanged.
 
-    A row is told by its doc_id and a hash of its text, so a clean row stays beside a leak of the same doc_id.
+    A row is told by its doc_id (null too) and a hash of its text, so a clean row stays beside a leak of the same doc_id.
     """
-    found = matches(docs.where("doc_id is not null").select("doc_id", "text", text_key().alias("_key")), benchmark, carried=("_key",), **settings)
-    leaks = found.select(F.col("doc_id").alias("_leak"), F.col("_key").alias("_text")).distinct()
-    return docs.join(leaks, (F.col("doc_id") == F.col("_leak")) & (text_key() == F.col("_text")), "left_anti")
+    key, leak, text = fresh(docs, "_key", "_leak", "_text")
+    found = matches(docs.select("doc_id", "text", text_key().alias(key)), benchmark, carried=(key,), **settings)
+    leaks = found.select(F.col("doc_id").alias(leak), F.col(key).alias(text)).distinct()
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col(leak)) & (text_key() == F.col(text)), "left_anti")

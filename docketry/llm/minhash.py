@@ -18,13 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import Words, blocks, by_blocks, discard, gram_hashes, materialize, mix64, text_key
+from docketry.llm.common import Words, blocks, by_blocks, discard, factors, fresh, gram_hashes, materialize, mix64, quoted, text_key
 from docketry.operators.relational import positions
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Bands of so many slots each: two sets at similarity 0.8 meet in no band with probability 3e-6.
 BANDS, ROWS = 32, 5
+#: Elements whose shuffles are held at once.
+PIECE = 1 << 17
+#: A centre's documents are dealt to so many rows of its sizes.
+DEALS = 64
 #: Documents of one centre that are compared with each other at once.
 BLOCK = 256
 
@@ -32,9 +36,17 @@ BLOCK = 256
 def super_minhash(elements: np.ndarray, first: np.ndarray, slots: int) -> np.ndarray:
     """Signatures (documents x slots, uint64: step << 32 | fraction) of the distinct elements first[i]:first[i + 1]."""
     n = len(first) - 1
-    best = np.full(n * slots, np.uint64(2**64 - 1))
+    best = np.full((n, slots), np.uint64(2**64 - 1))
     owner = np.repeat(np.arange(n), np.diff(first))
-    value, order = elements, None  # order: of each element, the slots that its shuffle has not drawn yet
+    for k in range(0, len(elements), PIECE):  # a long text's later pieces find its slots filled and stop at once
+        low, high = int(owner[k]), int(owner[min(k + PIECE, len(owner)) - 1]) + 1
+        _offer(best[low:high].reshape(-1), elements[k : k + PIECE], owner[k : k + PIECE] - low, slots)
+    return best
+
+
+def _offer(best: np.ndarray, value: np.ndarray, owner: np.ndarray, slots: int) -> None:
+    """Lowers ``best`` (documents * slots) by what the elements ``value`` of the documents ``owner`` offer."""
+    n, order = len(best) // slots, None  # order: of each element, the slots that its shuffle has not drawn yet
     for step in range(slots):
         draw = mix64(value, step)
         place = step + (((draw >> np.uint64(32)) * np.uint64(slots - step)) >> np.uint64(32)).astype(np.int64)
@@ -57,41 +69,42 @@ def super_minhash(elements: np.ndarray, first: np.ndarray, slots: int) -> np.nda
             order = order[live]
         if len(live) < len(value):
             value, owner = value[live], owner[live]
-    return best.reshape(n, slots)
 
 
-def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, first): the distinct shingles of k lower-cased words of each text, sorted within a text."""
+def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, second hashes, first): the distinct shingles of k lower-cased words of each text, sorted within a text."""
     words = Words(column, lower=True)
-    hashes = words.hashes()
+    both = [words.hashes(seed=seed) for seed in (0, 1)]
     count = words.count
-    grams = gram_hashes(hashes, k)
-    inside = np.zeros(len(hashes), bool)
     row = words.row_of_word()
-    if len(grams):
-        inside[: len(grams)] = row[: len(grams)] == row[k - 1 :]
-    value, owner = grams[inside[: len(grams)]], row[inside]
-    for i in np.flatnonzero((count > 0) & (count < k)):  # the whole sequence is one shingle
-        own = hashes[words.first[i] : words.first[i + 1]]
-        value, owner = np.append(value, gram_hashes(own, len(own))), np.append(owner, i)
-    order = np.lexsort((value, owner))
-    value, owner = value[order], owner[order]
-    fresh = np.ones(len(value), bool)
-    fresh[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    value, owner = value[fresh], owner[fresh]
-    return value, np.searchsorted(owner, np.arange(len(count) + 1))
+    inside = np.zeros(len(row), bool)
+    if len(row) >= k:
+        inside[: len(row) - k + 1] = row[: len(row) - k + 1] == row[k - 1 :]
+    owner = row[inside]
+    value, other = (gram_hashes(h, k)[inside[: max(0, len(row) - k + 1)]] for h in both)
+    for n in range(1, k):  # the whole sequence is one shingle
+        short = np.flatnonzero(count == n)
+        if len(short):
+            whole = [mix64(sum(h[words.first[short] + i] * f for i, f in enumerate(factors(n))), n) for h in both]
+            value, other, owner = np.append(value, whole[0]), np.append(other, whole[1]), np.append(owner, short)
+    order = np.lexsort((other, value, owner))
+    value, other, owner = value[order], other[order], owner[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (other[1:] != other[:-1]) | (owner[1:] != owner[:-1])
+    value, other, owner = value[new], other[new], owner[new]
+    return value, other, np.searchsorted(owner, np.arange(len(count) + 1))
 
 
 def _keys(k: int, bands: int, rows: int):
-    """n_shingles, a 128-bit key of the set, and a bucket key for each band."""
+    """n_shingles, a 128-bit key of the set (from two independent hashes of its words), and a bucket key for each band."""
 
     def one(part: pa.RecordBatch) -> pa.RecordBatch:
-        value, first = shingle_sets(part.column("text"), k)
+        value, other, first = shingle_sets(part.column("text"), k)
         size = np.diff(first)
         some = np.flatnonzero(size)
         sums = []
-        for seed in (11, 12):
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(value, seed))])
+        for hashes in (value, other):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(hashes, 11))])
             sums.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
         signature = super_minhash(value, np.append(first[:-1][some], first[-1]), bands * rows)
         buckets = np.zeros((len(some), bands), np.uint64)
@@ -118,12 +131,12 @@ def _confirm(k: int, similarity: float):
             for part in blocks(batch, "other", 1 << 20):
                 for piece in blocks(part, "text", 1 << 20):
                     n = piece.num_rows
-                    (x, fx), (y, fy) = shingle_sets(piece.column("text"), k), shingle_sets(piece.column("other"), k)
+                    (x, x2, fx), (y, y2, fy) = shingle_sets(piece.column("text"), k), shingle_sets(piece.column("other"), k)
                     pair = np.concatenate([np.repeat(np.arange(n), np.diff(fx)), np.repeat(np.arange(n), np.diff(fy))])
-                    value = np.concatenate([x, y])
-                    order = np.lexsort((value, pair))
-                    value, pair = value[order], pair[order]
-                    both = np.bincount(pair[1:][(value[1:] == value[:-1]) & (pair[1:] == pair[:-1])], minlength=n)
+                    value, second = np.concatenate([x, y]), np.concatenate([x2, y2])
+                    order = np.lexsort((second, value, pair))
+                    value, second, pair = value[order], second[order], pair[order]
+                    both = np.bincount(pair[1:][(value[1:] == value[:-1]) & (second[1:] == second[:-1]) & (pair[1:] == pair[:-1])], minlength=n)
                     size = np.concatenate([np.diff(fx), np.diff(fy)])
                     good = pa.array(_similar(size, np.arange(n), np.arange(n) + n, both, similarity))
                     yield pa.RecordBatch.from_arrays([piece.column("a").filter(good), piece.column("b").filter(good)], ["a", "b"])
@@ -173,7 +186,7 @@ def _compare(k: int, similarity: float):
 
     def cell(rows: list[tuple]) -> list[tuple[int, int]]:
         texts = pa.array([r[4] for r in rows], pa.string())
-        value, first = shingle_sets(texts, k)
+        value, _, first = shingle_sets(texts, k)
         sets = [value[a:b] for a, b in zip(first[:-1], first[1:])]
         found = forest(sets, [r[2] for r in rows], [r[3] != 2 for r in rows], [r[3] != 1 for r in rows], similarity)
         return [(rows[i][1], rows[j][1]) for i, j in found]
@@ -230,7 +243,9 @@ def _cells(members: DataFrame, block: int) -> DataFrame:
     The documents in the centre's own component are one class, already joined; the others meet each other and that class.
     """
     sizes = members.groupBy("centre").agg(F.count_if("own").alias("n_own"), F.count_if(~F.col("own")).alias("n_other")).where("n_other > 0 and n_own + n_other > 2")
-    met = members.join(sizes, "centre")
+    # a centre with very many documents has its sizes once for each deal, so its documents need not meet in one task
+    deals = sizes.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    met = members.withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(DEALS)).cast("int")).join(deals, ["centre", "deal"])
     parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block)).cast("int")
     mine = met.withColumn("_o", parts("n_other")).withColumn("_m", F.when(F.col("n_own") > 0, parts("n_own")).otherwise(0))
     mine = mine.withColumn("_p", F.pmod(F.xxhash64("id"), F.when(F.col("own"), F.col("_m")).otherwise(F.col("_o"))).cast("int"))
@@ -287,14 +302,16 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     Rows without doc_id stay. Rows that share a doc_id but differ in text are documents of their own; of
     repeated rows with one doc_id and text one stays.
     """
-    keyed = docs.where("doc_id is not null").withColumn("_key", text_key())
-    odd = keyed.groupBy("doc_id").agg(F.min("_key").alias("_low"), F.max("_key").alias("_high")).where("_low < _high")
+    key, low, high, name, place = fresh(docs, "_key", "_low", "_high", "_id", "_n")
+    columns = [quoted(c) for c in docs.columns]
+    keyed = docs.where("doc_id is not null").withColumn(key, text_key())
+    odd = keyed.groupBy("doc_id").agg(F.min(key).alias(low), F.max(key).alias(high)).where(F.col(low) < F.col(high))
     if odd.isEmpty():
-        named = keyed.withColumn("_id", F.col("doc_id")).drop("_key")
+        named = keyed.withColumn(name, F.col("doc_id")).drop(key)
     else:
-        ids = positions(keyed.select("doc_id", "_key").distinct(), ["doc_id", "_key"]).select("doc_id", "_key", F.col("position").cast("bigint").alias("_id"))
-        named = materialize(keyed.join(ids, ["doc_id", "_key"]).select(*docs.columns, "_id"))
-    kept = group_duplicates(named.select(F.col("_id").alias("doc_id"), "text"), **settings).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    numbered = named.join(kept, F.col("_id") == F.col("_kept"), "left_semi")
-    first = numbered.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text")))).where("_n = 1").drop("_n", "_id")
+        ids = positions(keyed.select("doc_id", key).distinct(), ["doc_id", key]).select("doc_id", key, F.col("position").cast("bigint").alias(name))
+        named = materialize(keyed.join(ids, ["doc_id", key]).select(*columns, name))
+    kept = group_duplicates(named.select(F.col(name).alias("doc_id"), "text"), **settings).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    numbered = named.join(kept, name, "left_semi")
+    first = numbered.withColumn(place, F.row_number().over(Window.partitionBy(name).orderBy(F.xxhash64("text")))).where(F.col(place) == 1).select(*columns)
     return first.unionByName(docs.where("doc_id is null"))

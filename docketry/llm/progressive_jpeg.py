@@ -15,8 +15,9 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from docketry.llm.common import as_binary, blocks
+from docketry.llm.common import as_binary, blocks, fresh
 
 #: Bytes of payload for each 8 x 8 block of the three components.
 UNIT = 192
@@ -571,8 +572,10 @@ def store_texts(docs: DataFrame) -> DataFrame:
 def decode_media(table: DataFrame, column: str = "media") -> DataFrame:
     """Adds width, height, rgb (binary, row by row), payload (where the image holds one) and error to a table with JPEG bytes.
 
-    Null media give nulls; media that are not readable as progressive JPEG give nulls and an error.
+    Null media give nulls; media that are not readable as progressive JPEG give nulls and an error. Where
+    ``table`` has a column of one of these names it stays, and the new one's name ends in ``_``.
     """
+    names = fresh(table, "width", "height", "rgb", "payload", "error")
     extra = [("width", "int", pa.int32()), ("height", "int", pa.int32()), ("rgb", "binary", pa.binary()), ("payload", "binary", pa.binary()), ("error", "string", pa.string())]
 
     def decoded(media: list[bytes | None]) -> list[list]:
@@ -595,14 +598,13 @@ def decode_media(table: DataFrame, column: str = "media") -> DataFrame:
         for batch in batches:
             for part in blocks(batch, column, BATCH_BYTES):
                 rows = decoded(part.column(column).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, e[2]) for c, e in zip(zip(*rows), extra))], [*part.schema.names, *(e[0] for e in extra)])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, e[2]) for c, e in zip(zip(*rows), extra))], [*part.schema.names, *names])
 
-    kept = table.drop(*(e[0] for e in extra))
-    return kept.mapInArrow(run, f"{kept.schema.simpleString()[7:-1]},{','.join(f'{n} {t}' for n, t, _ in extra)}")
+    return table.mapInArrow(run, T.StructType([*table.schema, *T.StructType.fromDDL(",".join(f"{n} {t}" for n, (_, t, _) in zip(names, extra)))]))
 
 
 def digest(decoded: DataFrame) -> DataFrame:
-    """Sizes and checksums of the stored form and of the payload read back; feature: size, channel sums and checksum of the tensor."""
+    """Sizes and checksums of the stored form and of the payload read back (null where nothing could be read); feature: size, channel sums and checksum of the tensor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -610,6 +612,9 @@ def digest(decoded: DataFrame) -> DataFrame:
                 part = batch.slice(k, 256)
                 rows = []
                 for media, payload, rgb, w, h in zip(*(part.column(c).to_pylist() for c in ("media", "payload", "rgb", "width", "height"))):
+                    if payload is None or rgb is None:
+                        rows.append((None, None, None, None if media is None else len(media), None if media is None else sha256(media).hexdigest(), None))
+                        continue
                     sums = np.frombuffer(rgb, np.uint8).reshape(-1, 3).sum(0, dtype=np.int64)
                     rows.append((len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), sha256(media).hexdigest(), f"{w}x{h}:{sums[0]},{sums[1]},{sums[2]}:{zlib.crc32(rgb):08x}"))
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry.llm import oracles
 from docketry.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+#: The other six take a tokenizer's or a model's files, a fitted classifier, images or edit distances; tests compare them with brute force.
+ORACLES: dict[str, str] = {"op1_substring_dedup": oracles.SUBSTRING_DEDUP, "op2_minhash_dedup": oracles.NEAR_DUPLICATES, "op3_tool_calls": oracles.TOOL_CALLS, "op5_secret_scan": oracles.SECRETS}
 
 #: The word tokenizer closes a document with this id.
 END_ID = 1
@@ -58,7 +60,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Tools of the conversations' turns.
-REPLY = {"reply": {"text": ("string", True, 100_000), "n_chars": ("bigint", True, None)}}
+REPLY = {"reply": {"text": ("string", True, None), "n_chars": ("bigint", True, None)}}
 
 
 @query

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketry.llm.common import materialize, text_key
+from docketry.llm.common import fresh, materialize, quoted, text_key
 
 
 def _any_case(word: str) -> str:
@@ -100,12 +100,13 @@ def redacted(docs: DataFrame, owner: str = "source", min_owners: int = MIN_OWNER
     A row is matched to its secrets by doc_id and a hash of its text, so repeated doc_ids do no harm.
     """
     _, spans = candidates(docs, owner)
-    live = classified(spans, min_owners).where("class <> 'example'").groupBy("doc_id", "text_key").agg(F.collect_set("hash").alias("_live"))
-    keyed = docs.withColumn("_key", text_key())
-    met = keyed.join(live.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"), "_live"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text")), "left")
+    key, doc, other, hashes = fresh(docs, "_key", "_doc", "_text", "_live")
+    live = classified(spans, min_owners).where("class <> 'example'").groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(other)).agg(F.collect_set("hash").alias(hashes))
+    keyed = docs.withColumn(key, text_key())
+    met = keyed.join(live, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(other)), "left")
     text = F.col("text")
     for kind, (pattern, group, _) in KINDS.items():
         zipped = F.arrays_zip(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("v"))
-        put = F.transform(zipped, lambda z: F.concat(z["g"], F.when(z["m"].isNull(), "").when(F.array_contains("_live", F.sha2(z["v"], 256)), F.concat(F.substring(z["m"], F.lit(1), F.length(z["m"]) - F.length(z["v"])), F.lit(mark))).otherwise(z["m"])))
-        met = met.withColumn("text", F.when(F.col("_live").isNotNull() & text.rlike(pattern), F.array_join(put, "")).otherwise(text))
-    return met.select(*docs.columns)
+        put = F.transform(zipped, lambda z: F.concat(z["g"], F.when(z["m"].isNull(), "").when(F.array_contains(hashes, F.sha2(z["v"], 256)), F.concat(F.substring(z["m"], F.lit(1), F.length(z["m"]) - F.length(z["v"])), F.lit(mark))).otherwise(z["m"])))
+        met = met.withColumn("text", F.when(F.col(hashes).isNotNull() & text.rlike(pattern), F.array_join(put, "")).otherwise(text))
+    return met.select(*map(quoted, docs.columns))

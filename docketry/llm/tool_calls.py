@@ -29,7 +29,7 @@ def _errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
             value = F.try_variant_get(arguments, f"$.{field}", kind)
             if required:
                 checks.append(F.when(raw.isNull(), f"missing {field}"))
-            checks.append(F.when(raw.isNotNull() & (value.isNull() | ~F.schema_of_variant(raw).isin(*_NAMES[kind])), f"{field} is not {kind}"))
+            checks.append(F.when(raw.isNotNull() & (value.isNull() | ~F.schema_of_variant(raw).rlike(_NAMES[kind])), f"{field} is not {kind}"))
             if longest is not None:
                 checks.append(F.when(F.length(value.cast("string")) > longest, f"{field} is too long"))
         found = found.when(name == tool, F.array_compact(F.array(*checks)))
@@ -37,17 +37,18 @@ def _errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
 
 
 #: What schema_of_variant calls the values that each type admits.
-_NAMES = {"string": ["STRING"], "bigint": ["BIGINT"], "double": ["DOUBLE", "BIGINT", "DECIMAL(18,2)"], "boolean": ["BOOLEAN"]}
+_NAMES = {"string": "^STRING$", "bigint": "^BIGINT$", "double": r"^(DOUBLE|FLOAT|BIGINT|DECIMAL\(.*\))$", "boolean": "^BOOLEAN$"}
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """One row for each call, and for each result without a call.
+    """One row for each call, and for each result that no call took.
 
     ``calls``: conv_id, turn, call_id, name, arguments (JSON text), needs (array of call_ids; null: none).
     ``results``: conv_id, turn, call_id, content. Other columns are not read.
     Returned: conv_id, turn, call_id, level, linked, valid, errors, json. A result belongs to the call of
-    its conversation and identifier. Of calls with one identifier the first turn's has the result, the
-    others and further results are errors (duplicate identifier). level: 0 for calls that need no known call,
+    its conversation and identifier. Of calls with one identifier the first turn's has the first result (by turn,
+    then content), the others are errors (duplicate identifier); every further result, and every result whose
+    call is unknown or that has no identifier, is a row and an error of its own. level: 0 for calls that need no known call,
     else one more than the highest level that they need; sorting by conv_id, level, turn, call_id gives an
     order in which every dependency precedes. Calls in a cycle or behind one stand after all layers; they,
     calls with an unknown dependency, with null identifiers, or with a result before the call are errors;
@@ -58,11 +59,15 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     key = ["conv_id", "call_id"]
     # an identifier's first call and first result; partial sums meet, never a group's rows
     stats = calls.groupBy(*key).agg(F.count("*").alias("_calls"), F.min(F.struct("turn", F.xxhash64("name", "arguments"))).alias("_first"))
-    answers = results.groupBy(*key).agg(F.count("*").alias("_results"), F.min(F.struct("result_turn", "content")).alias("_result"))
+    told = results.groupBy(*key, "result_turn", "content").agg(F.count("*").alias("_times"))
+    answers = told.groupBy(*key).agg(F.sum("_times").alias("_results"), F.min(F.struct("result_turn", "content")).alias("_result"))
     met = calls.join(stats, key, "left").join(answers, key, "left")
     first = F.coalesce(F.col("_first") == F.struct("turn", F.xxhash64("name", "arguments")), F.lit(False))
     met = met.withColumn("result", F.when(first, F.col("_result")))
-    orphans = answers.join(stats, key, "left_anti")
+    # of a key with a call one row of its first result is taken; equal rows are told apart by their number alone
+    owners = answers.join(stats.select(*key), key, "left_semi").select(*key, "_result")
+    left = told.join(owners, key, "left").withColumn("_left", F.col("_times") - F.coalesce(F.col("_result") == F.struct("result_turn", "content"), F.lit(False)).cast("int"))
+    orphans = left.select(*key, "result_turn", "content", F.when(F.col("_result").isNull(), "result without call").otherwise("further result").alias("_error"), F.explode(F.array_repeat(F.lit(0), F.col("_left").cast("int"))).alias("_one"))
     levels = _levels(calls)
     met = met.join(levels, key, "left") if levels is not None else met.withColumn("level", F.lit(0)).withColumn("_order", F.lit(None).cast("string"))
 
@@ -80,7 +85,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     arguments = F.coalesce(F.to_json(parsed), _quoted(F.col("arguments")))
     pairs = [("arguments", arguments), ("call_id", _quoted(F.col("call_id"))), ("name", _quoted(F.col("name"))), ("result", _quoted(F.col("result.content")))]
     linked = judged.select(*key[:1], "turn", "call_id", F.coalesce("level", F.lit(0)).cast("int").alias("level"), F.col("result").isNotNull().alias("linked"), (F.size("errors") == 0).alias("valid"), F.array_join("errors", "; ").alias("errors"), _object(pairs).alias("json"))
-    rest = orphans.select("conv_id", F.col("_result.result_turn").alias("turn"), "call_id", F.lit(0).alias("level"), F.lit(False).alias("linked"), F.lit(False).alias("valid"), F.lit("result without call").alias("errors"), _object([("call_id", _quoted(F.col("call_id"))), ("result", _quoted(F.col("_result.content")))]).alias("json"))
+    rest = orphans.select("conv_id", F.col("result_turn").alias("turn"), "call_id", F.lit(0).alias("level"), F.lit(False).alias("linked"), F.lit(False).alias("valid"), F.col("_error").alias("errors"), _object([("call_id", _quoted(F.col("call_id"))), ("result", _quoted(F.col("content")))]).alias("json"))
     return linked.unionByName(rest)
 
 

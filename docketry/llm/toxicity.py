@@ -1,8 +1,14 @@
 """A toxicity classifier that does not lean on identity terms.
 
-Logistic regression over the presence of words and word beginnings. For every labelled text that names
-a group, counterfactual texts with the term swapped for others, or for a neutral word, join the fit:
+Logistic regression over the presence of words and word beginnings. For every labelled text with an
+identity term, counterfactual texts with the terms swapped for others, or for a neutral word, join the fit:
 the squared change of the score between the two is part of the loss, so neutral mentions gain no weight.
+
+The terms are those that the caller names and those that the labelled rows show: whole words that stand in
+a hundredth of the texts of label 0 at least, lean to label 1 without being clear signs of it, and stand in
+more texts of label 0 than of label 1. A fit that leans on such a word is wrong in most texts that have it.
+The terms are features themselves, so their weight is seen and held down; ``Model`` says how many pairs
+entered the loss, and the score change under swaps without and with the penalty.
 The fit takes a bounded sample of labelled rows; scoring takes every text.
 """
 
@@ -15,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docketry.llm.common import Words, blocks
 
@@ -25,6 +32,8 @@ FEATURES = 512
 #: Least standard score of a kept feature.
 CLEAR = 5.0
 THRESHOLD = 0.7
+#: Terms that are found in the labelled rows at most, and the least share of texts of label 0 that hold one.
+FOUND_TERMS, SHARE = 48, 0.01
 # Terms that name groups, as lower-case words, and the neutral word they are swapped for.
 IDENTITY_TERMS = (
     "women", "men", "woman", "man", "gay", "lesbian", "straight", "transgender", "black", "white", "asian", "latino",
@@ -52,17 +61,6 @@ def _text_features(texts: list[str]) -> list[np.ndarray]:
     return [np.unique(np.concatenate([k[a:b] for k in kinds])) for a, b in zip(words.first[:-1], words.first[1:])]
 
 
-def counterfactuals(text: str, terms: tuple[str, ...] = IDENTITY_TERMS, neutral: str = NEUTRAL, swaps: int = 3) -> list[str]:
-    """The text with its identity terms replaced: by a neutral word, and by others of the list in turn."""
-    lower = text.lower().split()
-    bare = [w.strip(".,;:!?\"'()") for w in lower]
-    named = {w: terms.index(w) for w in bare if w in terms}
-    if not named:
-        return []
-    step = max(1, len(terms) // (swaps + 1))
-    return [" ".join(neutral if s == 0 and b in named else terms[(named[b] + s * step) % len(terms)] if b in named else w for w, b in zip(lower, bare)) for s in range(swaps + 1)]
-
-
 @dataclass
 class Model:
     """Sorted feature hashes, their weights, and the intercept."""
@@ -70,10 +68,15 @@ class Model:
     features: np.ndarray
     weights: np.ndarray
     intercept: float
+    #: Pairs of a text and a counterfactual in the loss, and the root of the mean squared change of the score's logit.
+    pairs: int = 0
+    change_without_penalty: float = 0.0
+    change: float = 0.0
 
 
-def fit_rows(rows: list[tuple[str, int]], penalty: float = 10.0, ridge: float = 1e-5) -> Model:
-    """Fit (text, label) rows; ``penalty`` weighs the squared score changes under counterfactual swaps."""
+def fit_rows(rows: list[tuple[str, int]], penalty: float = 10.0, ridge: float = 1e-5, terms: tuple[str, ...] = IDENTITY_TERMS, neutral: str = NEUTRAL, found_terms: int = FOUND_TERMS) -> Model:
+    """Fit (text, label) rows; ``penalty`` weighs the squared score changes under counterfactual swaps of
+    ``terms`` and of at most ``found_terms`` more that the rows show."""
     texts, labels = [t or "" for t, _ in rows], np.array([y for _, y in rows], float)
     positive, n = labels.sum(), len(labels)
     prior = (positive + 0.5) / (n + 1)
@@ -95,17 +98,74 @@ def fit_rows(rows: list[tuple[str, int]], penalty: float = 10.0, ridge: float =
     rate = both / n
     score = (ones / positive - (both - ones) / (n - positive)) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / positive + 1 / (n - positive)))
     chosen = np.flatnonzero(score >= CLEAR)
-    kept = known[np.sort(chosen[np.argsort(-score[chosen], kind="stable")[:FEATURES]])]
+    kept = known[chosen[np.argsort(-score[chosen], kind="stable")[:FEATURES]]]
+    leaning = np.flatnonzero((score > 0) & (score < CLEAR) & (both - ones > ones) & (both - ones >= SHARE * (n - positive)))
+    named = _term_features(texts, known[leaning[np.argsort(-score[leaning], kind="stable")]], terms, found_terms)
+    kept = np.unique(np.concatenate([kept, named[len(terms) :, 0]]))
     x = np.zeros((n, len(kept) + 1), np.float32)
     x[:, -1] = 1
     for rows_, features in _by_text(texts, np.arange(n)):
         owner, place = np.repeat(rows_, [len(f) for f in features]), _places(kept, np.concatenate(features))
         x[owner[place >= 0], place[place >= 0]] = 1
-    changes = [_row(kept, a) - _row(kept, b) for t in texts for c in [counterfactuals(t)] if c for a in [t.lower()] for b in c]
-    moved = [c for c in changes if c.any()]  # the others count in the mean only
-    d = np.array(moved) * np.sqrt(len(moved) / len(changes)) if moved else np.zeros((0, len(kept)))
-    weights, intercept = _newton(x, labels, d, intercept, penalty, ridge)
-    return Model(kept, weights, intercept)
+    changes, pairs = _swap_changes(texts, x, kept, named, _feature_rows([neutral])[0])
+    plain, _ = _newton(x, labels, changes, intercept, 0.0, ridge)
+    weights, intercept = _newton(x, labels, changes, intercept, penalty, ridge)
+    before, after = (float(np.sqrt(max(0.0, w @ changes @ w))) for w in (plain, weights))
+    return Model(kept, weights, intercept, pairs, before, after)
+
+
+def _feature_rows(words: list[str]) -> np.ndarray:
+    """The features of each word (words x kinds)."""
+    found = Words(pa.array(words, pa.string()), lower=True, dividers=_DIVIDERS)
+    return np.stack(_feature_hashes(found), 1)
+
+
+def _term_features(texts: list[str], leaning: np.ndarray, terms: tuple[str, ...], most: int) -> np.ndarray:
+    """Features (terms x kinds) of the given terms, and of the first ``most`` of ``leaning`` that are whole words of the texts."""
+    given, seen = _feature_rows(list(terms)), {}
+    wanted = np.sort(np.setdiff1d(leaning, given[:, 0]))
+    for k in range(0, len(texts), 200):
+        words = Words(pa.array(texts[k : k + 200], pa.string()), lower=True, dividers=_DIVIDERS)
+        whole = words.hashes()
+        place = np.flatnonzero((_places(wanted, whole) >= 0) & (words.end - words.start >= BEGINNINGS[0]))
+        for i in place[np.unique(whole[place], return_index=True)[1]]:
+            seen.setdefault(int(whole[i]), (words.data[words.start[i] : words.end[i]].tobytes().decode("utf-8", "replace")))
+    found = [seen[h] for h in leaning.tolist() if h in seen][:most]
+    return np.concatenate([given, _feature_rows(found)]) if found else given
+
+
+def _swap_changes(texts: list[str], x: np.ndarray, kept: np.ndarray, terms: np.ndarray, neutral: np.ndarray, swaps: int = 3) -> tuple[np.ndarray, int]:
+    """(mean of d d', pairs): d is what a swap changes in the features of a text that holds a term.
+
+    Of each such text all terms go at once: for the neutral word, and ``swaps`` times for other terms in turn.
+    """
+    k, pairs, every = len(kept), 0, 0
+    total = np.zeros((k, k))
+    by = np.argsort(terms[:, 0], kind="stable")
+    step = max(1, len(terms) // (swaps + 1))
+    of_terms = _places(kept, terms.ravel()).reshape(terms.shape)
+    of_neutral = _places(kept, neutral)
+    for b in range(0, len(texts), 200):
+        words = Words(pa.array(texts[b : b + 200], pa.string()), lower=True, dividers=_DIVIDERS)
+        kinds = np.stack(_feature_hashes(words), 1)
+        term = _places(terms[by, 0], kinds[:, 0])
+        place = _places(kept, kinds.ravel()).reshape(kinds.shape)
+        changes = []
+        for i, (low, high) in enumerate(zip(words.first[:-1], words.first[1:])):
+            held = np.unique(term[low:high][term[low:high] >= 0])
+            if not len(held):
+                continue
+            rest = place[low:high][term[low:high] < 0].ravel()
+            for s in range(swaps + 1):
+                new = np.zeros(k, np.float32)
+                new[rest[rest >= 0]] = 1
+                put = of_neutral if s == 0 else of_terms[(by[held] + s * step) % len(terms)].ravel()
+                new[put[put >= 0]] = 1
+                changes.append(x[b + i, :k] - new)
+        if changes:
+            d = np.stack(changes).astype(float)
+            total, pairs, every = total + d.T @ d, pairs + int(d.any(1).sum()), every + len(d)
+    return total / max(1, every), pairs
 
 
 def _by_text(texts: list[str], rows: np.ndarray, size: int = 200) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -123,16 +183,11 @@ def _places(kept: np.ndarray, features: np.ndarray) -> np.ndarray:
     return np.where(kept[at] == features, at, -1)
 
 
-def _row(kept: np.ndarray, text: str) -> np.ndarray:
-    return np.isin(kept, _text_features([text])[0]).astype(float)
-
-
 def _newton(x, y, d, intercept, penalty, ridge):
-    """Minimise mean log loss + ridge |w|^2 / 2 + penalty * mean (d w)^2 / 2; the last column of x is the constant."""
+    """Minimise mean log loss + ridge |w|^2 / 2 + penalty * w' d w / 2; the last column of x is the constant."""
     n, k = x.shape[0], x.shape[1] - 1
     fixed = np.diag(np.append(np.full(k, ridge), 0.0))
-    if len(d):
-        fixed[:k, :k] += penalty * d.T @ d / len(d)
+    fixed[:k, :k] += penalty * d
     w = np.append(np.zeros(k), intercept)
     for _ in range(30):
         gradient, hessian = fixed @ w, fixed + 1e-8 * np.eye(k + 1)
@@ -162,12 +217,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     return fit_rows([(r.text, int(r.toxic > 0)) for r in joined.select("text", "toxic").toLocalIterator()])
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from the threshold on); no column but text has a part in it.
 
+    ``names``: what the two are called; columns of ``docs`` with these names are replaced.
+
     Null and empty texts get the score of a text without features; rows and other columns stay as they are.
     """
-    kept = docs.drop("score", "predicted")
+    value_name, predicted = names
+    kept = docs.drop(value_name, predicted)
     order = np.argsort(model.features)
     features, weights = model.features[order], model.weights[order]
 
@@ -186,6 +244,6 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                     pairs = np.unique(np.concatenate(rows) * len(features) + np.concatenate(found))
                     total += np.bincount(pairs // len(features), weights[pairs % len(features)], part.num_rows)
                 value = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value), pa.array((value >= threshold).astype(np.int32))], [*part.schema.names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value), pa.array((value >= threshold).astype(np.int32))], [*part.schema.names, *names])
 
-    return kept.mapInArrow(run, f"{kept.schema.simpleString()[7:-1]},score double,predicted int")
+    return kept.mapInArrow(run, T.StructType([*kept.schema, T.StructField(value_name, T.DoubleType()), T.StructField(predicted, T.IntegerType())]))

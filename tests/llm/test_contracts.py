@@ -18,6 +18,14 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("score", T.StringType()), T.StructField("text_key", T.StringType())])
 
 
+def thue_morse():
+    """Two words that a polynomial hash modulo a power of two takes for one."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
 def odd_texts():
     r = random.Random(5)
     words = ["".join(r.choices("abcdeé", k=r.randint(1, 7))) for _ in range(60)]
@@ -30,7 +38,7 @@ def odd_texts():
     return [
         None, "", " ", "\n\t ", "a", "a b c", "'s it's we'RE x  y  z ", "x" * 30_000, long, long, "A " + long.upper(), *copies, copies[0],
         say(20) + " " + passage + " " + say(9), passage, say(60) + "  " + passage, "İstanbul ǅ ß ẞ \U0001d7d8 ﬁ é", "\U0001f600 token: \U0001f600abc123456789", secret, secret, "api_key=short API-KEY=longenough1 apikey:\"ABCDEFGH1\"",
-        "0123456789abcdef" * 4, "AKIA" * 9, "same same same same same same", "same same same same same same", "." * 200, "word" + chr(0x85) + "word" + chr(0x1C) + "x",
+        "a <|endoftext|>b <|startoftext|> <|EndOfText|>", "don't l'homme CAFÉ, ça: x2y33 a--b!? 'tis 7's 10:30", " ".join(f"word{i}q" for i in range(260_000)), *thue_morse(), "0123456789abcdef" * 4, "AKIA" * 9, "same same same same same same", "same same same same same same", "." * 200, "word" + chr(0x85) + "word" + chr(0x1C) + "x",
     ]
 
 
@@ -220,16 +228,29 @@ def test_link_against_brute_force(spark):
     schemas = {"say": {"text": ("string", True, 8), "n": ("bigint", False, None)}}
     frames = spark.createDataFrame(calls, "conv_id bigint, turn bigint, call_id string, name string, arguments string, needs array<string>"), spark.createDataFrame(results, "conv_id bigint, turn bigint, call_id string, content string")
     rows = tool_calls.link(*frames, schemas).collect()
-    assert sorted((x.conv_id, x.turn, x.call_id or "", x.level, x.errors, x.valid) for x in rows if x.errors != "result without call") == sorted(wanted)
-    assert sum(x.errors == "result without call" for x in rows) == len({a for a in answers if a not in needed})
+    assert sorted((x.conv_id, x.turn, x.call_id or "", x.level, x.errors, x.valid) for x in rows if x.errors not in ("result without call", "further result")) == sorted(wanted)
+    assert sum(x.errors == "result without call" for x in rows) == sum(len(v) for a, v in answers.items() if a not in needed)
+    assert sum(x.errors == "further result" for x in rows) == sum(max(0, len(v) - 1) for a, v in answers.items() if a in needed)
     assert all(x.json == '{"arguments":{"n":1,"text":"b"},"call_id":"%s","name":"say","result":null}' % x.call_id for x in rows if x.valid and not x.linked and '"b"' in x.json)
 
 
+def test_every_result_is_kept(spark):
+    """Further and unnamed results, equal ones too, are rows of their own; numbers of any precision are doubles."""
+    from docketry.llm import tool_calls
+
+    calls = spark.createDataFrame([(1, 0, "a", "f", '{"v": 1.5}', None), (1, 0, "b", "f", '{"v": 12345.678901}', None), (1, 0, "c", "f", '{"v": 1e300}', None), (1, 0, "d", "f", '{"v": "1"}', None)], "conv_id int, turn int, call_id string, name string, arguments string, needs array<string>")
+    results = spark.createDataFrame([(1, 1, "a", "x"), (1, 1, "a", "x"), (1, 2, "a", "y"), (1, 3, "z", "p"), (1, 3, "z", "q"), (1, 4, None, "n"), (1, 4, None, "n"), (1, 5, "b", None)], "conv_id int, turn int, call_id string, content string")
+    rows = tool_calls.link(calls, results, {"f": {"v": ("double", True, None)}}).collect()
+    assert sorted((r.call_id or "", r.turn, r.errors) for r in rows) == sorted([
+        ("a", 0, "several results"), ("b", 0, ""), ("c", 0, ""), ("d", 0, "v is not double"), ("a", 1, "further result"), ("a", 2, "further result"), *[("z", 3, "result without call")] * 2, *[("", 4, "result without call")] * 2,
+    ])
+    assert {r.json for r in rows if r.call_id == "z"} == {'{"call_id":"z","result":"p"}', '{"call_id":"z","result":"q"}'}
+
+
 def test_op4(spark, folder, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.public_file("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     rows, got = result(spark, folder, "op4_")
     assert len(rows) == len(docs)
     start = 0
@@ -244,9 +265,29 @@ def test_elias_fano():
     from docketry.llm.token_files import EliasFano
 
     for values in ([], [0], [5, 5, 5, 1000], list(np.cumsum(np.random.default_rng(1).integers(0, 900, 3000)))):
-        code = EliasFano.of(np.array(values, np.int64))
-        assert code.all().tolist() == [int(v) for v in values]
-        assert [code.select(i) for i in range(0, len(values), 97)] == [int(v) for v in values[::97]]
+        code, values = EliasFano.of(np.array(values, np.int64)), np.array(values, np.int64)
+        n = len(values)
+        for index in (np.arange(n), np.arange(n)[::-97], np.arange(min(n, 300), n), np.arange(0)):
+            assert code.select(index).tolist() == values[index].tolist()
+        with pytest.raises(IndexError):
+            code.select([n])
+
+
+def test_op4_tokenizer_with_other_steps(spark, tmp_path):
+    """A tokenizer whose steps are not the known ones gets whole texts."""
+    from docketry.llm import token_files
+    from tokenizers import Tokenizer
+
+    path = queries.public_file("byte_bpe_50k.json")
+    texts = {1: "Some Text, with Capitals", 2: None, 3: "", 4: "it's <|endoftext|> here", 5: "  spaces  "}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    stored = token_files.write_token_file(frame, path, 7, vocabulary=1 << 17, block_ids=4)
+    t, start = Tokenizer.from_file(path), 0
+    got = {r.doc_id: r for r in token_files.read_token_file(stored).collect()}
+    for i, text in texts.items():
+        ids = t.encode(text or "", add_special_tokens=False).ids + [7]
+        assert (got[i].start, got[i].n_tokens, bytes(got[i].ids)) == (start, len(ids), b"".join(x.to_bytes(4, "little") for x in ids)), i
+        start += len(ids)
 
 
 SECRETS = (("assign", re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 1, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32))
@@ -295,6 +336,48 @@ def test_op6(spark, sf, folder, docs):
     assert hits > 0.9
 
 
+def test_op6_by_hand(spark, sf):
+    """Scores follow from the features of each text; identity terms are found, swapped, and lose their weight."""
+    import numpy as np
+    from docketry.llm import toxicity
+
+    frame, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(frame, labels)
+    weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+    small = spark.read.parquet(f"{sf}/documents.parquet")
+    for r in toxicity.score(small, model).select("text", "score").collect():
+        total = model.intercept + sum(weight.get(f, 0.0) for f in toxicity._text_features([r.text or ""])[0].tolist())
+        assert abs(r.score - 1 / (1 + np.exp(-total))) < 1e-9
+    assert model.pairs > 100 and model.change_without_penalty > 0.01 and model.change < 0.5 * model.change_without_penalty
+    rows = [(r.text, r.toxic) for r in frame.join(labels, "doc_id").where(toxicity.held_out(frame.doc_id)).select("text", "toxic").collect()]
+    learn = [(r.text, r.toxic) for r in frame.join(labels, "doc_id").where(~toxicity.held_out(frame.doc_id)).select("text", "toxic").orderBy("doc_id").collect()]
+    texts = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id int, text string")
+    right = []
+    for penalty in (0.0, 10.0):
+        got = {r.doc_id: r.predicted for r in toxicity.score(texts, toxicity.fit_rows(learn, penalty=penalty)).collect()}
+        right.append(sum(got[i] == y for i, (_, y) in enumerate(rows)) / len(rows))
+    assert right[1] >= right[0] - 0.005 and right[1] > 0.95
+
+
+def test_odd_columns_stay(spark, sf):
+    """Columns with odd names, or with names that the operators use, come out as they went in."""
+    from docketry.llm import byte_bpe, decontamination, minhash, secret_scan, toxicity
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    frame = spark.read.parquet(f"{sf}/documents.parquet").limit(30)
+    for name in ("my-col x", "score", "predicted", "_key", "_n", "_kept", "_id", "_live", "_doc", "_text", "_leak", "width", "payload", "a.b"):
+        frame = frame.withColumn(name, pytest.importorskip("pyspark.sql.functions").lit(name))
+    frame = pipeline.materialize(frame)
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    model = toxicity.Model(*(__import__("numpy").zeros(0, t) for t in ("u8", "f8")), -3.0)
+    for out in (minhash.keep_one(frame), secret_scan.redacted(frame), decontamination.without_leaks(frame, bench), toxicity.score(frame, model, names=("s", "p")).drop("s", "p"), pipeline.toxic_out(spark, frame, sf)):
+        assert out.columns == frame.columns
+        rows = out.collect()
+        assert rows and all(r[c] == c for r in rows for c in frame.columns[5:])
+    ids = byte_bpe.encode(frame, queries.public_file("byte_bpe_multi_50k.tiktoken")).withColumn("my-col x", pytest.importorskip("pyspark.sql.functions").lit(1))
+    assert byte_bpe.decode(ids, queries.public_file("byte_bpe_multi_50k.tiktoken")).count() == 30
+
+
 def test_counterfactual_penalty():
     """A group's name that goes with label 1 in the labels gains less weight under the penalty."""
     from docketry.llm import toxicity
@@ -328,6 +411,51 @@ def test_op7(spark, folder, docs):
     assert all(len(v) == 1 for v in same.values())
 
 
+def drawn(spark, kind):
+    """A progressive JPEG of another encoder (the Java library), and what that library decodes it to."""
+    import numpy as np
+
+    jvm = spark.sparkContext._jvm
+    image = jvm.java.awt.image.BufferedImage(53, 37, 10 if kind == "grey" else 5)
+    for y in range(37):
+        for x in range(53):
+            image.setRGB(x, y, ((4 * x) << 16) | ((6 * y) << 8) | (2 * (x + y)))
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    settings = writer.getDefaultWriteParam()
+    settings.setProgressiveMode(1)
+    settings.setCompressionMode(2)
+    settings.setCompressionQuality(0.9)
+    out = jvm.java.io.ByteArrayOutputStream()
+    stream = jvm.javax.imageio.ImageIO.createImageOutputStream(out)
+    writer.setOutput(stream)
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), settings)
+    stream.close()
+    media = bytes(out.toByteArray())
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(media))
+    sample = back.getRaster().getSample  # stored grey: getRGB would apply a colour profile
+    pixels = [[sample(x, y, 0) * 0x10101 if kind == "grey" else back.getRGB(x, y) & 0xFFFFFF for x in range(53)] for y in range(37)]
+    return media, np.array([[[p >> 16, p >> 8 & 255, p & 255] for p in row] for row in pixels])
+
+
+@pytest.mark.parametrize("kind", ["colour", "grey"])
+def test_op7_decodes_other_encoders(spark, kind):
+    """Colour with chroma at half size (4:2:0) and grey, at sizes that are no multiple of a block; damaged files give an error."""
+    import numpy as np
+    from docketry.llm import progressive_jpeg
+
+    media, wanted = drawn(spark, kind)
+    rows = [(1, media, "own"), (2, None, "own"), (3, b"no image", "own"), (4, media[: len(media) // 3], "own"), (5, media[:-40] + b"\xff\xd9", "own")]
+    frame = progressive_jpeg.decode_media(spark.createDataFrame(rows, "id int, media binary, width string"))
+    got = {r.id: r for r in frame.collect()}
+    assert all(r.width == "own" for r in got.values()) and (got[1].width_, got[1].height) == (53, 37)
+    tensor = np.frombuffer(got[1].rgb, np.uint8).reshape(37, 53, 3).astype(int)
+    # the upsampling filters differ at edges of colour, not the picture
+    assert np.abs(tensor - wanted).mean() < 3 and np.abs(tensor - wanted).max() < 40
+    assert got[2].rgb is None and got[2].error is None and got[3].rgb is None and got[3].error
+    digest = progressive_jpeg.digest(frame.selectExpr("bigint(id) doc_id", "0L n_bytes", "media", "payload", "rgb", "width_ width", "height"))
+    assert digest.count() == 5
+
+
 def test_op8(spark, folder, docs):
     from docketry.llm.piece_counts import sentence_pieces
 
@@ -397,10 +525,41 @@ def test_op9_recall(spark):
     numbered = {p for p in got if p[0] is not None}
     assert numbered <= near and len(numbered) >= 0.9 * len(near)
     clean = decontamination.without_leaks(docs, bench)
-    assert clean.where("doc_id is null").count() == 1 and {900, 901} <= {x.doc_id for x in clean.collect()}
+    assert clean.where("doc_id is null").count() == 0 and {900, 901} <= {x.doc_id for x in clean.collect()}
     assert decontamination.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_op9_items_of_any_length(spark):
+    """Items of 1 to 60 words: whole copies are all found at distance 0, edited ones nine in ten at least, others not."""
+    from docketry.llm import decontamination
+
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(4000)]
+    items = [r.choices(words, k=n) for n in range(1, 61)]
+    rows, edited = [], []
+    for i, item in enumerate(items):
+        rows.append((i, " ".join(r.choices(words, k=20) + item + r.choices(words, k=20))))
+        for e in range(1, len(item) // 5 + 1):
+            w = list(item)
+            for k in r.sample(range(len(w)), e):
+                w[k] = f"x{k}"
+            edited.append((i, 1000 * e + i))
+            rows.append((1000 * e + i, " ".join(r.choices(words, k=20) + w + r.choices(words, k=20))))
+    rows += [(90_000, "one two xx four five"), (90_001, "alpha beta gamma")]
+    items += ["one two three four five".split(), ["alpha", "beta"]]
+    got = {(x.doc_id, x.item_id): x for x in decontamination.matches(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(k, " ".join(it)) for k, it in enumerate(items)], "item_id bigint, text string")).collect()}
+    near = {(i, k): d for i, text in rows for k, item in enumerate(items) if (d := distance(item, text.split())) <= len(item) // 5}
+    exact = {p for p, d in near.items() if d == 0}
+    assert {p for p, x in got.items() if x.distance == 0} == exact and len(exact) >= 61
+    assert set(got) <= set(near) and len(got) >= 0.9 * len(near) and (90_000, 60) in got
+    for level in range(1, 13):
+        wanted = {(i, k) for k, i in edited if i // 1000 == level}
+        assert len(wanted & set(got)) >= 0.9 * len(wanted), level
+    for (i, k), x in got.items():
+        part = dict(rows)[i].split()[x.start : x.start + x.n_words]
+        assert x.distance == near[i, k] and distance(items[k], part) == x.distance
+
+
 def test_rows_that_share_an_id_are_judged_by_their_text(spark):
     """Of rows with one doc_id only repeats of a text, near copies and leaks go."""
     from docketry.llm import decontamination, minhash
@@ -472,7 +631,7 @@ def test_pipeline_stages_by_brute_force(spark, folder):
     frame = spark.read.parquet(f"{folder}/documents.parquet")
     rows = {r.doc_id: r for r in frame.collect()}
     norm = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", low(t))
-    items = [w for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect() if len(w := norm(r.text)) >= 3]
+    items = [w for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect() if (w := norm(r.text))]
     leaks = {i for i, r in rows.items() if r.text and any(holds(item, words) for words in [norm(r.text)] for item in items)}
     left = {r.doc_id for r in stages["benchmark_decontamination"](spark, frame, folder).collect()}
     assert left == set(rows) - leaks and 0 < len(leaks) < len(rows)
