@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.llm.common import as_binary, blocks, mix64, quoted, span_hashes
+from docketry.llm.common import as_binary, blocks, mix64, numbered, quoted, span_hashes
 
 #: The pattern whose matches are found without a regular expression engine (a fixed value).
 KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -261,6 +261,8 @@ def decode(encoded: DataFrame, ranks: str, digest: bool = False) -> DataFrame:
     ``digest``: instead of ids and bytes, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256.
     """
     kept = [c for c in encoded.columns if c not in ("decoded", *(("ids", "n_tokens", "ids_sha256", "decoded_sha256") if digest else ()))]
+    plain = numbered(encoded, "ids")
+    own = [p for c, p in zip(encoded.columns, plain.columns) if c in kept]
     more = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,10 +276,10 @@ def decode(encoded: DataFrame, ranks: str, digest: bool = False) -> DataFrame:
                 if digest:
                     shown = (",".join(map(decimal.__getitem__, i)).encode() for i in ids)
                     out = [pa.array(map(len, ids), pa.int64()), pa.array([sha256(s).hexdigest() for s in shown], pa.string()), pa.array([sha256(d).hexdigest() for d in decoded], pa.string())]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *out], [*kept, *(m.split(" ")[0] for m in more.split(", "))])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *out], [*kept, *(m.split(" ")[0] for m in more.split(", "))])
 
     schema = T.StructType([*encoded.select(*map(quoted, kept)).schema, *T.StructType.fromDDL(more)])
-    return encoded.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema)
 
 
 def _table(path: str) -> tuple[list[bytes], list[str]]:

@@ -221,3 +221,8 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
             name += "_"
         out.append(name)
     return out
+
+
+def numbered(docs: DataFrame, *keep: str) -> DataFrame:
+    """``docs`` with plain names for all columns but ``keep``, as functions over Arrow batches want them."""
+    return docs.toDF(*(c if c in keep else f"c{i}" for i, c in enumerate(docs.columns)))

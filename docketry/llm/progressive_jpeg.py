@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from docketry.llm.common import as_binary, blocks, fresh
+from docketry.llm.common import as_binary, blocks, fresh, numbered
 
 #: Bytes of payload for each 8 x 8 block of the three components.
 UNIT = 192
@@ -575,7 +575,7 @@ def decode_media(table: DataFrame, column: str = "media") -> DataFrame:
     Null media give nulls; media that are not readable as progressive JPEG give nulls and an error. Where
     ``table`` has a column of one of these names it stays, and the new one's name ends in ``_``.
     """
-    names = fresh(table, "width", "height", "rgb", "payload", "error")
+    columns, names = table.columns, fresh(table, "width", "height", "rgb", "payload", "error")
     extra = [("width", "int", pa.int32()), ("height", "int", pa.int32()), ("rgb", "binary", pa.binary()), ("payload", "binary", pa.binary()), ("error", "string", pa.string())]
 
     def decoded(media: list[bytes | None]) -> list[list]:
@@ -598,9 +598,9 @@ def decode_media(table: DataFrame, column: str = "media") -> DataFrame:
         for batch in batches:
             for part in blocks(batch, column, BATCH_BYTES):
                 rows = decoded(part.column(column).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, e[2]) for c, e in zip(zip(*rows), extra))], [*part.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, e[2]) for c, e in zip(zip(*rows), extra))], [*columns, *names])
 
-    return table.mapInArrow(run, T.StructType([*table.schema, *T.StructType.fromDDL(",".join(f"{n} {t}" for n, (_, t, _) in zip(names, extra)))]))
+    return numbered(table, column).mapInArrow(run, T.StructType([*table.schema, *T.StructType.fromDDL(",".join(f"{n} {t}" for n, (_, t, _) in zip(names, extra)))]))
 
 
 def digest(decoded: DataFrame) -> DataFrame:

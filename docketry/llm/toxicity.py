@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.llm.common import Words, blocks
+from docketry.llm.common import Words, blocks, numbered
 
 #: Labelled rows that a fit takes at most, those with the smallest hash of doc_id.
 SAMPLE_ROWS = 8000
@@ -226,6 +226,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, names: tu
     """
     value_name, predicted = names
     kept = docs.drop(value_name, predicted)
+    columns = kept.columns
     order = np.argsort(model.features)
     features, weights = model.features[order], model.weights[order]
 
@@ -244,6 +245,6 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, names: tu
                     pairs = np.unique(np.concatenate(rows) * len(features) + np.concatenate(found))
                     total += np.bincount(pairs // len(features), weights[pairs % len(features)], part.num_rows)
                 value = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value), pa.array((value >= threshold).astype(np.int32))], [*part.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value), pa.array((value >= threshold).astype(np.int32))], [*columns, *names])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema, T.StructField(value_name, T.DoubleType()), T.StructField(predicted, T.IntegerType())]))
+    return numbered(kept, "text").mapInArrow(run, T.StructType([*kept.schema, T.StructField(value_name, T.DoubleType()), T.StructField(predicted, T.IntegerType())]))
