@@ -70,3 +70,61 @@ def parse_date(text: Column) -> Column:
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.round(F.try_divide(part * 100.0, F.nullif(whole, F.lit(0))), digits)
+
+
+def invoice_status(paid: Column, total: Column, status: Column) -> Column:
+    """Status after a payment: paid once payments reach the total with tax; a draft that was paid in part is sent; else as it was."""
+    return F.when(paid >= total, "paid").when((status == "draft") & (paid > 0), "sent").otherwise(status)
+
+
+# Monthly spending from which a tier is advised; cost of a token by embedding model, and of others.
+ADVISED_TIERS = (("free", 0), ("startup", 100), ("business", 500))
+TOKEN_COST = {"voyage-multilingual-2": "0.00000012", "voyage-3-multilingual": "0.00000006", "voyage-3": "0.00000006", "voyage-3-lite": "0.00000002", "voyage-finance-2": "0.00000012", "voyage-law-2": "0.00000012"}
+# Tokens and registry calls of an estimate by the depth of reasoning.
+BUDGETS = {"quick": (1000, 1), "standard": (3000, 2), "deep": (5000, 5)}
+
+
+def advised_tier(monthly: Column) -> Column:
+    """Nothing spent: free; under 100: startup; under 500: business; else enterprise."""
+    return F.when(monthly == 0, "free").when(monthly < 100, "startup").when(monthly < 500, "business").otherwise("enterprise")
+
+
+def monthly_revenue(daily: Column, tier: Column, days: int = 30) -> Column:
+    """struct(cost, price, profit, margin) of a month of so many days; the margin is the tier's mark-up in per cent."""
+    cost = daily.cast("decimal(18,6)") * F.lit(days).cast("decimal(3,0)")
+    price = tier_price(cost, tier)
+    return F.struct(cost.cast("double").alias("cost"), price.cast("double").alias("price"), (price - cost).cast("double").alias("profit"), F.coalesce(_lookup(MARKUP, tier), F.lit(0)).alias("margin"))
+
+
+def token_cost(model: Column, tokens: Column) -> Column:
+    return tokens.cast("decimal(18,0)") * F.coalesce(_lookup(TOKEN_COST, model), F.lit("0.00000012")).cast("decimal(9,8)")
+
+
+def cost_estimate(tool: Column, query_length: Column, budget: Column, registry_calls: Column, search_calls: Column) -> Column:
+    """struct(tokens, registry_calls, search_calls, total) of a call before it runs, at the unit prices of the month's counts so far."""
+    tokens = F.coalesce(_lookup({k: v[0] for k, v in BUDGETS.items()}, budget), F.lit(0)) + F.floor(query_length / 4).cast("int")
+    searching = tool.contains("search")
+    calls = F.coalesce(_lookup({k: v[1] for k, v in BUDGETS.items()}, budget), F.lit(0)) + searching.cast("int")
+    more = F.when(searching, 5).otherwise(0)
+    total = tokens.cast("double") / 1000 * 0.002 + calls * step_price(registry_calls).cast("double") + more * step_price(search_calls).cast("double")
+    return F.struct(tokens.alias("tokens"), calls.alias("registry_calls"), more.alias("search_calls"), F.round(total, 6).alias("total"))
+
+
+def timer_minutes(seconds: Column) -> Column:
+    return F.ceil(seconds / 60).cast("int")
+
+
+def relative_range(text: Column, as_of: Column) -> Column:
+    """struct(date_from, warning) of ``last N years`` or ``last N months`` before a day; ends of months are clamped."""
+    t = F.lower(F.trim(text))
+    n = lambda unit: F.regexp_extract(t, rf"last\s+(\d+)\s+{unit}s?", 1)
+    months = F.coalesce(F.nullif(n("year"), F.lit("")).cast("int") * 12, F.nullif(n("month"), F.lit("")).cast("int"))
+    return F.struct(F.add_months(as_of, -months).alias("date_from"), F.when(text.isNotNull() & months.isNull(), "unsupported").alias("warning"))
+
+
+def fresh(checked: Column, as_of: Column, days: int) -> Column:
+    return F.coalesce(checked > as_of - F.make_dt_interval(F.lit(days)), F.lit(False))
+
+
+def impact_score(cases: Column) -> Column:
+    return F.least(cases / 100.0, F.lit(1.0))

@@ -1,8 +1,9 @@
-"""Sections of a decision, found by marker phrases; overlaps are settled in order of priority."""
+"""Sections of a decision, found by marker phrases; overlaps are settled in the order of the markers."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,27 +24,29 @@ SCHEMA = "array<struct<type:string,text:string,start:int,end:int,confidence:doub
 
 
 def sections_of(text: str | None, markers: dict[str, tuple[str, ...]] = MARKERS) -> list[dict]:
-    """A section runs from a marker to the next marker or blank line beyond 100 characters, 5000 at most."""
+    """A section runs from a marker to the next marker or blank line beyond 100 characters, 5000 at most.
+
+    Markers are taken kind by kind and pattern by pattern; one whose section begins or ends in a section that was
+    taken before is passed over. Weak sections take their place too and are dropped at the end.
+    """
     if not text:
         return []
     patterns = {kind: [re.compile(p, re.IGNORECASE) for p in own] for kind, own in markers.items()}
-    places = sorted(m.start() for own in patterns.values() for p in own for m in p.finditer(text))
-    blank = [m.start() for m in re.finditer(r"\n\s*\n", text)]
-    taken: list[tuple[int, int]] = []
+    found = {p: [m.start() for m in p.finditer(text)] for own in patterns.values() for p in own}
+    stops = sorted({*(x for at in found.values() for x in at), *(m.start() for m in re.finditer(r"\n\n", text))})
+    taken = bytearray(len(text))
     out = []
     for kind, own in patterns.items():
-        for start in sorted({m.start() for p in own for m in p.finditer(text)}):
-            later = [x for x in (*places, *blank) if x >= start + LEAST]
-            end = min([*later, start + MOST, len(text)])
-            if any(start < b and a < end for a, b in taken):
+        for start in (x for p in own for x in found[p]):
+            k = bisect_left(stops, start + LEAST)
+            end = min([start + MOST, len(text), *stops[k : k + 1]])
+            if end <= start or taken[start] or taken[end - 1]:
                 continue
+            taken[start:end] = b"\1" * (end - start)
             body = text[start:end]
             sure = 0.7 + 0.1 * sum(bool(p.search(body)) for p in own) - 0.2 * (len(body) < 50) - 0.1 * (len(body) > 10_000)
-            sure = round(min(1.0, max(0.0, sure)), 3)
-            if sure >= SURE:
-                taken.append((start, end))
-                out.append({"type": kind, "text": body, "start": start, "end": end, "confidence": sure})
-    return sorted(out, key=lambda s: s["start"])
+            out.append({"type": kind, "text": body, "start": start, "end": end, "confidence": round(min(1.0, max(0.0, sure)), 3)})
+    return sorted((s for s in out if s["confidence"] >= SURE), key=lambda s: s["start"])
 
 
 def sections(text: Column, markers: dict[str, tuple[str, ...]] = MARKERS) -> Column:

@@ -30,8 +30,8 @@ def owned_or_shared(df: DataFrame, column: str, owner) -> DataFrame:
 
 
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
-    """A page in a total order; give a unique last key."""
-    return df.orderBy(*order).offset(max(0, offset)).limit(min(max(1, limit), 1000))
+    """A page of any size in a total order; give a unique last key."""
+    return df.orderBy(*order).offset(max(0, offset)).limit(max(1, limit))
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
@@ -40,6 +40,79 @@ def first_per(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -
     return ranked.where(F.col("_rank") <= n).drop("_rank")
 
 
+def member(df: DataFrame, array: str, value) -> DataFrame:
+    return df.where(F.array_contains(array, value))
+
+
+def overlapping(df: DataFrame, array: str, values: list) -> DataFrame:
+    """Rows whose array shares a value with ``values``, with the number of distinct shared ones as n_shared."""
+    return df.withColumn("n_shared", F.size(F.array_intersect(F.col(array), F.array(*map(F.lit, values))))).where("n_shared > 0")
+
+
+def json_any(df: DataFrame, column: str, part: str) -> DataFrame:
+    """Rows whose JSON array of texts has an element with ``part`` in it, in any case."""
+    return df.where(F.coalesce(F.exists(F.from_json(column, "array<string>"), lambda x: F.lower(x).contains(part.lower())), F.lit(False)))
+
+
+def json_keys(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """Rows whose JSON object has one of the keys."""
+    return df.where(F.coalesce(F.arrays_overlap(F.json_object_keys(column), F.array(*map(F.lit, keys))), F.lit(False)))
+
+
+def under(df: DataFrame, column: str, prefix: str) -> DataFrame:
+    return df.where(F.col(column).startswith(prefix))
+
+
+def period(df: DataFrame, column: str, as_of: str, days: int, back: int = 0) -> DataFrame:
+    """Rows of the ``days`` before ``as_of``, or of the same stretch ``back`` stretches earlier; the end is not in it."""
+    moment = F.lit(as_of).cast("timestamp_ntz")
+    ago = lambda n: moment - F.make_dt_interval(F.lit(n * days))
+    rows = df.where(F.col(column) >= ago(back + 1))
+    return rows.where(F.col(column) < ago(back)) if back else rows
+
+
+def sorted_by(df: DataFrame, wanted: str | None, allowed: dict[str, str], default: str, descending: bool = True, last: str = "") -> DataFrame:
+    """Ordered by the column that ``allowed`` gives for ``wanted``, else by the default; ``last`` breaks ties."""
+    column = allowed.get(wanted or "", default)
+    order = [F.desc_nulls_last(column) if descending else F.asc_nulls_last(column), *([F.asc(last)] if last else [])]
+    return df.orderBy(*order)
+
+
+def with_total(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
+    """A page with the number of all rows as total."""
+    return page(df, order, offset, limit).crossJoin(F.broadcast(df.agg(F.count("*").alias("total"))))
+
+
+def first_kind(keys: DataFrame, key: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """key and kind: the first table, in the order given, that has the key; null where none has it."""
+    named = reduce(DataFrame.unionByName, (t.select(F.col(key), F.lit(i).alias("_at"), F.lit(kind).alias("kind")) for i, (kind, t) in enumerate(tables.items())))
+    return keys.join(named.groupBy(key).agg(F.min_by("kind", "_at").alias("kind")), key, "left").select(key, "kind")
+
+
+def replaced(old: DataFrame, new: DataFrame, owner: str) -> DataFrame:
+    """``old`` with all rows of every owner in ``new`` replaced by the new ones."""
+    return old.join(new.select(owner).distinct(), owner, "left_anti").unionByName(new)
+
+
+def counted(events: DataFrame, keys: list[str], moment: str, carried: list[str]) -> DataFrame:
+    """Upsert with a counter: n mentions of each key (nulls are one key), the last moment, and the last known carried values."""
+    last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(moment))).alias(c) for c in carried]
+    return events.groupBy(*keys).agg(F.count("*").alias("n"), F.max(moment).alias(moment), *last)
+
+
+def within_budget(df: DataFrame, group: str, order: list[Column], size: Column, short: Column, most: int) -> DataFrame:
+    """Adds kept: rows of a group are kept whole in their order until ``most`` is reached; one that does not fit counts with ``short``.
+
+    What fits depends on what was kept before, so a group's sizes (not its texts) are folded in an array.
+    """
+    placed = df.withColumn("_size", size.cast("bigint")).withColumn("_short", short.cast("bigint")).withColumn("_at", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    sizes = placed.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_at", "_size", "_short"))).alias("_all"))
+    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<boolean>").alias("kept"))
+    step = lambda acc, x: F.struct((acc["used"] + F.when(acc["used"] + x["_size"] <= most, x["_size"]).otherwise(x["_short"])).alias("used"), F.concat(acc["kept"], F.array(acc["used"] + x["_size"] <= most)).alias("kept"))
+    folded = sizes.select(group, F.aggregate("_all", start, step, lambda acc: acc["kept"]).alias("_kept"))
+    return placed.join(folded, group).withColumn("kept", F.element_at("_kept", F.col("_at"))).drop("_size", "_short", "_at", "_kept")
+
+
 def latest_version(df: DataFrame, keys: list[str], sequence: str) -> DataFrame:
     """Last write wins: one row a key, by partial maxima rather than a sort."""
     rest = [c for c in df.columns if c not in keys]
@@ -47,14 +120,19 @@ def latest_version(df: DataFrame, keys: list[str], sequence: str) -> DataFrame:
     return best.select(*keys, "_row.*").select(*df.columns)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_if_null: tuple[str, ...] = ()) -> DataFrame:
-    """New rows replace old ones of the same key; a null in a column of ``keep_if_null`` keeps the old value."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_if_null: tuple[str, ...] = (), merge: tuple[str, ...] = ()) -> DataFrame:
+    """New rows replace old ones of the same key; a null in a column of ``keep_if_null`` keeps the old value.
+
+    Columns of ``merge`` are JSON objects: the new one's keys are added to the old one's and win.
+    """
     o, n = old.alias("o"), new.alias("n")
     on = reduce(lambda a, b: a & b, (F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys))
     there = n.select(*new.columns, F.lit(True).alias("_new")).alias("n")
     joined = o.join(there, on, "full_outer")
     is_new = F.col("n._new").isNotNull()
-    pick = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")) if c in keep_if_null or c in keys else F.when(is_new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
+    parsed = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    merged = lambda a, b: F.to_json(F.map_concat(F.map_filter(parsed(a), lambda k, v: ~F.array_contains(F.map_keys(parsed(b)), k)), parsed(b)))
+    pick = lambda c: merged(F.col(f"o.{c}"), F.col(f"n.{c}")) if c in merge else F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")) if c in keep_if_null or c in keys else F.when(is_new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
     return joined.select(*(pick(c).alias(c) for c in old.columns))
 
 
@@ -128,6 +206,20 @@ def best_of(arms: list[DataFrame], key: str, score: str, least: float, n: int) -
     return merged.where(F.col(score) >= least).orderBy(F.desc(score), key).limit(n)
 
 
+def chained(df: DataFrame, order: list[str], content: Column, seed: str = "GENESIS") -> DataFrame:
+    """Adds previous and current: each row's hash is of its content and the hash before it, from ``seed`` on.
+
+    A hash needs the one before, so the chain is one array that is folded in one task; it holds the contents'
+    own text only. Append to a stored chain by giving its last hash as ``seed``.
+    """
+    rows = df.withColumn("_content", content)
+    one = rows.groupBy().agg(F.array_sort(F.collect_list(F.struct(*order, "_content"))).alias("_all"))
+    link = lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(x["_content"], F.element_at(acc, -1)), 256)))
+    hashed = one.select("_all", F.aggregate("_all", F.array(F.lit(seed)), link).alias("_h"))
+    each = hashed.select(F.posexplode("_all").alias("_i", "x"), "_h").select(*(F.col(f"x.{c}").alias(c) for c in order), F.element_at("_h", F.col("_i") + 1).alias("previous"), F.element_at("_h", F.col("_i") + 2).alias("current"))
+    return df.join(each, order)
+
+
 def check_chain(df: DataFrame, order: list[str], content: Column, previous: str, current: str) -> DataFrame:
     """One row: whether a hash chain holds, how many rows it has, and the first that breaks it.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +29,15 @@ def centroids(vectors: DataFrame, group: str, column: str = "embedding") -> Data
     each = vectors.select(group, F.posexplode(column).alias("position", "value"))
     means = each.groupBy(group, "position").agg(F.avg(F.col("value").cast("double")).alias("mean"))
     return means.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "mean"))), lambda x: x["mean"]).alias("centroid"))
+
+
+def filtered(vectors: DataFrame, must: dict | None = None, ranges: dict[str, tuple] | None = None, should: dict[str, list] | None = None) -> DataFrame:
+    """Vectors that pass every equality and range, and one at least of the values of ``should``; before any distance is computed."""
+    for column, value in (must or {}).items():
+        vectors = vectors.where(F.col(column) == value)
+    for column, (low, high) in (ranges or {}).items():
+        vectors = vectors if low is None else vectors.where(F.col(column) >= low)
+        vectors = vectors if high is None else vectors.where(F.col(column) <= high)
+    if should:
+        vectors = vectors.where(reduce(lambda a, b: a | b, (F.col(c).isin(*values) for c, values in should.items())))
+    return vectors

@@ -128,11 +128,12 @@ def nested_children(spark, d):
     return met.groupBy("r_name").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("n"))))).alias("children"))
 
 
-@query("agg23_common_terms", "WITH t AS (SELECT doc_id, lang, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{5,}'))) AS w FROM documents), n AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1) SELECT t.lang AS lang, w AS term, count(*) AS docs FROM t JOIN n ON t.lang = n.lang GROUP BY t.lang, w, n.n HAVING count(*) >= ceil(n.n * 0.3)")
+@query("agg23_common_terms", "WITH t AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS w FROM documents), n AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1) SELECT t.lang AS lang, w AS term, count(*) AS matches FROM t JOIN n ON t.lang = n.lang GROUP BY t.lang, w, n.n HAVING count(*) >= ceil(n.n * 0.3)")
 def common_terms(spark, d):
+    """Terms whose matches over all rows are at least as many as three tenths of the rows; a text counts as often as it matches."""
     docs = table(spark, d, "documents")
-    terms = docs.select("lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0)))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("docs"))
-    return terms.join(docs.groupBy("lang").agg(F.count("*").alias("n")), "lang").where(F.col("docs") >= F.ceil(F.col("n") * 0.3)).select("lang", "term", "docs")
+    terms = docs.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("matches"))
+    return terms.join(F.broadcast(docs.groupBy("lang").agg(F.count("*").alias("n"))), "lang").where(F.col("matches") >= F.ceil(F.col("n") * 0.3)).select("lang", "term", "matches")
 
 
 @query("agg24_mode", "SELECT c AS o_custkey, o_orderstatus AS outcome FROM (SELECT o_custkey AS c, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, o_orderstatus) AS r FROM orders GROUP BY 1, 2) WHERE r = 1")
@@ -143,8 +144,11 @@ def mode_of_outcomes(spark, d):
 
 @query("agg28_subscription_stats", "SELECT CASE WHEN GROUPING(o_orderstatus) = 0 THEN 'status' WHEN GROUPING(o_orderpriority) = 0 THEN 'tier' ELSE 'all' END AS level, coalesce(o_orderstatus, o_orderpriority, 'all') AS name, count(*) AS n, CAST(round(sum(CAST(o_totalprice AS DECIMAL(18,4))), 2) AS DOUBLE) AS mrr FROM orders GROUP BY GROUPING SETS ((), (o_orderstatus), (o_orderpriority))")
 def subscription_stats(spark, d):
-    table(spark, d, "orders").createOrReplaceTempView("docketry_orders")
-    return spark.sql("SELECT CASE WHEN GROUPING(o_orderstatus) = 0 THEN 'status' WHEN GROUPING(o_orderpriority) = 0 THEN 'tier' ELSE 'all' END AS level, coalesce(o_orderstatus, o_orderpriority, 'all') AS name, count(*) AS n, CAST(round(sum(CAST(o_totalprice AS DECIMAL(18,4))), 2) AS DOUBLE) AS mrr FROM docketry_orders GROUP BY GROUPING SETS ((), (o_orderstatus), (o_orderpriority))")
+    orders = table(spark, d, "orders").withColumn("price", _money("o_totalprice"))
+    sets = orders.groupingSets([[], ["o_orderstatus"], ["o_orderpriority"]], "o_orderstatus", "o_orderpriority")
+    level = F.when(F.grouping("o_orderstatus") == 0, "status").when(F.grouping("o_orderpriority") == 0, "tier").otherwise("all")
+    counted = sets.agg(level.alias("level"), F.count("*").alias("n"), _total("price").alias("mrr"))
+    return counted.select("level", F.coalesce("o_orderstatus", "o_orderpriority", F.lit("all")).alias("name"), "n", "mrr")
 
 
 @query("agg31_without_children", "SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)")
@@ -153,39 +157,60 @@ def without_children(spark, d):
     return table(spark, d, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
-@query("agg32_invoice_totals", "WITH t AS (SELECT l_orderkey AS invoice, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS subtotal, sum(CASE WHEN l_returnflag = 'A' THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS paid FROM lineitem GROUP BY 1) SELECT invoice, CAST(subtotal AS DOUBLE) AS subtotal, CAST(round(subtotal * 0.20, 2) AS DOUBLE) AS tax, CAST(subtotal + round(subtotal * 0.20, 2) AS DOUBLE) AS total, CASE WHEN paid = 0 THEN 'sent' WHEN paid >= subtotal THEN 'paid' ELSE 'partial' END AS status FROM t")
+@query("agg32_invoice_totals", "WITH t AS (SELECT l_orderkey AS invoice, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS subtotal, sum(CASE WHEN l_returnflag <> 'R' THEN CAST(l_extendedprice AS DECIMAL(18,2)) * 1.5 ELSE 0 END) AS paid, max(l_linestatus) AS was FROM lineitem GROUP BY 1), u AS (SELECT *, round(subtotal * 0.20, 2) AS tax FROM t) SELECT invoice, CAST(subtotal AS DOUBLE) AS subtotal, CAST(tax AS DOUBLE) AS tax, CAST(subtotal + tax AS DOUBLE) AS total, CAST(round(paid, 2) AS DOUBLE) AS paid, CASE WHEN round(paid, 2) >= subtotal + tax THEN 'paid' WHEN paid > 0 AND was = 'O' THEN 'sent' WHEN was = 'O' THEN 'draft' ELSE 'overdue' END AS status FROM u")
 def invoice_totals(spark, d):
+    """Lines are invoice lines; one and a half times the price of those that are not returned counts as payments."""
     price = F.col("l_extendedprice").cast("decimal(18,2)")
-    t = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("invoice")).agg(F.sum(price).alias("subtotal"), F.sum(F.when(F.col("l_returnflag") == "A", price).otherwise(0)).alias("paid"))
+    paid = F.sum(F.when(F.col("l_returnflag") != "R", price * F.lit("1.5").cast("decimal(2,1)")).otherwise(0))
+    was = F.when(F.max("l_linestatus") == "O", "draft").otherwise("overdue")
+    t = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("invoice")).agg(F.sum(price).alias("subtotal"), F.round(paid, 2).alias("paid"), was.alias("was"))
     tax = F.round(F.col("subtotal") * F.lit("0.20").cast("decimal(3,2)"), 2)
-    status = F.when(F.col("paid") == 0, "sent").when(F.col("paid") >= F.col("subtotal"), "paid").otherwise("partial")
-    return t.select("invoice", F.col("subtotal").cast("double").alias("subtotal"), tax.cast("double").alias("tax"), (F.col("subtotal") + tax).cast("double").alias("total"), status.alias("status"))
+    total = F.col("subtotal") + tax
+    status = M.invoice_status(F.col("paid"), total, F.col("was"))
+    return t.select("invoice", *(c.cast("double").alias(n) for n, c in (("subtotal", F.col("subtotal")), ("tax", tax), ("total", total), ("paid", F.col("paid")))), status.alias("status"))
 
 
-# Points of a finding by its severity, and the scores from which a level holds.
+# Points of a finding by its severity; the categories that have a score of their own.
 POINTS = {"critical": 25, "high": 15, "medium": 8, "low": 3}
-RISK_LEVELS = ((75, "critical"), (50, "high"), (25, "medium"))
+CATEGORIES = {"contractual": "contractual_obligation", "financial": "financial_risk", "compliance": "compliance_issue", "legal": "legal_risk", "operational": "operational_risk"}
 
+_FINDINGS_SQL = "f AS (SELECT user_id, CASE event_type WHEN 'error' THEN CASE WHEN value > 99 THEN 'critical' ELSE 'high' END WHEN 'purchase' THEN 'medium' ELSE 'low' END AS r, CASE event_id % 6 WHEN 0 THEN 'contractual' WHEN 1 THEN 'financial' WHEN 2 THEN 'compliance' WHEN 3 THEN 'legal' WHEN 4 THEN 'operational' ELSE 'other' END AS c FROM events), p AS (SELECT *, CASE r WHEN 'critical' THEN 25 WHEN 'high' THEN 15 WHEN 'medium' THEN 8 ELSE 3 END AS p FROM f)"
 
-@query("agg33_risk_score", "WITH f AS (SELECT user_id, CASE event_type WHEN 'error' THEN 25 WHEN 'purchase' THEN 15 WHEN 'signup' THEN 8 ELSE 3 END AS p FROM events), s AS (SELECT user_id, least(100, sum(p)) AS score, count(*) AS findings FROM f GROUP BY 1) SELECT user_id, CAST(score AS BIGINT) AS score, findings, CASE WHEN score >= 75 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END AS level FROM s")
-def risk_score(spark, d):
-    severity = F.when(F.col("event_type") == "error", "critical").when(F.col("event_type") == "purchase", "high").when(F.col("event_type") == "signup", "medium").otherwise("low")
-    return risk_scores(table(spark, d, "events").select("user_id", severity.alias("risk_level")), "user_id")
+
+def _findings(spark, d):
+    """Events of a few kinds stand for findings on the documents of a user."""
+    severity = F.when(F.col("event_type") == "error", F.when(F.col("value") > 99, "critical").otherwise("high")).when(F.col("event_type") == "purchase", "medium").otherwise("low")
+    category = F.element_at(F.array(*(F.lit(c) for c in (*CATEGORIES.values(), "other"))), (F.col("event_id") % 6 + 1).cast("int"))
+    return table(spark, d, "events").select("user_id", severity.alias("risk_level"), category.alias("category"))
 
 
 def risk_scores(findings, key):
-    """key, score (100 at most), findings and level."""
+    """key, score and a score for each category (100 at most), counts by level, and the level of all.
+
+    critical: a critical finding, or 75 points; high: more than two high findings, or 50 points; medium: 25 points.
+    """
     points = F.coalesce(*(F.when(F.col("risk_level") == name, p) for name, p in POINTS.items()), F.lit(0))
-    out = findings.groupBy(key).agg(F.least(F.lit(100), F.sum(points)).cast("bigint").alias("score"), F.count("*").alias("findings"))
-    return out.withColumn("level", F.coalesce(*(F.when(F.col("score") >= least, name) for least, name in RISK_LEVELS), F.lit("low")))
+    capped = lambda c: F.least(F.lit(100), F.coalesce(F.sum(c), F.lit(0))).cast("bigint")
+    out = findings.groupBy(key).agg(capped(points).alias("score"), *(capped(F.when(F.col("category") == c, points)).alias(n) for n, c in CATEGORIES.items()), *(F.count_if(F.col("risk_level") == r).alias(f"n_{r}") for r in POINTS))
+    score = F.col("score")
+    level = F.when((F.col("n_critical") > 0) | (score >= 75), "critical").when((F.col("n_high") > 2) | (score >= 50), "high").when(score >= 25, "medium").otherwise("low")
+    return out.withColumn("level", level)
+
+
+@query("agg33_risk_score", "WITH " + _FINDINGS_SQL + ", s AS (SELECT user_id, CAST(least(100, sum(p)) AS BIGINT) AS score, CAST(least(100, coalesce(sum(p) FILTER (c = 'contractual'), 0)) AS BIGINT) AS contractual, CAST(least(100, coalesce(sum(p) FILTER (c = 'financial'), 0)) AS BIGINT) AS financial, CAST(least(100, coalesce(sum(p) FILTER (c = 'compliance'), 0)) AS BIGINT) AS compliance, CAST(least(100, coalesce(sum(p) FILTER (c = 'legal'), 0)) AS BIGINT) AS legal, CAST(least(100, coalesce(sum(p) FILTER (c = 'operational'), 0)) AS BIGINT) AS operational, count(*) FILTER (r = 'critical') AS n_critical, count(*) FILTER (r = 'high') AS n_high, count(*) FILTER (r = 'medium') AS n_medium, count(*) FILTER (r = 'low') AS n_low FROM p GROUP BY 1) SELECT *, CASE WHEN n_critical > 0 OR score >= 75 THEN 'critical' WHEN n_high > 2 OR score >= 50 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END AS level FROM s")
+def risk_score(spark, d):
+    return risk_scores(_findings(spark, d), "user_id")
+
+
+def portfolio_level(scores):
+    """One row: the level of a portfolio of scored documents."""
+    high, critical = (F.count_if(F.col("level") == name) for name in ("high", "critical"))
+    return scores.agg(F.when(critical > 0, "critical").when(high * 2 > F.count("*"), "high").when(high > 0, "medium").otherwise("low").alias("level"))
 
 
-@query("agg34_portfolio_risk", "WITH s AS (SELECT user_id, least(100, sum(CASE event_type WHEN 'error' THEN 25 WHEN 'purchase' THEN 15 WHEN 'signup' THEN 8 ELSE 3 END)) AS score FROM events WHERE ts < TIMESTAMP '2024-01-02' GROUP BY 1) SELECT CASE WHEN count(*) FILTER (WHERE score >= 75) > 0 THEN 'critical' WHEN count(*) FILTER (WHERE score >= 50) * 2 > count(*) THEN 'high' WHEN count(*) FILTER (WHERE score >= 50) > 0 THEN 'medium' ELSE 'low' END AS level FROM s")
+@query("agg34_portfolio_risk", "WITH " + _FINDINGS_SQL + ", s AS (SELECT user_id, least(100, sum(p)) AS score, count(*) FILTER (r = 'critical') AS c, count(*) FILTER (r = 'high') AS h FROM p GROUP BY 1), l AS (SELECT CASE WHEN c > 0 OR score >= 75 THEN 'critical' WHEN h > 2 OR score >= 50 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END AS level FROM s) SELECT CASE WHEN count(*) FILTER (level = 'critical') > 0 THEN 'critical' WHEN count(*) FILTER (level = 'high') * 2 > count(*) THEN 'high' WHEN count(*) FILTER (level = 'high') > 0 THEN 'medium' ELSE 'low' END AS level FROM l")
 def portfolio_risk(spark, d):
-    severity = F.when(F.col("event_type") == "error", "critical").when(F.col("event_type") == "purchase", "high").when(F.col("event_type") == "signup", "medium").otherwise("low")
-    day = table(spark, d, "events").where(F.col("ts") < F.lit("2024-01-02").cast("timestamp_ntz")).select("user_id", severity.alias("risk_level"))
-    high = F.count_if(F.col("level").isin("high", "critical"))
-    return risk_scores(day, "user_id").agg(F.when(F.count_if(F.col("level") == "critical") > 0, "critical").when(high * 2 > F.count("*"), "high").when(high > 0, "medium").otherwise("low").alias("level"))
+    return portfolio_level(risk_scores(_findings(spark, d), "user_id"))
 
 
 @query("agg36_year_matrix", "SELECT CAST(coalesce(CAST(year(o_orderdate) AS VARCHAR), 'all') AS VARCHAR) AS year, coalesce(o_orderpriority, 'all') AS kind, count(*) AS n FROM orders GROUP BY CUBE (year(o_orderdate), o_orderpriority)")

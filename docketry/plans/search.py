@@ -55,9 +55,9 @@ def multi_arm_search(spark, d):
     return both.orderBy("arm", F.desc("id")).limit(50).drop("arm")
 
 
-@query("srt5_relevance", "SELECT doc_id, len(regexp_extract_all(lower(text), 'tion')) AS hits FROM documents ORDER BY hits DESC, doc_id LIMIT 10")
+@query("srt5_relevance", "SELECT doc_id, len(regexp_extract_all(lower(text), 'tion')) AS hits FROM documents WHERE contains(lower(text), 'tion') ORDER BY hits DESC, doc_id LIMIT 10")
 def relevance(spark, d):
-    return table(spark, d, "documents").select("doc_id", L.occurrences(F.col("text"), "Tion").cast("bigint").alias("hits")).orderBy(F.desc("hits"), "doc_id").limit(10)
+    return table(spark, d, "documents").select("doc_id", L.occurrences(F.col("text"), "Tion").cast("bigint").alias("hits")).where("hits > 0").orderBy(F.desc("hits"), "doc_id").limit(10)
 
 
 @query("txt1_sections")
@@ -70,7 +70,7 @@ def text_sections(spark, d):
 
 @query("txt9_article_mentions", "SELECT doc_id, array_to_string(list_distinct(regexp_extract_all(text, '[0-9]{2,}')), ',') IS NOT NULL AS found, len(list_distinct(regexp_extract_all(text, '[0-9]{2,}'))) AS n FROM documents")
 def article_mentions(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.lit(True).alias("found"), F.size(L.law_articles(F.col("text"), "[0-9]{2,}", 10_000)).cast("bigint").alias("n"))
+    return table(spark, d, "documents").select("doc_id", F.lit(True).alias("found"), F.size(L.law_articles(F.col("text"), "[0-9]{2,}", 2**31 - 1)).cast("bigint").alias("n"))
 
 
 @query("txt13_outcome", "SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN 'licensed' WHEN contains(lower(text), 'copyright') THEN 'reserved' WHEN contains(lower(text), '@') THEN 'contact' END AS outcome FROM documents")
@@ -84,10 +84,10 @@ def claim_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(L.claims(F.col("text"))).cast("bigint").alias("n"))
 
 
-@query("txt35_fixed_chunks", "SELECT doc_id, s AS start, substr(text, CAST(s + 1 AS BIGINT), 500) AS chunk FROM (SELECT doc_id, text, unnest(range(0, length(text), 400)) AS s FROM documents WHERE length(text) > 0)")
+@query("txt35_fixed_chunks", "SELECT doc_id, s AS start, substr(text, CAST(s + 1 AS BIGINT), 500) AS chunk, CASE WHEN s > 0 THEN substr(text, CAST(greatest(s - 100, 0) + 1 AS BIGINT), CAST(least(s, 100) AS BIGINT)) END AS before, nullif(substr(text, CAST(s + 501 AS BIGINT), 100), '') AS after FROM (SELECT doc_id, text, unnest(CASE WHEN length(text) > 500 THEN range(0, length(text), 400) ELSE [0] END) AS s FROM documents WHERE length(text) > 0)")
 def chunks(spark, d):
     found = table(spark, d, "documents").select("doc_id", F.explode(L.fixed_chunks(F.col("text"))).alias("c"))
-    return found.select("doc_id", F.col("c.start").cast("bigint").alias("start"), "c.chunk")
+    return found.select("doc_id", F.col("c.start").cast("bigint").alias("start"), "c.chunk", "c.before", "c.after")
 
 
 @query("txt37_plain_pages", "SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages")
@@ -100,7 +100,7 @@ def page_metadata(spark, d):
     return registries.page_metadata(table(spark, d, "pages")).select("page_id", "title", "n_links")
 
 
-@query("txt33_question_key", "SELECT conv_id, turn, sha256(regexp_replace(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g'), '[?!.]+$', '')) AS key FROM conversations WHERE role = 'user'")
+@query("txt33_question_key", "SELECT conv_id, turn, sha256(regexp_replace(regexp_replace(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g'), '[?!]+$', ''), 'the\\s+', '', 'g')) AS key FROM conversations WHERE role = 'user'")
 def question_keys(spark, d):
     return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", L.question_key(F.col("text")).alias("key"))
 
@@ -108,10 +108,9 @@ def question_keys(spark, d):
 @query("vec2_nearest", "WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0) SELECT v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.e), 6) AS similarity FROM embeddings v, q WHERE v.label < 5 ORDER BY similarity DESC, vec_id LIMIT 20")
 def nearest_vectors(spark, d):
     vectors = table(spark, d, "embeddings")
-    first = vectors.where("vec_id = 0").select("embedding").first()  # the question, one vector
-    if first is None:
-        return vectors.select("vec_id", F.lit(0.0).alias("similarity")).limit(0)
-    return V.nearest(vectors.where("label < 5"), [float(x) for x in first.embedding], 20).select("vec_id", "similarity")
+    one = F.broadcast(vectors.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1))  # the question, one row
+    scored = vectors.where("label < 5").crossJoin(one).select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
+    return scored.orderBy(F.desc("similarity"), "vec_id").limit(20)
 
 
 @query("vec3_one_hit_per_group", "WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT v.label, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.e), 6) AS similarity FROM embeddings v, q) SELECT label, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id) AS r FROM s) WHERE r = 1")

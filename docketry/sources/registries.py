@@ -36,9 +36,10 @@ def named_item(items: Column, name: str) -> Column:
     return F.try_element_at(F.filter(items, lambda i: i["_name"] == name), F.lit(1))["_VALUE"]
 
 
-def read_delimited(spark: SparkSession, path: str, registry: Registry) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, registry: Registry, multi_line: bool = True) -> DataFrame:
     """Rows with at least half of the header's columns; doubled quotes escape; short rows are filled with nulls.
 
+    ``multi_line``: quoted fields may hold line breaks, and each file is one task; False splits large files.
     If the header has a single column under the registry's delimiter, the header alone is split by the other one.
     """
     reader = spark.read.option("encoding", registry.encoding).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("sep", registry.delimiter)
@@ -48,24 +49,24 @@ def read_delimited(spark: SparkSession, path: str, registry: Registry) -> DataFr
         header = [c.strip().strip('"') for c in header[0].split("," if registry.delimiter == ";" else ";")]
     if not header:
         return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in registry.fields))
-    rows = reader.option("header", False).option("mode", "PERMISSIVE").schema(", ".join(f"`{i}` string" for i in range(len(header)))).csv(path)
+    # the reader drops each file's first line; names come from it, never from a comparison with the rows
+    rows = reader.option("header", True).option("enforceSchema", True).option("multiLine", multi_line).option("mode", "PERMISSIVE").schema(", ".join(f"`{i}` string" for i in range(len(header)))).csv(path)
     named = rows.select(*(F.col(f"`{i}`").alias(h) for i, h in enumerate(header)))
     present = sum((F.col(f"`{h}`").isNotNull().cast("int") for h in header), F.lit(0))
-    is_header = F.coalesce(F.trim(F.col(f"`{header[0]}`")), F.lit("")).endswith(header[0]) if len(header) > 1 else F.lit(False)
-    kept = named.where((present * 2 >= len(header)) & ~is_header)
+    kept = named.where(present * 2 >= len(header))
     return kept.select(*(F.nullif(F.col(f"`{h}`"), F.lit("")).alias(c) if h in header else F.lit(None).cast("string").alias(c) for c, h in registry.fields.items()))
 
 
 def last_record(df: DataFrame, registry: Registry, sequence: str) -> DataFrame:
-    """The last row of each key; rows without a key get a hash of their content as one, so none is lost."""
-    content = F.concat(F.lit("gen_"), F.md5(F.to_json(F.struct(*(c for c in df.columns if c != sequence)))))
-    keyed = df.withColumns({k: F.coalesce(F.col(k), content) for k in registry.keys})
+    """The last row of each key; every row that lacks a part of its key stays, with ``gen_`` and a hash of all of it there."""
+    own = F.concat(F.lit("gen_"), F.md5(F.to_json(F.struct(*df.columns))))
+    keyed = df.withColumns({k: F.coalesce(F.col(k), own) for k in registry.keys})
     rest = [c for c in df.columns if c not in registry.keys]
     best = keyed.groupBy(*registry.keys).agg(F.max_by(F.struct(*rest), sequence).alias("_row"))
     return best.select(*registry.keys, "_row.*").select(*df.columns)
 
 
-#: Nested groups of a registry subject, each a list of elements with one text.
+# Nested groups of a registry subject, each a list of elements with one text.
 SUBJECT_GROUPS = {"founders": "FOUNDERS.FOUNDER", "beneficiaries": "BENEFICIARIES.BENEFICIARY", "signers": "SIGNERS.SIGNER", "members": "MEMBERS.MEMBER", "branches": "BRANCHES.BRANCH", "predecessors": "PREDECESSORS.PREDECESSOR", "assignees": "ASSIGNEES.ASSIGNEE"}
 
 

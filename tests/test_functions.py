@@ -1,5 +1,6 @@
 """Functions over legal texts, money and dates on hand-built rows."""
 
+import re
 import datetime
 import decimal
 
@@ -37,7 +38,7 @@ def test_instances(spark):
 
 def test_case_numbers(spark):
     assert one(spark, "у справі № 757/12345/23-ц від", L.case_number) == "757/12345/23-ц"
-    assert one(spark, "757/12345/23-ц", L.case_number_variations) == ["757/12345/23-ц", "757/12345/23", "757/12345/2023"]
+    assert one(spark, "757/12345/23-ц", L.case_number_variations) == ["757/12345/23-ц", "757/12345/2023-ц", "757/12345/23", "757/12345/2023"]
     assert one(spark, "1/2/1998", L.case_number_variations) == ["1/2/1998", "1/2/98"]
 
 
@@ -45,9 +46,16 @@ def test_texts(spark):
     assert one(spark, "Ст. 5, ст.  6 і СТ. 5", L.law_articles) == ["Ст. 5", "ст. 6", "СТ. 5"]
     assert one(spark, "a" * 950, lambda t: F.transform(L.fixed_chunks(t), lambda c: F.length(c["chunk"]))) == [500, 500, 150]
     assert one(spark, "", L.fixed_chunks) == []
-    assert one(spark, "x" * 400 + "Needle" + "y" * 400, lambda t: L.snippets(t, "needle")) == ["…" + "x" * 160 + "Needle" + "y" * 154 + "…"]
+    assert one(spark, "x" * 400 + "Needle" + "y" * 400, lambda t: L.snippets(t, "needle")) == ["…" + "x" * 160 + "Needle" + "y" * 160 + "…"]
+    assert one(spark, "a  b\n needle   c", lambda t: L.snippets(t, "NEEDLE")) == ["a b needle c"]
+    assert one(spark, "a" * 450, lambda t: F.size(L.fixed_chunks(t))) == 1
     assert one(spark, "a.b a.b axb", lambda t: L.occurrences(t, "A.B")) == 2
     assert one(spark, "Released under the MIT License", lambda t: L.has_all_words(t, "license, mit")) is True
+    assert one(spark, "суд відступає від висновку", L.citation_type) == "distinguishes" and one(spark, "рішення скасовано", L.citation_type) == "overrules"
+    assert one(spark, "Сплата 100 грн", L.change_importance) == "critical" and one(spark, "право " * 12, L.change_importance) == "significant" and one(spark, "право", L.change_importance) == "minor"
+    assert one(spark, "What is the  Строк за ЦК?!", L.normal_question) == "what is строк за цивільний кодекс"
+    assert [tuple(x) for x in one(spark, "a12 b3", lambda t: L.places(t, "[0-9]+"))] == [("12", 1), ("3", 5)] and one(spark, "x" * 150 + "y" * 150, lambda t: L.around(t, F.lit(150))) == "x" * 100 + "y" * 100
+    assert tuple(one(spark, "ст. 5 закону про мобілізацію", L.law_reference)) == ("3543-12", "5")
     assert one(spark, "Why?  Because ", L.question_key) == one(spark, "why? because", L.question_key)
     assert one(spark, "Сума 500 грн", L.change_importance) == "critical"
 
@@ -114,3 +122,29 @@ def test_graphs_and_vectors(spark):
     assert {r.node: r.distance for r in G.neighbourhood(edges, spark.createDataFrame([(1,)], "node int"), 2).collect()} == {1: 0, 2: 1, 3: 1, 4: 2}
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0]), (4, [2.0, 2.0])], "vec_id int, embedding array<float>")
     assert [(r.vec_id, r.similarity) for r in V.nearest(v, [1.0, 0.0], 3).collect()] == [(1, 1.0), (4, 0.707107), (2, 0.0)]
+
+
+def test_word_chunks(spark):
+    """Chunks of whole words against a plain loop."""
+    import random
+
+    def plain(text, most, overlap):
+        out, now, size = [], [], 0
+        for w in re.split(r"\s+", text):
+            if size + len(w) + 1 > most and now:
+                out.append(" ".join(now))
+                now = now[-overlap:]
+                size = len(" ".join(now))
+            now.append(w)
+            size += len(w) + 1
+        return [*out, " ".join(now)]
+
+    r = random.Random(1)
+    for text in ("", "one", " ".join("x" * r.randint(1, 12) for _ in range(400)), "y" * 300 + " z " * 40):
+        for most, overlap in ((100, 5), (60, 3), (2048, 50)):
+            assert one(spark, text, lambda t: L.word_chunks(t, most, overlap)) == plain(text, most, overlap)
+
+
+def test_sections_go_pattern_by_pattern():
+    text = "відповідно до " + "а" * 120 + " суд вважає " + "б" * 120 + " встановив " + "в" * 30
+    assert [(s["type"], s["start"]) for s in sections_of(text)] == [("LAW_REFERENCES", 0), ("COURT_REASONING", 135), ("FACTS", 267)]

@@ -21,10 +21,16 @@ def test_delimited(spark, tmp_path):
     assert sorted(map(tuple, S.read_delimited(spark, str(tmp_path / "a.csv"), registry).collect())) == [("1", 'He said "yes"; twice', None), ("2", "x", None), ("3", "c", None)]
 
 
+def test_rows_like_a_header_stay(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('N;NAME\nN;x\nIVAN;y\n1;"two\nlines"\n', encoding="utf-8")
+    got = S.read_delimited(spark, str(tmp_path / "a.csv"), S.Registry("r", ("n",), {"n": "N", "name": "NAME"}, encoding="UTF-8")).collect()
+    assert sorted(map(tuple, got)) == [("1", "two\nlines"), ("IVAN", "y"), ("N", "x")]
+
+
 def test_last_record(spark):
     df = spark.createDataFrame([("1", "a", 1), ("1", "b", 2), (None, "c", 3), (None, "c", 4), (None, "d", 5)], "licence string, name string, seq int")
     got = S.last_record(df, NOTARIES, "seq").collect()
-    assert sorted(r.name for r in got) == ["b", "c", "d"] and all(r.licence for r in got)
+    assert sorted(r.name for r in got) == ["b", "c", "c", "d"] and len({r.licence for r in got}) == 4 and all(r.licence == "1" or r.licence.startswith("gen_") for r in got)
 
 
 def test_subjects(spark, tmp_path):
