@@ -86,8 +86,9 @@ def hash_chain(spark, d):
 
 @query("win5_invoice_numbers", "SELECT o_orderkey, concat('INV-', year(o_orderdate), '-', lpad(CAST(row_number() OVER (PARTITION BY year(o_orderdate), o_orderpriority ORDER BY o_orderdate, o_orderkey) AS VARCHAR), 6, '0')) AS number FROM orders")
 def invoice_numbers(spark, d):
-    by = Window.partitionBy(F.year("o_orderdate"), "o_orderpriority").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("INV-"), F.year("o_orderdate"), F.lit("-"), F.lpad(F.row_number().over(by).cast("string"), 6, "0")).alias("number"))
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority", F.year("o_orderdate").alias("year"))
+    placed = R.numbered(rows, ["year", "o_orderpriority"], ["o_orderdate", "o_orderkey"])
+    return placed.select("o_orderkey", F.concat(F.lit("INV-"), "year", F.lit("-"), F.lpad(F.col("position").cast("string"), 6, "0")).alias("number"))
 
 
 @query("win9_conversation_window", "SELECT conv_id, turn, used FROM (SELECT conv_id, turn, row_number() OVER w AS r, CAST(sum(least(length(text), 2000) + 20) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) WHERE r <= 4 AND used <= 3000")

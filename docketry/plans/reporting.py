@@ -81,9 +81,9 @@ def period_change(spark, d):
 
 @query("agg9_cost_by_provider", "WITH calls AS (SELECT o_orderkey, o_orderpriority AS provider, list({'model': l_returnflag, 'cost': l_extendedprice}) AS c FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2) SELECT provider, u.model AS model, count(*) AS requests, CAST(round(sum(CAST(u.cost AS DECIMAL(18,4))), 2) AS DOUBLE) AS cost FROM (SELECT provider, unnest(c) AS u FROM calls) GROUP BY 1, 2")
 def cost_by_provider(spark, d):
-    calls = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_returnflag").alias("model"), F.col("l_extendedprice").alias("cost"))).alias("calls"))
+    calls = table(spark, d, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("model"), _money("l_extendedprice").alias("cost"))
     met = calls.join(table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("provider")), F.col("l_orderkey") == F.col("o_orderkey"))
-    return met.select("provider", F.inline("calls")).groupBy("provider", "model").agg(F.count("*").alias("requests"), _total(_money("cost")).alias("cost"))
+    return met.groupBy("provider", "model").agg(F.count("*").alias("requests"), _total("cost").alias("cost"))
 
 
 @query("agg11_hourly_by_model", "SELECT date_trunc('hour', ts) AS hour, " + ", ".join(f"CAST(round(sum(CAST(value AS DECIMAL(18,4))) FILTER (WHERE event_type = '{t}'), 2) AS DOUBLE) AS \"{t}\"" for t in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1")
@@ -250,8 +250,8 @@ def tier_prices(spark, d):
 
 @query("mth7_stepped_price", "WITH n AS (SELECT event_id, row_number() OVER (PARTITION BY date_trunc('month', ts), event_type ORDER BY ts, event_id) AS n FROM events) SELECT event_id, n, CASE WHEN n <= 10000 THEN 0.00714 WHEN n <= 20000 THEN 0.00690 WHEN n <= 30000 THEN 0.00667 WHEN n <= 50000 THEN 0.00643 ELSE 0.00238 END::DOUBLE AS price FROM n")
 def stepped_prices(spark, d):
-    by = Window.partitionBy(F.date_trunc("month", "ts"), "event_type").orderBy("ts", "event_id")
-    return table(spark, d, "events").select("event_id", F.row_number().over(by).cast("bigint").alias("n")).withColumn("price", M.step_price(F.col("n")).cast("double"))
+    rows = table(spark, d, "events").select("event_id", "ts", "event_type", F.date_trunc("month", "ts").alias("month"))
+    return R.numbered(rows, ["month", "event_type"], ["ts", "event_id"]).select("event_id", F.col("position").cast("bigint").alias("n")).withColumn("price", M.step_price(F.col("n")).cast("double"))
 
 
 @query("mth10_line_amount", "SELECT l_orderkey, l_linenumber, CAST(round(CAST(round(CAST(l_quantity AS BIGINT) * 1.00 / 60, 2) AS DECIMAL(10,2)) * CAST(l_extendedprice AS DECIMAL(12,2)), 2) AS DOUBLE) AS amount FROM lineitem")

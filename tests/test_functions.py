@@ -148,3 +148,47 @@ def test_word_chunks(spark):
 def test_sections_go_pattern_by_pattern():
     text = "відповідно до " + "а" * 120 + " суд вважає " + "б" * 120 + " встановив " + "в" * 30
     assert [(s["type"], s["start"]) for s in sections_of(text)] == [("LAW_REFERENCES", 0), ("COURT_REASONING", 135), ("FACTS", 267)]
+
+
+def test_word_changes(spark):
+    """The old text with its deletions taken out and the additions put in is the new one."""
+    pairs = [("Сплата 100 грн до 01.02.2024", "Сплата 200 грн"), ("", "new words here"), ("same text", "same text"), ("a b c d", "d c b a"), ("x", None)]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, old string, new string").select("i", "old", "new", L.word_changes(F.col("old"), F.col("new")).alias("c")).collect()
+    for r in rows:
+        mixed, at = [], 0
+        old = r.old
+        for c in r.c:
+            gap = c["place"] - at
+            mixed.append(old[:gap])
+            old, at = old[gap:], at + gap
+            if c["kind"] == "deletion":
+                assert old.startswith(c["text"])
+                old = old[len(c["text"]) :]
+            else:
+                mixed.append(c["text"])
+            at += len(c["text"])
+        assert "".join(mixed) + old == (r.new or "")
+
+
+def test_tools(spark):
+    from docketry.plans.fixtures import ARTICLES, DECISIONS, MEMBERS, NUMBERS, QUESTIONS, VOTES
+    from docketry.tools import TOOLS
+
+    assert len(TOOLS) >= 45
+    status = {r.number: r.status for r in TOOLS["check_precedent_status"](NUMBERS.frame(spark), DECISIONS.frame(spark)).collect()}
+    assert status["757/123/23-ц"] == "explicitly_overruled" and status["1/1/2001"] == "unknown"
+    assert TOOLS["classify_intent"](QUESTIONS.frame(spark)).where("intent.intent = 'tax_dispute'").count() == 1
+    assert [r.article_number for r in TOOLS["search_legislation"](ARTICLES.frame(spark), "Строк", 1).collect()] == ["10"]
+    assert {r.member_id for r in TOOLS["get_deputy_info"](MEMBERS.frame(spark), faction="ОПЗЖ").collect()} == {"8", "9"}
+    assert TOOLS["analyze_voting_record"](VOTES.frame(spark), "7").first().voted_for == 2
+    found = TOOLS["get_legislation_article"](ARTICLES.frame(spark), spark.createDataFrame([("ст. 354 ЦК",), ("none",)], "reference string")).collect()
+    assert [(r.rada_id, r.article_number) for r in found] == [("435-15", "354")]
+    firms = {"firm": spark.createDataFrame([(1, "Alpha"), (2, "Beta")], "record int, name string"), "person": spark.createDataFrame([(3, "alpha")], "record int, name string")}
+    assert [(r.kind, r.record) for r in TOOLS["search_entities"](firms, ["name"], "ALPHA").collect()] == [("firm", 1), ("person", 3)]
+    assert TOOLS["search_notaries"](firms["firm"], columns=["name"], text="bet").count() == 1
+
+
+def test_numbered(spark):
+    rows = [(g, i) for g, n in (("a", 700), ("b", 3), ("c", 40)) for i in range(n)]
+    got = R.numbered(spark.createDataFrame(rows, "g string, i int").repartition(5), ["g"], ["i"]).collect()
+    assert len(got) == len(rows) and all(r.position == r.i + 1 for r in got)
