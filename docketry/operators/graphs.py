@@ -17,12 +17,14 @@ def neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     from docketry.sources.tables import written
 
     both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    seen = frontier = written(start.select("node").distinct().withColumn("distance", F.lit(0)))
+    seen = frontier = start.select("node").distinct().withColumn("distance", F.lit(0))
     for step in range(1, depth + 1):  # each round reads stored tables, so the plan does not grow with the depth
         met = frontier.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
-        frontier = written(met.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(step)))
-        if frontier.isEmpty():
-            break
+        frontier = met.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(step))
+        if step < depth:
+            frontier = written(frontier)
+            if frontier.isEmpty():
+                break
         seen = seen.unionByName(frontier)
     return seen
 
