@@ -149,17 +149,55 @@ def validated(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.withColumn("errors", F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()))))
 
 
+#: A span of days is cut into pieces of 1, 32, 32^2 ... days; so many sizes cover every date.
+_PIECE_BITS, _SIZES = 5, 5
+
+
+def _day(df: DataFrame, column: str) -> Column:
+    """A date's number from 0 on; whole numbers are taken as days."""
+    half = 1 << (_PIECE_BITS * _SIZES - 1)
+    dated = df.schema[column].dataType.typeName().startswith(("date", "timestamp"))
+    number = (F.unix_date(F.to_date(column)) if dated else F.col(column)).cast("bigint")
+    return F.when(F.abs(number) >= half, F.raise_error(F.lit("a day outside the calendar"))).otherwise(number + half)
+
+
 def effective_rate(entries: DataFrame, rates: DataFrame, key: str, on: str, default: str | None = None) -> DataFrame:
     """Adds rate: the latest one in force on the entry's date, else the entry's default, else 0.
 
-    The rates of a key are few; they are gathered into one sorted array a key and the entry looks its date up
-    in it, so no entry is multiplied by the rates of its key. ``rates``: key, effective_from, effective_to, rate.
+    ``rates``: key, effective_from, effective_to (null: open), rate. Dates count by day; of rates that begin on
+    one day the highest wins; entries without key or date get the default. A rate's span is cut into aligned
+    pieces of 1, 32, 32^2 ... days, of each size at most 62, and a piece of a key keeps its latest rate. An
+    entry lies in one piece of each size, so five joins on key and piece find its rate: each entry stays one
+    row, and no key's rates or entries are gathered, however many there are.
+    """
+    begin, end = _day(rates, "effective_from"), _day(rates, "effective_to")
+    spans = rates.where(F.col("effective_from").isNotNull()).select(F.col(key), begin.alias("_a"), F.coalesce(end, F.lit((1 << (_PIECE_BITS * _SIZES)) - 1)).alias("_b"), F.struct(begin.alias("day"), "rate").alias("_rate"))
+    run = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+    out = entries.withColumn("_day", _day(entries, on))
+    for size in range(_SIZES):
+        a, b = F.col("_a"), F.col("_b")
+        # the pieces of the next size that the span covers whole
+        spans = spans.withColumn("_c", F.shiftright(a + ((1 << _PIECE_BITS) - 1), _PIECE_BITS)).withColumn("_d", F.shiftright(b + 1, _PIECE_BITS) - 1)
+        left = run(a, b)
+        if size < _SIZES - 1:
+            cut = F.concat(run(a, F.shiftleft("_c", _PIECE_BITS) - 1), run(F.shiftleft(F.col("_d") + 1, _PIECE_BITS), b))
+            left = F.when(F.col("_c") <= F.col("_d"), cut).otherwise(left)
+        latest = spans.select(F.col(key), F.explode(left).alias(f"_p{size}"), "_rate").groupBy(key, f"_p{size}").agg(F.max("_rate").alias(f"_r{size}"))
+        out = out.withColumn(f"_p{size}", F.shiftright("_day", _PIECE_BITS * size)).join(latest, [key, f"_p{size}"], "left")
+        spans = spans.select(key, F.col("_c").alias("_a"), F.col("_d").alias("_b"), "_rate")
+    rate = F.greatest(*(f"_r{size}" for size in range(_SIZES)))["rate"]
+    return out.select(*entries.columns, F.coalesce(rate, F.col(default) if default else F.lit(None), F.lit(0)).alias("rate"))
+
+
+def imported(old: dict[str, DataFrame], new: dict[str, DataFrame], record: str, main: str = "main") -> dict[str, DataFrame]:
+    """Tables after an import of entities: rows of ``main`` are replaced by ``record``, and all children of an
+    entity that came by its new ones, none included; a table that is not in ``new`` loses those children.
+
+    Entities without ``record`` are added. Of rows of one entity in ``new[main]`` all stay: make them one first.
     """
-    listed = rates.where(F.col("effective_from").isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("effective_from", "effective_to", "rate"))).alias("_rates"))
-    met = entries.join(listed, key, "left")
-    valid = F.filter("_rates", lambda r: (r["effective_from"] <= F.col(on)) & (r["effective_to"].isNull() | (r["effective_to"] >= F.col(on))))
-    rate = F.try_element_at(valid, F.lit(-1))["rate"]
-    return met.withColumn("rate", F.coalesce(rate, F.col(default) if default else F.lit(None), F.lit(0))).drop("_rates")
+    came = new[main].select(record).where(F.col(record).isNotNull()).distinct()
+    kept = {name: df.join(came, record, "left_anti").select(*df.columns) for name, df in old.items()}
+    return {name: kept[name].unionByName(new[name].select(*df.columns)) if name in new else kept[name] for name, df in old.items()}
 
 
 def discriminated(fact: DataFrame, parents: dict[str, DataFrame], kind: str, key: str, wanted: list[str]) -> DataFrame:

@@ -43,12 +43,13 @@ def semi(spark, d):
     return table(spark, d, "customer").join(late, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("jn9_effective_rate", "WITH r AS (SELECT o_custkey AS k, o_orderdate AS f, max(o_totalprice) AS rate FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' GROUP BY 1, 2) SELECT o_orderkey, coalesce((SELECT arg_max(rate, f) FROM r WHERE k = o_custkey AND f <= o_orderdate), 0) AS rate FROM orders WHERE o_orderdate >= TIMESTAMP '1998-06-01'")
+@query("jn9_effective_rate", "WITH r AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS f, CASE WHEN o_orderpriority = '5-LOW' THEN CAST(o_orderdate AS DATE) + 90 WHEN o_orderpriority = '2-HIGH' THEN CAST(o_orderdate AS DATE) + 1000 END AS t, o_totalprice AS rate FROM orders WHERE o_orderstatus = 'F') SELECT o_orderkey, coalesce(max({'f': f, 'rate': rate}).rate, 0) AS rate FROM orders LEFT JOIN r ON k = o_custkey AND f <= CAST(o_orderdate AS DATE) AND (t IS NULL OR t >= CAST(o_orderdate AS DATE)) GROUP BY o_orderkey")
 def effective_rates(spark, d):
-    orders = table(spark, d, "orders")
-    rates = orders.where(F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz")).groupBy("o_custkey", F.col("o_orderdate").alias("effective_from")).agg(F.max("o_totalprice").alias("rate")).withColumn("effective_to", F.lit(None).cast("timestamp_ntz"))
-    entries = orders.where(F.col("o_orderdate") >= F.lit("1998-06-01").cast("timestamp_ntz")).select("o_orderkey", "o_custkey", "o_orderdate")
-    return R.effective_rate(entries, rates, "o_custkey", "o_orderdate").select("o_orderkey", "rate")
+    """A customer's finished orders set rates, some of which lapse; every order takes the one in force on its day."""
+    orders = table(spark, d, "orders").withColumn("day", F.to_date("o_orderdate"))
+    until = F.when(F.col("o_orderpriority") == "5-LOW", F.date_add("day", 90)).when(F.col("o_orderpriority") == "2-HIGH", F.date_add("day", 1000))
+    rates = orders.where("o_orderstatus = 'F'").select("o_custkey", F.col("day").alias("effective_from"), until.alias("effective_to"), F.col("o_totalprice").alias("rate"))
+    return R.effective_rate(orders.select("o_orderkey", "o_custkey", "day"), rates, "o_custkey", "day").select("o_orderkey", "rate")
 
 
 @query("jn10_conflicts", "WITH n AS (SELECT DISTINCT lower(split_part(p_name, ' ', 2)) AS w FROM part), t AS (SELECT p_partkey, unnest(list_distinct(string_split_regex(lower(p_name), '[^\\p{L}\\p{N}]+'))) AS w FROM part) SELECT p_partkey, n.w AS matched FROM t JOIN n ON t.w = n.w")

@@ -3,6 +3,7 @@
 import re
 import datetime
 import decimal
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +87,37 @@ def test_effective_rate(spark):
     assert {(r.at, r.k): r.rate for r in R.effective_rate(entries, rates, "k", "at").collect()} == {(0, "a"): 0, (1, "a"): 10, (3, "a"): 15, (5, "a"): 10, (6, "a"): 20, (99, "a"): 20, (7, "b"): 0}
 
 
+def test_effective_rate_brute_force(spark):
+    """Spans of every length, overlapping, reversed, open and tied; entries without key or date; one key with most rows."""
+    rng = random.Random(5)
+    base = datetime.date(1990, 1, 1)
+    day = lambda n: base + datetime.timedelta(days=n)
+    rates = []
+    for i in range(300):
+        start = rng.randrange(12000)
+        end = None if i % 7 == 0 else day(start + rng.choice([-3, 0, 1, 31, 32, 33, 500, 1023, 1024, 5000]))
+        rates.append((rng.choice("aaab"), day(start), end, float(i)))
+    rates += [("a", None, None, 9999.0), (None, day(0), None, 9999.0), ("b", datetime.date(1, 1, 1), datetime.date(9999, 12, 31), 0.5), ("a", rates[0][1], rates[0][2], -1.0)]
+    entries = [(i, rng.choice("aaab"), day(rng.randrange(-100, 13000)), 7.0) for i in range(500)] + [(500, None, day(5), 7.0), (501, "a", None, 7.0), (502, "c", day(5), None), (503, "c", day(5), 7.0), (503, "c", day(5), 7.0)]
+    got = R.effective_rate(spark.createDataFrame(entries, "i int, k string, at date, own double"), spark.createDataFrame(rates, "k string, effective_from date, effective_to date, rate double"), "k", "at", "own")
+
+    def wanted(k, at, own):
+        held = [(f, r) for key, f, t, r in rates if k is not None and at is not None and key == k and f is not None and f <= at and (t is None or t >= at)]
+        return max(held)[1] if held else own if own is not None else 0.0
+
+    assert got.columns == ["i", "k", "at", "own", "rate"]
+    assert sorted((r.i, r.rate) for r in got.collect()) == sorted((i, wanted(k, at, own)) for i, k, at, own in entries)
+
+
+def test_imported(spark):
+    """Children of entities that came are replaced, also by none; others and entities without a record stay."""
+    frame = lambda rows: spark.createDataFrame(rows, "record string, name string")
+    old = {"main": frame([("1", "a"), ("2", "b"), (None, "n")]), "founders": frame([("1", "x"), ("1", "y"), ("2", "z")]), "signers": frame([("1", "s"), ("2", "t")])}
+    new = {"main": frame([("1", "A"), ("3", "C"), (None, "m")]), "founders": frame([("1", "q"), ("3", "r")])}
+    after = {k: sorted(map(tuple, v.collect()), key=str) for k, v in R.imported(old, new, "record").items()}
+    assert after == {"main": sorted([("1", "A"), ("2", "b"), ("3", "C"), (None, "n"), (None, "m")], key=str), "founders": [("1", "q"), ("2", "z"), ("3", "r")], "signers": [("2", "t")]}
+
+
 def test_containing(spark):
     """Needles of several words, with punctuation, of parts of words and of one or two characters, against brute force."""
     texts = [(1, "O'Neil & Sons, Ltd."), (2, "Spring water"), (3, "ring road"), (3, "ring road"), (4, "\U0001f600\u00c9lan vital"), (5, None), (6, ""), (7, "a"), (8, "Sons of spring"), (9, "ring, road"), (10, "ringing ringing")]
