@@ -66,34 +66,107 @@ def last_record(df: DataFrame, registry: Registry, sequence: str) -> DataFrame:
     return best.select(*registry.keys, "_row.*").select(*df.columns)
 
 
-# Nested groups of a registry subject, each a list of elements with one text.
-SUBJECT_GROUPS = {"founders": "FOUNDERS.FOUNDER", "beneficiaries": "BENEFICIARIES.BENEFICIARY", "signers": "SIGNERS.SIGNER", "members": "MEMBERS.MEMBER", "branches": "BRANCHES.BRANCH", "predecessors": "PREDECESSORS.PREDECESSOR", "assignees": "ASSIGNEES.ASSIGNEE"}
-
-
-def read_subjects(spark: SparkSession, path: str, groups: dict[str, str] = SUBJECT_GROUPS, encoding: str = "windows-1251") -> dict[str, DataFrame]:
-    """main (record, edrpou, name, short_name, stan) and a table (record, position, value) for each nested group."""
-    nested = ", ".join(f"{g.split('.')[0]} struct<{g.split('.')[1]}: array<string>>" for g in groups.values())
-    raw = spark.read.format("xml").option("rowTag", "SUBJECT").option("charset", encoding).schema(f"RECORD string, EDRPOU string, NAME string, SHORT_NAME string, STAN string, {nested}").load(path)
-    tables = {"main": raw.select(*(F.col(c).alias(c.lower()) for c in ("RECORD", "EDRPOU", "NAME", "SHORT_NAME", "STAN")))}
-    for name, group in groups.items():
-        tables[name] = raw.select(F.col("RECORD").alias("record"), F.posexplode(group).alias("position", "value"))
+# Elements of a registry subject; of single texts, of nested groups (with fields, or of one text
+# each where there are none) and of single parts, and which of them each kind of subject has.
+COMPANY, ENTREPRENEUR, ASSOCIATION = "UO", "FOP", "FSU"
+SUBJECT_TEXTS = {
+    COMPANY: "EDRPOU NAME SHORT_NAME OPF STAN AUTHORIZED_CAPITAL FOUNDING_DOCUMENT_NUM PURPOSE SUPERIOR_MANAGEMENT STATUTE REGISTRATION MANAGING_PAPER TERMINATED_INFO TERMINATION_CANCEL_INFO",
+    ENTREPRENEUR: "NAME STAN FARMER ESTATE_MANAGER REGISTRATION TERMINATED_INFO TERMINATION_CANCEL_INFO",
+    ASSOCIATION: "EDRPOU NAME SHORT_NAME TYPE_SUBJECT TYPE_BRANCH STAN FOUNDING_DOCUMENT REGISTRATION TERMINATED_INFO TERMINATION_CANCEL_INFO",
+}
+SUBJECT_GROUPS = {
+    "founders": ("FOUNDERS.FOUNDER", ""),
+    "beneficiaries": ("BENEFICIARIES.BENEFICIARY", ""),
+    "signers": ("SIGNERS.SIGNER", ""),
+    "members": ("MEMBERS.MEMBER", ""),
+    "branches": ("BRANCHES.BRANCH", "CODE NAME SIGNER CREATE_DATE"),
+    "predecessors": ("PREDECESSORS.PREDECESSOR", "NAME CODE"),
+    "assignees": ("ASSIGNEES.ASSIGNEE", "NAME CODE"),
+    "exchange_data": ("EXCHANGE_DATA.EXCHANGE_ANSWER", "TAX_PAYER_TYPE START_DATE START_NUM END_DATE END_NUM"),
+}
+SUBJECT_PARTS = {
+    "executive_power": ("EXECUTIVE_POWER", "NAME CODE", ("NAME", "CODE")),
+    "termination_started": ("TERMINATION_STARTED_INFO", "OP_DATE REASON SBJ_STATE SIGNER_NAME CREDITOR_REQ_END_DATE", ("OP_DATE",)),
+    "bankruptcy_info": ("BANKRUPTCY_READJUSTMENT_INFO", "OP_DATE REASON SBJ_STATE BANKRUPTCY_READJUSTMENT_HEAD_NAME", ("OP_DATE",)),
+}
+SUBJECT_TABLES = {
+    COMPANY: (*SUBJECT_GROUPS, *SUBJECT_PARTS),
+    ENTREPRENEUR: ("exchange_data",),
+    ASSOCIATION: ("founders", "beneficiaries", "signers", "predecessors", "termination_started", "exchange_data"),
+}
+
+
+def read_subjects(spark: SparkSession, path: str, kind: str = COMPANY, encoding: str = "windows-1251") -> dict[str, DataFrame]:
+    """main (record and the texts of the kind) and the tables of the kind's nested groups and parts, by name.
+
+    A group is record, position and its fields (value where it has one text each), one row for each element; a
+    part is record and its fields, where the subject has one. A subject without record has an empty one.
+    """
+    groups = {k: v for k, v in SUBJECT_GROUPS.items() if k in SUBJECT_TABLES[kind]}
+    parts = {k: v for k, v in SUBJECT_PARTS.items() if k in SUBJECT_TABLES[kind]}
+    fields = lambda names: "struct<" + ", ".join(f"{n}: string" for n in names.split()) + ">"
+    columns = ["RECORD string", *(f"{t} string" for t in SUBJECT_TEXTS[kind].split())]
+    for element, names in groups.values():
+        outer, inner = element.split(".")
+        columns.append(f"{outer} struct<{inner}: array<{fields(names) if names else 'string'}>>")
+    columns += [f"{element} {fields(names)}" for element, names, _ in parts.values()]
+    raw = spark.read.format("xml").option("rowTag", "SUBJECT").option("charset", encoding).schema(", ".join(columns)).load(path)
+    record = F.coalesce("RECORD", F.lit("")).alias("record")
+    tables = {"main": raw.select(record, *(F.col(c).alias(c.lower()) for c in SUBJECT_TEXTS[kind].split()))}
+    for name, (element, names) in groups.items():
+        each = raw.select(record, F.posexplode(element).alias("position", "value"))
+        tables[name] = each.select("record", "position", *(F.col(f"value.{n}").alias(n.lower()) for n in names.split())) if names else each
+    for name, (element, names, needed) in parts.items():
+        there = F.coalesce(*(F.nullif(F.col(f"{element}.{n}"), F.lit("")) for n in needed)).isNotNull()
+        tables[name] = raw.where(there).select(record, *(F.col(f"{element}.{n}").alias(n.lower().removeprefix("bankruptcy_readjustment_")) for n in names.split()))
     return tables
 
 
-def read_votes(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each event and deputy: session_date, question, event, deputy, vote; from files named DDMMYYYY.json."""
-    raw = spark.read.option("multiLine", True).schema("questions array<struct<name:string,events:array<struct<id:string,results:array<struct<deputy:string,vote:string>>>>>>").json(path)
-    day = F.try_to_timestamp(F.regexp_extract(F.input_file_name(), r"(\d{8})\.json", 1), F.lit("ddMMyyyy")).cast("date")
-    each = raw.select(day.alias("session_date"), F.explode_outer("questions").alias("q")).select("session_date", F.col("q.name").alias("question"), F.explode_outer("q.events").alias("e"))
-    return each.select("session_date", "question", F.col("e.id").alias("event"), F.explode_outer("e.results").alias("r")).select("session_date", "question", "event", F.col("r.deputy").alias("deputy"), F.col("r.vote").alias("vote"))
+# Law pages: fixed values of the print form, its heading and the words of its blocks and kinds.
+_PRINTED = r"(?s)<span\s+class=[\"']?rvts9[\"']?>Стаття\s+\d+(?:-\d+)?\.?\s*</span>.*?(?=<span\s+class=[\"']?rvts9|\z)"
+_PRINTED_HEAD = r"(?s)^<span\s+class=[\"']?rvts9[\"']?>Стаття\s+(\d+(?:-\d+)?)\.?\s*</span>\s*"
+_TITLED = r"(?is)<(h1\b|\w+(?=[^>]*\sclass=[\"'](?:title|doc-title)[\"']))[^>]*>(.*?)</\1>"
+_INFO = r"(?is)<\w+[^>]*class=[\"'](?:info|doc-info|document-info)[\"'][^>]*>(.*?)</(?:div|table|section)>"
+_ADOPTED, _IN_FORCE, _CODE, _LAW = "прийнято", "набрання чинності", "Кодекс", "Закон"
+_SHORT = (r"\(([А-ЯІЇЄҐ]{2,}(?:\s+України)?)\)", r"([А-ЯІЇЄҐ]{2,}\s+України)")
 
 
 def articles_of_law(html: Column) -> Column:
-    """array of struct(number, title, text) from the headings ``Стаття N.`` of a law."""
+    """array of struct(number, title, text) of a law's articles.
+
+    Of the print form, the articles with at least 10 characters, without scripts, emphasised remarks and remarks
+    in braces, titled by their first sentence where it is under 200 characters; of any other page, what stands
+    between the headings ``Стаття N.``, titled by the rest of the heading's line.
+    """
+    printed = F.transform(F.regexp_extract_all(html, F.lit(_PRINTED), F.lit(0)), lambda p: F.struct(F.regexp_extract(p, _PRINTED_HEAD, 1).alias("number"), _clean(F.regexp_replace(p, _PRINTED_HEAD, "")).alias("text")))
+    sentence = lambda t: F.element_at(F.split(t, "[.;]"), 1)
+    printed = F.transform(F.filter(printed, lambda a: F.length(a["text"]) >= 10), lambda a: F.struct(a["number"].alias("number"), F.when(F.length(sentence(a["text"])).between(1, 199), F.trim(sentence(a["text"]))).alias("title"), a["text"].alias("text")))
     plain = F.regexp_replace(F.regexp_replace(html, r"<(br|/p|/div)[^>]*>", "\n"), "<[^>]*>", "")
     parts = F.filter(F.split(plain, r"(?=Стаття\s+\d+(?:-\d+)?[.\s])"), lambda p: p.rlike(r"^Стаття\s+\d+"))
     heading = r"^Стаття\s+(\d+(?:-\d+)?)\.?\s*([^\n]*)"
-    return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, heading, 1).alias("number"), F.trim(F.regexp_extract(p, heading, 2)).alias("title"), F.regexp_replace(F.regexp_replace(p, heading, ""), r"^\s+|\s+$", "").alias("text")))
+    other = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, heading, 1).alias("number"), F.trim(F.regexp_extract(p, heading, 2)).alias("title"), F.regexp_replace(F.regexp_replace(p, heading, ""), r"^\s+|\s+$", "").alias("text")))
+    return F.when(F.size(printed) > 0, printed).otherwise(other)
+
+
+def _clean(html: Column) -> Column:
+    plain = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style|em)\b.*?</\1>", ""), "<[^>]*>", "")
+    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(plain, r"\s+", " ")), r"\{[^}]+\}", ""))
+
+
+def law_metadata(laws: DataFrame) -> DataFrame:
+    """rada_id, type, title, short_title, adoption_date, effective_date and status of law pages (rada_id, html).
+
+    The title is the first heading; the dates follow their words in the page's information block, null without.
+    """
+    from docketry.functions.money import parse_date
+
+    info = F.array_join(F.regexp_extract_all("html", F.lit(_INFO), F.lit(1)), " ")
+    day = lambda word: parse_date(F.regexp_extract(_clean(F.col("_info")), word + r"\D*?(\d{2}\.\d{2}\.\d{4})", 1))
+    titled = laws.select("rada_id", _clean(F.regexp_extract("html", _TITLED, 2)).alias("title"), info.alias("_info"))
+    has = lambda word: F.col("title").contains(word)
+    code, law = has(_CODE) | F.col("rada_id").contains(_CODE.lower()), has(_LAW) | F.col("rada_id").rlike(r"^\d+-\d+$")
+    short = F.coalesce(*(F.nullif(F.regexp_extract("title", p, 1), F.lit("")) for p in _SHORT))
+    return titled.select("rada_id", F.when(code, "code").when(law, "law").otherwise("regulation").alias("type"), "title", short.alias("short_title"), day(_ADOPTED).alias("adoption_date"), day(_IN_FORCE).alias("effective_date"), F.lit("active").alias("status"))
 
 
 def page_metadata(pages: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
 
@@ -44,3 +46,56 @@ def upsert_stream(stream: DataFrame, merge: Callable[[DataFrame, int], None], ch
     """Give each batch, without repeated keys, to ``merge``; ends when all that is there was read, and resumes from its checkpoint."""
     once = stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
     return once.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+# States in which an upload can be stuck, minutes without a change, and tries.
+STUCK_STATES, STUCK_MINUTES, MOST_RETRIES = ("assembling", "processing"), 10, 3
+
+
+def stuck_uploads(sessions: DataFrame, as_of: str | None, minutes: int = STUCK_MINUTES, most: int = MOST_RETRIES) -> DataFrame:
+    """``sessions`` (session_id, status, updated_at, retry_count) that are stuck, with action: recover, or failed after ``most`` retries.
+
+    ``as_of`` None: at startup, when every session that runs is stuck.
+    """
+    stuck = sessions.where(F.col("status").isin(*STUCK_STATES))
+    if as_of is not None:
+        stuck = stuck.where(F.col("updated_at") < F.lit(as_of).cast("timestamp") - F.make_dt_interval(mins=F.lit(minutes)))
+    return stuck.withColumn("action", F.when(F.col("retry_count") >= most, "failed").otherwise("recover"))
+
+
+def recoveries(changes: DataFrame, minutes: int = STUCK_MINUTES, most: int = MOST_RETRIES, late: str = "1 minute") -> DataFrame:
+    """session_id, retries and action each time that a session of the stream ``changes`` (session_id, status, ts) gets stuck.
+
+    A session's state is its status, its time and its retries. When the watermark passes ``minutes`` after the last
+    change of one that runs, it is to be recovered and has as long again, or has failed after ``most`` retries.
+    Changes that are older than the state change nothing; an ended session is forgotten.
+    """
+    span = minutes * 60_000
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        moved, retries = state.get if state.exists else (0, 0)
+        if state.hasTimedOut:
+            failed = retries >= most
+            yield pd.DataFrame({"session_id": [key[0]], "retries": [retries], "action": ["failed" if failed else "recover"]})
+            if failed:
+                state.remove()
+                return
+            moved, retries, runs = moved + span, retries + 1, True
+        else:
+            last = None
+            for batch in batches:
+                for ts, status in zip(batch["ts"], batch["status"]):
+                    at = int(ts.timestamp() * 1000)
+                    if at >= moved and (last is None or at >= last[0]):
+                        last = at, status
+            if last is not None:
+                moved = last[0]
+            runs = last[1] in STUCK_STATES if last is not None else state.exists
+        if runs:
+            state.update((moved, retries))
+            state.setTimeoutTimestamp(max(moved + span, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+
+    held = changes.select("session_id", "status", "ts").withWatermark("ts", late)
+    return held.groupBy("session_id").applyInPandasWithState(follow, "session_id string, retries int, action string", "moved bigint, retries int", "append", GroupStateTimeout.EventTimeTimeout)
