@@ -200,6 +200,26 @@ def imported(old: dict[str, DataFrame], new: dict[str, DataFrame], record: str,
     return {name: kept[name].unionByName(new[name].select(*df.columns)) if name in new else kept[name] for name, df in old.items()}
 
 
+def affordable(requests: DataFrame, balances: DataFrame, user: str, amount: str, balance: str) -> DataFrame:
+    """Adds has_credits, current_balance and reason to requests; a user without a balance has 0."""
+    met = requests.join(balances.select(user, F.col(balance).alias("current_balance")), user, "left").withColumn("current_balance", F.coalesce("current_balance", F.lit(0)))
+    enough = F.coalesce(F.col("current_balance") >= F.col(amount), F.lit(False))
+    return met.withColumn("has_credits", enough).withColumn("reason", F.when(enough, "Sufficient balance").otherwise("Insufficient credits"))
+
+
+def key_limits(asked: DataFrame, keys: DataFrame, key: str, as_of: str) -> DataFrame:
+    """key, allowed, reason, requests_today and rate_limit of each key that is asked for.
+
+    ``keys``: key, is_active, requests_today, reset_at, rate_limit, expires_at. Counts of an earlier day are 0. The
+    tests go in this order: the key is active, under its limit, not expired.
+    """
+    now = F.lit(as_of).cast("timestamp_ntz")
+    used = F.when(F.col("reset_at") < now.cast("date"), 0).otherwise(F.col("requests_today"))
+    met = asked.join(keys.where("is_active").withColumn("_used", used), key, "left")
+    reason = F.when(F.col("is_active").isNull(), "Invalid or inactive API key").when(F.col("_used") >= F.col("rate_limit"), "Daily rate limit exceeded").when(F.col("expires_at") < now, "API key expired").otherwise("OK")
+    return met.select(key, (reason == "OK").alias("allowed"), reason.alias("reason"), F.coalesce("_used", F.lit(0)).alias("requests_today"), F.coalesce("rate_limit", F.lit(0)).alias("rate_limit"))
+
+
 def discriminated(fact: DataFrame, parents: dict[str, DataFrame], kind: str, key: str, wanted: list[str]) -> DataFrame:
     """Left join to the parent table that ``kind`` names: parents become one table, joined once."""
     union = reduce(DataFrame.unionByName, (p.select(F.lit(k).alias("_kind"), F.col(key).alias("_key"), *wanted) for k, p in parents.items()))

@@ -123,3 +123,20 @@ PAGES = Fixture(
 )
 #: Rich text with control words, Windows-1251 bytes and code points; the backslash is written as a vertical bar.
 RICH = Fixture("file_id, body", "(1, '{|rtf1|ansi {|fonttbl{|f0 Arial;}}|par Hello|tab World|par |u1057?|u1091?|u1076?}'), (2, 'plain'), (3, NULL), (4, '{|b bold}|par|par|par|par end')")
+
+#: Access keys: within their limit, over it, over it on an earlier day, expired, without end, switched off.
+KEYS = Fixture(
+    "access, is_active, requests_today, reset_at, rate_limit, expires_at",
+    """
+    ('a', TRUE, 5, DATE '2024-01-31', 10, TIMESTAMP '2025-01-01 00:00:00'),
+    ('b', TRUE, 10, DATE '2024-01-31', 10, NULL),
+    ('c', TRUE, 10, DATE '2024-01-30', 10, NULL),
+    ('d', TRUE, 1, DATE '2024-01-31', 10, TIMESTAMP '2024-01-30 00:00:00'),
+    ('e', FALSE, 1, DATE '2024-01-31', 10, NULL),
+    ('f', TRUE, 12, DATE '2024-01-31', 10, TIMESTAMP '2024-01-30 00:00:00'),
+    ('g', NULL, 0, NULL, 10, NULL)
+    """,
+)
+
+#: Keys that are asked for, one that is unknown.
+ASKED = Fixture("access", "('a'), ('b'), ('c'), ('d'), ('e'), ('f'), ('g'), ('zz')")

@@ -11,7 +11,7 @@ from docketry.functions import legal as L
 from docketry.functions import money as M
 from docketry.operators import relational as R
 from docketry.operators import vectors as V
-from docketry.plans.fixtures import ANSWERS, ARTICLES, COURTS, HOLDS, LAWS, MATTERS, MEMBERS, PAGES, PAPERS, REASONING, RICH, TEXTS, VOTES
+from docketry.plans.fixtures import ANSWERS, ARTICLES, ASKED, COURTS, HOLDS, KEYS, LAWS, MATTERS, MEMBERS, PAGES, PAPERS, REASONING, RICH, TEXTS, VOTES
 from docketry.plans.registry import query
 from docketry.sources.tables import table
 
@@ -415,3 +415,23 @@ def pattern_match(spark, d):
     patterns = F.broadcast(V.centroids(stored, "pattern"))  # six rows
     scored = vectors.select("vec_id", "embedding").crossJoin(patterns).withColumn("s", V.cosine(F.col("embedding"), F.col("centroid")))
     return scored.where("s > 0.7").select("vec_id", "pattern", F.round("s", 6).alias("similarity"))
+
+
+@query("udf2_balance_check", "SELECT o_orderkey, coalesce(c_acctbal, 0) AS current_balance, coalesce(c_acctbal, 0) >= o_totalprice / 50 AS has_credits, CASE WHEN coalesce(c_acctbal, 0) >= o_totalprice / 50 THEN 'Sufficient balance' ELSE 'Insufficient credits' END AS reason FROM orders LEFT JOIN (SELECT c_custkey, c_acctbal FROM customer WHERE c_mktsegment <> 'BUILDING') ON c_custkey = o_custkey")
+def balance_checks(spark, d):
+    """Whether a customer's balance covers a fiftieth of an order; one segment has no balance."""
+    requests = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("user"), (F.col("o_totalprice") / 50).alias("amount"))
+    balances = table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("user"), "c_acctbal")
+    return R.affordable(requests, balances, "user", "amount", "c_acctbal").select("o_orderkey", "current_balance", "has_credits", "reason")
+
+
+@query("udf2_key_limits", f"SELECT a.access, coalesce(k.is_active AND (k.reset_at < DATE '2024-01-31' OR k.requests_today < k.rate_limit) AND (k.expires_at IS NULL OR k.expires_at >= TIMESTAMP '2024-01-31 12:00:00'), FALSE) AS allowed, CASE WHEN k.access IS NULL THEN 'Invalid or inactive API key' WHEN k.reset_at >= DATE '2024-01-31' AND k.requests_today >= k.rate_limit THEN 'Daily rate limit exceeded' WHEN k.expires_at < TIMESTAMP '2024-01-31 12:00:00' THEN 'API key expired' ELSE 'OK' END AS reason, CASE WHEN k.access IS NULL OR k.reset_at < DATE '2024-01-31' THEN 0 ELSE k.requests_today END AS requests_today, coalesce(k.rate_limit, 0) AS rate_limit FROM {ASKED.sql} a LEFT JOIN (SELECT * FROM {KEYS.sql} WHERE is_active) k ON k.access = a.access")
+def key_limits(spark, d):
+    return R.key_limits(ASKED.frame(spark), KEYS.frame(spark), "access", "2024-01-31 12:00:00")
+
+
+@query("udf2_without_expired", "SELECT event_id FROM events WHERE NOT (ts + INTERVAL 10 DAY < TIMESTAMP '2024-01-31 12:00:00')")
+def without_expired(spark, d):
+    """What is left when rows that lasted ten days are cleared."""
+    rows = table(spark, d, "events").select("event_id", (F.col("ts") + F.make_dt_interval(F.lit(10))).alias("expires_at"))
+    return rows.where(F.coalesce(F.col("expires_at") >= F.lit("2024-01-31 12:00:00").cast("timestamp_ntz"), F.lit(True))).select("event_id")
