@@ -225,7 +225,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = EDITS_PERCENT,
     are not read, but for the bigint columns ``carried``, which follow. An empty benchmark gives no row.
     """
     schema = ", ".join(f"{c} bigint" for c in ("doc_id", "item_id", "start", "n_words", "distance", *carried))
-    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
+    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()  # a repeated row would fill one block
     count, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     parts = max(1, -(-count // item_block), -(-chars // ITEM_CHARS))
     settings = (walks, samples, places)
