@@ -100,3 +100,65 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM docs d LEFT JOIN told t ON t.doc_id = d.doc_id
 """
 )
+
+
+def kmeans(k: int = 40, rounds: int = 5, size: int = 64) -> str:
+    """Plain k-means, every vector against every centroid in every round."""
+    steps = [f"""WITH kept AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size}
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM kept ORDER BY sha256('2:' || vec_id) NULLS LAST, v LIMIT {k}
+)"""]
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS (
+  SELECT row, vec_id, kept.v, c, CAST(list_sum(list_transform(list_zip(kept.v, c{r}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM kept CROSS JOIN c{r}
+), a{r} AS MATERIALIZED (
+  SELECT row, any_value(vec_id) AS vec_id, any_value(v) AS v, CAST(arg_min(c, (d, c)) AS INTEGER) AS c, min(d) AS d FROM d{r} GROUP BY row
+)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (
+  SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i
+), c{r + 1} AS MATERIALIZED (
+  SELECT c{r}.c, coalesce(m.v, c{r}.v) AS v FROM c{r} LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM s{r} GROUP BY c) m ON m.c = c{r}.c
+)""")
+    return ", ".join(steps) + f"""
+SELECT a.vec_id, a.c AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.c = c.c
+"""
+
+
+FILTERS = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part FROM documents
+), firsts AS (
+  SELECT text, min(doc_id) AS first FROM docs GROUP BY text
+), marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), words AS (
+  SELECT d.doc_id, part, d.text, coalesce(first < d.doc_id, false) AS e, regexp_extract_all(d.text, '[^\x20\x09-\x0D]+') AS w FROM docs d JOIN firsts f ON f.text = d.text
+), masks AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT + 4 * (100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 5 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * e::INT AS mask
+  FROM words LEFT JOIN marks ON marks.doc_id = words.doc_id
+), cells AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY part, mask
+), letters(l, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)), orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS o, [a.b, b.b, c.b, d.b, e.b] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.b + b.b + c.b + d.b + e.b = 31 AND len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), steps AS (
+  SELECT o, s, bits[s] AS bit, CAST(coalesce(list_sum(bits[1:s - 1]), 0) AS INT) AS before FROM orders, range(1, 6) r(s)
+), shares AS (
+  SELECT part, bit, sum(CASE WHEN mask & bit != 0 AND mask & before = 0 THEN n ELSE 0 END) AS shapley FROM cells, steps GROUP BY part, bit
+)
+SELECT c.part, o AS filter_order, CAST(s AS INT) AS step, CAST(sum(CASE WHEN mask & (before | t.bit) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN mask & t.bit != 0 AND mask & before = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN mask & t.bit != 0 AND mask & before != 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+  CAST(sum(CASE WHEN mask = t.bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN mask & t.bit != 0 AND mask & before = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+  CAST(sum(CASE WHEN mask & t.bit != 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+  CAST(any_value(shapley) AS BIGINT) AS shapley
+FROM cells c CROSS JOIN steps t JOIN shares h ON h.part = c.part AND h.bit = t.bit GROUP BY c.part, o, s
+"""

@@ -11,8 +11,10 @@ from docketry.llm import oracles
 from docketry.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: The other six take a tokenizer's or a model's files, a fitted classifier, images or edit distances; tests compare them with brute force.
-ORACLES: dict[str, str] = {"op1_substring_dedup": oracles.SUBSTRING_DEDUP, "op2_minhash_dedup": oracles.NEAR_DUPLICATES, "op3_tool_calls": oracles.TOOL_CALLS, "op5_secret_scan": oracles.SECRETS}
+#: The others take a tokenizer's or a model's files, a fitted classifier, images or edit distances; tests compare them with brute force.
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": oracles.SUBSTRING_DEDUP, "op2_minhash_dedup": oracles.NEAR_DUPLICATES, "op3_tool_calls": oracles.TOOL_CALLS, "op5_secret_scan": oracles.SECRETS, "op11_ball_kmeans": oracles.kmeans(), "op13_filter_audit": oracles.FILTERS,
+}
 
 #: The word tokenizer closes a document with this id.
 END_ID = 1
@@ -106,3 +108,26 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     from docketry.llm import decontamination
 
     return decontamination.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm import ball_kmeans
+
+    return ball_kmeans.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 40)
+
+
+@query
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm import language_id
+
+    docs = documents(spark, sf_dir)
+    found = language_id.predict(docs.select("doc_id", "text"), language_id.fit(docs))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm import filter_audit
+
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
