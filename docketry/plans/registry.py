@@ -30,4 +30,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Register the queries of every module of plans."""
-    from docketry.plans import cases, index, linkage, lookups, reporting, search, usage  # noqa: F401
+    from docketry.plans import cases, files, index, linkage, lookups, reporting, search, usage  # noqa: F401

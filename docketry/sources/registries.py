@@ -181,8 +181,8 @@ def page_metadata(pages: DataFrame) -> DataFrame:
     )
 
 
-#: First bytes of file formats, as hexadecimal digits.
-SIGNATURES = (("application/pdf", "25504446"), ("application/zip", "504B0304"), ("application/msword", "D0CF11E0"), ("application/rtf", "7B5C7274"))
+#: First bytes of file formats, as hexadecimal digits; any archive counts as a text document.
+SIGNATURES = (("application/pdf", "25504446"), ("application/vnd.openxmlformats-officedocument.wordprocessingml.document", "504B0304"), ("application/msword", "D0CF11E0"), ("application/rtf", "7B5C7274"))
 
 
 def sniffed(content: Column) -> Column:
