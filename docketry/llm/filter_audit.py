@@ -3,7 +3,7 @@
 Every text is scanned once for its mask of failed filters. Exact duplicates are found by partition refinement:
 rows are split by length in code points, then by a hash of the next block of the text, round by round, and what is
 alone in its class is dropped after every split. Blocks grow, so a text of n bytes has about log4(n / 256) of them,
-and the rows that are split are ids and hashes, not texts. Texts that are left are compared whole, copies in a task being
+and what is split are ids and hashes, not texts. Texts that are left are compared whole, copies in a task being
 made one before they move; all but those with the smallest doc_id are marked. Then masks are counted by part: at
 most 32 cells for each, from which every order and step follows by sums.
 """
@@ -28,6 +28,8 @@ LETTERS = "ABCDE"
 LEAST_WORDS, DISTINCT_PERCENT, CAPITALS_PERCENT, SIGNS = 50, 65, 5, b"#$%&*|"
 #: Bytes of the first block, and how many times longer the blocks up to the next one are.
 FIRST_BLOCK, GROWTH = 256, 4
+#: Keys of possible copies are told to all tasks by so many buckets at most.
+BUCKETS = 1 << 20
 
 _SIGN = np.zeros(256, bool)
 _SIGN[list(SIGNS)] = True
@@ -91,40 +93,53 @@ def scanned(docs: DataFrame) -> DataFrame:
     return materialize(docs.mapInArrow(run, SCAN))
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows whose class has another row with another doc_id."""
-    classes = rows.groupBy("class").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("class")
-    return rows.join(classes, "class", "left_semi")
+def _shared(groups: DataFrame) -> DataFrame:
+    """Groups whose class has two doc_ids at least."""
+    classes = groups.groupBy("class").agg(F.min("first").alias("_a"), F.max("last").alias("_b")).where("_a < _b").select("class")
+    return groups.join(classes, "class", "left_semi")
 
 
 def refined(scan: DataFrame) -> DataFrame:
-    """doc_id, text_key and class of the rows that share a class after the split by length and by all blocks."""
-    rows = materialize(_shared(scan.where("doc_id is not null").select("doc_id", "text_key", "class", "blocks")))
-    number = 0
+    """text_key and class of what shares a class after the split by length and by all blocks.
+
+    Rows with the same length, blocks and text_key can never be split: they become one before the first round, so a
+    text with a great many copies is one row here.
+    """
+    groups = scan.where("doc_id is not null").groupBy("class", "blocks", "text_key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    groups, number = materialize(_shared(groups)), 0
     while True:  # a round for each block of the longest text that is left; what remains is stored, so plans stay small
-        left = rows.agg(F.max(F.size("blocks"))).first()[0] or 0
+        left = groups.agg(F.max(F.size("blocks"))).first()[0] or 0
         if number >= left:
-            return rows.drop("blocks")
-        rows = materialize(_shared(rows.withColumn("class", F.xxhash64("class", F.coalesce(F.get("blocks", F.lit(number)), F.lit(0))))))
+            return groups.select("text_key", "class")
+        groups = materialize(_shared(groups.withColumn("class", F.xxhash64("class", F.coalesce(F.get("blocks", F.lit(number)), F.lit(0))))))
         number += 1
 
 
-def later_copies(texts: DataFrame, left: DataFrame) -> DataFrame:
-    """Distinct doc_id and text_key of rows of ``left`` whose text equals one with a smaller doc_id.
+def first_copies(texts: DataFrame, left: DataFrame) -> DataFrame:
+    """text_key, n_texts and first of the texts that stand under two doc_ids at least; stored.
 
-    ``texts``: doc_id, text_key, text. Where a class holds one text only, as nearly all do, its rows are marked without
-    another look at it; rows of a class with several texts (their hashes met) are told apart by the text.
+    ``texts``: doc_id, text_key, text. Only texts whose key falls in a bucket of a key of ``left`` move; of equal
+    ones in a task one does. They are then compared whole, by grouping.
     """
-    rows = left.distinct()  # repeated rows are one
-    whole = texts.join(rows, ["doc_id", "text_key"])
-    firsts = materialize(whole.groupBy("class", "text").agg(F.min("doc_id").alias("first")))
-    by_class = firsts.groupBy("class").agg(F.count("*").alias("n"), F.min("first").alias("first"))
-    marked = rows.join(by_class.where("n = 1"), "class").where("doc_id > first").select("doc_id", "text_key")
-    mixed = by_class.where("n > 1").select("class")
-    if mixed.isEmpty():
-        return marked
-    apart = whole.join(mixed, "class", "left_semi").join(firsts, ["class", "text"]).where("doc_id > first")
-    return marked.unionByName(apart.select("doc_id", "text_key"))
+    bucket = F.pmod("text_key", F.lit(BUCKETS)).alias("bucket")
+    wanted = left.select(bucket).distinct()  # BUCKETS rows at most
+    near = texts.select("*", bucket).join(F.broadcast(wanted), "bucket", "left_semi")
+    whole = near.groupBy("text_key", "text").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    by_key = whole.groupBy("text_key").agg(F.count("*").alias("n_texts"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return materialize(by_key.where("first < last").select("text_key", "n_texts", "first"))
+
+
+def marked(scan: DataFrame, texts: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``scan`` with the bit of E in mask where the text equals one with a smaller doc_id."""
+    later = lambda first: F.when(F.col("doc_id") > first, 1 << LETTERS.index("E")).otherwise(0)
+    plain = scan.join(firsts, "text_key", "left")
+    if firsts.where("n_texts > 1").isEmpty():
+        return plain.withColumn("mask", F.col("mask").bitwiseOR(later(F.col("first"))))
+    # texts whose keys meet: these rows alone are told apart by the text
+    mixed = texts.join(firsts.where("n_texts > 1").select("text_key"), "text_key", "left_semi")
+    apart = mixed.join(mixed.groupBy("text_key", "text").agg(F.min("doc_id").alias("_own")), ["text_key", "text"]).groupBy("doc_id", "text_key").agg(F.min("_own").alias("_own"))
+    own = F.when(F.col("n_texts") > 1, F.col("_own")).otherwise(F.col("first"))
+    return plain.join(apart, ["doc_id", "text_key"], "left").withColumn("mask", F.col("mask").bitwiseOR(later(own)))
 
 
 def masks(docs: DataFrame) -> DataFrame:
@@ -134,9 +149,8 @@ def masks(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("source", F.lit("")).alias("part"), text.alias("text"), F.xxhash64(text).alias("text_key"))
-    scan = scanned(plain)
-    copies = materialize(later_copies(plain.select("doc_id", "text_key", "text"), refined(scan))).withColumn("_copy", F.lit(1 << LETTERS.index("E")))
-    return scan.join(copies, ["doc_id", "text_key"], "left").select("doc_id", "part", F.col("mask").bitwiseOR(F.coalesce("_copy", F.lit(0))).alias("mask"))
+    scan, texts = scanned(plain), plain.select("doc_id", "text_key", "text")
+    return marked(scan, texts, first_copies(texts, refined(scan))).select("doc_id", "part", "mask")
 
 
 def cells(masked: DataFrame, labels: DataFrame) -> DataFrame:
