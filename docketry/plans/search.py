@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import legal as L
 from docketry.functions.sections import sections
+from docketry.operators import fulltext as X
 from docketry.operators import relational as R
 from docketry.operators import vectors as V
 from docketry.plans.registry import query
@@ -144,3 +145,33 @@ def pro_contra(spark, d):
     base = table(spark, d, "documents").where(F.lower("text").contains("license"))
     sides = (base.where(t).select(F.lit(s).alias("side"), "doc_id") for s, t in (("pro", F.lower("text").contains("released")), ("contra", ~F.lower("text").contains("released"))))
     return reduce(DataFrame.unionByName, sides)
+
+
+# what the English rules take for one word, as the scans of the SQL spell it out
+_FORMS = {"thing": "thing(e|es|s|ed|edly|ing|ingly|ly|lyed|lying|ness)?", "hand": "hand(e|es|s|ed|edly|ing|ingly|ly|ness)?", "licens": "licens(e|es|ed|ing)", "public": "publics?"}
+_TOKENS = "SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents"
+
+
+def _stem_sql(terms):
+    counts = [f"len(list_filter(w, lambda x: regexp_full_match(x, '{_FORMS[t]}')))" for t in terms]
+    return f"SELECT doc_id, CAST({' + '.join(counts)} AS BIGINT) AS score FROM ({_TOKENS}) WHERE " + " AND ".join(f"{c} > 0" for c in counts)
+
+
+def _indexed(spark, d):
+    return X.build(table(spark, d, "documents"), "doc_id", "text", "english")
+
+
+@query("flt9_word_forms", _stem_sql(["thing", "hand"]))
+def word_forms(spark, d):
+    """Documents with both words in any form, by an index; the SQL scans."""
+    return X.search(_indexed(spark, d), "the handed things").withColumnRenamed("doc", "doc_id")
+
+
+@query("flt9_best_matches", _stem_sql(["thing"]) + " ORDER BY score DESC, doc_id LIMIT 20")
+def best_matches(spark, d):
+    return X.search(_indexed(spark, d), "thinging", 20).withColumnRenamed("doc", "doc_id")
+
+
+@query("flt9_phrase", f"SELECT doc_id, CAST(len(list_filter(range(1, len(w)), lambda i: regexp_full_match(w[i], '{_FORMS['public']}') AND regexp_full_match(w[i + 1], '{_FORMS['licens']}'))) AS BIGINT) AS n FROM ({_TOKENS}) WHERE n > 0")
+def phrase(spark, d):
+    return X.phrase(_indexed(spark, d), "public licenses").withColumnRenamed("doc", "doc_id")
