@@ -11,6 +11,7 @@ from docketry.functions import cases as C
 from docketry.functions import legal as L
 from docketry.operators import cases as O
 from docketry.operators import relational as R
+from docketry.operators import vector_index as I
 from docketry.operators import vectors as V
 from docketry.plans.cases import _CHAIN
 from docketry.plans.fixtures import DECISIONS, NUMBERS, REASONING
@@ -122,3 +123,21 @@ def word_changes(spark, d):
     pairs = REASONING.frame(spark).withColumn("before", before).where("before is not null")
     each = pairs.select("doc_id", F.explode(L.word_changes(F.col("before"), F.col("text"))).alias("c")).select("doc_id", "c.*")
     return each.withColumn("importance", L.change_importance(F.col("text")))
+
+
+@query("vec2_index_exact", "SELECT qkey, key, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qkey ORDER BY similarity DESC, key) AS rank FROM (SELECT q.vec_id AS qkey, v.vec_id AS key, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 10")
+def index_exact(spark, d):
+    """The ten nearest of every hundredth vector among all, compared in blocks of the stored lists."""
+    vectors = table(spark, d, "embeddings")
+    return I.search(I.build(vectors, "vec_id", "embedding"), vectors.where("vec_id % 100 = 0"), 10, exact=True)
+
+
+@query("vec9_index_search")
+def index_search(spark, d):
+    """The same by codes of the nearest lists and a second look; tests measure its recall against all vectors."""
+    vectors = table(spark, d, "embeddings")
+    return I.search(I.build(vectors, "vec_id", "embedding"), vectors.where("vec_id % 100 = 0"), 10, probes=PROBES)
+
+
+#: Of 64 lists; the tables' vectors have little structure, so a search looks into many.
+PROBES = 40
