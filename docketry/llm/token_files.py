@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import Words, blocks, materialize, span_hashes
+from docketry.llm.common import Words, as_binary, blocks, materialize, span_hashes
 
 #: A set bit in so many has its position sampled.
 SAMPLE = 256
@@ -122,6 +122,22 @@ def units(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, np.minimum(end, words.end[word]), np.searchsorted(start, words.at)
 
 
+def _as_written(words: Words, column: pa.Array) -> np.ndarray:
+    """The bytes of lower-case words, but for words with a sign beyond ASCII, which stay as they are.
+
+    The library composes letters and marks before it lower-cases them, and some pairs (H and U+0331) have a sign of
+    their own in one case only.
+    """
+    beyond = np.concatenate([[0], np.cumsum(words.data > 127, dtype=np.int64)])
+    kept = np.flatnonzero(beyond[words.end] > beyond[words.start])
+    if not len(kept):
+        return words.data
+    step = np.zeros(len(words.data) + 1, np.int8)
+    step[words.start[kept]] = 1
+    step[words.end[kept]] -= 1
+    return np.where(np.cumsum(step[:-1], dtype=np.int8) > 0, as_binary(column)[1], words.data)
+
+
 class UnitTable:
     """Ids of units by hash, size and first bytes, in flat arrays: open addressing, all look-ups of a block at once."""
 
@@ -236,12 +252,14 @@ class WordEncoder:
             each = [self.whole(t or "") for t in column.to_pylist()]
             return np.concatenate([np.zeros(0, self.dtype), *each]), np.cumsum([len(e) for e in each], dtype=np.int64)
         words = Words(column, lower=True)
+        low = words.data.tobytes()
+        words.data = _as_written(words, column)
         start, end, first = units(words)
         raw = words.data.tobytes()
         apart = {}
-        if any(s.lower() in raw for s in self.special):
+        if any(s.lower() in low for s in self.special):
             for row, (a, b) in enumerate(zip(words.at[:-1].tolist(), words.at[1:].tolist())):
-                if any(s.lower() in raw[a:b] for s in self.special):
+                if any(s.lower() in low[a:b] for s in self.special):
                     apart[row] = self.whole(column[row].as_py())
             keep = ~np.isin(np.repeat(np.arange(len(first) - 1), np.diff(first)), list(apart))
             start, end = start[keep], end[keep]

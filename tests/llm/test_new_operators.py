@@ -289,3 +289,25 @@ def test_sql(spark, sf, name):
     wanted = con.execute(queries.ORACLES[name])
     columns = [c[0] for c in wanted.description]
     assert sorted(queries.QUERIES[name](spark, sf).select(*columns).collect()) == sorted(wanted.fetchall())
+
+
+def test_op4_composes_before_it_lowers_case():
+    """Pairs of a capital and a mark that have a sign of their own in one case only, and many random texts."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from docketry.llm.token_files import WordEncoder
+
+    path = queries.public_file("word_bpe_49k.json")
+    r, library = random.Random(12), Tokenizer.from_file(path)
+    pairs = [a + chr(m) for a, m in (("H", 0x331), ("J", 0x30C), ("T", 0x308), ("T", 0x344), ("W", 0x30A), ("Y", 0x30A))]
+    texts = [f"a {p} b {p}x x{p}. don't {p.lower()}" for p in pairs] + [a + chr(m) for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for m in range(0x300, 0x370)]
+    signs = list("abcHJTWYİßé'.,!?1 \t\n  ") + [chr(m) for m in (0x301, 0x308, 0x30A, 0x30C, 0x331, 0x344, 0x345, 0x1E9E, 0x3A3, 0x4E00, 0x1F600, 0x130, 0x212A, 0xFB01)] + ["<|endoftext|>", "<|ENDOFTEXT|>", "Word"]
+    texts += ["".join(r.choices(signs, k=r.randint(1, 24))) for _ in range(20_000)]
+    encoder = WordEncoder(path, "uint32")
+    wanted = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for k in range(0, len(texts), 500):
+        ids, ends = encoder.encode(pa.array(texts[k : k + 500]))
+        begins = [0, *ends[:-1].tolist()]
+        for i, (a, b) in enumerate(zip(begins, ends.tolist())):
+            assert ids[a:b].tolist() == wanted[k + i], texts[k + i]
