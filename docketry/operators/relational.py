@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.operators import folds
+
 
 def conjunction(df: DataFrame, **given) -> DataFrame:
     """Rows that equal every given value; None: any."""
@@ -103,14 +106,18 @@ def counted(events: DataFrame, keys: list[str], moment: str, carried: list[str])
 def within_budget(df: DataFrame, group: str, order: list[Column], size: Column, short: Column, most: int) -> DataFrame:
     """Adds kept: rows of a group are kept whole in their order until ``most`` is reached; one that does not fit counts with ``short``.
 
-    What fits depends on what was kept before, so a group's sizes (not its texts) are folded in an array.
+    What fits depends on what was kept before, so the sizes (a few numbers a row, no texts) are folded in order by
+    ``folds.folded``: no group is held in memory. Give a total order; a null group is a group, null sizes are 0.
     """
-    placed = df.withColumn("_size", size.cast("bigint")).withColumn("_short", short.cast("bigint")).withColumn("_at", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    sizes = placed.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_at", "_size", "_short"))).alias("_all"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<boolean>").alias("kept"))
-    step = lambda acc, x: F.struct((acc["used"] + F.when(acc["used"] + x["_size"] <= most, x["_size"]).otherwise(x["_short"])).alias("used"), F.concat(acc["kept"], F.array(acc["used"] + x["_size"] <= most)).alias("kept"))
-    folded = sizes.select(group, F.aggregate("_all", start, step, lambda acc: acc["kept"]).alias("_kept"))
-    return placed.join(folded, group).withColumn("kept", F.element_at("_kept", F.col("_at"))).drop("_size", "_short", "_at", "_kept")
+    def step(used: int, values: list) -> tuple[int, list[bool]]:
+        kept = []
+        for whole, less in zip(*values):
+            kept.append(used + whole <= most)
+            used += whole if kept[-1] else less
+        return used, kept
+
+    sizes = [F.coalesce(size.cast("bigint"), F.lit(0)), F.coalesce(short.cast("bigint"), F.lit(0))]
+    return folds.folded(df, [group], order, sizes, step, 0, "bigint", "kept", "boolean")
 
 
 def latest_version(df: DataFrame, keys: list[str], sequence: str) -> DataFrame:
@@ -120,19 +127,31 @@ def latest_version(df: DataFrame, keys: list[str], sequence: str) -> DataFrame:
     return best.select(*keys, "_row.*").select(*df.columns)
 
 
+def merged_json(old: Column, new: Column) -> Column:
+    """A JSON object with the keys of both; a value of ``new`` wins, whole. Values of every type stay as they are, nulls too.
+
+    Null, or text that is no JSON object, counts as without keys. Keys come in alphabetic order.
+    """
+    parsed = lambda c: F.coalesce(F.try_parse_json(c).try_cast("map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    a, b = parsed(old), parsed(new)
+    both = F.map_concat(F.map_filter(a, lambda k, v: ~F.array_contains(F.map_keys(b), k)), b)
+    quoted = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"(?s)^\[(.*)\]$", 1)
+    # a null in JSON is a null value of the map
+    member = lambda k: F.concat(quoted(k), F.lit(":"), F.coalesce(F.to_json(F.element_at(both, k)), F.lit("null")))
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(both)), member), ","), F.lit("}"))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_if_null: tuple[str, ...] = (), merge: tuple[str, ...] = ()) -> DataFrame:
     """New rows replace old ones of the same key; a null in a column of ``keep_if_null`` keeps the old value.
 
-    Columns of ``merge`` are JSON objects: the new one's keys are added to the old one's and win.
+    Columns of ``merge`` are JSON objects, merged by ``merged_json``.
     """
     o, n = old.alias("o"), new.alias("n")
     on = reduce(lambda a, b: a & b, (F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys))
     there = n.select(*new.columns, F.lit(True).alias("_new")).alias("n")
     joined = o.join(there, on, "full_outer")
     is_new = F.col("n._new").isNotNull()
-    parsed = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    merged = lambda a, b: F.to_json(F.map_concat(F.map_filter(parsed(a), lambda k, v: ~F.array_contains(F.map_keys(parsed(b)), k)), parsed(b)))
-    pick = lambda c: merged(F.col(f"o.{c}"), F.col(f"n.{c}")) if c in merge else F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")) if c in keep_if_null or c in keys else F.when(is_new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
+    pick = lambda c: merged_json(F.col(f"o.{c}"), F.col(f"n.{c}")) if c in merge else F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")) if c in keep_if_null or c in keys else F.when(is_new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
     return joined.select(*(pick(c).alias(c) for c in old.columns))
 
 
@@ -267,15 +286,19 @@ def best_of(arms: list[DataFrame], key: str, score: str, least: float, n: int) -
 def chained(df: DataFrame, order: list[str], content: Column, seed: str = "GENESIS") -> DataFrame:
     """Adds previous and current: each row's hash is of its content and the hash before it, from ``seed`` on.
 
-    A hash needs the one before, so the chain is one array that is folded in one task; it holds the contents'
-    own text only. Append to a stored chain by giving its last hash as ``seed``.
+    A hash needs the one before, so the partitions of a sort are walked one after another, and each hands its last hash on;
+    a task streams its rows. Append to a stored chain by giving its last hash as ``seed``. Null content counts as empty.
     """
-    rows = df.withColumn("_content", content)
-    one = rows.groupBy().agg(F.array_sort(F.collect_list(F.struct(*order, "_content"))).alias("_all"))
-    link = lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(x["_content"], F.element_at(acc, -1)), 256)))
-    hashed = one.select("_all", F.aggregate("_all", F.array(F.lit(seed)), link).alias("_h"))
-    each = hashed.select(F.posexplode("_all").alias("_i", "x"), "_h").select(*(F.col(f"x.{c}").alias(c) for c in order), F.element_at("_h", F.col("_i") + 1).alias("previous"), F.element_at("_h", F.col("_i") + 2).alias("current"))
-    return df.join(each, order)
+    def link(before: str, values: list) -> tuple[str, list[dict]]:
+        out = []
+        for text in values[0]:
+            after = hashlib.sha256(((text or "") + before).encode()).hexdigest()
+            out.append({"previous": before, "current": after})
+            before = after
+        return before, out
+
+    hashed = folds.folded(df, [], [F.col(o) for o in order], [content], link, seed, "string", "_link", "struct<previous:string,current:string>")
+    return hashed.select(*df.columns, "_link.previous", "_link.current")
 
 
 def check_chain(df: DataFrame, order: list[str], content: Column, previous: str, current: str) -> DataFrame:

@@ -189,20 +189,17 @@ def entity_rules(spark, d):
     return judged.select("c_custkey", F.array_join("errors", ",").alias("errors"), F.when(F.col("c_acctbal") < 0, "capital").otherwise("").alias("warnings"))
 
 
-@query("snk7_merged_metadata", "SELECT c_custkey, c_name AS title, coalesce(CASE WHEN c_custkey % 3 = 0 THEN 'new' END, c_mktsegment) AS segment, CASE WHEN c_custkey % 2 = 0 THEN '{\"a\":\"2\",\"b\":\"1\"}' ELSE '{\"a\":\"1\"}' END AS metadata FROM customer")
+_META = """WITH src AS (SELECT event_id, event_type, props AS a, CASE event_id % 4 WHEN 0 THEN '{"n":' || event_id || ',"big":{"a":[1,null,"x"],"on":true}}' WHEN 1 THEN '{"k":null,"rate":0.25}' WHEN 2 THEN '{"k":"7"}' END AS b FROM events)"""
+
+
+@query("snk7_merged_metadata", _META + """ SELECT event_id, title, '{' || string_agg('"' || k || '":' || coalesce(v, 'null'), ',' ORDER BY k) || '}' AS metadata FROM (SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN 'new' END, event_type) AS title, k, CAST(json_extract(CASE WHEN list_contains(json_keys(coalesce(b, '{}')), k) THEN b ELSE a END, '$.' || k) AS VARCHAR) AS v FROM (SELECT *, unnest(list_distinct(list_concat(json_keys(a), json_keys(coalesce(b, '{}'))))) AS k FROM src)) GROUP BY event_id, title""")
 def merged_metadata(spark, d):
-    """New values that are not null win; JSON objects are merged, the new one's keys win."""
-    rows = table(spark, d, "customer")
-    old = rows.select("c_custkey", F.col("c_name").alias("title"), F.col("c_mktsegment").alias("segment"), F.lit('{"a":"1"}').alias("metadata"))
-    new = rows.select("c_custkey", F.col("c_name").alias("title"), F.when(F.col("c_custkey") % 3 == 0, "new").alias("segment"), F.when(F.col("c_custkey") % 2 == 0, '{"a":"2","b":"1"}').alias("metadata"))
-    return R.upsert(old, new, ["c_custkey"], keep_if_null=("segment",), merge=("metadata",))
-
-
-@query("win4_hash_chain_append", "SELECT 3 AS n, sha256('3' || 'c' || sha256('2' || 'b' || sha256('1' || 'a' || 'GENESIS'))) AS current")
-def hash_chain_append(spark, d):
-    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "n int, content string")
-    chained = R.chained(rows, ["n"], F.concat(F.col("n").cast("string"), F.col("content")))
-    return chained.where("n = 3").select("n", "current")
+    """New values that are not null win; JSON objects are merged, the new one's keys win, and values keep their types."""
+    rows = table(spark, d, "events")
+    old = rows.select("event_id", F.col("event_type").alias("title"), F.col("props").alias("metadata"))
+    asked = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('{"n":'), F.col("event_id").cast("string"), F.lit(',"big":{"a":[1,null,"x"],"on":true}}'))).when(F.col("event_id") % 4 == 1, '{"k":null,"rate":0.25}').when(F.col("event_id") % 4 == 2, '{"k":"7"}')
+    new = rows.select("event_id", F.when(F.col("event_id") % 3 == 0, "new").alias("title"), asked.alias("metadata"))
+    return R.upsert(old, new, ["event_id"], keep_if_null=("title",), merge=("metadata",))
 
 
 @query("srt4_limited_arms", "SELECT kind, id FROM (SELECT 'customer' AS kind, c_custkey AS id FROM customer ORDER BY c_custkey DESC LIMIT 15) UNION ALL SELECT kind, id FROM (SELECT 'supplier' AS kind, s_suppkey AS id FROM supplier ORDER BY s_suppkey DESC LIMIT 5)")
