@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
 class Registry:
-    """name, key columns, and where each column comes from in a record."""
+    """name, key columns, and where each column comes from in a record.
+
+    A field of an XML record may be a path with dots; ``wrapper`` is such a path to the element below the record that
+    holds all fields. ``computed``: further columns by functions of the row, such as ``lambda r: F.md5(r["name"])``.
+    """
 
     name: str
     keys: tuple[str, ...]
@@ -18,13 +24,29 @@ class Registry:
     record: str = "RECORD"
     encoding: str = "windows-1251"
     delimiter: str = ";"
+    wrapper: str = ""
+    computed: dict[str, Callable[[DataFrame], Column]] = field(default_factory=dict)
 
 
 def read_xml(spark: SparkSession, path: str, registry: Registry) -> DataFrame:
     """One row for each record element; fields that a file lacks are null. The source splits large files by element."""
-    schema = ", ".join(f"`{f}` string" for f in dict.fromkeys(registry.fields.values()))
-    raw = spark.read.format("xml").option("rowTag", registry.record).option("charset", registry.encoding).schema(schema).load(path)
-    return raw.select(*(F.nullif(F.trim(F.translate(F.col(f"`{f}`"), _CONTROL, " " * len(_CONTROL))), F.lit("")).alias(c) for c, f in registry.fields.items()))
+    paths = {c: [p for p in f"{registry.wrapper}.{f}".split(".") if p] for c, f in registry.fields.items()}
+    tree: dict = {}
+    for steps in paths.values():
+        at = tree
+        for step in steps[:-1]:
+            at = at.setdefault(step, {})
+            if not isinstance(at, dict):
+                raise ValueError(f"{'.'.join(steps)} goes through a field")
+        at.setdefault(steps[-1], "string")
+    kind = lambda node: T.StringType() if node == "string" else T.StructType([T.StructField(n, kind(x)) for n, x in node.items()])
+    raw = spark.read.format("xml").option("rowTag", registry.record).option("charset", registry.encoding).schema(kind(tree)).load(path)
+    named = {c: F.col(".".join(f"`{p}`" for p in steps)) for c, steps in paths.items()}
+    return _with_computed(raw.select(*(F.nullif(F.trim(F.translate(x, _CONTROL, " " * len(_CONTROL))), F.lit("")).alias(c) for c, x in named.items())), registry)
+
+
+def _with_computed(rows: DataFrame, registry: Registry) -> DataFrame:
+    return rows.select("*", *(f(rows).alias(c) for c, f in registry.computed.items()))
 
 
 #: Control characters that some registries leave in texts.
@@ -54,7 +76,7 @@ def read_delimited(spark: SparkSession, path: str, registry: Registry, multi_lin
     named = rows.select(*(F.col(f"`{i}`").alias(h) for i, h in enumerate(header)))
     present = sum((F.col(f"`{h}`").isNotNull().cast("int") for h in header), F.lit(0))
     kept = named.where(present * 2 >= len(header))
-    return kept.select(*(F.nullif(F.col(f"`{h}`"), F.lit("")).alias(c) if h in header else F.lit(None).cast("string").alias(c) for c, h in registry.fields.items()))
+    return _with_computed(kept.select(*(F.nullif(F.col(f"`{h}`"), F.lit("")).alias(c) if h in header else F.lit(None).cast("string").alias(c) for c, h in registry.fields.items())), registry)
 
 
 def last_record(df: DataFrame, registry: Registry, sequence: str) -> DataFrame:
