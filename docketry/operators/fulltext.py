@@ -47,12 +47,12 @@ class Index:
 
     @property
     def blocks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/blocks")
+        return self.spark.read.schema(BLOCKS + ", part int").parquet(f"{self.path}/blocks")
 
     @property
     def terms(self) -> DataFrame:
         """term, docs, occurrences, most and parts."""
-        return self.spark.read.parquet(f"{self.path}/terms")
+        return self.spark.read.schema("term string, docs bigint, occurrences bigint, most int, parts array<int>").parquet(f"{self.path}/terms")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,11 +56,13 @@ def _valid(vectors: DataFrame, key: str, column: str, size: int) -> DataFrame:
     return vectors.select(F.col(key).cast("bigint").alias("_key"), F.col(column).cast("array<double>").alias("_v")).where(good)
 
 
-def fit(vectors: DataFrame, lists: int, key: str = "_key", sample: int = SAMPLE) -> np.ndarray:
+def fit(vectors: DataFrame, lists: int, size: int, key: str = "_key", sample: int = SAMPLE) -> np.ndarray:
     """Unit centroids of at most ``lists`` lists, by spherical k-means on at most ``sample`` vectors."""
     rows = vectors.orderBy(F.xxhash64(key), key).limit(sample).select("_v").toPandas()["_v"]
-    x = _unit(np.array(rows.tolist(), float).reshape(len(rows), -1))
+    x = _unit(np.array(rows.tolist(), float).reshape(len(rows), size))
     centroids = x[:lists]
+    if not len(x):
+        return centroids
     for _ in range(ROUNDS):
         nearest = (x @ centroids.T).argmax(1)
         sums = np.zeros_like(centroids)
@@ -77,7 +79,7 @@ def build(vectors: DataFrame, key: str, column: str, size: int = 64, lists: int
     spark = vectors.sparkSession
     path = path or f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
     plain = _valid(vectors, key, column, size)
-    centroids = fit(plain, lists, sample=sample)
+    centroids = fit(plain, lists, size, sample=sample)
     index = Index(spark, path, centroids)
     if not len(centroids):
         spark.createDataFrame([], "key bigint, embedding array<double>, list int").write.parquet(f"{path}/vectors")

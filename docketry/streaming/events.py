@@ -17,24 +17,36 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1000) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def sessions(events: DataFrame, gap: str = "24 hours", late: str = "1 hour") -> DataFrame:
+def held(events: DataFrame, late: str | None) -> DataFrame:
+    """A stream with its watermark: rows later than ``late`` behind the newest are dropped, and the stream's progress counts
+    them (numRowsDroppedByWatermark). There is no default, since the right bound is the source's. A table stays as it is."""
+    if not events.isStreaming:
+        return events
+    if late is None:
+        raise ValueError("a stream needs a bound for late rows")
+    return events.withWatermark("ts", late)
+
+
+def dropped_rows(query: StreamingQuery) -> int:
+    """How many late rows the stream's kept progress says were dropped."""
+    return sum(int(state["numRowsDroppedByWatermark"]) for p in query.recentProgress for state in p["stateOperators"])
+
+
+def sessions(events: DataFrame, gap: str = "24 hours", late: str | None = None) -> DataFrame:
     """user_id, start, end, n_events of each run of events with no pause longer than ``gap``."""
-    held = events.withWatermark("ts", late) if events.isStreaming else events
-    grouped = held.groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n_events"))
+    grouped = held(events, late).groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n_events"))
     return grouped.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n_events")
 
 
-def daily_counts(events: DataFrame, key: str, limit: int, late: str = "1 hour") -> DataFrame:
+def daily_counts(events: DataFrame, key: str, limit: int, late: str | None = None) -> DataFrame:
     """key, day, n and whether the limit is passed."""
-    held = events.withWatermark("ts", late) if events.isStreaming else events
-    grouped = held.groupBy(key, F.window("ts", "1 day")).agg(F.count("*").alias("n"))
+    grouped = held(events, late).groupBy(key, F.window("ts", "1 day")).agg(F.count("*").alias("n"))
     return grouped.select(key, F.col("window.start").alias("day"), "n", (F.col("n") > limit).alias("over"))
 
 
-def sliding_rates(events: DataFrame, key: str, width: str = "5 minutes", slide: str = "1 minute", late: str = "1 hour") -> DataFrame:
+def sliding_rates(events: DataFrame, key: str, width: str = "5 minutes", slide: str = "1 minute", late: str | None = None) -> DataFrame:
     """n, error rate and quantiles of value in sliding windows of each key."""
-    held = events.withWatermark("ts", late) if events.isStreaming else events
-    grouped = held.groupBy(key, F.window("ts", width, slide)).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.percentile_approx("value", [0.5, 0.95, 0.99]).alias("q"))
+    grouped = held(events, late).groupBy(key, F.window("ts", width, slide)).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.percentile_approx("value", [0.5, 0.95, 0.99]).alias("q"))
     return grouped.select(key, F.col("window.start").alias("start"), "n", (F.col("errors") / F.col("n")).alias("error_rate"), F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"))
 
 
@@ -42,9 +54,12 @@ def alerts(rates: DataFrame, error_rate: float = 0.05, p95: float = 5.0) -> Data
     return rates.where((F.col("error_rate") > error_rate) | (F.col("p95") > p95))
 
 
-def upsert_stream(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str, key: str = "event_id", late: str = "1 hour") -> StreamingQuery:
-    """Give each batch, without repeated keys, to ``merge``; ends when all that is there was read, and resumes from its checkpoint."""
-    once = stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+def upsert_stream(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str, late: str, key: str = "event_id") -> StreamingQuery:
+    """Give each batch, without repeated keys, to ``merge``; ends when all that is there was read, and resumes from its checkpoint.
+
+    Events more than ``late`` behind the newest are dropped (``dropped_rows`` counts them): keys are remembered that long.
+    """
+    once = held(stream, late).dropDuplicatesWithinWatermark([key])
     return once.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -97,5 +112,5 @@ def recoveries(changes: DataFrame, minutes: int = STUCK_MINUTES, most: int = MOS
         elif state.exists:
             state.remove()
 
-    held = changes.select("session_id", "status", "ts").withWatermark("ts", late)
-    return held.groupBy("session_id").applyInPandasWithState(follow, "session_id string, retries int, action string", "moved bigint, retries int", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = changes.select("session_id", "status", "ts").withWatermark("ts", late)
+    return timed.groupBy("session_id").applyInPandasWithState(follow, "session_id string, retries int, action string", "moved bigint, retries int", "append", GroupStateTimeout.EventTimeTimeout)

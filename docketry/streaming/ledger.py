@@ -22,7 +22,7 @@ class Ledger(StatefulProcessor):
         self.balance = handle.getValueState("balance", "amount bigint")
         self.waiting = handle.getListState("waiting", T.StructType([T.StructField("at", T.LongType()), T.StructField("id", T.LongType()), T.StructField("amount", T.LongType())]))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         for batch in rows:
             at = [int(t.timestamp() * 1000) for t in batch["ts"]]
             for when, one, amount in zip(at, batch["id"].tolist(), batch["amount"].tolist()):
@@ -31,8 +31,8 @@ class Ledger(StatefulProcessor):
                 self.handle.registerTimer(when)
         yield pd.DataFrame()
 
-    def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
-        due = expired.getExpiryTimeInMs()
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        due = expiredTimerInfo.getExpiryTimeInMs()
         rows = sorted(tuple(r) for r in self.waiting.get())
         now = self.balance.get()[0] if self.balance.exists() else 0
         out = []
