@@ -48,23 +48,23 @@ _EFFECT = "CASE WHEN outcome IN ('залишено без змін', 'відмо
 
 @query("txt12_case_number_forms", f"WITH {_VARIATIONS} SELECT number, case_number FROM variations")
 def case_number_forms(spark, d):
-    return NUMBERS.frame(spark).distinct().select("number", F.explode(L.case_number_variations(F.col("number"))).alias("case_number"))
+    return NUMBERS.frame(spark, d).distinct().select("number", F.explode(L.case_number_variations(F.col("number"))).alias("case_number"))
 
 
 @query("grf5_case_chain", f"WITH {_CHAIN} SELECT number, doc_id, document_type, instance, court, decided, outcome, {_EFFECT} AS effect FROM chain")
 def case_chain(spark, d):
-    chain = O.case_chain(NUMBERS.frame(spark), DECISIONS.frame(spark))
+    chain = O.case_chain(NUMBERS.frame(spark, d), DECISIONS.frame(spark, d))
     return chain.select("number", "doc_id", "document_type", "instance", "court", "decided", "effect.outcome", "effect.effect")
 
 
 @query("agg35_chain_summary", f"WITH {_CHAIN} SELECT number, count(*) AS documents, count(*) FILTER (level = 1) AS first_instance, count(*) FILTER (level = 2) AS appeal, count(*) FILTER (level = 3) AS cassation, count(*) FILTER (level = 4) AS grand_chamber, count(*) FILTER (document_type IN ('Рішення', 'Вирок')) AS decisions, count(*) FILTER (document_type = 'Постанова') AS rulings, count(*) FILTER (contains(document_type, 'Ухвала')) AS orders FROM chain GROUP BY 1")
 def chain_summary(spark, d):
-    return O.chain_summary(O.case_chain(NUMBERS.frame(spark), DECISIONS.frame(spark)))
+    return O.chain_summary(O.case_chain(NUMBERS.frame(spark, d), DECISIONS.frame(spark, d)))
 
 
 @query("col11_instance_buckets", f"WITH {_CHAIN} SELECT number, CASE WHEN level = 3 THEN 'Касація' ELSE instance END AS bucket, string_agg(doc_id, ',' ORDER BY decided, doc_id) AS doc_ids FROM chain GROUP BY 1, 2")
 def instance_buckets(spark, d):
-    return O.by_instance(O.case_chain(NUMBERS.frame(spark), DECISIONS.frame(spark))).select("number", "bucket", F.concat_ws(",", F.transform("doc_ids", lambda x: x.cast("string"))).alias("doc_ids"))
+    return O.by_instance(O.case_chain(NUMBERS.frame(spark, d), DECISIONS.frame(spark, d))).select("number", "bucket", F.concat_ws(",", F.transform("doc_ids", lambda x: x.cast("string"))).alias("doc_ids"))
 
 
 @query("grf3_precedent_status", f"""WITH {_CHAIN}, ranked AS (
@@ -80,7 +80,7 @@ def instance_buckets(spark, d):
   FROM (SELECT DISTINCT number FROM {NUMBERS.sql}) n LEFT JOIN target t ON t.number = n.number LEFT JOIN top ON top.number = n.number LEFT JOIN listed l ON l.number = n.number
 ) SELECT number, target_doc_id, status, affecting, chain_length, CASE status WHEN 'explicitly_overruled' THEN CASE WHEN level >= 3 THEN 0.95 WHEN level = 2 THEN 0.85 ELSE 0.75 END WHEN 'limited' THEN CASE WHEN level >= 3 THEN 0.9 WHEN level = 2 THEN 0.8 ELSE 0.7 END WHEN 'valid' THEN CASE WHEN level >= 3 THEN 0.9 ELSE 0.8 END ELSE 0.5 END::DOUBLE AS confidence FROM judged""")
 def precedent_status(spark, d):
-    found = O.precedent_status(NUMBERS.frame(spark), DECISIONS.frame(spark))
+    found = O.precedent_status(NUMBERS.frame(spark, d), DECISIONS.frame(spark, d))
     return found.withColumn("affecting", F.concat_ws(",", F.transform("affecting", lambda a: F.concat_ws(":", a["doc_id"], a["effect"]))))
 
 
@@ -96,7 +96,7 @@ _MENTIONS = f"""m AS (
 
 @query("txt6_citations", f"WITH {_MENTIONS} SELECT doc_id, cited, place, context, citation_type FROM typed")
 def citations(spark, d):
-    return O.citations(TEXTS.frame(spark))
+    return O.citations(TEXTS.frame(spark, d))
 
 
 _LINKS = f"{_MENTIONS}, links AS (SELECT t.doc_id AS from_id, n.to_id, citation_type, context, place FROM typed t JOIN (SELECT case_number, min(doc_id) AS to_id FROM {TEXTS.sql} GROUP BY 1) n ON n.case_number = t.cited)"
@@ -104,26 +104,26 @@ _LINKS = f"{_MENTIONS}, links AS (SELECT t.doc_id AS from_id, n.to_id, citation_
 
 @query("jn11_resolved_citations", f"WITH {_LINKS} SELECT from_id, to_id, citation_type, place FROM links")
 def resolved_citations(spark, d):
-    return O.resolved(O.citations(TEXTS.frame(spark)), TEXTS.frame(spark)).drop("context")
+    return O.resolved(O.citations(TEXTS.frame(spark, d)), TEXTS.frame(spark, d)).drop("context")
 
 
 @query("snk9_saved_citations", f"WITH {_LINKS} SELECT from_id, to_id, citation_type, arg_max(context, place) AS context FROM links GROUP BY 1, 2, 3")
 def saved_citations(spark, d):
-    return O.saved_citations(O.resolved(O.citations(TEXTS.frame(spark)), TEXTS.frame(spark)))
+    return O.saved_citations(O.resolved(O.citations(TEXTS.frame(spark, d)), TEXTS.frame(spark, d)))
 
 
 @query("grf4_local_status", f"""WITH {_LINKS}, numbers AS (SELECT DISTINCT number FROM {NUMBERS.sql} UNION SELECT case_number FROM {TEXTS.sql} WHERE case_number IS NOT NULL), s AS (SELECT DISTINCT from_id, to_id, citation_type FROM links), met AS (SELECT t.case_number AS number, s.* FROM s JOIN {TEXTS.sql} t ON t.doc_id = s.to_id)
   SELECT n.number, CASE WHEN count(m.to_id) = 0 THEN 'unknown' WHEN count(*) FILTER (citation_type = 'overrules') > 0 THEN 'explicitly_overruled' WHEN count(*) FILTER (citation_type = 'distinguishes') > 0 THEN 'questioned' ELSE 'valid' END AS status, CASE WHEN count(m.to_id) = 0 THEN 0.5 ELSE 0.6 END::DOUBLE AS confidence, count(m.to_id) AS chain_length FROM numbers n LEFT JOIN met m ON m.number = n.number GROUP BY 1""")
 def local_status(spark, d):
-    texts = TEXTS.frame(spark)
+    texts = TEXTS.frame(spark, d)
     links = O.saved_citations(O.resolved(O.citations(texts), texts))
-    numbers = NUMBERS.frame(spark).union(texts.where("case_number is not null").select("case_number"))
+    numbers = NUMBERS.frame(spark, d).union(texts.where("case_number is not null").select("case_number"))
     return O.local_status(numbers, links, texts)
 
 
 @query("jn12_citing_cases", f"WITH {_LINKS} SELECT l.citation_type, l.from_id, f.case_number AS from_case FROM (SELECT DISTINCT from_id, to_id, citation_type FROM links) l JOIN {TEXTS.sql} f ON f.doc_id = l.from_id WHERE l.to_id IN (SELECT doc_id FROM {TEXTS.sql} WHERE case_number = '757/123/2023')")
 def citing_cases(spark, d):
-    texts = TEXTS.frame(spark)
+    texts = TEXTS.frame(spark, d)
     links = O.saved_citations(O.resolved(O.citations(texts), texts))
     wanted = texts.where("case_number = '757/123/2023'").select(F.col("doc_id").alias("to_id"))
     return links.join(wanted, "to_id", "left_semi").join(texts.select(F.col("doc_id").alias("from_id"), F.col("case_number").alias("from_case")), "from_id").select("citation_type", "from_id", "from_case")
@@ -131,17 +131,17 @@ def citing_cases(spark, d):
 
 @query("txt13_outcome_rules", f"SELECT doc_id, CASE WHEN contains(r, 'частков') THEN 'partial' WHEN contains(r, 'задовольн') THEN 'allowed' WHEN contains(r, 'відмов') THEN 'denied' WHEN contains(r, 'скасув') AND (contains(r, 'направ') OR contains(r, 'нов')) THEN 'remand' WHEN contains(r, 'скасув') THEN 'cancelled' END AS outcome FROM (SELECT DISTINCT doc_id, lower(resolution) AS r FROM {DECISIONS.sql})")
 def outcome_rules(spark, d):
-    return DECISIONS.frame(spark).select("doc_id", L.outcome(F.col("resolution")).alias("outcome")).distinct()
+    return DECISIONS.frame(spark, d).select("doc_id", L.outcome(F.col("resolution")).alias("outcome")).distinct()
 
 
 @query("txt17_chamber", f"SELECT DISTINCT doc_id, CASE WHEN contains(h, 'велика палата') OR contains(h, 'вп вс') OR contains(h, 'великої палати верховного суду') THEN 'ВП ВС' WHEN regexp_matches(h, '(^| )кцс( |$)') OR contains(h, 'касаційний цивільний суд') THEN 'КЦС' WHEN regexp_matches(h, '(^| )кгс( |$)') OR contains(h, 'касаційний господарський суд') THEN 'КГС' WHEN regexp_matches(h, '(^| )кас( |$)') OR contains(h, 'касаційний адміністративний суд') THEN 'КАС' WHEN regexp_matches(h, '(^| )ккс( |$)') OR contains(h, 'касаційний кримінальний суд') THEN 'ККС' END AS chamber FROM (SELECT doc_id, lower(coalesce(nullif(chamber, ''), title)) AS h FROM {DECISIONS.sql})")
 def chambers(spark, d):
-    return DECISIONS.frame(spark).select("doc_id", C.chamber(F.coalesce(F.nullif("chamber", F.lit("")), "title")).alias("chamber")).distinct()
+    return DECISIONS.frame(spark, d).select("doc_id", C.chamber(F.coalesce(F.nullif("chamber", F.lit("")), "title")).alias("chamber")).distinct()
 
 
 @query("txt9_law_articles", f"SELECT doc_id, array_to_string(list_distinct(list_transform(regexp_extract_all(text, '(?i)ст\\.\\s*\\d+'), lambda m: trim(regexp_replace(m, '\\s+', ' ', 'g')))), '|') IS NOT NULL AS found, len(list_distinct(list_transform(regexp_extract_all(text, '(?i)ст\\.\\s*\\d+'), lambda m: trim(regexp_replace(m, '\\s+', ' ', 'g'))))) AS n FROM {REASONING.sql}")
 def law_articles(spark, d):
-    return REASONING.frame(spark).select("doc_id", F.lit(True).alias("found"), F.size(L.law_articles(F.col("text"))).cast("bigint").alias("n"))
+    return REASONING.frame(spark, d).select("doc_id", F.lit(True).alias("found"), F.size(L.law_articles(F.col("text"))).cast("bigint").alias("n"))
 
 
 _TERMS_SQL = "['заборгованість', 'стягнення', 'позов', 'договір', 'лізинг', 'неустойка', 'відшкодування', 'розірвання', 'виконання', 'зобов''язання', 'порушення', 'відповідальність', 'збитки', 'штраф', 'пеня', 'сплата', 'оплата', 'послуги', 'товар']"
@@ -152,7 +152,7 @@ _TERMS_SQL = "['заборгованість', 'стягнення', 'позов
   FROM (SELECT doc_id, text FROM {REASONING.sql} UNION ALL VALUES (100, 'Стягнення заборгованості за договором, пеня'), (101, 'Розірвання договору лізингу за статтею'), (102, 'відшкодування збитків, стаття 22.1'))""")
 def search_terms(spark, d):
     more = spark.createDataFrame([(100, "Стягнення заборгованості за договором, пеня"), (101, "Розірвання договору лізингу за статтею"), (102, "відшкодування збитків, стаття 22.1")], "doc_id int, text string")
-    t = REASONING.frame(spark).select("doc_id", "text").unionByName(more).select("doc_id", C.search_terms(F.col("text")).alias("t"))
+    t = REASONING.frame(spark, d).select("doc_id", "text").unionByName(more).select("doc_id", C.search_terms(F.col("text")).alias("t"))
     return t.select("doc_id", F.array_join(F.array_sort("t.articles"), ",").alias("articles"), F.array_join("t.keywords", ",").alias("keywords"), "t.essence")
 
 
@@ -168,20 +168,20 @@ _PATTERN = f"r AS (SELECT doc_id, topic, text, lower(text) AS t FROM {REASONING.
     array_to_string(list_filter(['доведено', 'підтверджено', 'відповідає вимогам', 'має право'], lambda k: (SELECT bool_or(contains(r.t, k)) FROM r WHERE r.topic = n.topic)), '|') AS success_arguments
   FROM n LEFT JOIN articles ON articles.topic = n.topic JOIN best ON best.topic = n.topic""".replace("lambda k: (SELECT bool_or(contains(r.t, k)) FROM r WHERE r.topic = n.topic)", "lambda k: contains(n.every, k)").replace("n AS (SELECT topic, count(*) AS n FROM r", "n AS (SELECT topic, count(*) AS n, string_agg(t, '#') AS every FROM r"))
 def case_patterns(spark, d):
-    found = P.case_patterns(REASONING.frame(spark), "topic")
+    found = P.case_patterns(REASONING.frame(spark, d), "topic")
     return found.select("topic", "frequency", *(F.array_join(c, "|").alias(c) for c in ("law_articles", "risk_factors", "success_arguments")), "outcome", "confidence")
 
 
 @query("agg25_failure_reasons", f"WITH {_PATTERN}, bad AS (SELECT * FROM r WHERE contains(t, 'відмовлено') OR contains(t, 'відхилено')), e AS (SELECT topic, doc_id, unnest(list_filter([CASE WHEN contains(text, 'недостатньо') THEN 'Недостатньо доказів' END, CASE WHEN contains(text, 'пропущено') THEN 'Пропущено строк позовної давності' END, CASE WHEN contains(text, 'не відповідає') THEN 'Не відповідає вимогам закону' END], lambda x: x IS NOT NULL)) AS reason FROM bad) SELECT topic, reason, count(*) AS n FROM e GROUP BY 1, 2")
 def failure_reasons(spark, d):
-    return P.failure_reasons(REASONING.frame(spark), "topic")
+    return P.failure_reasons(REASONING.frame(spark, d), "topic")
 
 
 @query("txt30_risk_findings", f"""WITH {_PATTERN}, k(factor) AS (VALUES ('недостатньо доказів'), ('не доведено'), ('пропущено строк'), ('не відповідає')) SELECT doc_id, factor,
   CASE WHEN contains(factor, 'доказ') OR contains(factor, 'строк') THEN 'legal_risk' WHEN contains(factor, 'сума') OR contains(factor, 'платіж') THEN 'financial_risk' WHEN contains(factor, 'вимог') THEN 'compliance_issue' ELSE 'other' END AS category,
   CASE WHEN factor IN ('недостатньо доказів', 'пропущено строк') THEN 'high' WHEN factor = 'не доведено' THEN 'medium' ELSE 'low' END AS risk_level FROM r, k WHERE contains(t, factor)""")
 def risk_findings(spark, d):
-    return P.risk_findings(REASONING.frame(spark)).select("doc_id", "factor", "category", "risk_level")
+    return P.risk_findings(REASONING.frame(spark, d)).select("doc_id", "factor", "category", "risk_level")
 
 
 @query("txt25_answer_validation", f"""WITH c AS (SELECT answer_id, unnest(list_filter(string_split_regex(answer, '[.!?]+'), lambda s: length(trim(s)) > 20)) AS claim, string_split(coalesce(nullif(sources, ''), '#'), '|') AS sources, sources IS NOT NULL AND sources <> '' AS has_sources FROM {ANSWERS.sql}
@@ -191,7 +191,7 @@ def risk_findings(spark, d):
   ), t AS (SELECT a.answer_id, count(j.answer_id) AS claims, count(*) FILTER (NOT sourced) AS unsourced, coalesce(max(inv.n), 0) AS invalid FROM {ANSWERS.sql} a LEFT JOIN j ON j.answer_id = a.answer_id LEFT JOIN inv ON inv.answer_id = a.answer_id GROUP BY 1)
   SELECT *, unsourced = 0 AND invalid = 0 AS is_valid, CASE WHEN claims = 0 THEN 1.0 ELSE round(((1 - unsourced / claims) + (1 - invalid / claims)) / 2, 6) END::DOUBLE AS confidence FROM t""")
 def answer_validation(spark, d):
-    return A.validated(ANSWERS.frame(spark).withColumn("sources", F.split(F.nullif("sources", F.lit("")), r"\|")), TEXTS.frame(spark).select("case_number"))
+    return A.validated(ANSWERS.frame(spark, d).withColumn("sources", F.split(F.nullif("sources", F.lit("")), r"\|")), TEXTS.frame(spark, d).select("case_number"))
 
 
 _INTENT = """CASE
@@ -213,12 +213,12 @@ _INTENT = """CASE
   CASE WHEN contains(q, 'підбірк') THEN 'підбірка' WHEN contains(q, 'порівня') THEN 'порівняння' WHEN contains(q, 'таблиц') THEN 'таблиця' WHEN contains(q, 'чеклист') THEN 'чеклист' END AS desired_output,
   regexp_matches(q, 'пеня|штраф') AS penalty, contains(q, 'інфляц') AS inflation, regexp_matches(q, '3%|три відсотк|три проц') AS three_percent, contains(q, 'судов') AND contains(q, 'витрат') AS legal_fees FROM q""")
 def intents(spark, d):
-    return QUESTIONS.frame(spark).select("question_id", A.intent(F.col("question")).alias("i")).select("question_id", "i.intent", "i.procedure_code", "i.court_level", "i.desired_output", "i.penalty", "i.inflation", "i.three_percent", "i.legal_fees")
+    return QUESTIONS.frame(spark, d).select("question_id", A.intent(F.col("question")).alias("i")).select("question_id", "i.intent", "i.procedure_code", "i.court_level", "i.desired_output", "i.penalty", "i.inflation", "i.three_percent", "i.legal_fees")
 
 
 @query("txt23_services", f"SELECT question_id, CASE WHEN regexp_matches(q, '(?i)workflow|інтеграц|integration') THEN 'workflow_automation' WHEN regexp_matches(q, '(?i)vault|сховищ|хранилищ') THEN 'document_vault' WHEN regexp_matches(q, '(?i)due\\s*diligence|dd\\b|перевірк|провер|m&a') THEN 'due_diligence' ELSE 'legal_research' END AS service FROM (SELECT question_id, coalesce(question, '') AS q FROM {QUESTIONS.sql})")
 def services(spark, d):
-    return QUESTIONS.frame(spark).select("question_id", A.service(F.col("question")).alias("service"))
+    return QUESTIONS.frame(spark, d).select("question_id", A.service(F.col("question")).alias("service"))
 
 
 @query("txt21_court_levels", "WITH v(value) AS (VALUES ('Grand Chamber'), ('вп'), ('SC'), ('Supreme Court'), ('КЦС ВС'), ('cassation'), ('апеляційний'), ('first_instance'), ('Перша інстанція'), ('щось'), (''), (NULL)) SELECT value, CASE WHEN lower(trim(value)) IN ('grandchamber', 'grand_chamber', 'grand chamber', 'вп') OR contains(lower(value), 'велика палата') OR contains(lower(value), 'вп вс') THEN 'GrandChamber' WHEN lower(trim(value)) IN ('sc', 'вс') OR regexp_matches(lower(value), 'supreme|верхов|кцс|кгс|кас|ккс') AND lower(trim(value)) <> 'cassation' THEN 'SC' WHEN lower(trim(value)) = 'cassation' OR contains(lower(value), 'касац') THEN 'cassation' WHEN lower(trim(value)) = 'appeal' OR contains(lower(value), 'апеляц') THEN 'appeal' WHEN lower(trim(value)) = 'first_instance' OR regexp_matches(lower(value), 'перша інстанц|первая инстанц') THEN 'first_instance' END AS level FROM v")
@@ -235,7 +235,7 @@ for _a, _f in (("цпк", "цивільний процесуальний код
 
 @query("txt33_normal_questions", f"SELECT question_id, {_NORMAL} AS question, sha256({_NORMAL}) AS key FROM {QUESTIONS.sql}")
 def normal_questions(spark, d):
-    return QUESTIONS.frame(spark).select("question_id", L.normal_question(F.col("question")).alias("question"), L.question_key(F.col("question")).alias("key"))
+    return QUESTIONS.frame(spark, d).select("question_id", L.normal_question(F.col("question")).alias("question"), L.question_key(F.col("question")).alias("key"))
 
 
 @query("txt19_snippets", f"SELECT doc_id, CASE WHEN greatest(p - 161, 0) > 0 THEN '…' ELSE '' END || trim(regexp_replace(substr(text, greatest(p - 161, 0) + 1, least(p - 1 + 4 + 160, length(text)) - greatest(p - 161, 0)), '\\s+', ' ', 'g')) || CASE WHEN p + 163 < length(text) THEN '…' ELSE '' END AS snippet FROM (SELECT doc_id, text, strpos(lower(text), 'tion') AS p FROM documents) WHERE p > 0")
@@ -247,4 +247,4 @@ def first_snippets(spark, d):
 
 @query("txt28_change_importance", f"SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\\d+\\s*грн|uah|usd|eur|\\$|€|\\d{{2}}\\.\\d{{2}}\\.\\d{{4}}|термін|строк|penalty|штраф|неустойка|відповідальність') THEN 'critical' WHEN length(text) > 50 AND regexp_matches(text, '(?i)право|обов''язок|obligation|зобов''язання|умова|condition') THEN 'significant' ELSE 'minor' END AS importance FROM {REASONING.sql}")
 def change_importance(spark, d):
-    return REASONING.frame(spark).select("doc_id", L.change_importance(F.col("text")).alias("importance"))
+    return REASONING.frame(spark, d).select("doc_id", L.change_importance(F.col("text")).alias("importance"))

@@ -100,7 +100,7 @@ def import_log(spark, d):
 @query("srt7_instance_order", f"WITH {_CHAIN} SELECT number, doc_id, row_number() OVER (PARTITION BY number ORDER BY level DESC, decided DESC, doc_id) AS place FROM chain")
 def instance_order(spark, d):
     by = Window.partitionBy("number").orderBy(F.desc("level"), F.desc("decided"), "doc_id")
-    return O.case_chain(NUMBERS.frame(spark), DECISIONS.frame(spark)).select("number", "doc_id", F.row_number().over(by).alias("place"))
+    return O.case_chain(NUMBERS.frame(spark, d), DECISIONS.frame(spark, d)).select("number", "doc_id", F.row_number().over(by).alias("place"))
 
 
 def similar_facts(facts: DataFrame, texts: DataFrame) -> DataFrame:
@@ -113,14 +113,14 @@ def similar_facts(facts: DataFrame, texts: DataFrame) -> DataFrame:
 @query("txt41_similar_facts", f"SELECT 1 AS fact_id, doc_id, CAST(contains(t, 'позов') AS BIGINT) + CAST(contains(t, 'договір') AS BIGINT) + CAST(contains(t, 'пеня') AS BIGINT) AS hits FROM (SELECT doc_id, lower(text) AS t FROM {REASONING.sql}) WHERE hits > 0")
 def fact_patterns(spark, d):
     facts = spark.createDataFrame([(1, "Договір позики, позов про стягення, пеня")], "fact_id int, facts string")
-    return similar_facts(facts, REASONING.frame(spark))
+    return similar_facts(facts, REASONING.frame(spark, d))
 
 
 @query("txt28_word_changes")
 def word_changes(spark, d):
     """What changes from a text to the next one of its topic; an alignment has no SQL, tests rebuild the new text from it."""
     before = F.lag("text").over(Window.partitionBy("topic").orderBy("doc_id"))
-    pairs = REASONING.frame(spark).withColumn("before", before).where("before is not null")
+    pairs = REASONING.frame(spark, d).withColumn("before", before).where("before is not null")
     each = pairs.select("doc_id", F.explode(L.word_changes(F.col("before"), F.col("text"))).alias("c")).select("doc_id", "c.*")
     return each.withColumn("importance", L.change_importance(F.col("text")))
 

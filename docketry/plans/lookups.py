@@ -35,7 +35,7 @@ def json_keys(spark, d):
 
 @query("flt8_json_array_any", f"SELECT matter_id FROM {MATTERS.sql} WHERE len(list_filter(CAST(parties AS VARCHAR[]), lambda x: contains(lower(x), 'альфа'))) > 0")
 def json_array_any(spark, d):
-    return R.json_any(MATTERS.frame(spark), "parties", "Альфа").select("matter_id")
+    return R.json_any(MATTERS.frame(spark, d), "parties", "Альфа").select("matter_id")
 
 
 @query("flt10_prefix", "SELECT page_id FROM pages WHERE starts_with(url, 'https://m.')")
@@ -64,7 +64,7 @@ def of_faction(members, name: str):
 
 @query("flt15_faction_aliases", f"SELECT member_id FROM {MEMBERS.sql} WHERE contains(lower(faction), 'платформа за життя') OR contains(lower(faction), 'опзж')")
 def faction_aliases(spark, d):
-    return of_faction(MEMBERS.frame(spark), "фракція ОПЗЖ").select("member_id")
+    return of_faction(MEMBERS.frame(spark, d), "фракція ОПЗЖ").select("member_id")
 
 
 # Kinds of justice by procedure code.
@@ -79,7 +79,7 @@ def supreme_court(df, procedure: str | None = None, grand: bool = False):
 
 @query("flt18_court_levels", f"SELECT 'all' AS what, doc_id FROM {COURTS.sql} WHERE instance_code = 1 AND court_code LIKE '99%' UNION ALL SELECT 'grand', doc_id FROM {COURTS.sql} WHERE instance_code = 1 AND court_code = '9901' UNION ALL SELECT 'gpc', doc_id FROM {COURTS.sql} WHERE instance_code = 1 AND court_code LIKE '99%' AND justice_kind = 3")
 def court_levels(spark, d):
-    rows = COURTS.frame(spark)
+    rows = COURTS.frame(spark, d)
     arms = (("all", supreme_court(rows)), ("grand", supreme_court(rows, grand=True)), ("gpc", supreme_court(rows, "gpc")))
     return reduce(lambda a, b: a.unionByName(b), (r.select(F.lit(n).alias("what"), "doc_id") for n, r in arms))
 
@@ -97,7 +97,7 @@ def last_touched(spark, d):
 
 @query("flt21_backfill_candidates", f"SELECT doc_id FROM {TEXTS.sql} WHERE (text IS NULL OR length(text) < 100) AND regexp_matches(CAST(doc_id AS VARCHAR), '^\\d+$') AND json_extract_string('{{\"k\": \"757/123/2023\"}}', '$.k') <> coalesce(case_number, '')")
 def backfill(spark, d):
-    rows = TEXTS.frame(spark).withColumn("meta", F.to_json(F.struct(F.col("case_number").alias("k"))))
+    rows = TEXTS.frame(spark, d).withColumn("meta", F.to_json(F.struct(F.col("case_number").alias("k"))))
     return rows.where("text is null or length(text) < 100").where(F.col("doc_id").cast("string").rlike(r"^\d+$")).where(F.coalesce(F.get_json_object("meta", "$.k"), F.lit("")) != "757/123/2023").select("doc_id")
 
 
@@ -116,7 +116,7 @@ def dynamic_sort(spark, d):
 def term_frequency(spark, d):
     hits = L.occurrences(F.col("full_text"), "строк") + L.occurrences(F.col("full_text"), "позов")
     words = F.size(F.regexp_extract_all("full_text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    return ARTICLES.frame(spark).where(hits > 0).select("rada_id", "article_number", F.round(hits / words, 6).alias("rank")).orderBy(F.desc("rank"), "rada_id", "article_number").limit(4)
+    return ARTICLES.frame(spark, d).where(hits > 0).select("rada_id", "article_number", F.round(hits / words, 6).alias("rank")).orderBy(F.desc("rank"), "rada_id", "article_number").limit(4)
 
 
 @query("srt8_severity_order", "SELECT event_id, level FROM (SELECT event_id, CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high' WHEN 'signup' THEN 'medium' ELSE 'low' END AS level FROM events) ORDER BY CASE level WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, event_id LIMIT 500")
@@ -128,8 +128,8 @@ def severity_order(spark, d):
 
 @query("jn2_current_articles", f"SELECT a.rada_id, title, article_number FROM {ARTICLES.sql} a JOIN {LAWS.sql} l ON a.rada_id = l.rada_id WHERE is_current AND a.rada_id = '435-15' AND article_number IN ('354', '354-1', '625')")
 def current_articles(spark, d):
-    rows = ARTICLES.frame(spark).where(F.col("is_current") & (F.col("rada_id") == "435-15") & F.col("article_number").isin("354", "354-1", "625"))
-    return rows.join(LAWS.frame(spark), "rada_id").select("rada_id", "title", "article_number")
+    rows = ARTICLES.frame(spark, d).where(F.col("is_current") & (F.col("rada_id") == "435-15") & F.col("article_number").isin("354", "354-1", "625"))
+    return rows.join(LAWS.frame(spark, d), "rada_id").select("rada_id", "title", "article_number")
 
 
 @query("jn13_hits_with_documents", "WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0), h AS (SELECT v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.e), 6) AS similarity FROM embeddings v, q ORDER BY similarity DESC, vec_id LIMIT 30) SELECT vec_id, similarity, lang, source FROM h JOIN documents ON vec_id = doc_id WHERE lang <> 'fr'")
@@ -161,26 +161,26 @@ def left_join_with_where(spark, d):
 
 @query("jn18_lateral_elements", f"SELECT matter_id, unnest(CAST(parties AS VARCHAR[])) AS party FROM {MATTERS.sql}")
 def lateral_elements(spark, d):
-    return MATTERS.frame(spark).select("matter_id", F.explode(F.from_json("parties", "array<string>")).alias("party"))
+    return MATTERS.frame(spark, d).select("matter_id", F.explode(F.from_json("parties", "array<string>")).alias("party"))
 
 
 @query("jn19_without_chunks", f"SELECT rada_id, article_number FROM {ARTICLES.sql} WHERE is_current AND length(full_text) >= 10 AND article_number NOT IN ('10', '44')")
 def without_chunks(spark, d):
     """Current articles of some length that no chunk covers."""
-    chunks = ARTICLES.frame(spark).where(F.col("article_number").isin("10", "44")).select("rada_id", "article_number")
-    return ARTICLES.frame(spark).where("is_current and length(full_text) >= 10").join(chunks, ["rada_id", "article_number"], "left_anti").select("rada_id", "article_number")
+    chunks = ARTICLES.frame(spark, d).where(F.col("article_number").isin("10", "44")).select("rada_id", "article_number")
+    return ARTICLES.frame(spark, d).where("is_current and length(full_text) >= 10").join(chunks, ["rada_id", "article_number"], "left_anti").select("rada_id", "article_number")
 
 
 @query("agg20_ordered_articles", f"SELECT rada_id, string_agg(article_number, ',' ORDER BY CAST(nullif(regexp_extract(article_number, '^\\d+'), '') AS INT) NULLS LAST, article_number) AS articles FROM {ARTICLES.sql} WHERE is_current GROUP BY 1")
 def ordered_articles(spark, d):
     number = F.coalesce(F.nullif(F.regexp_extract("article_number", r"^\d+", 0), F.lit("")).cast("bigint"), F.lit(2**62))
     listed = F.array_sort(F.collect_list(F.struct(number.alias("n"), "article_number")))
-    return ARTICLES.frame(spark).where("is_current").groupBy("rada_id").agg(F.array_join(F.transform(listed, lambda x: x["article_number"]), ",").alias("articles"))
+    return ARTICLES.frame(spark, d).where("is_current").groupBy("rada_id").agg(F.array_join(F.transform(listed, lambda x: x["article_number"]), ",").alias("articles"))
 
 
 @query("agg21_active_holds", f"SELECT paper_id, string_agg(hold_id, ',' ORDER BY hold_id) AS hold_ids FROM {HOLDS.sql} WHERE status = 'active' AND paper_id IS NOT NULL GROUP BY 1")
 def active_holds(spark, d):
-    return holds_of(HOLDS.frame(spark), "paper_id").select("paper_id", F.array_join(F.transform("hold_ids", lambda x: x.cast("string")), ",").alias("hold_ids"))
+    return holds_of(HOLDS.frame(spark, d), "paper_id").select("paper_id", F.array_join(F.transform("hold_ids", lambda x: x.cast("string")), ",").alias("hold_ids"))
 
 
 def holds_of(holds, key: str):
@@ -198,7 +198,7 @@ def deletable(papers, matters, holds, as_of: str):
 
 @query("dat5_deletable", f"SELECT paper_id, reason, reason IS NULL AS can_delete FROM (SELECT p.paper_id, CASE WHEN p.paper_id IN (SELECT paper_id FROM {HOLDS.sql} WHERE status = 'active' AND paper_id IS NOT NULL) THEN 'hold' WHEN coalesce(m.held, false) THEN 'matter hold' WHEN m.closed + to_years(CAST(m.years AS INT)) > TIMESTAMP '2024-01-31' THEN 'retention until ' || CAST(CAST(m.closed + to_years(CAST(m.years AS INT)) AS DATE) AS VARCHAR) END AS reason FROM {PAPERS.sql} p LEFT JOIN {MATTERS.sql} m ON p.matter_id = m.matter_id)")
 def deletable_papers(spark, d):
-    return deletable(PAPERS.frame(spark), MATTERS.frame(spark), HOLDS.frame(spark), "2024-01-31")
+    return deletable(PAPERS.frame(spark, d), MATTERS.frame(spark, d), HOLDS.frame(spark, d), "2024-01-31")
 
 
 _VOTES_SQL = f"v AS (SELECT vote_id, session_date, bill, unnest(json_keys(votes::JSON)) AS member_id, votes FROM {VOTES.sql} WHERE votes IS NOT NULL), p AS (SELECT *, json_extract_string(votes, '$.\"' || member_id || '\"') AS vote FROM v)"
@@ -218,18 +218,18 @@ def attendance(positions):
 
 @query("agg22_attendance", f"WITH {_VOTES_SQL} SELECT member_id, count(*) AS total, count(*) FILTER (vote = 'За') AS voted_for, count(*) FILTER (vote = 'Проти') AS voted_against, count(*) FILTER (vote = 'Утримався') AS abstained, count(*) FILTER (vote = 'Не голосував') AS not_present, round(count(*) FILTER (vote IN ('За', 'Проти', 'Утримався')) * 100.0 / count(*), 6) AS attendance FROM p GROUP BY 1")
 def attendance_rates(spark, d):
-    return attendance(positions_of(VOTES.frame(spark)))
+    return attendance(positions_of(VOTES.frame(spark, d)))
 
 
 @query("col4_vote_of_member", f"SELECT vote_id, json_extract_string(votes, '$.\"9\"') AS vote FROM {VOTES.sql} WHERE json_extract_string(votes, '$.\"9\"') IS NOT NULL")
 def vote_of_member(spark, d):
     vote = F.try_element_at(F.from_json("votes", "map<string,string>"), F.lit("9"))
-    return VOTES.frame(spark).select("vote_id", vote.alias("vote")).where("vote is not null")
+    return VOTES.frame(spark, d).select("vote_id", vote.alias("vote")).where("vote is not null")
 
 
 @query("agg43_demographics", f"SELECT 'status' AS what, status AS name, count(*) AS n FROM {MEMBERS.sql} GROUP BY 2 UNION ALL SELECT 'gender', coalesce(gender, 'unknown'), count(*) FROM {MEMBERS.sql} GROUP BY 2 UNION ALL SELECT * FROM (SELECT 'faction', coalesce(faction, 'none') AS name, count(*) AS n FROM {MEMBERS.sql} GROUP BY 2 ORDER BY n DESC, name LIMIT 10)")
 def demographics(spark, d):
-    group = lambda what, column, other: MEMBERS.frame(spark).groupBy(F.coalesce(column, F.lit(other)).alias("name")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "name", "n")
+    group = lambda what, column, other: MEMBERS.frame(spark, d).groupBy(F.coalesce(column, F.lit(other)).alias("name")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "name", "n")
     factions = group("faction", "faction", "none").orderBy(F.desc("n"), "name").limit(10)
     return group("status", "status", "unknown").unionByName(group("gender", "gender", "unknown")).unionByName(factions)
 
@@ -292,12 +292,12 @@ _PARTS_SQL = f"""b AS (SELECT page_id, array_to_string(regexp_extract_all(html,
 
 @query("src12_paragraphs", f"WITH {_PARTS_SQL} SELECT page_id, CAST(place AS INT) AS place, paragraph FROM p")
 def paragraphs(spark, d):
-    return PAGES.frame(spark).select("page_id", F.posexplode(L.paragraphs(F.col("html"))).alias("place", "paragraph"))
+    return PAGES.frame(spark, d).select("page_id", F.posexplode(L.paragraphs(F.col("html"))).alias("place", "paragraph"))
 
 
 @query("txt3_page_parts", f"WITH {_PARTS_SQL}, m AS (SELECT *, CASE WHEN regexp_matches(paragraph, 'УСТАНОВИВ:|ВСТАНОВИВ:') THEN 'ustanovyv' WHEN regexp_matches(paragraph, 'ВИРІШИВ:|УХВАЛИВ:') THEN 'vyrishyv' WHEN regexp_matches(paragraph, 'Суддя|Джерело:|ЄДРСР') THEN 'footer' END AS part FROM p) SELECT page_id, CAST(place AS INT) AS place, coalesce(last_value(part IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY place ROWS UNBOUNDED PRECEDING), 'header') AS part FROM m")
 def page_parts(spark, d):
-    return parted(PAGES.frame(spark)).select("page_id", "place", "part")
+    return parted(PAGES.frame(spark, d)).select("page_id", "place", "part")
 
 
 def parted(pages):
@@ -310,7 +310,7 @@ def parted(pages):
 @query("txt4_key_content", f"WITH {_PARTS_SQL}, m AS (SELECT *, CASE WHEN regexp_matches(paragraph, 'УСТАНОВИВ:|ВСТАНОВИВ:') THEN 'ustanovyv' WHEN regexp_matches(paragraph, 'ВИРІШИВ:|УХВАЛИВ:') THEN 'vyrishyv' WHEN regexp_matches(paragraph, 'Суддя|Джерело:|ЄДРСР') THEN 'footer' END AS part FROM p), n AS (SELECT page_id, place, paragraph, coalesce(last_value(part IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY place ROWS UNBOUNDED PRECEDING), 'header') AS part FROM m) SELECT page_id, 'ВСТАНОВЛЕНІ ФАКТИ:' || chr(10) || string_agg(paragraph, ' ' ORDER BY place) FILTER (part = 'ustanovyv') || chr(10) || chr(10) || 'РЕЗОЛЮЦІЯ:' || chr(10) || string_agg(paragraph, ' ' ORDER BY place) FILTER (part = 'vyrishyv') AS content FROM n GROUP BY 1")
 def key_content(spark, d):
     joined = lambda part: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == part, F.struct("place", "paragraph")))), lambda x: x["paragraph"]), " ")
-    both = parted(PAGES.frame(spark)).groupBy("page_id").agg(joined("ustanovyv").alias("facts"), joined("vyrishyv").alias("decision"))
+    both = parted(PAGES.frame(spark, d)).groupBy("page_id").agg(joined("ustanovyv").alias("facts"), joined("vyrishyv").alias("decision"))
     head = lambda title, c: F.when(F.col(c) != "", F.concat(F.lit(title), F.col(c)))
     return both.select("page_id", F.concat_ws("\n", head("ВСТАНОВЛЕНІ ФАКТИ:\n", "facts"), head("\nРЕЗОЛЮЦІЯ:\n", "decision")).alias("content"))
 
@@ -323,19 +323,19 @@ def key_parts(spark, d):
 
 @query("src16_rich_text", "WITH v(file_id, text) AS (VALUES (1, 'Hello' || chr(9) || ' World' || chr(10) || ' Суд'), (2, 'plain'), (3, NULL), (4, 'bold' || chr(10) || chr(10) || ' end')) SELECT file_id, text FROM v")
 def rich_text(spark, d):
-    return RICH.frame(spark).select("file_id", L.rich_text(F.translate("body", "|", "\\")).alias("text"))
+    return RICH.frame(spark, d).select("file_id", L.rich_text(F.translate("body", "|", "\\")).alias("text"))
 
 
 @query("txt39_case_mentions", f"SELECT doc_id, unnest(regexp_extract_all(text, '№?\\s*(\\d{{3,4}}/\\d{{2,4}}/\\d{{2,4}})', 1)) AS case_number FROM {TEXTS.sql}")
 def case_mentions(spark, d):
-    return TEXTS.frame(spark).select("doc_id", F.explode(L.case_mentions(F.col("text"))).alias("m")).select("doc_id", "m.case_number")
+    return TEXTS.frame(spark, d).select("doc_id", F.explode(L.case_mentions(F.col("text"))).alias("m")).select("doc_id", "m.case_number")
 
 
 @query("grf7_bill_impact", f"WITH b AS (SELECT DISTINCT bill FROM {VOTES.sql} WHERE bill IS NOT NULL), m AS (SELECT doc_id, unnest(regexp_extract_all(text, '№?\\s*(\\d{{3,4}}/\\d{{2,4}}/\\d{{2,4}})', 1)) AS case_number FROM {TEXTS.sql}), c AS (SELECT b.bill, m.case_number, count(*) AS n FROM b, m WHERE substr(b.bill, 4, 1) = CAST(m.doc_id AS VARCHAR) GROUP BY 1, 2) SELECT bill, count(*) AS cases, CAST(sum(n) AS BIGINT) AS mentions, least(count(*) / 100.0, 1.0)::DOUBLE AS impact FROM c GROUP BY 1")
 def bill_impact(spark, d):
     """Cases that texts about a bill mention, with a counter for each pair, and the bill's impact score."""
-    bills = VOTES.frame(spark).where("bill is not null").select("bill").distinct()
-    about = TEXTS.frame(spark).join(bills, F.substring("bill", 4, 1) == F.col("doc_id").cast("string"))
+    bills = VOTES.frame(spark, d).where("bill is not null").select("bill").distinct()
+    about = TEXTS.frame(spark, d).join(bills, F.substring("bill", 4, 1) == F.col("doc_id").cast("string"))
     mentions = about.select("bill", F.explode(L.case_mentions(F.col("text"))).alias("m")).select("bill", "m.case_number", F.lit(1).alias("seen"), F.col("m.context").alias("context"))
     pairs = R.counted(mentions, ["bill", "case_number"], "seen", ["context"])
     return pairs.groupBy("bill").agg(F.count("*").alias("cases"), F.sum("n").alias("mentions")).withColumn("impact", M.impact_score(F.col("cases")))
@@ -366,8 +366,8 @@ def token_budget(spark, d):
 
 @query("txt26_claims_in_texts", f"WITH c AS (SELECT DISTINCT answer_id, substr(trim(unnest(string_split_regex(answer, '[.!?]+'))), 1, 100) AS claim FROM {ANSWERS.sql}) SELECT answer_id, claim, len(list_filter((SELECT list(lower(text)) FROM {REASONING.sql}), lambda t: contains(t, lower(claim)))) > 0 AS found FROM c WHERE claim <> ''")
 def claims_in_texts(spark, d):
-    claims = ANSWERS.frame(spark).select("answer_id", F.explode(F.split("answer", "[.!?]+")).alias("c")).select("answer_id", F.substring(F.trim("c"), 1, 100).alias("claim")).where("claim <> ''").distinct()
-    hits = R.containing(REASONING.frame(spark), "text", claims.select("claim").distinct(), "claim").select("claim").distinct().withColumn("found", F.lit(True))
+    claims = ANSWERS.frame(spark, d).select("answer_id", F.explode(F.split("answer", "[.!?]+")).alias("c")).select("answer_id", F.substring(F.trim("c"), 1, 100).alias("claim")).where("claim <> ''").distinct()
+    hits = R.containing(REASONING.frame(spark, d), "text", claims.select("claim").distinct(), "claim").select("claim").distinct().withColumn("found", F.lit(True))
     return claims.join(hits, "claim", "left").select("answer_id", "claim", F.coalesce("found", F.lit(False)).alias("found"))
 
 
@@ -427,7 +427,7 @@ def balance_checks(spark, d):
 
 @query("udf2_key_limits", f"SELECT a.access, coalesce(k.is_active AND (k.reset_at < DATE '2024-01-31' OR k.requests_today < k.rate_limit) AND (k.expires_at IS NULL OR k.expires_at >= TIMESTAMP '2024-01-31 12:00:00'), FALSE) AS allowed, CASE WHEN k.access IS NULL THEN 'Invalid or inactive API key' WHEN k.reset_at >= DATE '2024-01-31' AND k.requests_today >= k.rate_limit THEN 'Daily rate limit exceeded' WHEN k.expires_at < TIMESTAMP '2024-01-31 12:00:00' THEN 'API key expired' ELSE 'OK' END AS reason, CASE WHEN k.access IS NULL OR k.reset_at < DATE '2024-01-31' THEN 0 ELSE k.requests_today END AS requests_today, coalesce(k.rate_limit, 0) AS rate_limit FROM {ASKED.sql} a LEFT JOIN (SELECT * FROM {KEYS.sql} WHERE is_active) k ON k.access = a.access")
 def key_limits(spark, d):
-    return R.key_limits(ASKED.frame(spark), KEYS.frame(spark), "access", "2024-01-31 12:00:00")
+    return R.key_limits(ASKED.frame(spark, d), KEYS.frame(spark, d), "access", "2024-01-31 12:00:00")
 
 
 @query("udf2_without_expired", "SELECT event_id FROM events WHERE NOT (ts + INTERVAL 10 DAY < TIMESTAMP '2024-01-31 12:00:00')")

@@ -207,13 +207,13 @@ def test_tools(spark):
     from docketry.tools import TOOLS
 
     assert len(TOOLS) >= 45
-    status = {r.number: r.status for r in TOOLS["check_precedent_status"](NUMBERS.frame(spark), DECISIONS.frame(spark)).collect()}
+    status = {r.number: r.status for r in TOOLS["check_precedent_status"](NUMBERS.patterns(spark), DECISIONS.patterns(spark)).collect()}
     assert status["757/123/23-ц"] == "explicitly_overruled" and status["1/1/2001"] == "unknown"
-    assert TOOLS["classify_intent"](QUESTIONS.frame(spark)).where("intent.intent = 'tax_dispute'").count() == 1
-    assert [r.article_number for r in TOOLS["search_legislation"](ARTICLES.frame(spark), "Строк", 1).collect()] == ["10"]
-    assert {r.member_id for r in TOOLS["get_deputy_info"](MEMBERS.frame(spark), faction="ОПЗЖ").collect()} == {"8", "9"}
-    assert TOOLS["analyze_voting_record"](VOTES.frame(spark), "7").first().voted_for == 2
-    found = TOOLS["get_legislation_article"](ARTICLES.frame(spark), spark.createDataFrame([("ст. 354 ЦК",), ("none",)], "reference string")).collect()
+    assert TOOLS["classify_intent"](QUESTIONS.patterns(spark)).where("intent.intent = 'tax_dispute'").count() == 1
+    assert [r.article_number for r in TOOLS["search_legislation"](ARTICLES.patterns(spark), "Строк", 1).collect()] == ["10"]
+    assert {r.member_id for r in TOOLS["get_deputy_info"](MEMBERS.patterns(spark), faction="ОПЗЖ").collect()} == {"8", "9"}
+    assert TOOLS["analyze_voting_record"](VOTES.patterns(spark), "7").first().voted_for == 2
+    found = TOOLS["get_legislation_article"](ARTICLES.patterns(spark), spark.createDataFrame([("ст. 354 ЦК",), ("none",)], "reference string")).collect()
     assert [(r.rada_id, r.article_number) for r in found] == [("435-15", "354")]
     firms = {"firm": spark.createDataFrame([(1, "Alpha"), (2, "Beta")], "record int, name string"), "person": spark.createDataFrame([(3, "alpha")], "record int, name string")}
     assert [(r.kind, r.record) for r in TOOLS["search_entities"](firms, ["name"], "ALPHA").collect()] == [("firm", 1), ("person", 3)]
