@@ -109,6 +109,10 @@ def fit_distance(items: list[np.ndarray], areas: list[np.ndarray]) -> tuple[np.n
     return best[pick, end], first[pick, end], end
 
 
+#: Hits of runs that are looked at together.
+HITS = 1 << 19
+
+
 class Runs:
     """The runs of ``q`` words of some items, sorted, with the item and place of each."""
 
@@ -154,14 +158,29 @@ class Benchmark:
         seen = np.zeros(len(hashes) + 1, np.int64)
         seen[place + 1] = 1
         seen = np.cumsum(seen)
-        times = high - low
+        # a run that many items share stands for many windows: hits are taken in slices, and equal windows made one in each
+        parts, times = [], high - low
+        ends = np.cumsum(times)
+        cuts = np.searchsorted(ends, np.arange(HITS, int(ends[-1]) + HITS, HITS), "left") if len(ends) else []
+        for a, b in zip([0, *(cuts[:-1] + 1)] if len(cuts) else [], [*(cuts[:-1] + 1), len(ends)] if len(cuts) else []):
+            if a < b:
+                parts.append(self._kept(runs, place[a:b], low[a:b], times[a:b], seen, row, first))
+        if not parts:
+            return tuple(np.zeros(0, np.int64) for _ in range(3))
+        start, size, stop = (np.concatenate(c) for c in zip(*parts))
+        return start, size, stop
+
+    def _kept(self, runs: Runs, place: np.ndarray, low: np.ndarray, times: np.ndarray, seen: np.ndarray, row: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows around some hits, those in which enough runs of items stand, each once."""
         entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
         place = np.repeat(place, times)
         # what surrounds a run far enough for any alignment of its item
         size = self.length[runs.item[entry]]
-        edits = allowed(size, self.percent)
         begin, stop = first[row[place]], first[row[place] + 1]
         start = np.maximum(place - runs.offset[entry], begin)
+        _, one = np.unique(start * (int(self.length.max()) + 1) + size, return_index=True)
+        start, size, begin, stop = start[one], size[one], begin[one], stop[one]
+        edits = allowed(size, self.percent)
         left, right = np.maximum(start - edits, begin), np.minimum(start + size + edits, stop)
         enough = seen[right] - seen[left] >= np.maximum(1, size - runs.q + 1 - runs.q * edits)
         return start[enough], size[enough], stop[enough]

@@ -311,3 +311,41 @@ def test_op4_composes_before_it_lowers_case():
         begins = [0, *ends[:-1].tolist()]
         for i, (a, b) in enumerate(zip(begins, ends.tolist())):
             assert ids[a:b].tolist() == wanted[k + i], texts[k + i]
+
+
+def test_op9_templated_items_stay_within_memory():
+    """Five thousand items that begin alike against a text of such beginnings: millions of hits, little memory."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from docketry.llm import decontamination as D
+    from docketry.llm.common import Words
+
+    items = [f"which of the following is true about item{i} of kind{i % 97} and shape{i % 13} or size{i}" for i in range(5_000)]
+    text = " ".join(f"which of the following is true about thing{i} here." for i in range(1200)) + " " + items[77]
+    known = D.Benchmark(list(range(len(items))), items, D.EDITS_PERCENT, (2, 2, D.PLACES))
+    words = Words(pa.array([text, "", None, items[5]]), lower=True, dividers=D._DIVIDERS)
+    tracemalloc.start()
+    found = [known._windows(r, words.hashes(), words.row_of_word(), words.first) for r in known.runs]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    begins = set(words.first[[0, 3]].tolist()) | {int(words.first[1]) - len(items[77].split())}
+    assert peak < 300 << 20 and begins & {int(s) for start, _, _ in found for s in start}, peak
+
+
+def test_op9_slices_change_nothing(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from docketry.llm import decontamination as D
+    from docketry.llm.common import Words
+
+    r = random.Random(13)
+    pool = [f"w{i}" for i in range(12)]
+    items = [" ".join(r.choices(pool, k=r.randint(3, 25))) for _ in range(60)]
+    text = " ".join(r.choices(pool, k=900)) + " " + items[4]
+    known = D.Benchmark(list(range(60)), items, D.EDITS_PERCENT, (D.WALKS, D.SAMPLES, D.PLACES))
+    words = Words(pa.array([text]), lower=True, dividers=D._DIVIDERS)
+    whole = known.find(words)
+    for hits in (1, 7, 1000):
+        monkeypatch.setattr(D, "HITS", hits)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, known.find(words)))
