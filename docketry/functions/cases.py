@@ -68,8 +68,11 @@ def chamber(text: Column) -> Column:
 
 
 def court_of_snippet(snippet: Column) -> Column:
-    """What follows the case number in a snippet, up to a tag or the end."""
-    return F.nullif(F.trim(F.regexp_extract(snippet, r"(?iu)по справі №.*?\d+/\d+/\d+[^\s]*\s+(.+?)(?:<|$)", 1)), F.lit(""))
+    """The court that a snippet names behind the words for "in case no." and the case's number, up to a tag; else null."""
+    behind = F.regexp_extract(snippet, r"(?isu)по справі №(.*)", 1)
+    number = F.regexp_extract(behind, r"\d+/\d+/\d\S*", 0)
+    rest = F.substring(behind, F.instr(behind, number) + F.length(number), F.length(behind))
+    return F.when(number != "", F.nullif(F.trim(F.split_part(F.trim(rest), F.lit("<"), F.lit(1))), F.lit("")))
 
 
 def status_of(effect_: Column) -> Column:

@@ -33,11 +33,11 @@ def similar_reasoning(spark, d):
     return chosen.crossJoin(asked).select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity")).orderBy(F.desc("similarity"), "vec_id").limit(10)
 
 
-@query("vec7_rerank_budget", "WITH RECURSIVE q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT d.lang, d.doc_id, length(d.text) AS size, round(list_cosine_similarity(v.embedding::DOUBLE[], q.e), 6) AS similarity FROM documents d JOIN embeddings v ON v.vec_id = d.doc_id, q), big AS (SELECT lang FROM s GROUP BY 1 HAVING count(*) >= 3 AND sum(size) > 1.5 * 8000), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY similarity DESC, doc_id) AS n FROM s WHERE lang IN (SELECT lang FROM big)), f AS (SELECT lang, n, size <= 8000 AS kept, CASE WHEN size <= 8000 THEN size ELSE 60 END AS used, doc_id FROM r WHERE n = 1 UNION ALL SELECT r.lang, r.n, f.used + r.size <= 8000, CASE WHEN f.used + r.size <= 8000 THEN f.used + r.size ELSE f.used + 60 END, r.doc_id FROM f JOIN r ON r.lang = f.lang AND r.n = f.n + 1) SELECT lang, doc_id, kept FROM f UNION ALL SELECT lang, doc_id, true FROM s WHERE lang NOT IN (SELECT lang FROM big)")
+@query("vec7_rerank_budget", "WITH RECURSIVE q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT d.lang, d.doc_id, length(d.text) AS size, coalesce(round(list_cosine_similarity(v.embedding::DOUBLE[], q.e), 6), 0) AS similarity FROM documents d LEFT JOIN embeddings v ON v.vec_id = d.doc_id CROSS JOIN q), big AS (SELECT lang FROM s GROUP BY 1 HAVING count(*) >= 3 AND sum(size) > 1.5 * 8000), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY similarity DESC, doc_id) AS n FROM s WHERE lang IN (SELECT lang FROM big)), f AS (SELECT lang, n, size <= 8000 AS kept, CASE WHEN size <= 8000 THEN size ELSE 60 END AS used, doc_id FROM r WHERE n = 1 UNION ALL SELECT r.lang, r.n, f.used + r.size <= 8000, CASE WHEN f.used + r.size <= 8000 THEN f.used + r.size ELSE f.used + 60 END, r.doc_id FROM f JOIN r ON r.lang = f.lang AND r.n = f.n + 1) SELECT lang, doc_id, kept FROM f UNION ALL SELECT lang, doc_id, true FROM s WHERE lang NOT IN (SELECT lang FROM big)")
 def rerank_budget(spark, d):
     """Results by relevance until the budget is full, the others as a line of 60 characters; few or short results stay as they are."""
     scored = _scored(table(spark, d, "embeddings"), 0).select(F.col("vec_id").alias("doc_id"), "similarity")
-    met = table(spark, d, "documents").select("lang", "doc_id", F.length("text").alias("size")).join(scored, "doc_id")
+    met = table(spark, d, "documents").select("lang", "doc_id", F.length("text").alias("size")).join(scored, "doc_id", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     big = met.groupBy("lang").agg((F.count("*") >= 3).alias("many"), (F.sum("size") > 1.5 * 8000).alias("long")).where("many and long").select("lang")
     kept = R.within_budget(met.join(big, "lang", "left_semi"), "lang", [F.desc("similarity"), F.asc("doc_id")], F.col("size"), F.lit(60), 8000)
     rest = met.join(big, "lang", "left_anti").withColumn("kept", F.lit(True))

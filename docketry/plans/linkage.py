@@ -132,10 +132,10 @@ def neighbourhood(spark, d):
     return G.neighbourhood(edges, spark.range(1).select(F.lit("s0").alias("node")), 2)
 
 
-@query("grf2_standing", "WITH l AS (SELECT o_custkey AS case_id, bool_or(o_orderstatus = 'F') AS f, bool_or(o_orderstatus = 'P') AS p FROM orders WHERE o_totalprice > 250000 GROUP BY 1) SELECT c_custkey AS case_id, CASE WHEN f IS NULL THEN 'unknown' WHEN f THEN 'explicitly_overruled' WHEN p THEN 'questioned' ELSE 'valid' END AS status, CAST(CASE WHEN f IS NULL THEN 0.5 WHEN f THEN 0.9 WHEN p THEN 0.7 ELSE 0.8 END AS DOUBLE) AS confidence FROM customer LEFT JOIN l ON c_custkey = case_id")
+@query("grf2_standing", "WITH l AS (SELECT o_custkey AS case_id, bool_or(o_orderstatus = 'F') AS f, bool_or(o_orderstatus = 'P') AS p FROM orders GROUP BY 1) SELECT c_custkey AS case_id, CASE WHEN f IS NULL THEN 'unknown' WHEN f THEN 'explicitly_overruled' WHEN p THEN 'questioned' ELSE 'valid' END AS status, CAST(CASE WHEN f IS NULL THEN 0.5 WHEN f THEN 0.9 WHEN p THEN 0.7 ELSE 0.8 END AS DOUBLE) AS confidence FROM customer LEFT JOIN l ON c_custkey = case_id")
 def precedents(spark, d):
     kind = F.when(F.col("o_orderstatus") == "F", "overrules").when(F.col("o_orderstatus") == "P", "distinguishes").otherwise("follows")
-    links = table(spark, d, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("to_case_id"), kind.alias("citation_type"))
+    links = table(spark, d, "orders").select(F.col("o_custkey").alias("to_case_id"), kind.alias("citation_type"))
     return G.standing(links, table(spark, d, "customer").select(F.col("c_custkey").alias("case_id")))
 
 

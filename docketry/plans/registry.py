@@ -30,5 +30,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Register the queries of every module of plans."""
-    from docketry.plans import cases, files, index, linkage, lookups, reporting, search, upkeep, usage  # noqa: F401
+    from docketry.plans import cases, derived, files, index, linkage, lookups, reporting, search, upkeep, usage  # noqa: F401
     from docketry.plans import money_flows  # noqa: F401  it repeats SQL of the others
