@@ -187,7 +187,8 @@ def effective_rate(entries: DataFrame, rates: DataFrame, key: str, on: str, defa
     one day the highest wins; entries without key or date get the default. A rate's span is cut into aligned
     pieces of 1, 32, 32^2 ... days, of each size at most 62, and a piece of a key keeps its latest rate. An
     entry lies in one piece of each size, so five joins on key and piece find its rate: each entry stays one
-    row, and no key's rates or entries are gathered, however many there are.
+    row. Entries of a long piece are dealt out over 32 tasks by their day, so no key's rates or entries are gathered,
+    unless all are of one day.
     """
     begin, end = _day(rates, "effective_from"), _day(rates, "effective_to")
     spans = rates.where(F.col("effective_from").isNotNull()).select(F.col(key), begin.alias("_a"), F.coalesce(end, F.lit((1 << (_PIECE_BITS * _SIZES)) - 1)).alias("_b"), F.struct(begin.alias("day"), "rate").alias("_rate"))
@@ -202,7 +203,12 @@ def effective_rate(entries: DataFrame, rates: DataFrame, key: str, on: str, defa
             cut = F.concat(run(a, F.shiftleft("_c", _PIECE_BITS) - 1), run(F.shiftleft(F.col("_d") + 1, _PIECE_BITS), b))
             left = F.when(F.col("_c") <= F.col("_d"), cut).otherwise(left)
         latest = spans.select(F.col(key), F.explode(left).alias(f"_p{size}"), "_rate").groupBy(key, f"_p{size}").agg(F.max("_rate").alias(f"_r{size}"))
-        out = out.withColumn(f"_p{size}", F.shiftright("_day", _PIECE_BITS * size)).join(latest, [key, f"_p{size}"], "left")
+        out = out.withColumn(f"_p{size}", F.shiftright("_day", _PIECE_BITS * size))
+        if size:  # a long piece may hold all entries of a key: they are dealt out by day, and the piece is there for each
+            latest = latest.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit((1 << _PIECE_BITS) - 1))))
+            out = out.join(latest, [key, f"_p{size}", "_salt"], "left")
+        else:
+            out = out.join(latest, [key, f"_p{size}"], "left").withColumn("_salt", F.col("_day").bitwiseAND((1 << _PIECE_BITS) - 1).cast("int"))
         spans = spans.select(key, F.col("_c").alias("_a"), F.col("_d").alias("_b"), "_rate")
     rate = F.greatest(*(f"_r{size}" for size in range(_SIZES)))["rate"]
     return out.select(*entries.columns, F.coalesce(rate, F.col(default) if default else F.lit(None), F.lit(0)).alias("rate"))

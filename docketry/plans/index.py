@@ -67,10 +67,15 @@ def index_rows(sections: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 @query("vec9_index_pipeline")
 def index_pipeline(spark, d):
-    """The first chunk of each text, as a section that is searched or not, with its vector; the fold into chunks has no SQL."""
+    """Every chunk of the texts whose section is searched, with a vector; the fold into chunks has no SQL.
+
+    The tables' vectors belong to no texts: chunk n of a document has the vector of number doc_id + n, counted round 500.
+    """
     kind = F.when(F.col("lang") == "en", "DECISION").when(F.col("lang") == "de", "COURT_REASONING").otherwise("FACTS")
     sections = table(spark, d, "documents").select("doc_id", kind.alias("section_type"), "text")
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("n"), "embedding")
+    # a chunk has half of 2048 characters at least, or it is the last
+    places = table(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), (F.length("text") / 500).cast("int"))).alias("n"))
+    vectors = places.withColumn("vec_id", (F.col("doc_id") + F.col("n")) % 500).join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id").select("doc_id", "n", "embedding")
     return index_rows(sections, vectors).select("doc_id", "section_type", "n", F.sha2("chunk", 256).alias("chunk"), F.size("embedding").alias("width"))
 
 

@@ -1,5 +1,6 @@
 """Stems, the full-text index and the vector index against plain Python."""
 
+import hashlib
 import random
 import re
 
@@ -124,3 +125,40 @@ def test_registered_search_recall(spark, sf):
 
     exact = {(r.qkey, r.key) for r in plans.index_exact(spark, sf).collect()}
     assert len(exact & {(r.qkey, r.key) for r in plans.index_search(spark, sf).collect()}) >= 0.9 * len(exact)
+
+
+def test_index_pipeline(spark, sf):
+    """Every chunk of the searched sections, by a plain walk over the words, with a vector."""
+    from docketry.plans import index as plans
+
+    wanted = set()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").where("lang in ('en', 'de')").collect():
+        chunks, now, size = [], [], 0
+        for word in re.split(r"[ \t\n\x0b\f\r]+", r.text):
+            if now and size + len(word) + 1 > 2048:
+                chunks.append(" ".join(now))
+                now = now[-50:]
+                size = len(" ".join(now))
+            now.append(word)
+            size += len(word) + 1
+        chunks.append(" ".join(now))
+        wanted |= {(r.doc_id, "DECISION" if r.lang == "en" else "COURT_REASONING", n, hashlib.sha256(c.encode()).hexdigest(), 64) for n, c in enumerate(chunks)}
+    rows = [tuple(r) for r in plans.index_pipeline(spark, sf).collect()]
+    assert len(rows) == len(wanted) and set(rows) == wanted
+
+
+def test_effective_rate_of_a_hot_key(spark):
+    """Rates that overlap, are open or begin on one day, entries of one key over years, and entries without key or date."""
+    import datetime
+
+    from docketry.operators import relational as R
+
+    r, day = random.Random(8), datetime.date(2020, 1, 1)
+    at = lambda n: day + datetime.timedelta(days=n)
+    rates = [(r.choice("ab"), at(a := r.randint(0, 2000)), None if r.random() < 0.3 else at(a + r.randint(-5, 900)), r.randint(1, 99)) for _ in range(60)] + [("a", None, None, 5)]
+    entries = [(i, r.choice("aaaaabc") if i % 50 else None, at(r.randint(-30, 3000)) if i % 41 else None, 7 if i % 3 else None) for i in range(900)]
+    got = {x.i: x.rate for x in R.effective_rate(spark.createDataFrame(entries, "i int, k string, d date, own int"), spark.createDataFrame(rates, "k string, effective_from date, effective_to date, rate int"), "k", "d", "own").collect()}
+    assert len(got) == len(entries)
+    for i, k, d, own in entries:
+        valid = [(a, v) for key, a, b, v in rates if key == k and a is not None and d is not None and a <= d and (b is None or d <= b)]
+        assert got[i] == (max(valid)[1] if valid else own or 0), i
