@@ -9,7 +9,7 @@ from docketry.functions import cases as C
 from docketry.functions import legal as L
 from docketry.operators import cases as O
 from docketry.operators import patterns as P
-from docketry.plans.fixtures import ANSWERS, DECISIONS, NUMBERS, QUESTIONS, REASONING, TEXTS
+from docketry.plans.fixtures import ANSWERS, DECISIONS, LEVELS, NUMBERS, QUESTIONS, REASONING, TEXTS
 from docketry.plans.registry import query
 
 # the rules of the reference as SQL, written from their description and not from the Columns
@@ -221,10 +221,9 @@ def services(spark, d):
     return QUESTIONS.frame(spark, d).select("question_id", A.service(F.col("question")).alias("service"))
 
 
-@query("txt21_court_levels", "WITH v(value) AS (VALUES ('Grand Chamber'), ('вп'), ('SC'), ('Supreme Court'), ('КЦС ВС'), ('cassation'), ('апеляційний'), ('first_instance'), ('Перша інстанція'), ('щось'), (''), (NULL)) SELECT value, CASE WHEN lower(trim(value)) IN ('grandchamber', 'grand_chamber', 'grand chamber', 'вп') OR contains(lower(value), 'велика палата') OR contains(lower(value), 'вп вс') THEN 'GrandChamber' WHEN lower(trim(value)) IN ('sc', 'вс') OR regexp_matches(lower(value), 'supreme|верхов|кцс|кгс|кас|ккс') AND lower(trim(value)) <> 'cassation' THEN 'SC' WHEN lower(trim(value)) = 'cassation' OR contains(lower(value), 'касац') THEN 'cassation' WHEN lower(trim(value)) = 'appeal' OR contains(lower(value), 'апеляц') THEN 'appeal' WHEN lower(trim(value)) = 'first_instance' OR regexp_matches(lower(value), 'перша інстанц|первая инстанц') THEN 'first_instance' END AS level FROM v")
+@query("txt21_court_levels", f"SELECT level_id, value, CASE WHEN lower(trim(value)) IN ('grandchamber', 'grand_chamber', 'grand chamber', 'вп') OR contains(lower(value), 'велика палата') OR contains(lower(value), 'вп вс') THEN 'GrandChamber' WHEN lower(trim(value)) IN ('sc', 'вс') OR regexp_matches(lower(value), 'supreme|верхов|кцс|кгс|кас|ккс') AND lower(trim(value)) <> 'cassation' THEN 'SC' WHEN lower(trim(value)) = 'cassation' OR contains(lower(value), 'касац') THEN 'cassation' WHEN lower(trim(value)) = 'appeal' OR contains(lower(value), 'апеляц') THEN 'appeal' WHEN lower(trim(value)) = 'first_instance' OR regexp_matches(lower(value), 'перша інстанц|первая инстанц') THEN 'first_instance' END AS level FROM {LEVELS.sql}")
 def court_levels(spark, d):
-    values = spark.createDataFrame([(v,) for v in ("Grand Chamber", "вп", "SC", "Supreme Court", "КЦС ВС", "cassation", "апеляційний", "first_instance", "Перша інстанція", "щось", "", None)], "value string")
-    return values.select("value", A.court_level(F.col("value")).alias("level"))
+    return LEVELS.frame(spark, d).select("level_id", "value", A.court_level(F.col("value")).alias("level"))
 
 
 _ABBR = "regexp_replace({q}, '(^|[^\\p{{L}}\\p{{N}}_]){a}($|[^\\p{{L}}\\p{{N}}_])', '\\1{f}\\2', 'g')"

@@ -40,17 +40,6 @@ class Derived:
         return spark.sql(f"SELECT {', '.join(told)} FROM VALUES {self.rows} AS v(i, {', '.join(self.names)})")
 
 
-class Fixture:
-    """Rows as SQL text: ``frame`` gives them to Spark, ``sql`` is the same relation for other engines."""
-
-    def __init__(self, columns: str, rows: str):
-        self.columns, self.rows = columns, rows
-        self.sql = f"(SELECT * FROM (VALUES {rows}) AS t({columns}))"
-
-    def frame(self, spark: SparkSession, d: str = "") -> DataFrame:
-        return spark.sql(f"SELECT * FROM VALUES {self.rows} AS t({self.columns})")
-
-
 #: A case in several instances under several forms of its number, cases with one instance, with a copy, and unknown courts.
 DECISIONS = Derived(
     "doc_id, case_number, title, court, chamber, form, decided, resolution, snippet",
@@ -148,8 +137,10 @@ PAGES = Derived(
     (1, '<html><body><div id="article-container"><p>Справа  № #1</p><p>УСТАНОВИВ: факти</p><p>Далі <b>факти</b></p><p> </p><p>ВИРІШИВ: позов задовольнити</p><p>решта</p><p>Суддя Іваненко</p><p>Кінець</p></div></body></html>'),
     (2, '<article><p>ВСТАНОВИВ: інше</p><p>УХВАЛИВ: відмовити</p></article>'), (3, '<article></article>'), (4, NULL), (5, '<p>поза статтею</p>')
     """, base="orders", key="o_orderkey", size=5, ids="page_id", texts="html")
-#: Rich text with control words, Windows-1251 bytes and code points; the backslash is written as a vertical bar.
-RICH = Fixture("file_id, body", "(1, '{|rtf1|ansi {|fonttbl{|f0 Arial;}}|par Hello|tab World|par |u1057?|u1091?|u1076?}'), (2, 'plain'), (3, NULL), (4, '{|b bold}|par|par|par|par end')")
+#: Rich text with control words, Windows-1251 bytes and code points, and its plain text; the backslash is written as a vertical bar, tabs and ends of lines in plain texts as ^ and ~.
+RICH = Derived("file_id, body, plain", "(1, '{|rtf1|ansi {|fonttbl{|f0 Arial;}}|par Hello|tab World #|par |u1057?|u1091?|u1076?}', 'Hello^ World #~ Суд'), (2, 'plain #', 'plain #'), (3, NULL, NULL), (4, '{|b bold #}|par|par|par|par end', 'bold #~~ end')", base="orders", key="o_orderkey", size=4, ids="file_id", texts="body, plain")
+#: Names of court levels as callers write them.
+LEVELS = Derived("level_id, value", "(1, 'Grand Chamber'), (2, 'вп'), (3, 'SC'), (4, 'Supreme Court #'), (5, 'КЦС ВС'), (6, 'cassation'), (7, '# апеляційний'), (8, 'first_instance'), (9, 'Перша інстанція #'), (10, 'щось #'), (11, ''), (12, NULL)", base="orders", key="o_orderkey", size=12, ids="level_id", texts="value")
 
 #: Access keys: within their limit, over it, over it on an earlier day, expired, without end, switched off.
 KEYS = Derived(

@@ -301,7 +301,7 @@ def key_content(spark, d):
     return both.select("page_id", F.concat_ws("\n", head("ВСТАНОВЛЕНІ ФАКТИ:\n", "facts"), head("\nРЕЗОЛЮЦІЯ:\n", "decision")).alias("content"))
 
 
-@query("src16_rich_text", "WITH v(file_id, text) AS (VALUES (1, 'Hello' || chr(9) || ' World' || chr(10) || ' Суд'), (2, 'plain'), (3, NULL), (4, 'bold' || chr(10) || chr(10) || ' end')) SELECT file_id, text FROM v")
+@query("src16_rich_text", f"SELECT file_id, translate(plain, '^~', chr(9) || chr(10)) AS text FROM {RICH.sql}")
 def rich_text(spark, d):
     return RICH.frame(spark, d).select("file_id", L.rich_text(F.translate("body", "|", "\\")).alias("text"))
 
