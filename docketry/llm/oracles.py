@@ -90,14 +90,31 @@ SECRETS = (
       AND NOT regexp_matches(lower(s.v), 'example|changeme|dummy|placeholder|xxxx|your_')) THEN 'example'
     WHEN owners = 1 THEN 'live' ELSE 'shared' END AS class
   FROM spans s JOIN spread p ON s.v = p.v
+), runs AS (
+  SELECT doc_id, string_split_regex(text, '[A-Za-z0-9+/_.=-]{8,}') AS gaps, regexp_extract_all(text, '[A-Za-z0-9+/_.=-]{8,}') AS found FROM docs
+), each_run AS (
+  SELECT doc_id, unnest(found) AS m, unnest(gaps[1:len(found)]) AS gap, generate_subscripts(found, 1) AS n FROM runs WHERE len(found) > 0
+), placed_run AS (
+  SELECT doc_id, rtrim(m, '.') AS v, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY n) - length(m) AS start FROM each_run
+), known AS (
+  SELECT DISTINCT rtrim(v, '.') AS v FROM classed WHERE class <> 'example'
+), bare AS (
+  SELECT r.doc_id, CAST(start AS BIGINT) AS start, CAST(start + length(r.v) AS BIGINT) AS stop FROM placed_run r JOIN known k ON k.v = r.v
+  WHERE length(r.v) >= 8 AND regexp_matches(r.v, '[0-9]') AND regexp_matches(r.v, '[A-Za-z]') AND len(list_distinct(string_split(r.v, ''))) >= 6
+    AND NOT regexp_matches(lower(r.v), 'example|changeme|dummy|placeholder|xxxx|your_')
+), added AS (
+  SELECT * FROM bare b WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc_id = b.doc_id AND s.start < b.stop AND s.stop > b.start)
 ), told AS (
-  SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+  SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS base, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
     count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (class = 'live') AS n_live, count(*) FILTER (class = 'shared') AS n_shared, count(*) FILTER (class = 'example') AS n_example
   FROM classed GROUP BY doc_id
+), shown AS (
+  SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans, count(*) FILTER (kind = 'bare') AS n_bare
+  FROM (SELECT doc_id, rank, kind, start, stop FROM spans UNION ALL SELECT doc_id, 3, 'bare', start, stop FROM added) GROUP BY doc_id
 )
-SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans,
-  coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared, coalesce(n_example, 0) AS n_example
-FROM docs d LEFT JOIN told t ON t.doc_id = d.doc_id
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared, coalesce(n_example, 0) AS n_example, coalesce(n_bare, 0) AS n_bare
+FROM docs d LEFT JOIN told t ON t.doc_id = d.doc_id LEFT JOIN shown s ON s.doc_id = d.doc_id
 """
 )
 

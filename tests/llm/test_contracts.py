@@ -324,6 +324,32 @@ def test_secrets_of_few_sources_are_masked(spark):
     assert got == ["a password=[SECRET]", "b password=[SECRET]", *["token=[SECRET]"] * 3, "[SECRET]", rows[6][1], *(r[1] for r in rows[7:])]
 
 
+def test_values_that_stand_alone(spark):
+    """Bare spans by brute force: known values without their names, dots at the end aside, not in other spans, not of examples."""
+    from docketry.llm import secret_scan
+
+    live, two, wide = "Live9Secret7key1", "Two8Owners7have", "Wide4Copy9of3y"
+    texts = [
+        (1, f"password={live}. ok", "a"), (2, f"see {live}, {live}... and x{live} {live}/", "b"), (3, live, None), (4, f'token: "{live}" then ({live})', "a"), (5, None, "a"), (6, "", "a"),
+        *((7 + i, f"{o} secret={two}", o) for i, o in enumerate("ab")), (9, f"\U0001f600 é{two}é {two}", "c"), *((10 + i, f"{o} secret={wide}", o) for i, o in enumerate("abc")), (13, f"{wide} alone", "d"),
+        (14, "password=abcdefghij and abcdefghij", "a"), (15, "." * 200_000 + "a1" + "." * 200_000 + f" {live}", "e"), (2, f"again {live}", "b"), (None, f"{live}", "c"),
+    ]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string, source string")
+    got = [(r.doc_id, r.spans, r.n_bare) for r in secret_scan.digest(secret_scan.scan(frame)).collect()]
+    secrets, wanted, masked = {live, two}, [], []
+    for doc, text, _ in texts:
+        base = [(m.start(), n, kind, m.end()) for n, (kind, pattern, group, least) in enumerate(SECRETS) for m in pattern.finditer(text or "") if len(m[group]) >= least]
+        runs = [(m.start(), 3, "bare", m.start() + len(m[0].rstrip("."))) for m in re.finditer("[A-Za-z0-9+/_.=-]+", text or "") if m[0].rstrip(".") in secrets]
+        runs = [r for r in runs if not any(a < r[3] and b > r[0] for a, _, _, b in base)]
+        wanted.append((doc, ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(base + runs)), len(runs)))
+        for a, b in sorted([(r[0], r[3]) for r in runs] + [(b - len(v), b) for a, _, _, b in base for v in [re.search("[A-Za-z0-9+/_.-]+$", text[a:b])[0]] if v.rstrip(".") in secrets], reverse=True):
+            text = text[:a] + "[SECRET]" + text[b:]
+        masked.append((doc, text))
+    order = lambda rows: sorted(rows, key=str)
+    assert order(got) == order(wanted) and sum(w[2] for w in wanted) == 9
+    assert order((r.doc_id, r.text) for r in secret_scan.redacted(frame).collect()) == order(masked)
+
+
 def test_op6(spark, sf, folder, docs):
     rows, got = result(spark, folder, "op6_")
     assert len(rows) == len(docs)
@@ -649,6 +675,7 @@ def test_pipeline_stages_by_brute_force(spark, folder):
             return False
         return kind == "access" or bool(re.search("[0-9]", value) and re.search("[A-Za-z]", value))
 
+    cores = {m[g].rstrip(".") for r in rows.values() for kind, pattern, g, least in SECRETS for m in pattern.finditer(r.text or "") if len(m[g]) >= least and secret(kind, m[g])}
     masked = {r.doc_id: r for r in stages["secret_scan"](spark, frame, folder).collect()}
     assert set(masked) == set(rows)
     for i, r in rows.items():
@@ -656,6 +683,7 @@ def test_pipeline_stages_by_brute_force(spark, folder):
         text = r.text
         for _, pattern, group, _ in SECRETS:
             text = text and pattern.sub(lambda m, g=group: m[0][: len(m[0]) - len(m[g])] + "[SECRET]" if m[g] in live else m[0], text)
+        text = text and re.sub("[A-Za-z0-9+/_.=-]+", lambda m: "[SECRET]" + "." * (len(m[0]) - len(m[0].rstrip("."))) if m[0].rstrip(".") in cores else m[0], text)
         assert masked[i].text == text and masked[i].n_chars == (None if text is None else len(text)), i
     assert any(masked[i].text != r.text for i, r in rows.items())
 
