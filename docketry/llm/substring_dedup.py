@@ -4,8 +4,9 @@ A text's windows of ``window`` words are grouped by minimiser, the least hash am
 words in a window: consecutive windows that share it travel as one packed string to the minimiser's bucket.
 Equal windows have equal minimisers, so buckets with a single document hold no repeat and drop out before
 any text moves. In a bucket the windows of its distinct strings are sorted, which gives each window's
-smallest doc_id exactly. Buckets with many distinct strings are dealt out: their windows are packed by
-parts of the key space, a part's minima are merged and looked up, so that no bucket is one task's work.
+smallest doc_id exactly. Buckets with many distinct strings, or with many bytes of windows, are dealt out:
+their windows are packed by parts of the key space, a part's minima are merged and looked up, so that no
+bucket is one task's work. A text of one repeated word has one minimiser; its super-k-mer is cut.
 """
 
 from __future__ import annotations
@@ -26,8 +27,12 @@ WINDOW = 50
 SEED = 6
 #: Distinct strings from which on a bucket is taken apart.
 LARGE_BUCKET = 256
-#: A part of a large bucket has the windows of about so many times LARGE_BUCKET strings.
+#: Bytes of all windows of a bucket, each counted whole, from which on it is taken apart.
+LARGE_BYTES = 1 << 24
+#: A part of a large bucket has the windows of about so many times LARGE_BUCKET strings, or LARGE_BYTES.
 PART = 4
+#: Windows in a super-k-mer, at most.
+LONGEST = 1024
 
 
 def super_k_mers(words: Words, window: int, seed: int) -> tuple[np.ndarray, ...]:
@@ -43,7 +48,11 @@ def super_k_mers(words: Words, window: int, seed: int) -> tuple[np.ndarray, ...]
     fresh[1:] &= ~inside[:-1] | (least[1:] != least[:-1]) | (row[1 : len(least)] != row[: len(least) - 1])
     start = np.flatnonzero(fresh)
     stop = np.flatnonzero(inside & ~np.append(inside[1:] & ~fresh[1:], False)) + 1
-    return row[start], start - words.first[row[start]], stop - start, least[start].view(np.int64)
+    n = stop - start
+    pieces = -(-n // LONGEST)
+    at = np.repeat(np.arange(len(n)), pieces)
+    skip = (np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * LONGEST
+    return row[start][at], (start - words.first[row[start]])[at] + skip, np.minimum(n[at] - skip, LONGEST), least[start].view(np.int64)[at]
 
 
 def _keys(window: int, seed: int):
@@ -95,22 +104,22 @@ def _strings(window: int, with_string: bool):
                     for r in runs:
                         string = b" ".join(words[r["start"] : r["start"] + r["n"] + window - 1])
                         name = blake2b(string, digest_size=16).digest()
-                        out.append((r["minimiser"], name, string.decode(), doc) if with_string else (name, doc, key, r["start"]))
+                        out.append((r["minimiser"], name, string.decode(), doc, len(string) * min(r["n"], window)) if with_string else (name, doc, key, r["start"]))
                 if not out:
                     continue
-                kinds = [pa.int64(), pa.binary(), pa.string(), pa.int64()] if with_string else [pa.binary(), pa.int64(), pa.int64(), pa.int32()]
-                names = ["minimiser", "name", "string", "doc_id"] if with_string else ["name", "doc_id", "text_key", "start"]
+                kinds = [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()] if with_string else [pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+                names = ["minimiser", "name", "string", "doc_id", "size"] if with_string else ["name", "doc_id", "text_key", "start"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     return run
 
 
-def _windows(string: str, window: int) -> list[bytes]:
+def _windows(string: str, window: int) -> Iterator[bytes]:
     data = string.encode()
     words = data.split(b" ")
     ends = np.cumsum([len(w) + 1 for w in words]).tolist()
     begins = [0, *ends[:-1]]
-    return [data[begins[i] : ends[i + window - 1] - 1] for i in range(len(words) - window + 1)]
+    return (data[begins[i] : ends[i + window - 1] - 1] for i in range(len(words) - window + 1))
 
 
 def _encoded(values: list[int]) -> list[dict]:
@@ -164,20 +173,20 @@ def _taken_apart(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                rows = list(zip(*(batch.slice(k, 512).column(c).to_pylist() for c in ("minimiser", "parts", "name", "string", "doc_id"))))
+            for part in (p for k in range(0, batch.num_rows, 512) for p in blocks(batch.slice(k, 512), "string", 1 << 22)):
+                rows = list(zip(*(part.column(c).to_pylist() for c in ("minimiser", "parts", "name", "string", "doc_id"))))
                 out = []
                 for (minimiser, parts), own in groupby(rows, key=lambda r: r[:2]):
                     own = list(own)
-                    windows = [_windows(r[3], window) for r in own]
-                    keys = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for ws in windows for w in ws), "<u8").reshape(-1, 2)
-                    size = [len(ws) for ws in windows]
+                    digests = [b"".join(blake2b(w, digest_size=16).digest() for w in _windows(r[3], window)) for r in own]
+                    keys = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+                    size = [len(d) // 16 for d in digests]
                     which, place = np.repeat(np.arange(len(own)), size).astype("<i4"), np.concatenate([np.arange(n) for n in size]).astype("<i4")
                     docs = np.array([r[4] for r in own], "<i8")[which]
-                    part = (keys[:, 0] % np.uint64(parts)).astype(np.int64)
+                    to = (keys[:, 0] % np.uint64(parts)).astype(np.int64)
                     names = b"".join(r[2] for r in own)
-                    for p in np.unique(part):
-                        at = part == p
+                    for p in np.unique(to):
+                        at = to == p
                         out.append((minimiser, int(p), keys[at].tobytes(), docs[at].tobytes(), names, which[at].tobytes(), place[at].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), *[pa.binary()] * 5))], ["minimiser", "part", "keys", "docs", "names", "which", "place"])
 
@@ -252,7 +261,7 @@ def _finished(window: int):
     return run
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, large_bucket: int = LARGE_BUCKET) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, large_bucket: int = LARGE_BUCKET, large_bytes: int = LARGE_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by blanks) for each row.
 
     A word goes if it is covered by a window of ``window`` words that also starts in a row with a smaller
@@ -273,11 +282,12 @@ def dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, large_bucket:
     done = prepared.where("runs is null").select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept")
     open_ = prepared.where("runs is not null").select("doc_id", "text_key", "text", "runs")
 
-    strings = open_.mapInArrow(_strings(window, True), "minimiser bigint, name binary, string string, doc_id bigint")
-    distinct = materialize(strings.groupBy("minimiser", "name", "string").agg(F.min("doc_id").alias("doc_id")))
-    large = materialize(distinct.groupBy("minimiser").count().where(F.col("count") > large_bucket).select("minimiser", F.ceil(F.col("count") / (PART * large_bucket)).cast("int").alias("parts")))
+    strings = open_.mapInArrow(_strings(window, True), "minimiser bigint, name binary, string string, doc_id bigint, size bigint")
+    distinct = materialize(strings.groupBy("minimiser", "name", "string").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size")))
+    sizes = distinct.groupBy("minimiser").agg(F.count("*").alias("count"), F.sum("size").alias("size")).where((F.col("count") > large_bucket) | (F.col("count") > 1) & (F.col("size") > large_bytes))
+    large = materialize(sizes.select("minimiser", F.ceil(F.greatest(F.col("count") / (PART * large_bucket), F.col("size") / (PART * large_bytes))).cast("int").alias("parts")))
     least = "name binary, least array<struct<n:int,doc_id:bigint>>"
-    usual = distinct.join(large, "minimiser", "left_anti").repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(_sorted_buckets(window), least)
+    usual = distinct.drop("size").join(large, "minimiser", "left_anti").repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(_sorted_buckets(window), least)
     # a large bucket's strings are dealt out; their windows meet by part, first as minima, then to look them up
     dealt = distinct.join(large, "minimiser").withColumn("deal", F.pmod(F.xxhash64("name"), F.col("parts"))).repartition("minimiser", "deal").sortWithinPartitions("minimiser", "deal")
     packed = materialize(dealt.select("minimiser", "parts", "name", "string", "doc_id").mapInArrow(_taken_apart(window), "minimiser bigint, part int, keys binary, docs binary, names binary, which binary, place binary"))

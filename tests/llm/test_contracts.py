@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import types as T
@@ -95,6 +96,27 @@ def test_op1_large_buckets(spark, folder, docs):
     assert usual == apart and len(usual) == len(docs)
 
 
+def test_op1_repeated_words(spark):
+    """Long texts of one word, whose windows all have one minimiser: cut super-k-mers and buckets taken apart by bytes give the rows of brute force."""
+    from docketry.llm import substring_dedup
+    from docketry.llm.common import Words
+
+    edge = substring_dedup.LONGEST + 49
+    texts = {20: "a " * 49, 21: "a " * 50, 22: "a " * edge, 23: "b " * 70 + "a " * (edge + 1), 24: "a b " * 1200, 25: "b a " * 1300, 26: "c " * 3000, 27: "d " + "c " * 2 * edge, 28: ("e" * 9000 + " ") * 60, 29: ("e" * 9000 + " ") * 61}
+    texts |= {100 + i: "ab " * (30_000 + i) for i in range(50)}
+    first, wanted = {}, set()
+    for i, text in sorted(texts.items()):
+        words = text.split()
+        windows = [" ".join(words[k : k + 50]) for k in range(len(words) - 49)]
+        gone = {p for k, w in enumerate(windows) if first.setdefault(w, i) < i for p in range(k, k + 50)} if i < 101 else range(len(words))
+        wanted.add((i, len(words), len(gone), " ".join(w for k, w in enumerate(words) if k not in gone)))
+    frame = spark.createDataFrame(sorted(texts.items()), "doc_id bigint, text string")
+    for size in (1, substring_dedup.LARGE_BYTES):
+        assert {(r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup(frame, large_bytes=size).collect()} == wanted, size
+    _, start, n, _ = substring_dedup.super_k_mers(Words(pa.array(["ab " * 5000, "x y"])), 50, 6)
+    assert start.tolist() == [0, 1024, 2048, 3072, 4096] and n.tolist() == [1024] * 4 + [855]
+
+
 def groups(docs, k, percent=80):
     sets = {}
     for i, t in docs.items():
