@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Starts in one number, and edges of a node in one part at most.
@@ -46,54 +46,47 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int) -> tuple[DataFrame, D
     """(nodes, edges) of the neighbourhoods of all ``starts`` (column node) at once.
 
     nodes: start, node, distance of what lies within ``depth`` undirected steps; edges: start, a, b of the given edges with
-    both ends among a start's nodes, each once. A node carries the set of starts that have reached it as bits, so a round is one pass over the edges
-    whatever the number of starts. A hub's edges are dealt out by salt, as many parts as its degree asks for. Start
-    nodes without edges are nodes; null nodes and loops reach nothing.
+    both ends among a start's nodes, each once. Starts come in blocks of 62; a node has a row for each block that has
+    reached it, with the block's starts as bits, so neither plan nor rows grow with the starts that never meet a node.
+    A hub's edges are dealt out by salt, as many parts as its degree asks for. Start nodes without edges are nodes;
+    null nodes and loops reach nothing.
     """
     from docketry.sources.tables import written
 
-    known = written(starts.select("node").where("node is not null").distinct().withColumn("_n", F.row_number().over(Window.orderBy("node")) - 1))
-    words = -(-known.count() // WORD)
-    if not words:
-        return starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("distance")).limit(0), edges.select(F.col("a").alias("start"), "a", "b").limit(0)
-    names = [f"w{i}" for i in range(words)]
-    bits = lambda i: F.when(F.floor(F.col("_n") / WORD) == i, F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("_n") % WORD).cast("int"))).otherwise(F.lit(0).cast("bigint"))
-    own = edges.select("a", "b").where("a is not null and b is not null").distinct()
-    both = own.union(own.select("b", "a")).where("a <> b").distinct()
-    degrees = both.groupBy("a").agg(F.count("*").alias("_d"))
+    # stored before anything reads them: the numbers are not the same in another run
+    known = written(starts.select("node").where("node is not null").distinct().withColumn("_n", F.monotonically_increasing_id()))
+    own = written(edges.select("a", "b").where("a is not null and b is not null").distinct())
+    both = written(own.union(own.select("b", "a")).where("a <> b").distinct())
+    degrees = both.groupBy("a").agg(F.count("*").alias("_d")).where(F.col("_d") > HUB)
+    hubs = written(degrees.select(F.col("a").alias("node"), F.ceil(F.col("_d") / HUB).alias("_salts")))
     # the salts of a node: one for each HUB edges
-    salted = written(both.withColumn("_s", F.pmod(F.xxhash64("b"), F.lit(1 << 20))).join(degrees.where(F.col("_d") > HUB), "a", "left").select("a", "b", F.when(F.col("_d").isNull(), 0).otherwise(F.col("_s") % F.ceil(F.col("_d") / HUB)).alias("_s")))
-    hubs = written(degrees.where(F.col("_d") > HUB).select(F.col("a").alias("node"), F.ceil(F.col("_d") / HUB).alias("_salts")))
-    seen = written(known.select("node", *(bits(i).alias(n) for i, n in enumerate(names))))
+    salt = F.coalesce(F.pmod(F.xxhash64("b"), F.lit(1 << 20)) % F.col("_salts"), F.lit(0).cast("bigint"))
+    salted = both.join(hubs.withColumnRenamed("node", "a"), "a", "left").select("a", "b", salt.alias("_s"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("_n") % WORD).cast("int"))
+    seen = written(known.select("node", F.floor(F.col("_n") / WORD).alias("_block"), bit.alias("_w")).groupBy("node", "_block").agg(F.bit_or("_w").alias("_w")))
     frontier, levels = seen, [seen.withColumn("distance", F.lit(0))]
     for step in range(1, depth + 1):
         dealt = frontier.join(hubs, "node", "left").withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1)) - 1)))
-        met = dealt.join(salted.withColumnRenamed("a", "node"), ["node", "_s"]).groupBy(F.col("b").alias("node")).agg(*(F.bit_or(n).alias(n) for n in names))
-        old = seen.select("node", *(F.col(n).alias(f"_{n}") for n in names))
-        fresh = met.join(old, "node", "left").select("node", *(F.col(n).bitwiseAND(F.bitwise_not(F.coalesce(f"_{n}", F.lit(0).cast("bigint")))).alias(n) for n in names))
-        frontier = written(fresh.where(" or ".join(f"{n} <> 0" for n in names)))
+        met = dealt.join(salted.withColumnRenamed("a", "node").hint("merge"), ["node", "_s"]).groupBy(F.col("b").alias("node"), "_block").agg(F.bit_or("_w").alias("_w"))
+        old = seen.withColumnRenamed("_w", "_old").hint("merge")
+        fresh = met.join(old, ["node", "_block"], "left").select("node", "_block", F.col("_w").bitwiseAND(F.bitwise_not(F.coalesce("_old", F.lit(0).cast("bigint")))).alias("_w"))
+        frontier = written(fresh.where("_w <> 0"))
         if frontier.isEmpty():
             break
         levels.append(frontier.withColumn("distance", F.lit(step)))
-        seen = written(seen.unionByName(frontier).groupBy("node").agg(*(F.bit_or(n).alias(n) for n in names)))
+        seen = written(seen.unionByName(frontier).groupBy("node", "_block").agg(F.bit_or("_w").alias("_w")))
     every = levels[0]
     for more in levels[1:]:
         every = every.unionByName(more)
-    told = _starts(every.select("node", "distance", *names), known, names)
-    ends = seen.select(F.col("node").alias("a"), *(F.col(n).alias(f"a_{n}") for n in names))
-    heads = seen.select(F.col("node").alias("b"), *(F.col(n).alias(f"b_{n}") for n in names))
-    inside = own.join(ends, "a").join(heads, "b").select("a", "b", *(F.col(f"a_{n}").bitwiseAND(F.col(f"b_{n}")).alias(n) for n in names))
-    return told.select("start", "node", "distance"), _starts(inside, known, names).select("start", "a", "b")
+    ends = seen.select(F.col("node").alias("a"), "_block", F.col("_w").alias("_a")).hint("merge")
+    heads = seen.select(F.col("node").alias("b"), "_block", F.col("_w").alias("_b")).hint("merge")
+    inside = own.join(ends, "a").join(heads, ["b", "_block"]).select("a", "b", "_block", F.col("_a").bitwiseAND(F.col("_b")).alias("_w"))
+    return _starts(every, known).select("start", "node", "distance"), _starts(inside, known).select("start", "a", "b")
 
 
-def _starts(rows: DataFrame, known: DataFrame, names: list[str]) -> DataFrame:
+def _starts(rows: DataFrame, known: DataFrame) -> DataFrame:
     """A row for each start in the bits of each row, with start in their place."""
-
-    def numbers(i: int, name: str):
-        one = F.lit(1).cast("bigint")
-        held = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda k: F.call_function("shiftright", F.col(name), k).bitwiseAND(one) != 0)
-        return F.transform(held, lambda k: k + i * WORD)
-
-    places = F.concat(*(numbers(i, name) for i, name in enumerate(names)))
-    each = rows.withColumn("_n", F.explode(places)).drop(*names)
-    return each.join(known.withColumnRenamed("node", "start"), "_n").drop("_n")
+    one = F.lit(1).cast("bigint")
+    held = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda k: F.call_function("shiftright", F.col("_w"), k).bitwiseAND(one) != 0)
+    each = rows.where("_w <> 0").withColumn("_n", F.explode(F.transform(held, lambda k: k + F.col("_block") * WORD))).drop("_w", "_block")
+    return each.join(known.withColumnRenamed("node", "start").hint("merge"), "_n").drop("_n")

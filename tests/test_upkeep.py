@@ -208,3 +208,14 @@ def test_merged_json(spark):
     rows = [('{"a":1,"b":{"c":[1,2]}}', '{"d":true,"e":null}', '{"a":1,"b":{"c":[1,2]},"d":true,"e":null}'), ('{"a":1.5,"z":"x\\"y"}', '{"a":{"q":null}}', '{"a":{"q":null},"z":"x\\"y"}'), (None, '{"k":[1,{"m":2}]}', '{"k":[1,{"m":2}]}'), ("nope", "[1]", "{}"), (None, None, "{}"), ('{"a":"1"}', '{"b c":12345678901234567890,"u":"é"}', '{"a":"1","b c":12345678901234567890,"u":"é"}')]
     got = spark.createDataFrame(rows, "a string, b string, w string").select(R.merged_json(F.col("a"), F.col("b")).alias("m"), "w").collect()
     assert [r.m for r in got] == [r.w for r in got]
+
+
+def test_reach_of_many_starts(spark):
+    """The plan is the same for ten starts and for five hundred: nothing has a column for a set of starts."""
+    edges = spark.range(600).selectExpr("id AS a", "id + 1 AS b")
+    few, many = (G.reach(edges, spark.range(n).selectExpr("id AS node"), 1) for n in (10, 500))
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    for a, b in zip(few, many):
+        assert size(b) < 1.2 * size(a)
+    assert {tuple(x) for x in many[0].collect()} == {(s, n, abs(n - s)) for s in range(500) for n in (s - 1, s, s + 1) if n >= 0}
+    assert {tuple(x) for x in many[1].collect()} == {(s, a, a + 1) for s in range(500) for a in (s - 1, s) if a >= 0}
