@@ -170,6 +170,8 @@ def validated(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 #: A span of days is cut into pieces of 1, 32, 32^2 ... days; so many sizes cover every date.
 _PIECE_BITS, _SIZES = 5, 5
+#: Entries of a key in one part at most.
+HOT = 50_000
 
 
 def _day(df: DataFrame, column: str) -> Column:
@@ -187,13 +189,19 @@ def effective_rate(entries: DataFrame, rates: DataFrame, key: str, on: str, defa
     one day the highest wins; entries without key or date get the default. A rate's span is cut into aligned
     pieces of 1, 32, 32^2 ... days, of each size at most 62, and a piece of a key keeps its latest rate. An
     entry lies in one piece of each size, so five joins on key and piece find its rate: each entry stays one
-    row. Entries of a long piece are dealt out over 32 tasks by their day, so no key's rates or entries are gathered,
-    unless all are of one day.
+    row. Keys with more than HOT entries are dealt out, a part for each HOT, and only their pieces are there once a part.
     """
+    from docketry.sources.tables import written
+
     begin, end = _day(rates, "effective_from"), _day(rates, "effective_to")
     spans = rates.where(F.col("effective_from").isNotNull()).select(F.col(key), begin.alias("_a"), F.coalesce(end, F.lit((1 << (_PIECE_BITS * _SIZES)) - 1)).alias("_b"), F.struct(begin.alias("day"), "rate").alias("_rate"))
     run = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
-    out = entries.withColumn("_day", _day(entries, on))
+    # at most a row for each HOT entries
+    hot = F.broadcast(written(entries.where(F.col(key).isNotNull()).groupBy(key).agg(F.ceil(F.count("*") / HOT).alias("_salts")).where("_salts > 1")))
+    mixed = F.xxhash64(*(name for name, kind in entries.dtypes if "map<" not in kind and "variant" not in kind))
+    out = entries.withColumn("_day", _day(entries, on)).join(hot, key, "left")
+    # entries that can meet no rate lie anywhere
+    out = out.withColumn("_salt", F.pmod(mixed, F.when(F.col(key).isNull() | F.col("_day").isNull(), 1 << 10).otherwise(F.coalesce("_salts", F.lit(1))))).drop("_salts")
     for size in range(_SIZES):
         a, b = F.col("_a"), F.col("_b")
         # the pieces of the next size that the span covers whole
@@ -204,11 +212,9 @@ def effective_rate(entries: DataFrame, rates: DataFrame, key: str, on: str, defa
             left = F.when(F.col("_c") <= F.col("_d"), cut).otherwise(left)
         latest = spans.select(F.col(key), F.explode(left).alias(f"_p{size}"), "_rate").groupBy(key, f"_p{size}").agg(F.max("_rate").alias(f"_r{size}"))
         out = out.withColumn(f"_p{size}", F.shiftright("_day", _PIECE_BITS * size))
-        if size:  # a long piece may hold all entries of a key: they are dealt out by day, and the piece is there for each
-            latest = latest.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit((1 << _PIECE_BITS) - 1))))
-            out = out.join(latest, [key, f"_p{size}", "_salt"], "left")
-        else:
-            out = out.join(latest, [key, f"_p{size}"], "left").withColumn("_salt", F.col("_day").bitwiseAND((1 << _PIECE_BITS) - 1).cast("int"))
+        latest = latest.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+        # never broadcast: sizes of tables that explode makes are underestimated
+        out = out.join(latest.hint("merge"), [key, f"_p{size}", "_salt"], "left")
         spans = spans.select(key, F.col("_c").alias("_a"), F.col("_d").alias("_b"), "_rate")
     rate = F.greatest(*(f"_r{size}" for size in range(_SIZES)))["rate"]
     return out.select(*entries.columns, F.coalesce(rate, F.col(default) if default else F.lit(None), F.lit(0)).alias("rate"))

@@ -224,3 +224,36 @@ def test_numbered(spark):
     rows = [(g, i) for g, n in (("a", 700), ("b", 3), ("c", 40)) for i in range(n)]
     got = R.numbered(spark.createDataFrame(rows, "g string, i int").repartition(5), ["g"], ["i"]).collect()
     assert len(got) == len(rows) and all(r.position == r.i + 1 for r in got)
+
+
+def broadcast_rows(df):
+    """Rows of each table that the driver collected for a broadcast, by the plan as it ran."""
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        own = [node.metrics().apply("numOutputRows").value()] if name == "BroadcastExchangeExec" else []
+        return own + [n for i in range(node.children().size()) for n in walk(node.children().apply(i))]
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_effective_rate_is_not_broadcast(spark):
+    """Pieces of spans do not go through the driver, and those of keys with few entries are not multiplied."""
+    day = lambda n: datetime.date(2020, 1, 1) + datetime.timedelta(days=n)
+    rates = spark.createDataFrame([(i, day(i % 9), None, float(i)) for i in range(500)], "k int, effective_from date, effective_to date, rate double")
+    found = R.effective_rate(spark.createDataFrame([(i, day(400)) for i in range(500)], "k int, at date"), rates, "k", "at")
+    assert sum(broadcast_rows(found)) == 0
+    assert {(r.k, r.rate) for r in found.collect()} == {(i, i) for i in range(500)}
+
+
+def test_effective_rate_of_hot_keys(spark, monkeypatch):
+    """A key with more entries than one part takes, all of one day, and one with fewer."""
+    monkeypatch.setattr(R, "HOT", 20)
+    rates = spark.createDataFrame([("a", 0, 40, 1.0), ("a", 90, None, 2.0), ("b", 5, 5, 3.0)], "k string, effective_from int, effective_to int, rate double")
+    entries = [(i, "a", d) for i, d in enumerate([7] * 90 + [50, 95])] + [(100, "b", 5), (101, "b", 6), (102, None, 5), (103, "a", None)]
+    got = R.effective_rate(spark.createDataFrame(entries, "i int, k string, at int"), rates, "k", "at").collect()
+    assert sorted((r.i, r.rate) for r in got) == [*((i, 1.0) for i in range(90)), (90, 0.0), (91, 2.0), (100, 3.0), (101, 0.0), (102, 0.0), (103, 0.0)]
