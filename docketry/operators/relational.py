@@ -267,15 +267,19 @@ def containing(texts: DataFrame, text: str, needles: DataFrame, needle: str) ->
 
     sought = needles.withColumn("_needle", F.lower(needle)).where("_needle <> ''")
     sizes = [r[0] for r in sought.select(F.least(F.lit(3), F.length("_needle"))).distinct().collect()]
-    rows = written(texts.withColumn("_row", F.monotonically_increasing_id()))
+    # dealt out anew, since many short texts may come from one small file
+    rows = written(texts.withColumn("_row", F.monotonically_increasing_id()).repartition("_row"))
     parts = rows.select("_row", F.explode(_parts(F.lower(text), sizes)).alias("_part"))
     own = sought.select("_needle").distinct()
     own = own.select("_needle", F.explode(_parts(F.col("_needle"), sizes)).alias("_part")).where(F.length("_part") == F.least(F.lit(3), F.length("_needle")))
-    # a part that no text has comes first: its needle has no candidates
+    # a needle with a part that no text has has no candidates
     counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    rarest = own.join(counts, "_part", "left").groupBy("_needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_part"))["_part"].alias("_part"))
-    pairs = parts.join(rarest, "_part").select("_row", "_needle")
-    return rows.join(pairs, "_row").where(F.lower(text).contains(F.col("_needle"))).join(sought, "_needle").drop("_row", "_needle")
+    rarest = own.join(counts, "_part", "left").groupBy("_needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_part")).alias("_r")).where("_r._n > 0").select("_needle", F.col("_r._part").alias("_part"))
+    # parts and rows are never broadcast: the sizes of what explode makes, and of texts stored compressed, are underestimated
+    kept = parts.join(rarest.select("_part").distinct(), "_part", "left_semi")
+    pairs = kept.join(rarest.hint("merge"), "_part").select("_row", "_needle")
+    met = rows.join(pairs.hint("merge"), "_row").where(F.lower(text).contains(F.col("_needle")))
+    return met.join(sought.hint("merge"), "_needle").drop("_row", "_needle")
 
 
 def _parts(text: Column, sizes: list[int]) -> Column:

@@ -257,3 +257,12 @@ def test_effective_rate_of_hot_keys(spark, monkeypatch):
     entries = [(i, "a", d) for i, d in enumerate([7] * 90 + [50, 95])] + [(100, "b", 5), (101, "b", 6), (102, None, 5), (103, "a", None)]
     got = R.effective_rate(spark.createDataFrame(entries, "i int, k string, at int"), rates, "k", "at").collect()
     assert sorted((r.i, r.rate) for r in got) == [*((i, 1.0) for i in range(90)), (90, 0.0), (91, 2.0), (100, 3.0), (101, 0.0), (102, 0.0), (103, 0.0)]
+
+
+def test_containing_does_not_broadcast_texts(spark):
+    """Neither texts nor their parts go through the driver, with few needles and with many."""
+    texts = spark.range(3000).selectExpr("id", "'the same text with number ' || (id % 7) AS body")
+    for needles, n in ((spark.createDataFrame([("TEXT",), ("none such",)], "needle string"), 3000), (spark.range(2000).selectExpr("'number ' || id AS needle"), 3000)):
+        found = R.containing(texts, "body", needles, "needle")
+        assert found.count() == n
+        assert max(broadcast_rows(found), default=0) < 200
