@@ -126,9 +126,10 @@ def severity_order(spark, d):
     return table(spark, d, "events").select("event_id", level.alias("level")).orderBy(rank, "event_id")
 
 
-@query("jn2_current_articles", f"SELECT a.rada_id, title, article_number FROM {ARTICLES.sql} a JOIN {LAWS.sql} l ON a.rada_id = l.rada_id WHERE is_current AND a.rada_id = '435-15' AND article_number IN ('354', '354-1', '625')")
+@query("jn2_current_articles", f"SELECT a.rada_id, title, article_number FROM {ARTICLES.sql} a JOIN {LAWS.sql} l ON a.rada_id = l.rada_id WHERE is_current AND a.rada_id LIKE '%435-15' AND article_number IN ('354', '354-1', '625')")
 def current_articles(spark, d):
-    rows = ARTICLES.frame(spark, d).where(F.col("is_current") & (F.col("rada_id") == "435-15") & F.col("article_number").isin("354", "354-1", "625"))
+    """Articles of the law 435-15 of every group, those in force."""
+    rows = ARTICLES.frame(spark, d).where(F.col("is_current") & F.col("rada_id").endswith("435-15") & F.col("article_number").isin("354", "354-1", "625"))
     return rows.join(LAWS.frame(spark, d), "rada_id").select("rada_id", "title", "article_number")
 
 
