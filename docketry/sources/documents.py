@@ -140,8 +140,17 @@ def texts(files: DataFrame) -> DataFrame:
 def as_files(docs: DataFrame, key: str, text: str, kind: Column) -> DataFrame:
     """``docs`` as files: path (the key and an ending) and content in the format that ``kind`` names, docx or pdf; null texts are empty."""
 
-    @F.pandas_udf("binary")
-    def made(texts_, kinds):
-        return texts_.fillna("").combine(kinds, lambda t, k: pdf.pdf_bytes(t) if k == "pdf" else docx_bytes(t))
-
-    return docs.select(F.concat(F.col(key).cast("string"), F.lit("."), kind).alias("path"), made(F.col(text), kind).alias("content")).withColumn("type", registries.sniffed(F.col("content")))
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, contents, size = [], [], 0
+            for path, t, k in zip(batch.column("path"), batch.column("text"), batch.column("kind")):  # one text at a time is a Python object
+                paths.append(path.as_py())
+                contents.append((pdf.pdf_bytes if k.as_py() == "pdf" else docx_bytes)(t.as_py() or ""))
+                size += len(contents[-1])
+                if size > 1 << 22:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+                    paths, contents, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+
+    rows = docs.select(F.concat(F.col(key).cast("string"), F.lit("."), kind).alias("path"), F.col(text).alias("text"), kind.alias("kind"))
+    return rows.mapInArrow(made, "path string, content binary").withColumn("type", registries.sniffed(F.col("content")))

@@ -131,3 +131,18 @@ def test_files_with_errors(spark, tmp_path):
     assert all(got[k].error for k in ("g.docx", "h.pdf", "i.doc"))
     parts = D.parts(D.read(spark, str(tmp_path), "j.docx")).orderBy("part").collect()
     assert [p.part for p in parts] == list(range(1, 3001)) and "\n".join(p.text for p in parts) == long
+
+
+def test_files_are_made_in_small_batches(spark):
+    """Files are made one at a time and handed on every few MB, not as a whole batch of texts; null texts and large ones among them."""
+    from pyspark.sql import functions as F
+
+    from docketry.sources import documents
+
+    noise = random.Random(3).randbytes(3_000_000).hex()  # its files hardly shrink, so several batches are handed on
+    rows = [(1, "a\nb"), (2, None), (3, noise), (4, noise), (5, noise + "\nend"), (6, "last")]
+    files = documents.as_files(spark.createDataFrame(rows, "k int, t string").coalesce(1), "k", "t", F.when(F.col("k") == 4, "pdf").otherwise("docx"))
+    assert "ArrowEvalPython" not in files._jdf.queryExecution().executedPlan().toString()
+    got = {r.path: r for r in documents.texts(files).collect()}
+    assert {p: r.text for p, r in got.items() if p != "4.pdf"} == {f"{k}.docx": (t or "").replace("\n", "\n\n") for k, t in rows if k != 4}
+    assert got["4.pdf"].error is None and got["4.pdf"].text.replace("\n", "") == noise
