@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,6 +32,9 @@ STEP_3 = {"ational": "ate", "tional": "tion", "alize": "al", "icate": "ic", "ici
 STEP_4 = "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion".split()
 ODD_FORMS = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
 FIRM_WORDS = "sky news howe atlas cosmos bias andes inning innings outing outings canning cannings herring herrings earring earrings proceed exceed succeed".split()
+# Endings of which a word has one if any step changes it, without those that end in another of them.
+_CHANGED = {"s", "ed", "ing", "y", "e", "ll", *STEP_2, *STEP_3, *STEP_4}
+CHANGED = sorted(a for a in _CHANGED if not any(a != b and a.endswith(b) for b in _CHANGED))
 # Fixed values of the Russian rules: endings of each kind.
 GERUND = "(?:(?<=[ая])(?:вшись|вши|в)|ившись|ывшись|ивши|ывши|ив|ыв)$"
 REFLEXIVE = "(?:ся|сь)$"
@@ -47,7 +51,8 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 def _ending(word: Column, endings) -> Column:
     """The longest of the endings that the word has, or an empty text."""
-    return F.regexp_extract(word, f"^.*?({'|'.join(endings)})$", 1)
+    longest = max(map(len, endings))
+    return F.regexp_extract(F.substring(word, -longest, longest), f"^.*?({'|'.join(endings)})$", 1)
 
 
 def _less(word: Column, n: Column | int) -> Column:
@@ -64,7 +69,7 @@ def english(word: Column) -> Column:
     """The stem of a lower-case word; two letters and less stay."""
     begin, later = "gener|commun|arsen|[^aeiouy]*[aeiouy]+[^aeiouy]", "[^aeiouy]*[aeiouy]+[^aeiouy]"
     marked = F.regexp_replace(F.regexp_replace(word, "^y", "Y"), "([aeiouy])y", "$1Y")
-    regions = F.struct(marked.alias("w"), _region(marked, begin).alias("one"), _region(marked, f"(?:{begin}){later}").alias("two"))
+    regions = lambda w: F.struct(w.alias("w"), _region(w, begin).alias("one"), _region(w, f"(?:{begin}){later}").alias("two"))
 
     def plural(w: Column) -> Column:
         return let(_ending(w, ("sses", "ied", "ies", "us", "ss", "s")), lambda e: F.when(e == "sses", _less(w, 2)).when(e.isin("ied", "ies"), F.when(F.length(w) > 4, _less(w, 2)).otherwise(_less(w, 1)))
@@ -111,7 +116,8 @@ def english(word: Column) -> Column:
         return F.translate(found, "Y", "y")
 
     odd = F.create_map(*(F.lit(x) for pair in (*ODD_FORMS.items(), *((w, w.removesuffix("s") if w.endswith("ings") else w) for w in FIRM_WORDS)) for x in pair))
-    return F.when(F.length(word) <= 2, word).otherwise(F.coalesce(F.try_element_at(odd, word), let(regions, steps)))
+    same = (F.length(word) <= 2) | ~reduce(lambda a, b: a | b, (word.endswith(e) for e in CHANGED))
+    return F.when(same, word).otherwise(F.coalesce(F.try_element_at(odd, word), let(let(marked, regions), steps)))
 
 
 def russian(word: Column) -> Column:

@@ -1,7 +1,7 @@
 """Full-text search with word forms: an inverted index with positions, written by term range, and exact top-k over its blocks.
 
-A text's words are cut at all but letters and digits and lose their endings (``functions/stems.py``). Postings are
-sorted by term and document over range partitions, so a frequent term lies in several, and are packed in blocks with their highest
+A text's words are cut at all but letters and digits and lose their endings (``functions/stems.py``). Texts are dealt
+out by key and counted in segments, each word of a segment once. Postings are sorted by term and document over range partitions, so a frequent term lies in several, and are packed in blocks with their highest
 frequency. A small table of terms says in which parts a term lies; a search reads those parts alone.
 """
 
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +22,16 @@ from docketry.sources.tables import shared_folder, written
 
 #: Documents of a term in one block at most.
 BLOCK = 128
+#: Bytes of text, in whole documents, whose postings of a word are one row before they are sorted by term.
+SEGMENT = 8 << 20
+#: What stands between words.
+BETWEEN = r"[^\p{L}\p{N}]+"
+COUNTED = "word string, segment bigint, docs array<bigint>, counts array<int>, places array<int>"
 BLOCKS = "term string, first_doc bigint, last_doc bigint, n int, most int, docs array<bigint>, counts array<int>, places array<array<int>>"
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN), lambda w: w != "")
 
 
 def query_terms(spark: SparkSession, query: str, config: str) -> list[str | None]:
@@ -55,23 +61,102 @@ class Index:
         return self.spark.read.schema("term string, docs bigint, occurrences bigint, most int, parts array<int>").parquet(f"{self.path}/terms")
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of sorted postings (term, doc, places); a term's run may go on in the next batch, as another block."""
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows (doc, text) that come by doc, in runs of SEGMENT bytes of text and more (the last may be shorter); all rows of a doc are in one."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = (rows if held is None else pa.concat_tables([held, rows])).combine_chunks()
+        doc, first = rows["doc"].to_numpy(), 0
+        begin = np.flatnonzero(doc[1:] != doc[:-1]) + 1
+        size = np.concatenate([[0], np.cumsum(pc.binary_length(rows["text"]).to_numpy().astype(np.int64))])
+        while (i := np.searchsorted(size[begin], size[first] + SEGMENT)) < len(begin):
+            yield rows.slice(first, begin[i] - first)
+            first = begin[i]
+        held = rows.slice(first)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _counted(stops: list[str]):
+    """A mapInArrow function: rows (doc, words with one blank between them) by doc to a row for each segment and word that is no stop word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left_out = pa.array(["", *stops], pa.string())
+        for rows in _segments(batches):
+            doc = rows["doc"].to_numpy()
+            split = pc.split_pattern(rows["text"].combine_chunks(), " ")
+            split = split.combine_chunks() if isinstance(split, pa.ChunkedArray) else split
+            at, found = split.offsets.to_numpy(), split.flatten().dictionary_encode()
+            code, row = found.indices.to_numpy(), np.repeat(np.arange(len(doc)), np.diff(at))
+            so_far = np.concatenate([[0], np.cumsum((pc.binary_length(found.dictionary).to_numpy() > 0)[code])])  # words, not the empty texts about blanks
+            place = so_far[:-1] - so_far[at[:-1]][row]
+            keep = np.flatnonzero(~pc.is_in(found.dictionary, left_out).to_numpy(zero_copy_only=False)[code])
+            if not len(keep):
+                continue
+            code, place, other = code[keep], place[keep], np.concatenate([[True], doc[1:] != doc[:-1]])
+            number = (np.cumsum(other) - 1)[row[keep]]
+            if other.all():  # they come by text and place
+                order = np.sort(code.astype(np.int64) << 32 | np.arange(len(code))) & 0xFFFFFFFF
+            else:  # a key with several texts
+                order = np.lexsort((place, number, code))
+            code, place, number = code[order], place[order], number[order]
+            posting = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (number[1:] != number[:-1])]))
+            word = np.flatnonzero(np.concatenate([[True], code[posting][1:] != code[posting][:-1]]))
+            bounds = pa.array(np.append(word, len(posting)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    found.dictionary.take(pa.array(code[posting][word])), pa.array(np.full(len(word), doc[0])), pa.ListArray.from_arrays(bounds, pa.array(doc[other][number[posting]])),
+                    pa.ListArray.from_arrays(bounds, pa.array(np.diff(np.append(posting, len(code))).astype(np.int32))), pa.ListArray.from_arrays(pa.array(np.append(posting[word], len(code)), pa.int32()), pa.array(place.astype(np.int32))),
+                ],
+                ["word", "segment", "docs", "counts", "places"],
+            )
+
+    return run
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted rows (term, segment, ...) in runs; all rows of a term in a segment, its word forms, are in one."""
+    held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        term, doc, places = batch.column("term"), batch.column("doc"), batch.column("places")
-        code = term.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        rows = pa.Table.from_batches([batch])
+        rows = (rows if held is None else pa.concat_tables([held, rows])).combine_chunks()
+        other = pc.or_(pc.not_equal(rows["term"], rows["term"][-1]), pc.not_equal(rows["segment"], rows["segment"][-1])).to_numpy()
+        cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+        if cut:
+            yield rows.slice(0, cut)
+        held = rows.slice(cut)
+    if held is not None:
+        yield held
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of sorted rows (term, segment, docs, counts, places of all docs); a term's run may go on in the next batch, as another block."""
+    for rows in _whole(batches):
+        term, listed, docs, counts, places = (rows[c].combine_chunks() for c in ("term", "docs", "docs", "counts", "places"))
+        code = np.repeat(term.dictionary_encode().indices.to_numpy(), np.diff(listed.offsets.to_numpy()))
+        first = np.repeat(np.arange(len(term)), np.diff(listed.offsets.to_numpy()))
+        docs, counts, places = (x.flatten().to_numpy() for x in (docs, counts, places))
+        if not np.all((code[1:] > code[:-1]) | (docs[1:] > docs[:-1])):  # forms of a word are one posting of a document
+            order = np.lexsort((docs, code))
+            code, docs, first, own = code[order], docs[order], first[order], counts[order]
+            new = np.concatenate([[True], (code[1:] != code[:-1]) | (docs[1:] != docs[:-1])])
+            moved = np.repeat((np.cumsum(counts) - counts)[order] - (np.cumsum(own) - own), own) + np.arange(len(places))
+            places = (np.sort(np.repeat(np.cumsum(new) - 1, own) << 32 | places[moved]) & 0xFFFFFFFF).astype(np.int32)
+            counts, code, docs, first = np.add.reduceat(own, np.flatnonzero(new)).astype(np.int32), code[new], docs[new], first[new]
         run = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
         length = np.diff(np.append(run, len(code)))
-        cut = np.concatenate([np.arange(a, a + n, BLOCK) for a, n in zip(run, length)])
-        counts = np.diff(places.offsets.to_numpy()).astype(np.int32)
-        docs = doc.to_numpy(zero_copy_only=False)
+        # the places at which a block begins: every BLOCK-th of each run
+        pieces = -(-length // BLOCK)
+        cut = np.repeat(run, pieces) + BLOCK * (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces))
         ends = np.append(cut[1:], len(code))
         bounds = pa.array(np.append(cut, len(code)), pa.int32())
         lists = lambda values: pa.ListArray.from_arrays(bounds, values)
+        each = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(places))
         yield pa.RecordBatch.from_arrays(
-            [term.take(pa.array(cut)), pa.array(docs[cut]), pa.array(docs[ends - 1]), pa.array((ends - cut).astype(np.int32)), pa.array(np.maximum.reduceat(counts, cut)), lists(pa.array(docs)), lists(pa.array(counts)), lists(places)],
+            [term.take(pa.array(first[cut])), pa.array(docs[cut]), pa.array(docs[ends - 1]), pa.array((ends - cut).astype(np.int32)), pa.array(np.maximum.reduceat(counts, cut)), lists(pa.array(docs)), lists(pa.array(counts)), lists(each)],
             ["term", "first_doc", "last_doc", "n", "most", "docs", "counts", "places"],
         )
 
@@ -85,15 +170,14 @@ def build(docs: DataFrame, key: str, text: str, config: str = "simple", path: st
     spark = docs.sparkSession
     path = path or f"{shared_folder(spark)}/fulltext-{uuid.uuid4().hex}"
     stops = STOP_WORDS["english"] + STOP_WORDS["russian"] * (config == "russian") if config != "simple" else []
-    each = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.posexplode(words(F.col(text))).alias("place", "word")).where(~F.col("word").isin(stops))
-    stemmed = each.withColumnRenamed("word", "term")
-    if config != "simple":  # each distinct word is stemmed once; the table of words is stored, so that AQE can broadcast it or split a frequent word
-        stems = written(each.select("word").distinct().withColumn("term", stem(F.col("word"), config)))
-        stemmed = each.join(stems, "word").select("term", "doc", "place")
-    # the range shuffle samples its input first: that is the grouped postings' shuffle, which runs once
-    grouped = stemmed.groupBy("term", "doc").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    postings = grouped.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc")
-    packed = postings.mapInArrow(_packed, BLOCKS).withColumn("part", F.spark_partition_id())
+    plain = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), BETWEEN, " ").alias("text")
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
+    # all texts of a key are in one part; a row for each word of a segment, not for each word of a text, is stemmed and moved
+    counted = rows.repartitionByRange("doc").sortWithinPartitions("doc").select("doc", plain).mapInArrow(_counted(stops), COUNTED)
+    # stored, since the range shuffle samples its input before it reads it
+    postings = written(counted.select(stem(F.col("word"), config).alias("term"), "segment", "docs", "counts", "places"))
+    sorted_ = postings.repartitionByRange("term", "segment").sortWithinPartitions("term", "segment")
+    packed = sorted_.mapInArrow(_packed, BLOCKS).withColumn("part", F.spark_partition_id())
     packed.write.partitionBy("part").parquet(f"{path}/blocks")
     index = Index(spark, path, config)
     # n_parts of a term are at most all parts; a term's row is small

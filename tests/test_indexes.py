@@ -87,6 +87,26 @@ def test_phrase_and_plan(index, texts):
     assert 0 < len(parts) < index.blocks.select("part").distinct().count() and re.search(r"PartitionFilters: \[[^\]]*part#", plan)
 
 
+def test_rows_moved_by_an_index(spark, monkeypatch):
+    """Words move once for a segment and not once for a text; keys with several texts, and segments of few bytes."""
+    rows = [(i % 300, f"hands of thing{'s' * (i % 2)} handed things " * (1 + i % 3)) for i in range(600)] + [(7, "hand"), (None, "hand")]
+    frame, moved = spark.createDataFrame(rows, "id bigint, body string").repartition(5), []
+    real = type(frame).repartitionByRange
+    monkeypatch.setattr(type(frame), "repartitionByRange", lambda self, *columns: moved.append(self) or real(self, *columns))
+    whole = X.build(frame, "id", "body", "english")
+    assert next(m for m in moved if "term" in m.columns).count() <= 4 * 4  # words of four parts
+    monkeypatch.setattr(X, "SEGMENT", 100)
+    for index in (whole, X.build(frame, "id", "body", "english")):
+        held = {(r.term, r.doc): r.places for r in X._postings(index.blocks).collect()}
+        wanted = {(t, i): sorted(n for j, text in rows if i == j for n, w in enumerate(text.split()) if w.startswith(t)) for i in range(300) for t in ("hand", "thing")}
+        assert held == wanted and index.blocks.agg(F.sum("n")).first()[0] == len(held)
+
+
+def test_words_that_no_rule_changes():
+    """A word is spared the rules only if it has none of their endings."""
+    assert all(any(e.endswith(c) for c in S.CHANGED) for e in (*S.STEP_2, *S.STEP_3, *S.STEP_4, "sses", "ied", "ies", "s", "eed", "eedly", "ing", "ingly", "ed", "edly", "y", "e", "ll"))
+
+
 def test_empty_index(spark):
     empty = X.build(spark.createDataFrame([(None, "a"), (1, None)], "id bigint, body string"), "id", "body")
     assert X.search(empty, "a").count() == 0 and X.search(empty, "a", 2).count() == 0
