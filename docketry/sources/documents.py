@@ -94,30 +94,32 @@ def parts(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, size = [], 0  # those of several small files are handed on together
             for path, kind, content in zip(batch.column("path").to_pylist(), batch.column("type").to_pylist(), batch.column("content")):
-                texts, errors, size = [], [], 0
+                n = 0
                 try:
                     for text in _READERS[kind](content.as_py() or b""):
-                        texts.append(text)
-                        errors.append(None)
-                        size += len(text)
+                        n += 1
+                        rows.append((path, kind, n, text, None))
+                        size += len(text) + 64
                         if size > 1 << 22:
-                            yield _part_rows(path, kind, texts, errors, len(errors) - len(texts))
-                            texts, size = [], 0
+                            yield _part_rows(rows)
+                            rows, size = [], 0
                 except Exception as wrong:  # any damage of a file is a row of its own
-                    texts.append(None)
-                    errors.append(f"{type(wrong).__name__}: {wrong}"[:200])
-                if not errors:  # a file without pages or paragraphs has one without text
-                    texts, errors = [""], [None]
-                yield _part_rows(path, kind, texts, errors, len(errors) - len(texts))
+                    n += 1
+                    rows.append((path, kind, n, None, f"{type(wrong).__name__}: {wrong}"[:200]))
+                if not n:  # a file without pages or paragraphs has one without text
+                    rows.append((path, kind, 1, "", None))
+            if rows:
+                yield _part_rows(rows)
 
     own = files.where(F.col("type").isin(*_READERS)).select("path", "type", "content")
     return own.mapInArrow(run, PARTS)
 
 
-def _part_rows(path: str, kind: str, texts: list, errors: list, begin: int) -> pa.RecordBatch:
-    n = len(texts)
-    return pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array([kind] * n, pa.string()), pa.array(range(begin + 1, begin + n + 1), pa.int32()), pa.array(texts, pa.string()), pa.array(errors[begin:], pa.string())], ["path", "type", "part", "text", "error"])
+def _part_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], ["path", "type", "part", "text", "error"])
 
 
 def texts(files: DataFrame) -> DataFrame:

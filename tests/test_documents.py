@@ -146,3 +146,13 @@ def test_files_are_made_in_small_batches(spark):
     got = {r.path: r for r in documents.texts(files).collect()}
     assert {p: r.text for p, r in got.items() if p != "4.pdf"} == {f"{k}.docx": (t or "").replace("\n", "\n\n") for k, t in rows if k != 4}
     assert got["4.pdf"].error is None and got["4.pdf"].text.replace("\n", "") == noise
+
+
+def test_a_map_is_read_once_for_all_files(monkeypatch):
+    """Files with the same map of codes share it; strings of digits are read as before."""
+    list(pdf.pages(pdf.pdf_bytes("first")))
+    calls, real = [], pdf.parse
+    monkeypatch.setattr(pdf, "parse", lambda *a, **k: calls.append(1) or real(*a, **k))
+    assert list(pdf.pages(pdf.pdf_bytes("second\tУкраїна \U0001F600\nline"))) == ["second\tУкраїна \U0001F600\nline"]
+    assert len(calls) < 200
+    assert [real(x, 0)[0] for x in (b"<0041>", b"<00 4 1>", b"<414>", b"<41zz 42>", b"<>")] == [b"\x00A", b"\x00A", b"A@", b"AB", b""]
