@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import cases as C
@@ -53,19 +53,24 @@ def precedent_status(numbers: DataFrame, decisions: DataFrame) -> DataFrame:
     day = F.coalesce(F.datediff(F.to_date("decided"), F.lit("1970-01-01").cast("date")), F.lit(-(10**6)))
     placed = chain.withColumn("_day", day)
     known = F.when(F.col("level") > 0, F.struct("level", -F.col("_day"), "doc_id"))
-    stats = placed.groupBy("number").agg(
-        F.count("*").cast("bigint").alias("chain_length"), (F.min("level") == 0).alias("_odd"), F.min_by(F.struct("doc_id", "level"), F.struct("level", "_day", "doc_id")).alias("_early"),
-        F.min_by(F.struct("doc_id", "level"), known).alias("_late"),
+    # the chain is made, moved and sorted once: what is known of a number stands beside each of its decisions
+    case = Window.partitionBy("number")
+    stats = placed.select(
+        "*", F.count("*").over(case).cast("bigint").alias("chain_length"), (F.min("level").over(case) == 0).alias("_odd"), F.min_by(F.struct("doc_id", "level"), F.struct("level", "_day", "doc_id")).over(case).alias("_early"),
+        F.min_by(F.struct("doc_id", "level"), known).over(case).alias("_late"),
     )
     target = F.when(F.col("_odd"), F.coalesce("_late", "_early")).otherwise(F.col("_early"))
-    aimed = stats.select("number", "chain_length", target["doc_id"].alias("target_doc_id"), F.greatest(F.lit(1), target["level"]).alias("_least"))
+    aimed = stats.withColumn("_target", target)
+    above = (F.col("level") > F.greatest(F.lit(1), F.col("_target.level"))) & F.col("effect").isNotNull()
     order = F.struct("level", "_day", "doc_id")
-    above = placed.join(aimed, "number").where("level > _least and effect is not null")
     one = F.struct(-F.col("level"), -F.col("_day"), "doc_id", "instance", "court", "decided", F.col("effect.outcome"), F.col("effect.effect"))
-    affecting = above.groupBy("number").agg(F.max_by(F.struct("effect.effect", "level"), order).alias("_top"), F.array_sort(F.collect_list(one)).alias("_all"))
-    met = numbers.select("number").distinct().join(aimed, "number", "left").join(affecting, "number", "left")
+    judged = aimed.groupBy("number").agg(
+        F.first("chain_length").alias("chain_length"), F.first("_target")["doc_id"].alias("target_doc_id"),
+        F.max_by(F.when(above, F.struct("effect.effect", "level")), F.when(above, order)).alias("_top"), F.array_sort(F.collect_list(F.when(above, one))).alias("_all"),
+    )
+    met = numbers.select("number").distinct().join(judged, "number", "left")
     status = F.when(F.col("_top").isNotNull(), C.status_of(F.col("_top.effect"))).when(F.col("chain_length") > 1, "valid").otherwise("unknown")
-    shown = F.transform(F.coalesce("_all", F.array().cast(affecting.schema["_all"].dataType)), lambda x: F.struct(*(x[f] for f in ("doc_id", "instance", "court", "decided", "outcome", "effect"))))
+    shown = F.transform(F.coalesce("_all", F.array().cast(judged.schema["_all"].dataType)), lambda x: F.struct(*(x[f] for f in ("doc_id", "instance", "court", "decided", "outcome", "effect"))))
     out = met.withColumn("status", status)
     return out.select("number", "target_doc_id", "status", C.confidence(F.col("status"), F.coalesce("_top.level", F.lit(0))).alias("confidence"), shown.alias("affecting"), F.coalesce("chain_length", F.lit(0)).alias("chain_length"))
 

@@ -266,3 +266,15 @@ def test_containing_does_not_broadcast_texts(spark):
         found = R.containing(texts, "body", needles, "needle")
         assert found.count() == n
         assert max(broadcast_rows(found), default=0) < 200
+
+
+def test_a_chain_is_made_once_for_its_status(spark):
+    """The decisions are read and joined once; a number's target, effects and length come from that."""
+    from docketry.operators import cases
+
+    rows = [(1, "1/2/2023", "Рішення", "районний суд", None, None, "2023-01-01", "задовольнити", None), (2, "1/2/23", "Постанова", "апеляційний суд", None, None, "2023-05-01", "скасувати", None), (3, "1/2/23", "Постанова", "апеляційний суд", None, None, None, "залишити без змін", None)]
+    decisions = spark.createDataFrame(rows, "doc_id bigint, case_number string, title string, court string, chamber string, form string, decided string, resolution string, snippet string")
+    found = cases.precedent_status(spark.createDataFrame([("1/2/2023",), ("9/9/2023",), ("1/2/2023",)], "number string"), decisions)
+    got = {r.number: (r.target_doc_id, r.status, [(a.doc_id, a.effect) for a in r.affecting], r.chain_length) for r in found.collect()}
+    assert got == {"1/2/2023": (1, "explicitly_overruled", [(2, "overruled"), (3, "upheld")], 3), "9/9/2023": (None, "unknown", [], 0)}
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 3
