@@ -139,8 +139,7 @@ def russian(word: Column) -> Column:
     return F.when(head == "", plain).otherwise(let(F.concat(head, let(F.substring(plain, F.length(head) + 1, F.length(plain)), endings)), lambda w: tidy(derived(w))))
 
 
-def stem(word: Column, config: str) -> Column:
-    """The stem of a lower-case word, null for a stop word: ``simple`` keeps all, ``english``, ``russian`` (words in Latin letters go by the English rules)."""
+def _by_rules(word: Column, config: str) -> Column:
     if config == "simple":
         return word
     if config == "english":
@@ -149,3 +148,21 @@ def stem(word: Column, config: str) -> Column:
         stop = word.isin(STOP_WORDS["english"] + STOP_WORDS["russian"])
         return F.when(~stop, F.when(word.rlike("^[a-z0-9]+$"), english(word)).otherwise(russian(word)))
     raise ValueError(f"no rules for {config}")
+
+
+def listed(word: Column, by_rules: Column, forms: dict[str, str]) -> Column:
+    """``by_rules``, but by ``forms`` (see ``stem``) for the stems that are listed there; it is used more than once."""
+    found = F.when(by_rules.isin(*forms), F.concat(F.lit("="), word)).otherwise(by_rules)
+    for form, pattern in forms.items():
+        found = F.when(word.rlike(f"^(?:{pattern})$"), F.lit(form)).otherwise(found)
+    return F.when(by_rules.isNotNull(), found)
+
+
+def stem(word: Column, config: str, forms: dict[str, str] | None = None) -> Column:
+    """The stem of a lower-case word, null for a stop word: ``simple`` keeps all, ``english``, ``russian`` (words in Latin letters go by the English rules).
+
+    ``forms``: for some stems the pattern of all words that are their forms. Another word that the rules give
+    such a stem is no form of it: it stays whole, with = before it, so that no stem is like it.
+    """
+    by_rules = _by_rules(word, config)
+    return let(by_rules, lambda s: listed(word, s, forms)) if forms else by_rules

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.functions.stems import STOP_WORDS, stem
+from docketry.functions.stems import STOP_WORDS, listed, stem
 from docketry.sources.tables import shared_folder, written
 
 #: Documents of a term in one block at most.
@@ -34,14 +34,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN), lambda w: w != "")
 
 
-def query_terms(spark: SparkSession, query: str, config: str) -> list[str | None]:
+def query_terms(spark: SparkSession, query: str, config: str, forms: dict[str, str] | None = None) -> list[str | None]:
     """Stems of the query's words in their order, null for stop words."""
-    return spark.range(1).select(F.transform(words(F.lit(query)), lambda w: stem(w, config)).alias("t")).first().t
+    return spark.range(1).select(F.transform(words(F.lit(query)), lambda w: stem(w, config, forms)).alias("t")).first().t
 
 
-def matches(text: Column, terms: list[str], config: str) -> Column:
+def matches(text: Column, terms: list[str], config: str, forms: dict[str, str] | None = None) -> Column:
     """Whether a text has every term (stems as ``query_terms`` gives them), by a scan; no terms match nothing."""
-    own = F.transform(words(text), lambda w: stem(w, config))
+    own = F.transform(words(text), lambda w: stem(w, config, forms))
     return F.size(F.array_except(F.array(*map(F.lit, terms)), own)) == 0 if terms else F.lit(False)
 
 
@@ -50,6 +50,7 @@ class Index:
     spark: SparkSession
     path: str
     config: str
+    forms: dict[str, str] | None = None
 
     @property
     def blocks(self) -> DataFrame:
@@ -161,11 +162,12 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def build(docs: DataFrame, key: str, text: str, config: str = "simple", path: str | None = None) -> Index:
+def build(docs: DataFrame, key: str, text: str, config: str = "simple", path: str | None = None, forms: dict[str, str] | None = None) -> Index:
     """An index of whole texts, stored under ``path`` (a folder of its own below the shared one if None).
 
     ``key`` is a whole number, one text each; rows without it are left out, null texts have no words. Of a key with
-    several texts, all words are that key's. Positions count words from 0, stop words among them.
+    several texts, all words are that key's. Positions count words from 0, stop words among them. ``forms``: the
+    words that are forms of some stems, where a list and not the rules says so (``stems.stem``).
     """
     spark = docs.sparkSession
     path = path or f"{shared_folder(spark)}/fulltext-{uuid.uuid4().hex}"
@@ -175,11 +177,14 @@ def build(docs: DataFrame, key: str, text: str, config: str = "simple", path: st
     # all texts of a key are in one part; a row for each word of a segment, not for each word of a text, is stemmed and moved
     counted = rows.repartitionByRange("doc").sortWithinPartitions("doc").select("doc", plain).mapInArrow(_counted(stops), COUNTED)
     # stored, since the range shuffle samples its input before it reads it
-    postings = written(counted.select(stem(F.col("word"), config).alias("term"), "segment", "docs", "counts", "places"))
+    stemmed = counted.withColumn("term", stem(F.col("word"), config))
+    if forms:
+        stemmed = stemmed.withColumn("term", listed(F.col("word"), F.col("term"), forms))
+    postings = written(stemmed.select("term", "segment", "docs", "counts", "places"))
     sorted_ = postings.repartitionByRange("term", "segment").sortWithinPartitions("term", "segment")
     packed = sorted_.mapInArrow(_packed, BLOCKS).withColumn("part", F.spark_partition_id())
     packed.write.partitionBy("part").parquet(f"{path}/blocks")
-    index = Index(spark, path, config)
+    index = Index(spark, path, config, forms)
     # n_parts of a term are at most all parts; a term's row is small
     terms = index.blocks.groupBy("term").agg(F.sum("n").cast("bigint").alias("docs"), F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, x: s + x)).alias("occurrences"), F.max("most").alias("most"), F.sort_array(F.collect_set("part")).alias("parts"))
     terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
@@ -211,7 +216,7 @@ def search(index: Index, query: str, k: int | None = None) -> DataFrame:
     terms anywhere. The first blocks that hold 2 k documents give a score that k documents reach (if so many match);
     of the rest only blocks whose bound is as high are read. Nothing that could be among the best is left out.
     """
-    terms = sorted({t for t in query_terms(index.spark, query, index.config) if t is not None})
+    terms = sorted({t for t in query_terms(index.spark, query, index.config, index.forms) if t is not None})
     rows, blocks = _found(index, terms)
     if len(rows) < len(terms) or not terms:
         return index.spark.createDataFrame([], "doc bigint, score bigint")
@@ -241,7 +246,7 @@ def search(index: Index, query: str, k: int | None = None) -> DataFrame:
 
 def phrase(index: Index, query: str) -> DataFrame:
     """doc and n: how often the words of ``query`` stand one after another in it, in any form; stop words hold any word's place."""
-    terms = query_terms(index.spark, query, index.config)
+    terms = query_terms(index.spark, query, index.config, index.forms)
     wanted = [(t, i) for i, t in enumerate(terms) if t is not None]
     rows, blocks = _found(index, sorted({t for t, _ in wanted}))
     if not wanted or len(rows) < len({t for t, _ in wanted}):

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from docketry.functions import stems as S
 from docketry.operators import fulltext as X
 from docketry.operators import vector_index as I
+from docketry.plans import registry
 
 # Published pairs of words and stems.
 ENGLISH = (
@@ -107,6 +109,29 @@ def test_words_that_no_rule_changes():
     assert all(any(e.endswith(c) for c in S.CHANGED) for e in (*S.STEP_2, *S.STEP_3, *S.STEP_4, "sses", "ied", "ies", "s", "eed", "eedly", "ing", "ingly", "ed", "edly", "y", "e", "ll"))
 
 
+@pytest.mark.parametrize("name", ["flt9_word_forms", "flt9_best_matches", "flt9_phrase"])
+def test_forms_that_a_query_lists(spark, tmp_path, name):
+    """Words that the rules, but not the query's SQL, take for a form of its words count as words of their own."""
+    registry.load()
+    odd = ["handlyed thing", "handful of things", "hands thingful", "handed thingings things handlying", "hand thinglyed", "handing things handnesses", "public licenses", "publicly licensed publics licensing", "public licenser license", "the", ""]
+    rows = [(i, t) for i, t in enumerate(odd)] + [(100 + i, "thinglys " * i + "thing " * (30 - i)) for i in range(30)] + [(200, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    wanted = con.execute(registry.ORACLES[name]).fetchall()
+    assert wanted and sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(wanted)
+
+
+def test_forms_and_stop_words(spark):
+    rows = spark.createDataFrame([(w,) for w in ("the", "hands", "handful", "licens", "courts")], "w string")
+    forms = {"hand": "hand(s|ed)?", "licens": "licens(e|es)", "the": "the"}
+    assert [r.t for r in rows.select(S.stem(F.col("w"), "english", forms).alias("t")).collect()] == [None, "hand", "=handful", "licen", "court"]
+    index = X.build(spark.createDataFrame([(1, "handful hands"), (2, "handfuls handed hand")], "id bigint, body string"), "id", "body", "english", forms=forms)
+    assert [sorted((r.doc, r.score) for r in X.search(index, q).collect()) for q in ("hand", "handful", "handfuls")] == [[(1, 1), (2, 2)], [(1, 1)], [(2, 1)]]
+    frame = spark.createDataFrame([(1, "handful"), (2, "hands")], "id bigint, body string")
+    assert [r.id for r in frame.where(X.matches(F.col("body"), ["hand"], "english", forms)).collect()] == [2]
+
+
 def test_empty_index(spark):
     empty = X.build(spark.createDataFrame([(None, "a"), (1, None)], "id bigint, body string"), "id", "body")
     assert X.search(empty, "a").count() == 0 and X.search(empty, "a", 2).count() == 0
