@@ -180,6 +180,14 @@ def _encoding(path: str, pattern: str):
     return _memo["encoding", path]
 
 
+def _ids_of(words: list[bytes], known: dict[bytes, bytes], encoding) -> list[bytes]:
+    """The ids of each word. Words that are not known are encoded and kept; the others cost a look-up each, however many are known."""
+    for w in words:
+        if w not in known:
+            known[w] = np.array(encoding.encode_ordinary(w.decode("utf-8")), "<u4").tobytes()
+    return [known[w] for w in words]
+
+
 def encode(docs: DataFrame, ranks: str, pattern: str = KNOWN_PATTERN, buckets: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id and ids (array of int) of every row's text.
 
@@ -196,10 +204,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str = KNOWN_PATTERN, buckets: i
         for batch in batches:
             out = []
             for blob, count in zip(batch.column("payload").to_pylist(), batch.column("n").to_pylist()):
-                words = _unpacked(blob, count)
-                for w in set(words) - known.keys():
-                    known[w] = np.array(encoding.encode_ordinary(w.decode("utf-8")), "<u4").tobytes()
-                ids = [known[w] for w in words]
+                ids = _ids_of(_unpacked(blob, count), known, encoding)
                 raw = np.frombuffer(b"".join(ids), "<u4")
                 wide = raw.astype("<u2" if len(raw) == 0 or raw.max() < 1 << 16 else "<u4")
                 out.append(bytes([wide.itemsize]) + zstandard.compress(np.array([len(i) // 4 for i in ids], "<u4").tobytes() + wide.tobytes(), 3))

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import Row
@@ -635,6 +636,30 @@ def test_op10(spark, folder, docs):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()), i
 
 
+def test_op10_looks_words_up():
+    """A row's words cost a look-up each; the words that a task knows are never gone through for one row."""
+    from docketry.llm import byte_bpe
+
+    class Known(dict):
+        def refused(self, *_):
+            raise AssertionError("all known words were gone through")
+
+        __iter__ = keys = values = items = refused
+
+    class Encoding:
+        seen = []
+
+        def encode_ordinary(self, word):
+            self.seen.append(word)
+            return [len(word), 7]
+
+    # the rows of a bucket from several chunks, as a task of the shuffle gets them
+    encoding, known, rows = Encoding(), Known({b"so": b"known"}), [[b"a", b"so", b"bb"], [b"bb", b"a", b"ccc", b"bb"], []]
+    ids = {b"so": b"known"} | {w: np.array([len(w), 7], "<u4").tobytes() for w in (b"a", b"bb", b"ccc")}
+    assert [byte_bpe._ids_of(words, known, encoding) for words in rows] == [[ids[w] for w in words] for words in rows]
+    assert encoding.seen == ["a", "bb", "ccc"]
+
+
 def test_pipeline(spark, folder, docs):
     pipeline = pytest.importorskip("corpus_pipeline")
     frame = spark.read.parquet(f"{folder}/documents.parquet")
